@@ -43,7 +43,7 @@ def trunc_int(c) -> Column:
 
 def clamp_month(c) -> Column:
     v = F.coalesce(to_number(c), F.lit(1.0))
-    return F.greatest(F.lit(1), F.least(F.lit(12), v.try_cast("int")))
+    return F.greatest(F.lit(1.0), F.least(F.lit(12.0), v)).cast("int")
 
 
 def safe_year(c) -> Column:

@@ -30,8 +30,12 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Letters transliterated to two letters.
+SHARP_S = ("ß", "ss")
+
+
 def unaccent(c) -> Column:
-    return F.translate(_c(c), ACCENTED, PLAIN)
+    return F.replace(F.translate(_c(c), ACCENTED, PLAIN), F.lit(SHARP_S[0]), F.lit(SHARP_S[1]))
 
 
 def norm_text(c) -> Column:
@@ -42,7 +46,7 @@ def norm_text(c) -> Column:
 def norm_text_lit(v: str) -> str:
     """Driver-side twin of ``norm_text`` for literal parameters."""
     s = "".join(PLAIN[ACCENTED.index(ch)] if ch in ACCENTED else ch for ch in (v or ""))
-    return s.strip(" ").upper()
+    return s.replace(*SHARP_S).strip(" ").upper()
 
 
 def norm_header(c) -> Column:
@@ -52,7 +56,7 @@ def norm_header(c) -> Column:
 
 def norm_header_lit(v: str) -> str:
     s = "".join(PLAIN[ACCENTED.index(ch)] if ch in ACCENTED else ch for ch in (v or ""))
-    return " ".join(s.split()).lower()
+    return " ".join(s.replace(*SHARP_S).split()).lower()
 
 
 # Strings treated as missing by the cleaning helpers.

@@ -60,3 +60,184 @@ FROM t LEFT JOIN nation ON nation.n_nationkey = t.estado_id
 """))
 def q_report_by_group(spark, sf):
     return reports.report_by_group(panel(spark, sf), _nation_dim(spark, sf), B, as_of=AS_OF)
+
+
+# ------------------------------------------------------------------------ shared pieces
+from pyspark.sql import functions as F  # noqa: E402
+
+from ..functions import geo, numbers as nb, period as pe, text as tx  # noqa: E402
+from ..operators import aggregates as ag, dims, filters as flt, ranking as rk  # noqa: E402
+from ..operators.dims import STATES, STATUSES  # noqa: E402
+
+
+def _latest(spark, sf):
+    return flt.latest_period_filter(panel(spark, sf), B, as_of=AS_OF)
+
+
+def ol(sql: str) -> str:
+    """Oracle with a ``latest`` CTE (rows of the latest period up to AS_OF)."""
+    return oracle(f", latest AS (SELECT * FROM panel WHERE period_key = {LATEST_SQL})\n{sql}")
+
+
+def _values(pairs, a: str, b: str) -> str:
+    rows = ", ".join(f"({i}, '{n}')" for i, n in pairs)
+    return f"(SELECT * FROM (VALUES {rows}) AS v({a}, {b}))"
+
+
+STATES_SQL = _values(STATES, "dim_id", "dim_name")
+STATUSES_SQL = _values(STATUSES, "dim_id", "dim_name")
+
+
+def _norm_sql(x: str) -> str:
+    return f"COALESCE(upper(trim(replace(strip_accents(CAST({x} AS VARCHAR)), 'ß', 'ss'))), '')"
+
+
+# ---------------------------------------------------------------------- scans / sources
+@register("scan_panel_pruned", oracle("SELECT clave, estado_id, cn_total FROM panel"))
+def q_scan_panel_pruned(spark, sf):
+    from ..sources.panel import scan_pruned
+    df, missing = scan_pruned(panel(spark, sf), ["clave", "estado_id", "cn_total", "no_such_column"])
+    assert missing == ["no_such_column"]
+    return df
+
+
+@register("scan_panel_full", oracle("SELECT * FROM panel"))
+def q_scan_panel_full(spark, sf):
+    return panel(spark, sf)
+
+
+@register("period_source_union", oracle("""
+, u AS (SELECT period_key, 'local' AS source FROM panel WHERE period_key >= 200001
+        UNION ALL
+        SELECT period_key, 'history' AS source FROM panel
+        WHERE period_key NOT IN (SELECT DISTINCT period_key FROM panel WHERE period_key >= 200001))
+SELECT period_key, source, COUNT(*) AS rows FROM u GROUP BY period_key, source"""))
+def q_period_source_union(spark, sf):
+    from ..sources.panel import period_source_union
+    p = panel(spark, sf)
+    u = period_source_union(p.where(F.col("period_key") >= 200001), p, "period_key")
+    return u.groupBy("period_key", "source").agg(F.count(F.lit(1)).alias("rows"))
+
+
+# ----------------------------------------------------------------------------- filters
+@register("latest_period_filter", ol("SELECT clave, period_key, cn_total FROM latest"))
+def q_latest_period_filter(spark, sf):
+    return _latest(spark, sf).select("clave", "period_key", "cn_total")
+
+
+@register("latest_period_filter_month", oracle(
+    "SELECT clave, period_key, cn_total FROM panel WHERE mes = (SELECT max(mes) FROM panel)"))
+def q_latest_period_filter_month(spark, sf):
+    return flt.latest_period_filter(panel(spark, sf), B, mode="month").select("clave", "period_key", "cn_total")
+
+
+@register("cascade_filter", oracle(f"""
+SELECT clave, period_key FROM panel
+WHERE {_norm_sql('zona')} = 'AMERICA' AND {_norm_sql('municipio')} = 'MAQUINAS'"""))
+def q_cascade_filter(spark, sf):
+    return flt.cascade_filter(panel(spark, sf), {"zona": "america", "estado": "", "municipio": " máquinas",
+                                                 "localidad": None}).select("clave", "period_key")
+
+
+@register("facility_by_key", oracle(f"SELECT clave, period_key, cn_total FROM panel WHERE {_norm_sql('clave')} = 'I-01-012-65'"))
+def q_facility_by_key(spark, sf):
+    return flt.facility_by_key(panel(spark, sf), "i-01-012-65", B).select("clave", "period_key", "cn_total")
+
+
+@register("rows_by_group_exact", ol("SELECT clave, estado FROM latest WHERE estado = 'NATION_3'"))
+def q_rows_by_group_exact(spark, sf):
+    return _latest(spark, sf).where(F.col("estado") == "NATION_3").select("clave", "estado")
+
+
+@register("filter_group_status", oracle("SELECT clave, period_key FROM panel WHERE estado_id = 3 AND situacion = 1"))
+def q_filter_group_status(spark, sf):
+    return (flt.filter_group_status(panel(spark, sf), 3, 1, B).select("clave", "period_key")
+            .orderBy("clave", "period_key"))
+
+
+STRICT_SQL = "COALESCE(lower(trim(conectividad)) NOT IN ('nan','none','0','false','no',''), false)"
+LOOSE_SQL = "COALESCE(lower(trim(conectividad)) NOT IN ('','nan','na','none','null','0'), false)"
+
+
+@register("operating_predicate", oracle("SELECT clave, period_key, COALESCE(situacion = 1, false) AS operating FROM panel"))
+def q_operating_predicate(spark, sf):
+    return panel(spark, sf).select("clave", "period_key", flt.operating(B).alias("operating"))
+
+
+@register("connected_predicate_strict", oracle(f"SELECT clave, period_key, {STRICT_SQL} AS connected FROM panel"))
+def q_connected_strict(spark, sf):
+    return panel(spark, sf).select("clave", "period_key", flt.connected_strict(B).alias("connected"))
+
+
+@register("connected_predicate_loose", oracle(f"SELECT clave, period_key, {LOOSE_SQL} AS connected FROM panel"))
+def q_connected_loose(spark, sf):
+    return panel(spark, sf).select("clave", "period_key", flt.connected_loose(B).alias("connected"))
+
+
+@register("positive_measure_filter", oracle(
+    "SELECT clave, period_key, cn_inicial FROM panel WHERE situacion = 1 AND COALESCE(cn_inicial, 0) > 0"))
+def q_positive_measure_filter(spark, sf):
+    return flt.positive_measure_filter(panel(spark, sf), "cn_inicial", B).select("clave", "period_key", "cn_inicial")
+
+
+@register("multi_column_contains", ol("""
+SELECT clave, municipio FROM latest
+WHERE contains(lower(COALESCE(clave,'')), 'quinas') OR contains(lower(COALESCE(estado,'')), 'quinas')
+   OR contains(lower(COALESCE(municipio,'')), 'quinas') OR contains(lower(COALESCE(localidad,'')), 'quinas')"""))
+def q_multi_column_contains(spark, sf):
+    return flt.multi_column_contains(_latest(spark, sf), "QUINAS ",
+                                     ["clave", "estado", "municipio", "localidad", "colonia", "calle"]
+                                     ).select("clave", "municipio")
+
+
+@register("concat_index_contains", ol("""
+SELECT clave FROM latest
+WHERE contains(lower(concat_ws('|', COALESCE(clave,''), COALESCE(nombre,''), COALESCE(estado,''),
+                                    COALESCE(municipio,''), COALESCE(localidad,''))), 'nation_2|')"""))
+def q_concat_index_contains(spark, sf):
+    return flt.concat_index_contains(_latest(spark, sf), "nation_2|",
+                                     ["clave", "nombre", "estado", "municipio", "localidad"]).select("clave")
+
+
+@register("list_filter_contains", ol(f"""
+SELECT clave, municipio, localidad FROM latest
+WHERE contains(lower(concat_ws(' ', COALESCE(clave,''), COALESCE(municipio,''), COALESCE(localidad,''),
+                                    COALESCE(nombre,''))), 'l3')"""))
+def q_list_filter_contains(spark, sf):
+    return flt.concat_index_contains(_latest(spark, sf), "L3", ["clave", "municipio", "localidad", "nombre"],
+                                     sep=" ").select("clave", "municipio", "localidad")
+
+
+@register("group_name_search", oracle(f"""
+SELECT estado AS group_name, {_norm_sql('estado')} = 'NATION_1' AS exact
+FROM (SELECT DISTINCT estado FROM panel) WHERE contains({_norm_sql('estado')}, 'NATION_1')"""))
+def q_group_name_search(spark, sf):
+    from .search import group_name_search
+    return group_name_search(panel(spark, sf), "nation_1", B)
+
+
+@register("key_pattern_query", ol("""
+SELECT COALESCE(clave, '') AS clave, COALESCE(nombre, '') AS nombre FROM latest
+WHERE regexp_matches(COALESCE(clave, ''), '^I-0[1-3]-00') ORDER BY clave LIMIT 100"""))
+def q_key_pattern_query(spark, sf):
+    return (flt.key_pattern_query(_latest(spark, sf), "^I-0[1-3]-00", B)
+            .select(F.coalesce("clave", F.lit("")).alias("clave"), F.coalesce("nombre", F.lit("")).alias("nombre"))
+            .orderBy("clave").limit(100))
+
+
+@register("month_range_filter", oracle("SELECT clave, period_key FROM panel WHERE lpad(CAST(mes AS VARCHAR), 2, '0') BETWEEN '03' AND '06'"))
+def q_month_range_filter(spark, sf):
+    return flt.month_range_filter(panel(spark, sf), "mes", "03", "06").select("clave", "period_key")
+
+
+@register("near_point_box", oracle("SELECT clave, period_key FROM panel WHERE abs(lat - 14.759) < 0.0001 AND abs(lng - -118.073) < 0.0001"))
+def q_near_point_box(spark, sf):
+    return flt.near_point_box(panel(spark, sf), 14.759, -118.073, B).select("clave", "period_key")
+
+
+@register("drop_incomplete_hierarchy", oracle("""
+SELECT clave, period_key FROM panel
+WHERE COALESCE(trim(estado) <> '', false) AND COALESCE(trim(zona) <> '', false) AND COALESCE(trim(municipio) <> '', false)
+  AND COALESCE(trim(localidad) <> '', false) AND COALESCE(trim(clave) <> '', false) AND COALESCE(trim(conectividad) <> '', false)"""))
+def q_drop_incomplete_hierarchy(spark, sf):
+    return flt.drop_incomplete_hierarchy(panel(spark, sf), B.hierarchy() + ["conectividad"]).select("clave", "period_key")

@@ -241,3 +241,244 @@ WHERE COALESCE(trim(estado) <> '', false) AND COALESCE(trim(zona) <> '', false)
   AND COALESCE(trim(localidad) <> '', false) AND COALESCE(trim(clave) <> '', false) AND COALESCE(trim(conectividad) <> '', false)"""))
 def q_drop_incomplete_hierarchy(spark, sf):
     return flt.drop_incomplete_hierarchy(panel(spark, sf), B.hierarchy() + ["conectividad"]).select("clave", "period_key")
+
+
+# ----------------------------------------------------------------------------- scalars
+SAFE_NUM_SQL = "TRY_CAST(regexp_replace(trim(inc_total_raw), '[^0-9.\\-]', '', 'g') AS DOUBLE)"
+
+
+@register("norm_text", oracle(f"""
+SELECT clave, period_key, {_norm_sql('municipio')} AS municipio_norm, {_norm_sql('estado')} AS estado_norm,
+       {_norm_sql('conectividad')} AS conectividad_norm FROM panel"""))
+def q_norm_text(spark, sf):
+    return panel(spark, sf).select("clave", "period_key", tx.norm_text("municipio").alias("municipio_norm"),
+                                   tx.norm_text("estado").alias("estado_norm"),
+                                   tx.norm_text("conectividad").alias("conectividad_norm"))
+
+
+@register("norm_text_documents", oracle(f"SELECT doc_id, md5({_norm_sql('text')}) AS text_norm_md5 FROM documents"))
+def q_norm_text_documents(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(tx.norm_text("text")).alias("text_norm_md5"))
+
+
+@register("norm_header", oracle("""
+SELECT clave, period_key,
+       lower(trim(regexp_replace(replace(strip_accents(municipio), 'ß', 'ss'), '\\s+', ' ', 'g'))) AS municipio_header
+FROM panel"""))
+def q_norm_header(spark, sf):
+    return panel(spark, sf).select("clave", "period_key", tx.norm_header("municipio").alias("municipio_header"))
+
+
+@register("safe_int", oracle(f"""
+SELECT clave, period_key, COALESCE(TRY_CAST(round_even({SAFE_NUM_SQL}, 0) AS BIGINT), 0) AS inc_total_int FROM panel"""))
+def q_safe_int(spark, sf):
+    return panel(spark, sf).select("clave", "period_key", nb.safe_int("inc_total_raw").alias("inc_total_int"))
+
+
+@register("safe_float", oracle(f"SELECT clave, period_key, COALESCE({SAFE_NUM_SQL}, 0.0) AS inc_total_float FROM panel"))
+def q_safe_float(spark, sf):
+    return panel(spark, sf).select("clave", "period_key", nb.safe_float("inc_total_raw").alias("inc_total_float"))
+
+
+@register("safe_string", oracle("""
+SELECT clave, period_key, COALESCE(trim(conectividad), '') AS conect_safe,
+       CASE WHEN lower(COALESCE(trim(conectividad), '')) IN ('nan','none','nat') THEN '' ELSE COALESCE(trim(conectividad), '') END AS conect_clean
+FROM panel"""))
+def q_safe_string(spark, sf):
+    return panel(spark, sf).select("clave", "period_key", tx.safe_string("conectividad").alias("conect_safe"),
+                                   tx.clean_string("conectividad").alias("conect_clean"))
+
+
+@register("to_numeric_coerce", oracle("SELECT clave, period_key, TRY_CAST(inc_total_raw AS DOUBLE) AS inc_total_num FROM panel"))
+def q_to_numeric(spark, sf):
+    return panel(spark, sf).select("clave", "period_key", nb.to_number("inc_total_raw").alias("inc_total_num"))
+
+
+@register("coalesce_field", oracle("SELECT clave, period_key, COALESCE(conectividad, 'N/D') AS conectividad FROM panel"))
+def q_coalesce_field(spark, sf):
+    return panel(spark, sf).select("clave", "period_key", tx.coalesce_field("conectividad", "N/D").alias("conectividad"))
+
+
+@register("clamp_month", oracle("""
+SELECT clave, period_key, CAST(trunc(greatest(1.0, least(12.0, COALESCE(TRY_CAST(inc_total_raw AS DOUBLE), 1.0)))) AS INTEGER) AS month_clamped,
+       CAST(trunc(greatest(1.0, least(12.0, COALESCE(TRY_CAST(CAST(mes - 3 AS VARCHAR) AS DOUBLE), 1.0)))) AS INTEGER) AS mes_clamped
+FROM panel"""))
+def q_clamp_month(spark, sf):
+    return panel(spark, sf).select("clave", "period_key", nb.clamp_month("inc_total_raw").alias("month_clamped"),
+                                   nb.clamp_month((F.col("mes") - 3).cast("string")).alias("mes_clamped"))
+
+
+@register("safe_year", oracle("""
+SELECT clave, period_key, COALESCE(CAST(trunc(TRY_CAST(CAST(anio AS VARCHAR) AS DOUBLE)) AS INTEGER), 0) AS year_safe,
+       COALESCE(CAST(trunc(TRY_CAST(inc_total_raw AS DOUBLE)) AS INTEGER), 0) AS raw_year FROM panel"""))
+def q_safe_year(spark, sf):
+    return panel(spark, sf).select("clave", "period_key", nb.safe_year(F.col("anio").cast("string")).alias("year_safe"),
+                                   nb.safe_year("inc_total_raw").alias("raw_year"))
+
+
+@register("period_key", oracle("""
+SELECT clave, period_key,
+       CASE WHEN anio % 100 < 100 THEN (anio % 100 + 2000) ELSE anio % 100 END * 100 + mes AS pk_short_year,
+       CAST(period_key // 100 AS INTEGER) AS year_back, lpad(CAST(period_key % 100 AS VARCHAR), 2, '0') AS month_back
+FROM panel"""))
+def q_period_key(spark, sf):
+    p = panel(spark, sf)
+    y, m = pe.parse_period_key("period_key")
+    return p.select("clave", "period_key", pe.period_key(F.col("anio") % 100, "mes").alias("pk_short_year"),
+                    y.alias("year_back"), m.alias("month_back"))
+
+
+@register("period_label", oracle(f"""
+SELECT clave, period_key, {pe.period_label_sql('anio', 'mes')} AS label, {pe.month_name_sql('mes + 1')} AS next_month_name
+FROM panel"""))
+def q_period_label(spark, sf):
+    return panel(spark, sf).select("clave", "period_key", pe.period_label("anio", "mes").alias("label"),
+                                   pe.month_name(F.col("mes") + 1).alias("next_month_name"))
+
+
+@register("encode_status", oracle(f"""
+SELECT p.clave, p.period_key, s.dim_name AS status_text,
+       CASE WHEN contains(upper(s.dim_name), 'OPERACIÓN') THEN 1 ELSE 0 END AS status_code
+FROM panel p JOIN {STATUSES_SQL} s ON s.dim_id = p.situacion"""))
+def q_encode_status(spark, sf):
+    from ..operators.clean import encode_status
+    p = dims.dim_decode(panel(spark, sf), "situacion", dims.statuses_dim(spark), "status_text", "Situación_")
+    return p.select("clave", "period_key", "status_text", encode_status("status_text").alias("status_code"))
+
+
+@register("parse_decimal_comma", oracle("""
+SELECT clave, period_key, TRY_CAST(replace(trim(replace(CAST(lat AS VARCHAR), '.', ',')), ',', '.') AS DOUBLE) AS lat_parsed FROM panel"""))
+def q_parse_decimal_comma(spark, sf):
+    raw = F.replace(F.col("lat").cast("string"), F.lit("."), F.lit(","))
+    return panel(spark, sf).select("clave", "period_key", nb.parse_decimal_comma(raw).alias("lat_parsed"))
+
+
+HAV_SQL = geo.haversine_sql("lat", "lng", "19.4326", "-99.1332")
+
+
+@register("haversine_km", oracle(f"SELECT clave, period_key, round({HAV_SQL}, 6) AS km FROM panel"))
+def q_haversine(spark, sf):
+    return panel(spark, sf).select("clave", "period_key",
+                                   F.round(geo.haversine_km("lat", "lng", F.lit(19.4326), F.lit(-99.1332)), 6).alias("km"))
+
+
+@register("pair_distance", oracle(f"""
+SELECT clave, period_key, round({HAV_SQL}, 2) AS km, CAST(round({HAV_SQL} * 1000) AS BIGINT) AS metres,
+       printf('%.1f km', {HAV_SQL}) AS km_text
+FROM panel WHERE lat <> 0 AND lat < 33"""))
+def q_pair_distance(spark, sf):
+    d = geo.haversine_km("lat", "lng", F.lit(19.4326), F.lit(-99.1332))
+    return (panel(spark, sf).where((F.col("lat") != 0) & (F.col("lat") < 33))
+            .select("clave", "period_key", F.round(d, 2).alias("km"), F.round(d * 1000).cast("bigint").alias("metres"),
+                    geo.distance_text(d).alias("km_text")))
+
+
+@register("travel_time_text", oracle(f"""
+SELECT clave, period_key,
+       CASE WHEN CAST(floor({HAV_SQL} / 40) AS BIGINT) > 0
+            THEN printf('%dh %dmin', CAST(floor({HAV_SQL} / 40) AS BIGINT), CAST(floor(({HAV_SQL} / 40 - floor({HAV_SQL} / 40)) * 60) AS BIGINT))
+            ELSE printf('%d min', CAST(floor(({HAV_SQL} / 40 - floor({HAV_SQL} / 40)) * 60) AS BIGINT)) END AS eta
+FROM panel"""))
+def q_travel_time(spark, sf):
+    d = geo.haversine_km("lat", "lng", F.lit(19.4326), F.lit(-99.1332))
+    return panel(spark, sf).select("clave", "period_key", geo.travel_time_text(d).alias("eta"))
+
+
+@register("interpolate_route", oracle("""
+SELECT s.s_suppkey AS point_id, i AS step,
+       round(p.lat + (19.4326 - p.lat) * i / 10, 9) AS lat, round(p.lng + (-99.1332 - p.lng) * i / 10, 9) AS lng
+FROM (SELECT s_suppkey, CAST(14.5 AS DOUBLE) + CAST((s_suppkey * 37) % 18200 AS DOUBLE) / 1000 AS lat,
+             CAST(-118.5 AS DOUBLE) + CAST((s_suppkey * 61) % 31800 AS DOUBLE) / 1000 AS lng FROM supplier) p
+JOIN supplier s ON s.s_suppkey = p.s_suppkey, range(0, 11) t(i)"""))
+def q_interpolate_route(spark, sf):
+    from ..sources.testbind import points
+    r = points(spark, sf).select("point_id", F.explode(
+        geo.interpolate_route("lat", "lng", F.lit(19.4326), F.lit(-99.1332))).alias("p"))
+    return r.select("point_id", "p.step", F.round("p.lat", 9).alias("lat"), F.round("p.lng", 9).alias("lng"))
+
+
+@register("navigation_urls", ol("""
+SELECT clave,
+       'https://www.google.com/maps/search/?api=1&query=' || printf('%.6f', lat) || ',' || printf('%.6f', lng) AS map_url,
+       'https://www.waze.com/ul?ll=' || printf('%.6f', lat) || ',' || printf('%.6f', lng) || '&navigate=yes&to=' || replace(nombre, ' ', '+') AS waze_url
+FROM latest"""))
+def q_navigation_urls(spark, sf):
+    la, ln = F.format_string("%.6f", F.col("lat")), F.format_string("%.6f", F.col("lng"))
+    return _latest(spark, sf).select("clave", geo.map_search_url(la, ln).alias("map_url"),
+                                     geo.waze_url(la, ln, F.col("nombre")).alias("waze_url"))
+
+
+@register("address_line", oracle("""
+SELECT clave, period_key, concat_ws(', ', NULLIF(trim(municipio), ''), NULLIF(trim(localidad), ''),
+                                   NULLIF(trim(conectividad), ''), NULLIF(trim(zona), '')) AS address FROM panel"""))
+def q_address_line(spark, sf):
+    return panel(spark, sf).select("clave", "period_key",
+                                   tx.address_line("municipio", "localidad", "conectividad", "zona").alias("address"))
+
+
+@register("pct_change", oracle(f"""
+SELECT clave, period_key, {nb.pct_int_sql('cn_prim - cn_inicial', 'cn_inicial')} AS pct,
+       {nb.pct_int_sql('cn_prim - cn_inicial', 'greatest(cn_inicial, 1)')} AS pct_floor1 FROM panel"""))
+def q_pct_change(spark, sf):
+    return panel(spark, sf).select("clave", "period_key", nb.pct_change("cn_inicial", "cn_prim").alias("pct"),
+                                   nb.pct_change_floor1("cn_inicial", "cn_prim").alias("pct_floor1"))
+
+
+@register("growth_sign_label", oracle(f"""
+SELECT clave, period_key,
+       CASE WHEN cn_prim - cn_inicial > 0 THEN 'positive' WHEN cn_prim - cn_inicial < 0 THEN 'negative' ELSE 'neutral' END AS sign_class,
+       CASE WHEN cn_prim - cn_inicial > 0 THEN '+' ELSE '' END || format('{{:,}}', cn_prim - cn_inicial) AS delta_text,
+       CASE WHEN {nb.pct_int_sql('cn_prim - cn_inicial', 'cn_inicial', 1)} > 0 THEN '+' ELSE '' END
+         || printf('%.1f', {nb.pct_int_sql('cn_prim - cn_inicial', 'cn_inicial', 1)}) || '%' AS pct_text
+FROM panel"""))
+def q_growth_sign_label(spark, sf):
+    from ..functions.labels import delta_text, pct_text, sign_class
+    d = F.col("cn_prim") - F.col("cn_inicial")
+    p = nb.pct_change("cn_inicial", "cn_prim", 1)
+    return panel(spark, sf).select("clave", "period_key", sign_class(d).alias("sign_class"),
+                                   delta_text(d).alias("delta_text"), pct_text(p).alias("pct_text"))
+
+
+@register("connectivity_band", oracle(f"""
+SELECT clave, period_key, CASE WHEN p < 50 THEN 'low' WHEN p < 70 THEN 'medium' ELSE 'high' END AS band
+FROM (SELECT clave, period_key, {nb.pct_int_sql('cn_inicial', 'cn_total', 1)} AS p FROM panel)"""))
+def q_connectivity_band(spark, sf):
+    from ..functions.labels import connectivity_band
+    p = nb.pct_int(F.col("cn_inicial"), F.col("cn_total"), 1)
+    return panel(spark, sf).select("clave", "period_key", connectivity_band(p).alias("band"))
+
+
+@register("round_coordinates", oracle("SELECT clave, period_key, round(lat, 6) AS lat6, round(lng, 7) AS lng7 FROM panel"))
+def q_round_coordinates(spark, sf):
+    return panel(spark, sf).select("clave", "period_key", F.round("lat", 6).alias("lat6"), F.round("lng", 7).alias("lng7"))
+
+
+KEY_VARIANTS_SQL = """
+SELECT clave, v, variant FROM (
+  SELECT clave, clave AS v, 'plain' AS variant FROM latest
+  UNION ALL SELECT clave, estado || '_' || clave, 'prefixed' FROM latest
+  UNION ALL SELECT clave, replace(lower(clave), 'i-', 'l- '), 'l_space' FROM latest
+  UNION ALL SELECT clave, replace(clave, '-0', '-') || ' (1)', 'unpadded' FROM latest
+  UNION ALL SELECT clave, nombre, 'name' FROM latest)"""
+
+
+def _key_norm_sql(v: str) -> str:
+    pat = tx.KEY_PATTERN
+    g = [f"regexp_extract({v}, '{pat}', {i})" for i in range(5)]
+    pad = lambda x, n: f"lpad({x}, CAST(greatest(length({x}), {n}) AS INTEGER), '0')"
+    letter = f"CASE WHEN {g[1]} IN ('L','l','1') THEN 'I' ELSE {g[1]} END"
+    key = f"concat_ws('-', {letter}, {pad(g[2], 2)}, {pad(g[3], 3)}, {pad(g[4], 2)})"
+    return f"lower(CASE WHEN regexp_matches({v}, '{pat}') THEN {key} ELSE trim({v}) END)"
+
+
+@register("normalise_facility_key", ol(f"""
+, kv AS ({KEY_VARIANTS_SQL})
+SELECT clave, variant, v AS original, {_key_norm_sql('v')} AS key FROM kv"""))
+def q_normalise_facility_key(spark, sf):
+    l = _latest(spark, sf)
+    kv = (l.select("clave", F.col("clave").alias("v"), F.lit("plain").alias("variant"))
+          .unionByName(l.select("clave", F.concat("estado", F.lit("_"), "clave").alias("v"), F.lit("prefixed").alias("variant")))
+          .unionByName(l.select("clave", F.replace(F.lower("clave"), F.lit("i-"), F.lit("l- ")).alias("v"), F.lit("l_space").alias("variant")))
+          .unionByName(l.select("clave", F.concat(F.replace("clave", F.lit("-0"), F.lit("-")), F.lit(" (1)")).alias("v"), F.lit("unpadded").alias("variant")))
+          .unionByName(l.select("clave", F.col("nombre").alias("v"), F.lit("name").alias("variant"))))
+    return kv.select("clave", "variant", F.col("v").alias("original"), tx.normalise_facility_key("v").alias("key"))

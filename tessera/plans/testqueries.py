@@ -482,3 +482,131 @@ def q_normalise_facility_key(spark, sf):
           .unionByName(l.select("clave", F.concat(F.replace("clave", F.lit("-0"), F.lit("-")), F.lit(" (1)")).alias("v"), F.lit("unpadded").alias("variant")))
           .unionByName(l.select("clave", F.col("nombre").alias("v"), F.lit("name").alias("variant"))))
     return kv.select("clave", "variant", F.col("v").alias("original"), tx.normalise_facility_key("v").alias("key"))
+
+
+# ------------------------------------------------------------------------------ joins / dims
+def _group_names_sql(x: str) -> str:
+    names = ", ".join(f"'{n}'" for _, n in STATES)
+    return f"[{names}][{x} + 1]"
+
+
+@register("dim_decode", oracle(f"""
+SELECT CASE WHEN p.estado_id IS NULL THEN '' ELSE COALESCE(g.dim_name, 'Estado_' || CAST(p.estado_id AS VARCHAR)) END AS group_label,
+       CASE WHEN p.situacion IS NULL THEN '' ELSE COALESCE(s.dim_name, 'Situación_' || CAST(p.situacion AS VARCHAR)) END AS status_label,
+       COUNT(*) AS rows
+FROM panel p LEFT JOIN {STATES_SQL} g ON g.dim_id = p.estado_id LEFT JOIN {STATUSES_SQL} s ON s.dim_id = p.situacion
+GROUP BY 1, 2"""))
+def q_dim_decode(spark, sf):
+    p = dims.dim_decode(panel(spark, sf), "estado_id", dims.states_dim(spark), "group_label", "Estado_")
+    p = dims.dim_decode(p, "situacion", dims.statuses_dim(spark), "status_label", "Situación_")
+    return p.groupBy("group_label", "status_label").agg(F.count(F.lit(1)).alias("rows"))
+
+
+ENC_NAMES = ", ".join(f"({i + 1}, '{n}')" for i, n in enumerate(dims.STATE_ENCODE_EXACT))
+
+
+@register("dim_encode", oracle(f"""
+, t AS (SELECT DISTINCT estado_id, {_group_names_sql('estado_id')} AS state_text FROM panel),
+  enc AS (SELECT * FROM (VALUES {ENC_NAMES}) v(enc_id, enc_name))
+SELECT t.estado_id, t.state_text,
+       COALESCE((SELECT enc_id FROM enc WHERE {_norm_sql('enc.enc_name')} = {_norm_sql('t.state_text')}), 0) AS id_folded,
+       COALESCE((SELECT enc_id FROM enc WHERE enc.enc_name = upper(trim(t.state_text))), 0) AS id_exact
+FROM t"""))
+def q_dim_encode(spark, sf):
+    names = F.array(*[F.lit(n) for _, n in STATES])
+    t = panel(spark, sf).select("estado_id", F.element_at(names, F.col("estado_id") + 1).alias("state_text")).distinct()
+    t = dims.dim_encode(t, "state_text", "id_folded", spark, accent_insensitive=True)
+    return dims.dim_encode(t, "state_text", "id_exact", spark, accent_insensitive=False)
+
+
+@register("derive_dim_from_data", oracle("SELECT DISTINCT CAST(estado_id AS INTEGER) AS dim_id, trim(estado) AS dim_name FROM panel"))
+def q_derive_dim(spark, sf):
+    return dims.derive_dim_from_data(panel(spark, sf), "estado_id", "estado", "period_key")
+
+
+@register("dim_merge_precedence", ol("""
+, a AS (SELECT DISTINCT CAST(estado_id AS INTEGER) AS dim_id, lower(trim(estado)) AS dim_name FROM latest WHERE situacion = 1),
+  b AS (SELECT DISTINCT CAST(estado_id AS INTEGER) AS dim_id, trim(estado) AS dim_name FROM panel)
+SELECT dim_id, dim_name FROM a UNION ALL SELECT dim_id, dim_name FROM b WHERE dim_id NOT IN (SELECT dim_id FROM a)"""))
+def q_dim_merge(spark, sf):
+    a = dims.derive_dim_from_data(_latest(spark, sf).where("situacion = 1")
+                                  .withColumn("estado", F.lower("estado")), "estado_id", "estado")
+    b = dims.derive_dim_from_data(panel(spark, sf), "estado_id", "estado")
+    return dims.dim_merge_precedence(a, b)
+
+
+@register("canonical_group_name", oracle(f"SELECT DISTINCT estado AS group_name FROM panel WHERE {_norm_sql('estado')} = 'NATION_7'"))
+def q_canonical_group_name(spark, sf):
+    return dims.canonical_group_name(panel(spark, sf), "estado", " nation_7 ")
+
+
+GROUP_AGG_JOIN_SQL = f"""
+, h AS (SELECT estado_id, CAST(SUM(COALESCE(cn_inicial,0) + COALESCE(cn_prim,0) + COALESCE(cn_sec,0)) AS BIGINT) AS cn_history
+        FROM panel GROUP BY estado_id),
+  c AS (SELECT estado_id, COUNT(*) AS facilities FROM latest GROUP BY estado_id),
+  o AS (SELECT estado_id, COUNT(*) AS operating FROM latest WHERE situacion = 1 GROUP BY estado_id),
+  k AS (SELECT estado_id, COUNT(*) AS connected FROM latest WHERE situacion = 1 AND {STRICT_SQL} GROUP BY estado_id)
+SELECT h.estado_id, h.cn_history, COALESCE(c.facilities, 0) AS facilities, COALESCE(o.operating, 0) AS operating,
+       COALESCE(k.connected, 0) AS connected
+FROM h LEFT JOIN c USING (estado_id) LEFT JOIN o USING (estado_id) LEFT JOIN k USING (estado_id)"""
+
+
+@register("group_aggregates_join", ol(GROUP_AGG_JOIN_SQL))
+def q_group_aggregates_join(spark, sf):
+    p, l = panel(spark, sf), _latest(spark, sf)
+    h = p.groupBy("estado_id").agg(F.sum(F.coalesce("cn_inicial", F.lit(0)) + F.coalesce("cn_prim", F.lit(0))
+                                         + F.coalesce("cn_sec", F.lit(0))).cast("bigint").alias("cn_history"))
+    c = l.groupBy("estado_id").agg(F.count(F.lit(1)).alias("facilities"))
+    o = l.where(flt.operating(B)).groupBy("estado_id").agg(F.count(F.lit(1)).alias("operating"))
+    k = l.where(flt.operating(B) & flt.connected_strict(B)).groupBy("estado_id").agg(F.count(F.lit(1)).alias("connected"))
+    # the three latest-month aggregates have one row per group (bounded by the group count)
+    return (h.join(c, "estado_id", "left").join(o, "estado_id", "left").join(k, "estado_id", "left")
+            .na.fill(0, ["facilities", "operating", "connected"]))
+
+
+def _points_sql_inner():
+    from ..sources.testbind import POINTS_SQL
+    return POINTS_SQL
+
+
+RADIUS_SQL = f"""
+, d AS (SELECT q.point_id, l.clave AS facility, {geo.haversine_sql('q.lat', 'q.lng', 'l.lat', 'l.lng')} AS km
+        FROM points q, latest l WHERE l.lat IS NOT NULL AND l.lng IS NOT NULL),
+  h AS (SELECT point_id, facility, round(km, 2) AS distance_km FROM d WHERE km <= 150),
+  r AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY distance_km, facility) AS pos FROM h)
+"""
+
+
+def _radius_oracle(select: str) -> str:
+    from ..sources.testbind import POINTS_SQL
+    return oracle(f", latest AS (SELECT * FROM panel WHERE period_key = {LATEST_SQL}), points AS ({POINTS_SQL})\n"
+                  + RADIUS_SQL + select)
+
+
+@register("radius_join", _radius_oracle("SELECT point_id, facility, distance_km, pos FROM r WHERE pos <= 5"))
+def q_radius_join(spark, sf):
+    from ..operators.nearby import radius_join
+    from ..sources.testbind import points
+    return radius_join(points(spark, sf), _latest(spark, sf), 150.0, B, limit_per_point=5).drop("distance_km_exact")
+
+
+@register("enrich_hits", _radius_oracle("""
+SELECT r.point_id, r.facility, r.distance_km, l.nombre, l.estado FROM r JOIN latest l ON l.clave = r.facility WHERE pos <= 3"""))
+def q_enrich_hits(spark, sf):
+    from ..operators.nearby import radius_join
+    from ..sources.testbind import points
+    l = _latest(spark, sf)
+    h = radius_join(points(spark, sf), l, 150.0, B, limit_per_point=3)
+    return h.join(l.select(F.col("clave").alias("facility"), "nombre", "estado"), "facility").drop("pos", "distance_km_exact")
+
+
+@register("nearest_facility", oracle(f"""
+, latest AS (SELECT * FROM panel WHERE period_key = {LATEST_SQL}), points AS ({_points_sql_inner()}),
+  d AS (SELECT q.point_id, l.clave AS facility, round({geo.haversine_sql('q.lat', 'q.lng', 'l.lat', 'l.lng')}, 2) AS distance_km
+        FROM points q, latest l WHERE l.lat IS NOT NULL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY distance_km, facility) AS pos FROM d WHERE distance_km <= 5000)
+SELECT point_id, facility, distance_km FROM r WHERE pos = 1"""))
+def q_nearest_facility(spark, sf):
+    from ..operators.nearby import nearest_facility
+    from ..sources.testbind import points
+    return nearest_facility(points(spark, sf), _latest(spark, sf), 5000.0, B)

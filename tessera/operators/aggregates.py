@@ -193,9 +193,9 @@ def measure_profile_by_period(df: DataFrame, measures: list[str], b: Binding = D
 def municipality_rollup(df: DataFrame, measures: list[str], b: Binding = DEFAULT) -> DataFrame:
     """Per municipality sums plus one totals line (grouping()=1) that carries the number of
     distinct non-blank municipalities and of facilities."""
-    muni = F.col(b.municipality)
-    r = (df.rollup(muni.alias("municipality"))
-         .agg(F.grouping(muni.alias("municipality")).alias("is_total"),
+    muni = F.col("municipality")
+    r = (df.withColumn("municipality", F.col(b.municipality)).rollup("municipality")
+         .agg(F.grouping("municipality").alias("is_total"),
               F.count(F.lit(1)).alias("facilities"),
               F.count_distinct(F.when(F.trim(muni) != "", muni)).alias("municipalities"),
               *[F.coalesce(F.sum(F.coalesce(to_number(m), F.lit(0.0))), F.lit(0.0)).try_cast("bigint").alias(f"sum_{m}")

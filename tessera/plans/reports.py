@@ -41,3 +41,13 @@ def report_by_group(df: DataFrame, dim: DataFrame, b: Binding = DEFAULT, mode: s
          .withColumn("pct_of_national", pct_int(F.col("sum_total"), national, 2))
          .withColumn("national_total", F.coalesce(national, F.lit(0)).cast("bigint")))
     return dim_decode(g, b.group_id, dim, "group_name", "Estado_")
+
+
+def state_table_totals(latest: DataFrame, b: Binding = DEFAULT) -> DataFrame:
+    """Totals line of the group table; % connected over *all* facilities [D4]."""
+    op = flt.operating(b)
+    g = latest.groupBy(b.group_id).agg(F.count(F.lit(1)).alias("facilities"),
+                                       F.count_if(op).cast("bigint").alias("operating"),
+                                       F.count_if(op & flt.connected_strict(b)).cast("bigint").alias("connected"))
+    t = g.agg(*[F.sum(c).cast("bigint").alias(c) for c in ("facilities", "operating", "connected")])
+    return t.withColumn("pct_connected_all", pct_int(F.col("connected"), F.col("facilities"), 1))

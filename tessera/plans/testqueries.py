@@ -610,3 +610,281 @@ def q_nearest_facility(spark, sf):
     from ..operators.nearby import nearest_facility
     from ..sources.testbind import points
     return nearest_facility(points(spark, sf), _latest(spark, sf), 5000.0, B)
+
+
+# ------------------------------------------------------------------------------ aggregations
+LV = ["cn_inicial", "cn_prim", "cn_sec"]
+CM_SQL = [("cn_total", "cn_total"), ("cn_inicial", "cn_inicial"), ("cn_prim", "cn_prim"), ("cn_sec", "cn_sec"),
+          ("inc_total", "inc_total"), ("aten_total", "aten_total")]
+
+
+def _clamped_sql(src: str = "panel", where: str = "") -> str:
+    sums = ", ".join(f"CAST(SUM(greatest(COALESCE({c}, 0), 0)) AS BIGINT) AS {o}" for o, c in CM_SQL)
+    w = f"AND {where}" if where else ""
+    return f"SELECT estado_id, COUNT(*) AS facilities, {sums} FROM {src} WHERE estado_id IS NOT NULL {w} GROUP BY estado_id"
+
+
+@register("agg_by_group_clamped", oracle(_clamped_sql(where="situacion = 1")))
+def q_agg_clamped(spark, sf):
+    return ag.agg_by_group_clamped(panel(spark, sf), B, status=1)
+
+
+DIRTY = B.with_(compare_measures=(("inc_total", "inc_total_raw"), ("cn_total", "cn_total")))
+
+
+@register("agg_by_group_plain", oracle("""
+SELECT CAST(trunc(TRY_CAST(CAST(estado_id AS VARCHAR) AS DOUBLE)) AS INTEGER) AS estado_id, COUNT(*) AS facilities,
+       CAST(trunc(SUM(COALESCE(TRY_CAST(inc_total_raw AS DOUBLE), 0.0))) AS BIGINT) AS inc_total,
+       CAST(trunc(SUM(COALESCE(TRY_CAST(CAST(cn_total AS VARCHAR) AS DOUBLE), 0.0))) AS BIGINT) AS cn_total
+FROM panel GROUP BY 1"""))
+def q_agg_plain(spark, sf):
+    return ag.agg_by_group_plain(panel(spark, sf), DIRTY)
+
+
+@register("agg_by_group_named", ol(f"""
+, g AS ({_clamped_sql('latest')})
+SELECT g.*, COALESCE(n.n_name, 'Estado_' || CAST(g.estado_id AS VARCHAR)) AS group_name
+FROM g LEFT JOIN nation n ON n.n_nationkey = g.estado_id ORDER BY facilities DESC, group_name"""))
+def q_agg_named(spark, sf):
+    g = ag.agg_by_group_clamped(_latest(spark, sf), B)
+    g = dims.dim_decode(g, "estado_id", _nation_dim(spark, sf), "group_name", "Estado_")
+    return g.orderBy(F.col("facilities").desc(), "group_name")
+
+
+@register("grand_totals", ol(f"""
+, g AS ({_clamped_sql('latest')})
+SELECT CAST(SUM(facilities) AS BIGINT) AS facilities, {", ".join(f"CAST(SUM({o}) AS BIGINT) AS {o}" for o, _ in CM_SQL)} FROM g"""))
+def q_grand_totals(spark, sf):
+    g = ag.agg_by_group_clamped(_latest(spark, sf), B)
+    return ag.grand_totals(g, ["facilities"] + [o for o, _ in B.compare_measures])
+
+
+@register("annual_accumulate", oracle(f"""
+SELECT anio, estado_id, COUNT(*) AS facility_months,
+       {", ".join(f"CAST(SUM(COALESCE({c}, 0)) AS BIGINT) AS {o}" for o, c in CM_SQL)}
+FROM panel WHERE estado_id IS NOT NULL GROUP BY anio, estado_id"""))
+def q_annual_accumulate(spark, sf):
+    return ag.annual_accumulate(panel(spark, sf), B)
+
+
+@register("facilities_per_group_distinct", ol("SELECT estado, COUNT(DISTINCT clave) AS facilities FROM latest GROUP BY estado"))
+def q_fac_distinct(spark, sf):
+    return ag.facilities_per_group_distinct(_latest(spark, sf), B)
+
+
+@register("rows_per_group", oracle("SELECT estado_id, COUNT(*) AS rows FROM panel GROUP BY estado_id"))
+def q_rows_per_group(spark, sf):
+    return ag.rows_per_group(panel(spark, sf), B)
+
+
+@register("operating_per_group", ol("SELECT estado_id, CAST(SUM(CASE WHEN situacion = 1 THEN 1 ELSE 0 END) AS BIGINT) AS operating FROM latest GROUP BY estado_id"))
+def q_operating_per_group(spark, sf):
+    return ag.operating_per_group(_latest(spark, sf), B)
+
+
+@register("connected_per_group", ol(f"""
+SELECT estado_id, operating, connected, {nb.pct_int_sql('connected', 'operating', 1)} AS pct_connected FROM (
+  SELECT estado_id, CAST(SUM(CASE WHEN situacion = 1 THEN 1 ELSE 0 END) AS BIGINT) AS operating,
+         CAST(SUM(CASE WHEN situacion = 1 AND {STRICT_SQL} THEN 1 ELSE 0 END) AS BIGINT) AS connected
+  FROM latest GROUP BY estado_id)"""))
+def q_connected_per_group(spark, sf):
+    return ag.connected_per_group(_latest(spark, sf), B)
+
+
+@register("connectivity_rate_by_group", ol(f"""
+SELECT estado, rows, connected, {nb.pct_int_sql('connected', 'rows', 2)} AS pct_connected FROM (
+  SELECT estado, COUNT(*) AS rows, CAST(SUM(CASE WHEN {LOOSE_SQL} THEN 1 ELSE 0 END) AS BIGINT) AS connected
+  FROM latest GROUP BY estado)"""))
+def q_connectivity_rate(spark, sf):
+    return ag.connectivity_rate_by_group(_latest(spark, sf), B)
+
+
+@register("status_pivot", ol(f"""
+SELECT estado, {", ".join(f"COUNT(DISTINCT CASE WHEN situacion = {c} THEN clave END) AS status_{c}" for c in ag.STATUS_CODES)},
+       COUNT(DISTINCT CASE WHEN situacion IN (0,1,2,3,4) THEN clave || '#' || CAST(situacion AS VARCHAR) END) AS total,
+       {nb.pct_int_sql('COUNT(DISTINCT CASE WHEN situacion = 1 THEN clave END)', 'COUNT(DISTINCT CASE WHEN situacion IN (0,1,2,3,4) THEN clave || chr(35) || CAST(situacion AS VARCHAR) END)', 2)} AS pct_operating,
+       {nb.pct_int_sql('COUNT(DISTINCT CASE WHEN situacion = 0 THEN clave END)', 'COUNT(DISTINCT CASE WHEN situacion IN (0,1,2,3,4) THEN clave || chr(35) || CAST(situacion AS VARCHAR) END)', 2)} AS pct_suspended
+FROM latest GROUP BY estado"""))
+def q_status_pivot(spark, sf):
+    return ag.status_pivot(_latest(spark, sf), B)
+
+
+@register("status_distribution", ol(f"""
+SELECT g.status, g.rows, {nb.pct_int_sql('g.rows', '(SELECT COUNT(*) FROM latest)', 2)} AS pct,
+       CASE WHEN g.status IS NULL THEN '' ELSE COALESCE(s.dim_name, 'Situación_' || CAST(g.status AS VARCHAR)) END AS status_name
+FROM (SELECT situacion AS status, COUNT(*) AS rows FROM latest GROUP BY situacion) g
+LEFT JOIN {STATUSES_SQL} s ON s.dim_id = g.status"""))
+def q_status_distribution(spark, sf):
+    return ag.status_distribution(_latest(spark, sf), B, dims.statuses_dim(spark))
+
+
+def _measure_summary_sql(ms):
+    parts = []
+    for m in ms:
+        parts.append(f"""SELECT '{m}' AS measure, COUNT(*) AS rows, CAST(SUM(CASE WHEN {m} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS nulls,
+  CAST(COALESCE(SUM({m}), 0) AS BIGINT) AS total,
+  CAST(SUM(CASE WHEN period_key = {LATEST_SQL} AND situacion = 1 AND COALESCE({m}, 0) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS operating_positive
+FROM panel""")
+    tot = " + ".join(f"COALESCE(SUM({m}), 0)" for m in ms)
+    parts.append(f"""SELECT 'TOTAL', COUNT(*), CAST(0 AS BIGINT), CAST({tot} AS BIGINT),
+  CAST(SUM(CASE WHEN period_key = {LATEST_SQL} AND situacion = 1 THEN 1 ELSE 0 END) AS BIGINT) FROM panel""")
+    return f", u AS ({' UNION ALL '.join(parts)})\nSELECT *, {nb.pct_int_sql('nulls', 'rows', 2)} AS pct_null FROM u"
+
+
+@register("measure_summary", oracle(_measure_summary_sql(LV)))
+def q_measure_summary(spark, sf):
+    from .reports import is_latest
+    p = panel(spark, sf)
+    return ag.measure_summary(p, LV, is_latest(p, B, as_of=AS_OF), B)
+
+
+GMT_SQL = f"""
+, g AS (SELECT estado_id, {", ".join(f"CAST(COALESCE(SUM({c}), 0) AS BIGINT) AS sum_{c}" for c in LV)} FROM panel GROUP BY estado_id),
+  t AS (SELECT *, CAST(sum_cn_inicial + sum_cn_prim + sum_cn_sec AS BIGINT) AS sum_total FROM g)"""
+
+
+@register("group_measure_totals", oracle(GMT_SQL + f"""
+SELECT *, {nb.pct_int_sql('sum_total', '(SELECT SUM(sum_total) FROM t)', 2)} AS pct_of_national FROM t"""))
+def q_group_measure_totals(spark, sf):
+    return ag.group_measure_totals(panel(spark, sf), B)
+
+
+@register("equipment_ratios", ol(f"""
+SELECT eq_total, eq_part, {nb.pct_int_sql('eq_part', 'eq_total', 2)} AS eq_pct FROM (
+  SELECT CAST(trunc(COALESCE(SUM(COALESCE(TRY_CAST(CAST(cn_total AS VARCHAR) AS DOUBLE), 0.0)), 0.0)) AS BIGINT) AS eq_total,
+         CAST(trunc(COALESCE(SUM(COALESCE(TRY_CAST(CAST(cn_inicial AS VARCHAR) AS DOUBLE), 0.0)), 0.0)) AS BIGINT) AS eq_part
+  FROM latest)"""))
+def q_equipment_ratios(spark, sf):
+    return ag.ratio_sums(_latest(spark, sf), "cn_total", "cn_inicial", "eq")
+
+
+@register("certificate_sums", ol(f"""
+SELECT {", ".join(f"CAST(trunc(COALESCE(SUM(COALESCE(TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE), 0.0)), 0.0)) AS BIGINT) AS sum_{c}"
+                  for c in LV + ["inc_total_raw", "aten_total"])} FROM latest"""))
+def q_certificate_sums(spark, sf):
+    return ag.coerced_sums(_latest(spark, sf), LV + ["inc_total_raw", "aten_total"])
+
+
+@register("dataset_counters", oracle(f"""
+SELECT COUNT(DISTINCT clave) AS facilities, COUNT(*) AS rows, COUNT(DISTINCT estado_id) AS groups,
+       CAST(SUM(CASE WHEN period_key = {LATEST_SQL} THEN 1 ELSE 0 END) AS BIGINT) AS rows_latest FROM panel"""))
+def q_dataset_counters(spark, sf):
+    from .reports import is_latest
+    p = panel(spark, sf)
+    return ag.dataset_counters(p, is_latest(p, B, as_of=AS_OF), B)
+
+
+@register("dataset_profile", oracle("""
+SELECT COUNT(*) AS rows, 21 AS columns, COUNT(DISTINCT estado_id) AS groups, COUNT(DISTINCT clave) AS facilities,
+       array_to_string(list_sort(list_distinct(list(CAST(anio AS VARCHAR)))), ',') AS years,
+       array_to_string(list_transform(list_sort(list_distinct(list(mes))), lambda x: CAST(x AS VARCHAR)), ',') AS months
+FROM panel"""))
+def q_dataset_profile(spark, sf):
+    return ag.dataset_profile(panel(spark, sf), B)
+
+
+DR_COLS = ["estado", "municipio", "localidad", "clave", "conectividad"]
+
+
+@register("column_distinct_ratio", oracle(f"""
+, a AS (SELECT COUNT(*) AS rows, {", ".join(f"COUNT(DISTINCT {c}) AS d_{c}" for c in DR_COLS)} FROM panel),
+  u AS ({" UNION ALL ".join(f"SELECT rows, '{c}' AS \"column\", d_{c} AS \"distinct\" FROM a" for c in DR_COLS)})
+SELECT rows, "column", "distinct", {nb.pct_int_sql('"distinct"', 'rows', 2)} AS ratio_pct, "distinct" * 2 < rows AS dictionary_candidate FROM u"""))
+def q_column_distinct_ratio(spark, sf):
+    return ag.column_distinct_ratio(panel(spark, sf), DR_COLS)
+
+
+@register("measure_profile", oracle(f"""
+SELECT anio, mes, COUNT(*) AS rows, {", ".join(f"CAST(COALESCE(SUM({m}), 0) AS BIGINT) AS sum_{m}" for m in LV + ["inc_total"])}
+FROM panel GROUP BY anio, mes"""))
+def q_measure_profile(spark, sf):
+    return ag.measure_profile_by_period(panel(spark, sf), LV + ["inc_total"], B)
+
+
+MUNI_MS = ["cn_inicial", "cn_prim", "cn_sec", "cn_total", "inc_total_raw", "aten_total"]
+
+
+@register("municipality_rollup", ol(f"""
+SELECT municipio AS municipality, CAST(GROUPING(municipio) AS INTEGER) AS is_total, COUNT(*) AS facilities,
+       COUNT(DISTINCT CASE WHEN trim(municipio) <> '' THEN municipio END) AS municipalities,
+       {", ".join(f"CAST(trunc(COALESCE(SUM(COALESCE(TRY_CAST(CAST({m} AS VARCHAR) AS DOUBLE), 0.0)), 0.0)) AS BIGINT) AS sum_{m}" for m in MUNI_MS)}
+FROM latest WHERE estado = 'NATION_3' GROUP BY ROLLUP (municipio)"""))
+def q_municipality_rollup(spark, sf):
+    r = ag.municipality_rollup(_latest(spark, sf).where(F.col("estado") == "NATION_3"), MUNI_MS, B)
+    return r.withColumn("is_total", F.col("is_total").cast("int"))
+
+
+@register("state_table_totals", ol(f"""
+, g AS (SELECT estado_id, COUNT(*) AS facilities, CAST(SUM(CASE WHEN situacion = 1 THEN 1 ELSE 0 END) AS BIGINT) AS operating,
+               CAST(SUM(CASE WHEN situacion = 1 AND {STRICT_SQL} THEN 1 ELSE 0 END) AS BIGINT) AS connected FROM latest GROUP BY estado_id)
+SELECT CAST(SUM(facilities) AS BIGINT) AS facilities, CAST(SUM(operating) AS BIGINT) AS operating, CAST(SUM(connected) AS BIGINT) AS connected,
+       {nb.pct_int_sql('SUM(connected)', 'SUM(facilities)', 1)} AS pct_connected_all FROM g"""))
+def q_state_table_totals(spark, sf):
+    from .reports import state_table_totals
+    return state_table_totals(_latest(spark, sf), B)
+
+
+VALID_COORD_SQL = "lat IS NOT NULL AND lng IS NOT NULL AND lat <> 0 AND lng <> 0 AND lat BETWEEN 14.5 AND 32.7 AND lng BETWEEN -118.5 AND -86.7"
+
+
+@register("coordinates_per_group", ol(f"SELECT estado, COUNT(*) AS points FROM latest WHERE {VALID_COORD_SQL} GROUP BY estado"))
+def q_coordinates_per_group(spark, sf):
+    from ..operators.clean import valid_coordinates
+    return ag.coordinates_per_group(_latest(spark, sf).where(valid_coordinates("lat", "lng")), B)
+
+
+@register("geo_bounds", ol(f"SELECT min(lat) AS min_lat, max(lat) AS max_lat, min(lng) AS min_lng, max(lng) AS max_lng FROM latest WHERE {VALID_COORD_SQL}"))
+def q_geo_bounds(spark, sf):
+    from ..operators.clean import valid_coordinates
+    return ag.geo_bounds(_latest(spark, sf).where(valid_coordinates("lat", "lng")), B)
+
+
+def _grid_sql():
+    parts = []
+    for z in (4, 8, 12):
+        cx, cy = geo.web_mercator_cell_sql("lat", "lng", z)
+        parts.append(f"SELECT {z} AS zoom, {cx} AS cx, {cy} AS cy, lat, lng FROM latest WHERE {VALID_COORD_SQL}")
+    u = " UNION ALL ".join(parts)
+    return f"""
+, u AS ({u})
+SELECT zoom, cx, cy, COUNT(*) AS points, round(avg(lat), 6) AS lat, round(avg(lng), 6) AS lng FROM u GROUP BY zoom, cx, cy
+UNION ALL
+SELECT 16 AS zoom, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(1 AS BIGINT), round(lat, 6), round(lng, 6) FROM latest WHERE {VALID_COORD_SQL}"""
+
+
+@register("geo_grid_cells", ol(_grid_sql()))
+def q_geo_grid_cells(spark, sf):
+    from ..operators.clean import valid_coordinates
+    from ..operators.geo_grid import geo_grid_cells
+    return geo_grid_cells(_latest(spark, sf).where(valid_coordinates("lat", "lng")), (4, 8, 12, 16), B)
+
+
+@register("hierarchy_index", oracle(f"""
+SELECT {_norm_sql('estado')} AS group_norm, {_norm_sql('zona')} AS zone_norm, {_norm_sql('municipio')} AS municipality_norm,
+       {_norm_sql('localidad')} AS locality_norm, {_norm_sql('clave')} AS facility_norm,
+       arg_min(estado, period_key) AS "group", arg_min(zona, period_key) AS zone, arg_min(municipio, period_key) AS municipality,
+       arg_min(localidad, period_key) AS locality, arg_min(clave, period_key) AS facility, COUNT(*) AS rows
+FROM panel
+WHERE COALESCE(trim(estado) <> '', false) AND COALESCE(trim(zona) <> '', false) AND COALESCE(trim(municipio) <> '', false)
+  AND COALESCE(trim(localidad) <> '', false) AND COALESCE(trim(clave) <> '', false)
+GROUP BY 1, 2, 3, 4, 5"""))
+def q_hierarchy_index(spark, sf):
+    return ag.hierarchy_index(panel(spark, sf), B, "period_key")
+
+
+@register("available_periods", oracle("""
+, g AS (SELECT CAST(anio AS INTEGER) AS year, list_sort(list_distinct(list(CAST(mes AS INTEGER)))) AS months
+        FROM panel WHERE mes IS NOT NULL AND mes <> 99 AND anio IS NOT NULL GROUP BY 1)
+SELECT year, CAST(len(months) AS INTEGER) AS n_months,
+       array_to_string(list_transform(months, lambda x: lpad(CAST(x AS VARCHAR), 2, '0')), ',') AS months
+FROM g WHERE len(list_intersect(months, range(1, 13))) = 12 OR year = 2001"""))
+def q_available_periods(spark, sf):
+    return ag.available_periods(panel(spark, sf), B, current_year=2001)
+
+
+@register("monthly_trend", oracle(f"""
+SELECT anio, mes, COUNT(*) AS rows, {", ".join(f"CAST(round(COALESCE(SUM({m}), 0)) AS BIGINT) AS sum_{m}" for m in LV + ["cn_total"])},
+       {pe.month_name_sql('mes')} AS label
+FROM panel WHERE lpad(CAST(mes AS VARCHAR), 2, '0') BETWEEN '03' AND '06' GROUP BY anio, mes"""))
+def q_monthly_trend(spark, sf):
+    return ag.monthly_trend(panel(spark, sf), LV + ["cn_total"], "03", "06", B)

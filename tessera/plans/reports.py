@@ -51,3 +51,20 @@ def state_table_totals(latest: DataFrame, b: Binding = DEFAULT) -> DataFrame:
                                        F.count_if(op & flt.connected_strict(b)).cast("bigint").alias("connected"))
     t = g.agg(*[F.sum(c).cast("bigint").alias(c) for c in ("facilities", "operating", "connected")])
     return t.withColumn("pct_connected_all", pct_int(F.col("connected"), F.col("facilities"), 1))
+
+
+def max_min_group(latest: DataFrame, b: Binding = DEFAULT) -> DataFrame:
+    """Group with most / fewest distinct facilities (ties by name) and the number of groups."""
+    g = latest.groupBy(b.group_name).agg(F.count_distinct(b.facility).alias("n"))
+    return g.agg(F.min_by(b.group_name, F.struct(-F.col("n"), F.col(b.group_name))).alias("most_group"),
+                 F.max("n").alias("most_facilities"),
+                 F.min_by(b.group_name, F.struct(F.col("n"), F.col(b.group_name))).alias("least_group"),
+                 F.min("n").alias("least_facilities"), F.count(F.lit(1)).alias("groups"))
+
+
+def group_list_sorted(df: DataFrame, b: Binding = DEFAULT) -> DataFrame:
+    """Distinct non-blank group names, sorted, with row count and a 10-char normalised code."""
+    from ..functions.text import norm_text
+    g = (df.where(F.col(b.group_name).isNotNull() & (F.trim(b.group_name) != ""))
+         .groupBy(F.col(b.group_name).alias("group_name")).agg(F.count(F.lit(1)).alias("rows")))
+    return g.withColumn("code", F.substring(norm_text("group_name"), 1, 10)).orderBy("group_name")

@@ -888,3 +888,173 @@ SELECT anio, mes, COUNT(*) AS rows, {", ".join(f"CAST(round(COALESCE(SUM({m}), 0
 FROM panel WHERE lpad(CAST(mes AS VARCHAR), 2, '0') BETWEEN '03' AND '06' GROUP BY anio, mes"""))
 def q_monthly_trend(spark, sf):
     return ag.monthly_trend(panel(spark, sf), LV + ["cn_total"], "03", "06", B)
+
+
+# --------------------------------------------------------------------- windows / positions
+VALID_LAT_SQL = "lat <> 0 AND lat BETWEEN 14.5 AND 32.7"
+
+
+@register("dedup_keep_first", oracle(f"""
+SELECT clave, arg_min(period_key, period_key) AS period_key, arg_min(lat, period_key) AS lat, arg_min(cn_total, period_key) AS cn_total
+FROM panel WHERE {VALID_LAT_SQL} GROUP BY clave"""))
+def q_dedup_keep_first(spark, sf):
+    p = panel(spark, sf).select("clave", "period_key", "lat", "cn_total")
+    kept, _ = rk.dedup_keep_first(p, "clave", ["period_key"], (F.col("lat") != 0) & F.col("lat").between(14.5, 32.7))
+    return kept
+
+
+@register("index_last_row_per_key", oracle("SELECT upper(trim(clave)) AS key, max(period_key) AS last_position FROM panel GROUP BY 1"))
+def q_index_last_row(spark, sf):
+    return rk.index_last_row_per_key(panel(spark, sf), "clave", "period_key")
+
+
+@register("rank_position", oracle(GMT_SQL + """
+SELECT estado_id, sum_total, row_number() OVER (ORDER BY sum_total DESC, estado_id) AS rank FROM t"""))
+def q_rank_position(spark, sf):
+    g = ag.group_measure_totals(panel(spark, sf), B).select("estado_id", "sum_total")
+    return rk.rank_small(g, [F.col("sum_total").desc(), F.col("estado_id")])
+
+
+@register("share_of_total", ol(f"""
+, g AS (SELECT estado, CAST(SUM(cn_total) AS BIGINT) AS cn_total FROM latest GROUP BY estado)
+SELECT estado, cn_total, {nb.pct_int_sql('cn_total', '(SELECT SUM(cn_total) FROM g)', 2)} AS share FROM g"""))
+def q_share_of_total(spark, sf):
+    g = _latest(spark, sf).groupBy("estado").agg(F.sum("cn_total").cast("bigint").alias("cn_total"))
+    return rk.share_of_total(g, "cn_total")
+
+
+LEADER_MS = ["cn_inicial", "cn_prim", "cn_sec", "inc_total"]
+
+
+@register("leader_per_measure", ol(f"""
+, u AS ({" UNION ALL ".join(f"SELECT '{m}' AS measure, clave, CAST(COALESCE({m}, 0) AS BIGINT) AS value FROM latest WHERE estado = 'NATION_3'" for m in LEADER_MS)}),
+  g AS (SELECT measure, CAST(SUM(value) AS BIGINT) AS total, max(value) AS leader_value, arg_min(clave, (-value, clave)) AS leader FROM u GROUP BY measure)
+SELECT *, {nb.pct_int_sql('leader_value', 'total', 1)} AS leader_pct FROM g WHERE total > 0"""))
+def q_leader_per_measure(spark, sf):
+    return rk.leader_per_measure(_latest(spark, sf).where(F.col("estado") == "NATION_3"), LEADER_MS, B)
+
+
+@register("facility_history", oracle("""
+SELECT clave AS facility, CAST(anio AS INTEGER) AS year, CAST(mes AS INTEGER) AS month, situacion AS status, cn_total
+FROM panel WHERE upper(trim(clave)) = 'I-01-012-65'"""))
+def q_facility_history(spark, sf):
+    from .search import facility_history
+    return facility_history(panel(spark, sf), "i-01-012-65", B)
+
+
+@register("latest_row_lookup", ol("""
+SELECT 'latest' AS variant, arg_min(clave, period_key) AS clave, min(period_key) AS period_key, arg_min(cn_total, period_key) AS cn_total
+FROM latest WHERE clave = 'I-02-000-55'
+UNION ALL
+SELECT 'detail', arg_min(clave, period_key), min(period_key), arg_min(cn_total, period_key) FROM panel WHERE clave = 'I-02-000-55'"""))
+def q_latest_row_lookup(spark, sf):
+    key = "I-02-000-55"
+    a = rk.first_per_key(flt.facility_by_key(_latest(spark, sf), key, B).select("clave", "period_key", "cn_total"),
+                         "clave", ["period_key"]).withColumn("variant", F.lit("latest"))
+    b = rk.first_per_key(flt.facility_by_key(panel(spark, sf), key, B).select("clave", "period_key", "cn_total"),
+                         "clave", ["period_key"]).withColumn("variant", F.lit("detail"))
+    return a.unionByName(b)
+
+
+# ----------------------------------------------------------------------------------- top-k
+GMT_NAMED_SQL = GMT_SQL + """,
+  gn AS (SELECT t.*, COALESCE(n.n_name, 'Estado_' || CAST(t.estado_id AS VARCHAR)) AS group_name FROM t LEFT JOIN nation n ON n.n_nationkey = t.estado_id)"""
+
+
+def _gmt_named(spark, sf):
+    g = ag.group_measure_totals(panel(spark, sf), B)
+    return dims.dim_decode(g, "estado_id", _nation_dim(spark, sf), "group_name", "Estado_")
+
+
+@register("top_groups_by_measure", oracle(GMT_NAMED_SQL + """
+SELECT group_name, sum_cn_prim FROM gn ORDER BY sum_cn_prim DESC, group_name LIMIT 5"""))
+def q_top_groups_by_measure(spark, sf):
+    return rk.top_groups_by_measure(_gmt_named(spark, sf), "sum_cn_prim", 5).select("group_name", "sum_cn_prim")
+
+
+def _top_per_measure_sql(k: int) -> str:
+    u = " UNION ALL ".join(f"SELECT '{c}' AS measure, group_name, sum_{c} AS value FROM gn" for c in LV)
+    return GMT_NAMED_SQL + f""",
+  u AS ({u}),
+  r AS (SELECT *, row_number() OVER (PARTITION BY measure ORDER BY value DESC, group_name) AS pos FROM u)
+SELECT measure, group_name, value, pos FROM r WHERE pos <= {k}"""
+
+
+def _top_per_measure(spark, sf, k):
+    g = _gmt_named(spark, sf).select("group_name", *[F.col(f"sum_{c}").alias(c) for c in LV])
+    long = g.unpivot(["group_name"], LV, "measure", "value")
+    return rk.top_k_per(long, "measure", [F.col("value").desc(), F.col("group_name")], k)
+
+
+@register("top1_group_per_measure", oracle(_top_per_measure_sql(1)))
+def q_top1_group_per_measure(spark, sf):
+    return _top_per_measure(spark, sf, 1)
+
+
+@register("top5_group_per_measure", oracle(_top_per_measure_sql(5)))
+def q_top5_group_per_measure(spark, sf):
+    return _top_per_measure(spark, sf, 5)
+
+
+@register("top5_groups_total", oracle(GMT_NAMED_SQL + "\nSELECT group_name, sum_total FROM gn ORDER BY sum_total DESC, group_name LIMIT 5"))
+def q_top5_groups_total(spark, sf):
+    return rk.top_groups_by_measure(_gmt_named(spark, sf), "sum_total", 5).select("group_name", "sum_total")
+
+
+@register("popular_groups", oracle("SELECT estado AS group_name, COUNT(*) AS rows FROM panel GROUP BY estado ORDER BY rows DESC, group_name LIMIT 8"))
+def q_popular_groups(spark, sf):
+    g = panel(spark, sf).groupBy(F.col("estado").alias("group_name")).agg(F.count(F.lit(1)).alias("rows"))
+    return g.orderBy(F.col("rows").desc(), "group_name").limit(8)
+
+
+@register("max_min_group", ol("""
+, g AS (SELECT estado, COUNT(DISTINCT clave) AS n FROM latest GROUP BY estado)
+SELECT arg_min(estado, (-n, estado)) AS most_group, max(n) AS most_facilities,
+       arg_min(estado, (n, estado)) AS least_group, min(n) AS least_facilities, COUNT(*) AS groups FROM g"""))
+def q_max_min_group(spark, sf):
+    from .reports import max_min_group
+    return max_min_group(_latest(spark, sf), B)
+
+
+@register("group_list_sorted", oracle(f"""
+SELECT estado AS group_name, COUNT(*) AS rows, substring({_norm_sql('estado')}, 1, 10) AS code
+FROM panel WHERE estado IS NOT NULL AND trim(estado) <> '' GROUP BY estado ORDER BY estado"""))
+def q_group_list_sorted(spark, sf):
+    from .reports import group_list_sorted
+    return group_list_sorted(panel(spark, sf), B)
+
+
+@register("sample_rows", oracle("SELECT clave, COALESCE(conectividad, '') AS conectividad, cn_total FROM panel ORDER BY clave, period_key LIMIT 5"))
+def q_sample_rows(spark, sf):
+    return (panel(spark, sf).orderBy("clave", "period_key").limit(5)
+            .select("clave", F.coalesce("conectividad", F.lit("")).alias("conectividad"), "cn_total"))
+
+
+@register("sort_table_columns", ol("SELECT clave, municipio, cn_total FROM latest ORDER BY cn_total DESC, clave LIMIT 25"))
+def q_sort_table_columns(spark, sf):
+    return _latest(spark, sf).select("clave", "municipio", "cn_total").orderBy(F.col("cn_total").desc(), "clave").limit(25)
+
+
+# ------------------------------------------------------------------------------------- sets
+@register("distinct_values", oracle("SELECT DISTINCT municipio AS value FROM panel WHERE municipio IS NOT NULL AND trim(municipio) <> ''"))
+def q_distinct_values(spark, sf):
+    from ..operators.sets import distinct_values
+    return distinct_values(panel(spark, sf), "municipio")
+
+
+@register("cascade_children", oracle(f"""
+SELECT DISTINCT estado AS child FROM panel WHERE {_norm_sql('zona')} = 'AMERICA' AND estado IS NOT NULL AND trim(estado) <> ''"""))
+def q_cascade_children(spark, sf):
+    from ..operators.sets import cascade_children
+    return cascade_children(panel(spark, sf), {"zona": "America"}, "estado")
+
+
+@register("period_values", oracle(f"""
+SELECT 'group' AS kind, estado AS value FROM (SELECT DISTINCT estado FROM panel WHERE period_key = 200107)
+UNION ALL
+SELECT 'measure', m FROM (SELECT unnest(['cn_inicial', 'cn_prim', 'cn_sec', 'inc_total_raw']) AS m,
+                                 unnest([COUNT(cn_inicial), COUNT(cn_prim), COUNT(cn_sec), COUNT(inc_total_raw)]) AS n
+                          FROM panel WHERE period_key = 200107) WHERE n > 0"""))
+def q_period_values(spark, sf):
+    from ..operators.sets import period_values
+    return period_values(panel(spark, sf), 200107, ["cn_inicial", "cn_prim", "cn_sec", "inc_total_raw"], B)

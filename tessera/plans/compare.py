@@ -203,3 +203,14 @@ def compare_years(df: DataFrame, y1: int, y2: int, dim: DataFrame, b: Binding =
     src = df.where(F.col(b.year).isin(y1, y2)).join(
         F.broadcast(ok.withColumnRenamed("year", "__y")), F.col(b.year) == F.col("__y"), "left_semi")
     return compare_by_group(src, y1, y2, dim, b, clamp_negative, period_col=b.year)
+
+
+def sort_group_comparison(per_group: DataFrame) -> DataFrame:
+    """Positions of each group under three of the table orderings: name (case and accent
+    insensitive collation), % change of cn_total desc, facility delta desc."""
+    name_ci = F.col("group_name").collate("UNICODE_CI_AI") if hasattr(Column, "collate") else F.lower("group_name")
+    base = per_group.select("group_name", "cn_total_pct", "facilities_delta")
+    out = (base.withColumn("by_name", F.row_number().over(Window.orderBy(name_ci, F.col("group_name"))))
+           .withColumn("by_pct", F.row_number().over(Window.orderBy(F.col("cn_total_pct").desc(), F.col("group_name"))))
+           .withColumn("by_delta", F.row_number().over(Window.orderBy(F.col("facilities_delta").desc(), F.col("group_name")))))
+    return out.drop("facilities_delta")

@@ -1058,3 +1058,188 @@ SELECT 'measure', m FROM (SELECT unnest(['cn_inicial', 'cn_prim', 'cn_sec', 'inc
 def q_period_values(spark, sf):
     from ..operators.sets import period_values
     return period_values(panel(spark, sf), 200107, ["cn_inicial", "cn_prim", "cn_sec", "inc_total_raw"], B)
+
+
+# ------------------------------------------------------------------------------- comparison
+P1, P2 = 200007, 200107
+
+
+def _cmp_sql(a: int, b: int, clamp: bool = True, pc: str = "period_key", src: str = "panel") -> str:
+    val = (lambda c: f"greatest(COALESCE({c}, 0), 0)") if clamp else (lambda c: f"COALESCE({c}, 0)")
+    sums = []
+    for o, c in CM_SQL:
+        sums.append(f"CAST(COALESCE(SUM(CASE WHEN {pc} = {a} THEN {val(c)} END), 0) AS BIGINT) AS {o}_p1")
+        sums.append(f"CAST(COALESCE(SUM(CASE WHEN {pc} = {b} THEN {val(c)} END), 0) AS BIGINT) AS {o}_p2")
+    derived = ", ".join(f"{o}_p2 - {o}_p1 AS {o}_delta, {nb.pct_int_sql(f'{o}_p2 - {o}_p1', f'{o}_p1')} AS {o}_pct"
+                        for o, _ in CM_SQL)
+    return f"""
+, cg0 AS (SELECT estado_id,
+         CAST(SUM(CASE WHEN {pc} = {a} THEN 1 ELSE 0 END) AS BIGINT) AS facilities_p1,
+         CAST(SUM(CASE WHEN {pc} = {b} THEN 1 ELSE 0 END) AS BIGINT) AS facilities_p2,
+         CAST(SUM(CASE WHEN {pc} = {b} AND situacion = 1 THEN 1 ELSE 0 END) AS BIGINT) AS operating_p2,
+         {", ".join(sums)}
+  FROM {src} WHERE {pc} IN ({a}, {b}) AND estado_id IS NOT NULL GROUP BY estado_id),
+  cg AS (SELECT cg0.*, facilities_p2 - facilities_p1 AS facilities_delta, {derived},
+                COALESCE(n.n_name, 'Estado_' || CAST(cg0.estado_id AS VARCHAR)) AS group_name
+         FROM cg0 LEFT JOIN nation n ON n.n_nationkey = cg0.estado_id),
+  ct0 AS (SELECT {", ".join(f"CAST(COALESCE(SUM({c}), 0) AS BIGINT) AS {c}" for c in ["facilities_p1", "facilities_p2", "operating_p2"] + [f"{o}_{s}" for o, _ in CM_SQL for s in ("p1", "p2")])} FROM cg),
+  ct AS (SELECT *, facilities_p2 - facilities_p1 AS facilities_delta, {derived} FROM ct0)
+"""
+
+
+CMP = _cmp_sql(P1, P2)
+
+
+def _cmp(spark, sf):
+    from . import compare as cp
+    return cp.compare_by_group(panel(spark, sf), P1, P2, _nation_dim(spark, sf), B, clamp_negative=True)
+
+
+@register("compare_periods", oracle(CMP + "SELECT * FROM cg"))
+def q_compare_periods(spark, sf):
+    return _cmp(spark, sf)
+
+
+@register("period_full_outer", oracle(CMP + "SELECT estado_id, facilities_p1, facilities_p2, cn_total_p1, cn_total_p2 FROM cg"))
+def q_period_full_outer(spark, sf):
+    return _cmp(spark, sf).select("estado_id", "facilities_p1", "facilities_p2", "cn_total_p1", "cn_total_p2")
+
+
+@register("compare_totals_row", oracle(CMP + "SELECT * FROM ct"))
+def q_compare_totals_row(spark, sf):
+    from . import compare as cp
+    return cp.compare_totals(_cmp(spark, sf), B)
+
+
+NR_SQL = f"""
+, k AS (SELECT clave, max(CASE WHEN period_key = {P1} THEN 1 ELSE 0 END) AS in1, max(CASE WHEN period_key = {P2} THEN 1 ELSE 0 END) AS in2
+        FROM panel WHERE period_key IN ({P1}, {P2}) AND clave IS NOT NULL GROUP BY clave),
+  s AS (SELECT CAST(COALESCE(SUM(in1), 0) AS BIGINT) AS keys_p1, CAST(COALESCE(SUM(in2), 0) AS BIGINT) AS keys_p2,
+               CAST(SUM(CASE WHEN in2 = 1 AND in1 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_new,
+               CAST(SUM(CASE WHEN in1 = 1 AND in2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_removed FROM k),
+  nr AS (SELECT keys_p1, keys_p2,
+                CASE WHEN keys_p1 > 0 AND keys_p2 > 0 THEN n_new ELSE greatest(keys_p2 - keys_p1, 0) END AS new_facilities,
+                CASE WHEN keys_p1 > 0 AND keys_p2 > 0 THEN n_removed ELSE greatest(keys_p1 - keys_p2, 0) END AS removed_facilities FROM s)
+"""
+
+
+@register("new_and_removed_facilities", oracle(NR_SQL + "SELECT * FROM nr"))
+def q_new_removed(spark, sf):
+    from . import compare as cp
+    return cp.new_and_removed(panel(spark, sf), P1, P2, B)
+
+
+@register("compare_summary_legacy", oracle(CMP + NR_SQL + """
+SELECT facilities_p1, facilities_p2, cn_total_p1, cn_total_p2, cn_total_delta, cn_total_pct,
+       (SELECT new_facilities FROM nr) AS new_facilities, (SELECT removed_facilities FROM nr) AS removed_facilities,
+       'CN Total ' || CASE WHEN cn_total_delta >= 0 THEN '+' ELSE '' END || format('{:,}', cn_total_delta) AS headline
+FROM ct"""))
+def q_compare_summary(spark, sf):
+    from . import compare as cp
+    return cp.compare_summary(_cmp(spark, sf), cp.new_and_removed(panel(spark, sf), P1, P2, B), B)
+
+
+def _share_sql(prefix):
+    tot = f"(cn_inicial_{prefix} + cn_prim_{prefix} + cn_sec_{prefix})"
+    den = f"(CASE WHEN {tot} = 0 THEN 1 ELSE {tot} END)"
+    return [(f"share_{c}_{prefix}", nb.pct_int_sql(f"{c}_{prefix}", den, 2)) for c in LV]
+
+
+@register("compare_advanced", oracle(CMP + f"""
+, best AS (SELECT max(abs(cn_total_delta)) AS m FROM cg),
+  sh AS (SELECT cn_total_pct AS growth_rate, {nb.pct_int_sql('cn_total_p2', 'facilities_p2 * 100', 2)} AS efficiency,
+                COALESCE((SELECT min(group_name) FROM cg WHERE abs(cn_total_delta) = (SELECT m FROM best) AND (SELECT m FROM best) > 0), 'N/A') AS most_dynamic_group,
+                CAST(CASE WHEN (SELECT m FROM best) > 0 THEN (SELECT m FROM best) ELSE 0 END AS BIGINT) AS most_dynamic_change,
+                {", ".join(f"{e} AS {n}" for n, e in _share_sql('p1') + _share_sql('p2'))}
+         FROM ct)
+SELECT *, {", ".join(f"(CAST(round(share_{c}_p2 * 100) AS BIGINT) - CAST(round(share_{c}_p1 * 100) AS BIGINT)) / 100.0 AS share_{c}_delta" for c in LV)}
+FROM sh"""))
+def q_compare_advanced(spark, sf):
+    from . import compare as cp
+    return cp.compare_advanced(_cmp(spark, sf), B)
+
+
+def _score_sql():
+    p = "CAST(round(cn_total_pct * 100) AS BIGINT)"
+    n = "greatest(facilities_p2, 1)"
+    eff = f"(CASE WHEN facilities_p2 > 0 THEN least(cn_total_p2, {n} * 10) ELSE 0 END)"
+    num = f"(least({p}, 10000) * 2 * {n} + least(cn_total_delta, 1000) * 15 * {n} + {eff} * 1500)"
+    return f"{nb.pct_int_sql(num, f'500 * {n} * 100', 0)} / 10.0"
+
+
+@register("compare_ranking", oracle(CMP + f"""
+, r AS (SELECT group_name, cn_total_delta, cn_total_pct, facilities_p2,
+               {nb.pct_int_sql('cn_total_p2', 'facilities_p2 * 100', 2)} AS efficiency, {_score_sql()} AS score FROM cg)
+SELECT *, CASE WHEN score >= 8 THEN 'excellent' WHEN score >= 6 THEN 'good' WHEN score >= 4 THEN 'fair' ELSE 'low' END AS score_class,
+       row_number() OVER (ORDER BY cn_total_pct DESC, group_name) AS rank FROM r"""))
+def q_compare_ranking(spark, sf):
+    from . import compare as cp
+    return cp.compare_ranking(_cmp(spark, sf))
+
+
+@register("score_class", oracle(CMP + f"""
+SELECT group_name, CASE WHEN s >= 8 THEN 'excellent' WHEN s >= 6 THEN 'good' WHEN s >= 4 THEN 'fair' ELSE 'low' END AS score_class
+FROM (SELECT group_name, {_score_sql()} AS s FROM cg)"""))
+def q_score_class(spark, sf):
+    from . import compare as cp
+    return cp.compare_ranking(_cmp(spark, sf)).select("group_name", "score_class")
+
+
+@register("top3_growth_per_level", oracle(CMP + f"""
+, u AS ({" UNION ALL ".join(f"SELECT group_name, '{c}' AS level, {c}_pct AS pct, {c}_delta AS delta FROM cg" for c in LV)}),
+  r AS (SELECT *, row_number() OVER (PARTITION BY level ORDER BY pct DESC, group_name) AS pos FROM u),
+  nat AS ({" UNION ALL ".join(f"SELECT '{c}' AS level, {c}_pct AS national_pct FROM ct" for c in LV)})
+SELECT r.level, r.group_name, r.pct, r.delta, r.pos, nat.national_pct,
+       CASE WHEN nat.national_pct > 0 THEN 'growth' WHEN nat.national_pct < 0 THEN 'decline' ELSE 'stable' END AS national_label
+FROM r JOIN nat USING (level) WHERE pos <= 3"""))
+def q_top3_growth(spark, sf):
+    from . import compare as cp
+    g = _cmp(spark, sf)
+    return cp.compare_trends(g, cp.compare_totals(g, B))
+
+
+@register("compare_executive", oracle(CMP + f"""
+, c AS (SELECT CAST(SUM(CASE WHEN cn_total_pct > 1 THEN 1 ELSE 0 END) AS BIGINT) AS groups_growing,
+               CAST(SUM(CASE WHEN cn_total_pct < -1 THEN 1 ELSE 0 END) AS BIGINT) AS groups_shrinking,
+               CAST(SUM(CASE WHEN cn_total_pct BETWEEN -1 AND 1 THEN 1 ELSE 0 END) AS BIGINT) AS groups_stable,
+               COUNT(*) AS groups FROM cg),
+  x AS (SELECT c.*, (SELECT cn_total_pct FROM ct) AS growth_rate, {nb.pct_int_sql('groups_growing', 'groups', 2)} AS pct_groups_growing FROM c)
+SELECT *, CASE WHEN growth_rate > 5 THEN 'strongly positive' WHEN growth_rate > 0 THEN 'positive'
+               WHEN growth_rate < -5 THEN 'strongly negative' WHEN growth_rate < 0 THEN 'negative' ELSE 'stable' END AS trend,
+          CASE WHEN growth_rate > 10 AND pct_groups_growing > 70 THEN 'excellent' WHEN growth_rate > 5 AND pct_groups_growing > 50 THEN 'good'
+               WHEN growth_rate > 0 THEN 'moderate' WHEN growth_rate = 0 THEN 'stable' ELSE 'negative' END AS recommendation
+FROM x"""))
+def q_compare_executive(spark, sf):
+    from . import compare as cp
+    g = _cmp(spark, sf)
+    return cp.compare_executive(g, cp.compare_totals(g, B))
+
+
+@register("compare_group_card", oracle(CMP + f"""
+SELECT group_name, facilities_p1, facilities_p2, facilities_delta,
+       {nb.pct_int_sql('facilities_p2 - facilities_p1', 'facilities_p1')} AS facilities_pct,
+       {", ".join(f"{c}_{s}" for c in ["cn_total", "cn_inicial", "cn_prim", "cn_sec"] for s in ("p1", "p2", "delta", "pct"))}
+FROM cg WHERE {_norm_sql('group_name')} = 'NATION_3'"""))
+def q_compare_group_card(spark, sf):
+    from . import compare as cp
+    return cp.compare_group_card(_cmp(spark, sf), "nation_3")
+
+
+@register("compare_years", oracle(_cmp_sql(1999, 2000, clamp=False, pc="anio") + "SELECT * FROM cg"))
+def q_compare_years(spark, sf):
+    from . import compare as cp
+    return cp.compare_years(panel(spark, sf), 1999, 2000, _nation_dim(spark, sf), B, current_year=2001)
+
+
+@register("top_abs_change", oracle(CMP + "SELECT group_name, cn_total_delta FROM cg ORDER BY abs(cn_total_delta) DESC, group_name LIMIT 5"))
+def q_top_abs_change(spark, sf):
+    return _cmp(spark, sf).orderBy(F.abs("cn_total_delta").desc(), "group_name").limit(5).select("group_name", "cn_total_delta")
+
+
+@register("sort_group_comparison", oracle(CMP + """
+SELECT group_name, cn_total_pct, row_number() OVER (ORDER BY lower(strip_accents(group_name)), group_name) AS by_name,
+       row_number() OVER (ORDER BY cn_total_pct DESC, group_name) AS by_pct,
+       row_number() OVER (ORDER BY facilities_delta DESC, group_name) AS by_delta FROM cg"""))
+def q_sort_group_comparison(spark, sf):
+    from .compare import sort_group_comparison
+    return sort_group_comparison(_cmp(spark, sf))

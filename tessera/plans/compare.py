@@ -39,27 +39,29 @@ def compare_by_group(df: DataFrame, p1: int, p2: int, dim: DataFrame, b: Binding
         aggs.append(F.coalesce(F.sum(F.when(in1, _val(c, clamp_negative))), F.lit(0)).cast("bigint").alias(f"{o}_p1"))
         aggs.append(F.coalesce(F.sum(F.when(in2, _val(c, clamp_negative))), F.lit(0)).cast("bigint").alias(f"{o}_p2"))
     g = src.groupBy(b.group_id).agg(*aggs)
-    g = g.withColumn("facilities_delta", F.col("facilities_p2") - F.col("facilities_p1"))
-    for o, _ in b.compare_measures:
-        g = (g.withColumn(f"{o}_delta", F.col(f"{o}_p2") - F.col(f"{o}_p1"))
-              .withColumn(f"{o}_pct", pct_change(F.col(f"{o}_p1"), F.col(f"{o}_p2"))))
+    g = g.select("*", *_deltas(b))
     g = dim_decode(g, b.group_id, dim, "group_name", "Estado_")
     if group_name:
         g = g.where(norm_text("group_name") == F.lit(norm_text_lit(group_name)))
     return g
 
 
+def _deltas(b: Binding) -> list[Column]:
+    """Derived delta / % columns, built as one projection (no withColumn chains)."""
+    out = [(F.col("facilities_p2") - F.col("facilities_p1")).alias("facilities_delta")]
+    for o, _ in b.compare_measures:
+        out.append((F.col(f"{o}_p2") - F.col(f"{o}_p1")).alias(f"{o}_delta"))
+        out.append(pct_change(F.col(f"{o}_p1"), F.col(f"{o}_p2")).alias(f"{o}_pct"))
+    return out
+
+
 def compare_totals(per_group: DataFrame, b: Binding = DEFAULT) -> DataFrame:
     """National totals of the per-group comparison, with delta and % per measure."""
     cols = ["facilities_p1", "facilities_p2", "operating_p2"]
     for o, _ in b.compare_measures:
         cols += [f"{o}_p1", f"{o}_p2"]
     t = per_group.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in cols])
-    t = t.withColumn("facilities_delta", F.col("facilities_p2") - F.col("facilities_p1"))
-    for o, _ in b.compare_measures:
-        t = (t.withColumn(f"{o}_delta", F.col(f"{o}_p2") - F.col(f"{o}_p1"))
-              .withColumn(f"{o}_pct", pct_change(F.col(f"{o}_p1"), F.col(f"{o}_p2"))))
-    return t
+    return t.select("*", *_deltas(b))
 
 
 def new_and_removed(df: DataFrame, p1: int, p2: int, b: Binding = DEFAULT, period_col: str | None = None) -> DataFrame:
@@ -116,10 +118,9 @@ def compare_advanced(per_group: DataFrame, b: Binding = DEFAULT) -> DataFrame:
         F.coalesce(top, F.lit("N/A")).alias("most_dynamic_group"),
         F.when(best > 0, best).otherwise(F.lit(0)).cast("bigint").alias("most_dynamic_change"),
         *_dist("p1", lv), *_dist("p2", lv))
-    for c in lv:
-        out = out.withColumn(f"share_{c}_delta", (F.round(F.col(f"share_{c}_p2") * 100).cast("bigint")
-                                                  - F.round(F.col(f"share_{c}_p1") * 100).cast("bigint")) / 100.0)
-    return out
+    return out.select("*", *[((F.round(F.col(f"share_{c}_p2") * 100).cast("bigint")
+                                - F.round(F.col(f"share_{c}_p1") * 100).cast("bigint")) / 100.0).alias(f"share_{c}_delta")
+                              for c in lv])
 
 
 # Score weights/caps of the group ranking and class thresholds.

@@ -13,11 +13,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
+def plan_size_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of the optimised plan (file sizes for scans); no job runs."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - estimate unavailable (e.g. Spark Connect)
+        return None
 
-    The check reads at most ``max_rows + 1`` rows; beyond the bound the frame is returned
-    unhinted and Spark plans a shuffle join (AQE may still pick broadcast at runtime).
+
+def bounded_broadcast(df: DataFrame, max_rows: int = 100_000, max_plan_bytes: int = 1 << 20) -> DataFrame:
+    """Broadcast ``df`` only with a proven size bound.
+
+    A plan whose Catalyst estimate is at most ``max_plan_bytes`` (1 MiB: small dictionary
+    files) is broadcast without running anything. Otherwise the rows are counted, reading at
+    most ``max_rows + 1``; beyond the bound the frame is returned unhinted and Spark plans a
+    shuffle join (AQE may still switch to broadcast from runtime sizes).
     """
+    est = plan_size_bytes(df)
+    if est is not None and est <= max_plan_bytes:
+        return F.broadcast(df)
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df

@@ -68,3 +68,21 @@ def group_list_sorted(df: DataFrame, b: Binding = DEFAULT) -> DataFrame:
     g = (df.where(F.col(b.group_name).isNotNull() & (F.trim(b.group_name) != ""))
          .groupBy(F.col(b.group_name).alias("group_name")).agg(F.count(F.lit(1)).alias("rows")))
     return g.withColumn("code", F.substring(norm_text("group_name"), 1, 10)).orderBy("group_name")
+
+
+def report_group_facilities(latest: DataFrame, group_name: str, b: Binding = DEFAULT) -> DataFrame:
+    """Facilities of one group (exact name) with their address line."""
+    from ..functions.text import address_line
+    rows = latest.where(F.col(b.group_name) == F.lit(group_name))
+    parts = [c for c in (b.neighbourhood, b.street, b.number, b.postcode) if c in latest.columns]
+    return rows.select(F.col(b.facility).alias("facility"), address_line(*parts).alias("address"),
+                       F.col(b.municipality).alias("municipality"), F.col(b.locality).alias("locality"))
+
+
+def metric_row_projection(df: DataFrame, measures: list[str], b: Binding = DEFAULT) -> DataFrame:
+    """Key, name and municipality as trimmed text ('N/D' when null) and each measure as
+    int(float(v)) (truncation), bad or null -> 0."""
+    from ..functions.numbers import trunc_int
+    nd = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("N/D"))
+    return df.select(nd(b.facility).alias("facility"), nd(b.name).alias("name"),
+                     nd(b.municipality).alias("municipality"), *[trunc_int(m).alias(m) for m in measures])

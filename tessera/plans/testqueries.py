@@ -1243,3 +1243,92 @@ SELECT group_name, cn_total_pct, row_number() OVER (ORDER BY lower(strip_accents
 def q_sort_group_comparison(spark, sf):
     from .compare import sort_group_comparison
     return sort_group_comparison(_cmp(spark, sf))
+
+
+# ------------------------------------------------------------------------------ search
+def _scored_sql(q: str, kind: str = "todas", limit: int = 20) -> str:
+    k = _norm_sql("clave")
+    mt = (f"CASE WHEN {k} = '{q}' THEN 'exacta' WHEN contains({k}, '{q}') THEN 'clave_parcial' "
+          f"WHEN contains({_norm_sql('estado')}, '{q}') THEN 'estado' WHEN contains({_norm_sql('municipio')}, '{q}') THEN 'municipio' "
+          f"WHEN contains({_norm_sql('localidad')}, '{q}') THEN 'localidad' WHEN contains({_norm_sql('nombre')}, '{q}') THEN 'nombre' END")
+    sc = ("CASE match_type WHEN 'exacta' THEN 100 WHEN 'clave_parcial' THEN 90 WHEN 'estado' THEN 80 "
+          "WHEN 'municipio' THEN 70 WHEN 'localidad' THEN 60 WHEN 'nombre' THEN 50 ELSE 0 END")
+    kf = "" if kind == "todas" else f"AND match_type = '{kind}'"
+    return f"""
+, s AS (SELECT clave AS facility, nombre AS name, estado AS group_name, municipio AS municipality, localidad AS locality,
+               {mt} AS match_type FROM latest)
+SELECT *, {sc} AS score FROM s WHERE match_type IS NOT NULL {kf} ORDER BY score DESC, facility, name LIMIT {limit}"""
+
+
+@register("search_scored", ol(_scored_sql("NATION_1")))
+def q_search_scored(spark, sf):
+    from .search import search_scored
+    return search_scored(_latest(spark, sf), "nation_1", B)
+
+
+@register("match_score", ol(_scored_sql("L3", "localidad", 50)))
+def q_match_score(spark, sf):
+    from .search import search_scored
+    return search_scored(_latest(spark, sf), "l3", B, kind="localidad", limit=50)
+
+
+GLOBAL_SQL = """
+SELECT clave AS facility, min(estado) AS group_name, min(municipio) AS municipality, '' AS address FROM latest
+WHERE contains(lower(COALESCE(clave,'')), 'quinas') OR contains(lower(COALESCE(estado,'')), 'quinas')
+   OR contains(lower(COALESCE(municipio,'')), 'quinas') OR contains(lower(COALESCE(localidad,'')), 'quinas')
+GROUP BY clave ORDER BY facility LIMIT 20"""
+
+
+@register("search_global", ol(GLOBAL_SQL))
+def q_search_global(spark, sf):
+    from .search import search_global
+    return search_global(_latest(spark, sf), "Quinas", B)
+
+
+@register("search_limit", ol(GLOBAL_SQL.replace("LIMIT 20", "LIMIT 10")))
+def q_search_limit(spark, sf):
+    from .search import search_global
+    return search_global(_latest(spark, sf), "quinas", B, limit=10)
+
+
+@register("merge_search_results", ol(f"""
+, g AS ({GLOBAL_SQL}),
+  s AS (SELECT facility FROM ({_scored_sql("L3", "todas", 40).replace(", s AS", "WITH s AS", 1)})),
+  u AS (SELECT facility, 0 AS src FROM g UNION ALL SELECT facility, 1 FROM s WHERE facility NOT IN (SELECT facility FROM g))
+SELECT facility, src FROM u ORDER BY src, facility LIMIT 15"""))
+def q_merge_search_results(spark, sf):
+    from .search import merge_search_results, search_global, search_scored
+    l = _latest(spark, sf)
+    return merge_search_results(search_global(l, "quinas", B), search_scored(l, "L3", B, limit=40), "facility", 15)
+
+
+@register("report_facility", ol("""
+SELECT clave AS facility, nombre AS name, estado AS group_name, zona AS zone, municipio AS municipality, localidad AS locality,
+       period_key AS period, situacion AS status, '' AS address,
+       CASE WHEN lat IS NOT NULL AND lng IS NOT NULL AND lat <> 0 AND lng <> 0
+            THEN 'https://www.google.com/maps/search/?api=1&query=' || CAST(lat AS VARCHAR) || ',' || CAST(lng AS VARCHAR) END AS map_url,
+       (SELECT COUNT(*) FROM panel WHERE upper(trim(clave)) = 'I-02-000-55') AS history_periods
+FROM latest WHERE upper(trim(clave)) = 'I-02-000-55'"""))
+def q_report_facility(spark, sf):
+    from .search import report_facility
+    return report_facility(panel(spark, sf), _latest(spark, sf), "i-02-000-55", B)
+
+
+@register("report_group_facilities", ol("""
+SELECT clave AS facility, concat_ws(', ', NULLIF(trim(municipio), ''), NULLIF(trim(localidad), '')) AS address,
+       municipio AS municipality, localidad AS locality FROM latest WHERE estado = 'NATION_3'"""))
+def q_report_group_facilities(spark, sf):
+    from .reports import report_group_facilities
+    return report_group_facilities(_latest(spark, sf), "NATION_3", B.with_(neighbourhood="municipio", street="localidad"))
+
+
+METRIC_COLS = ["inc_total_raw", "aten_total", "cn_inicial", "cn_prim", "cn_sec", "cn_total", "inc_total", "lat", "lng", "situacion"]
+
+
+@register("metric_row_projection", ol(f"""
+SELECT COALESCE(trim(clave), 'N/D') AS facility, COALESCE(trim(nombre), 'N/D') AS name, COALESCE(trim(municipio), 'N/D') AS municipality,
+       {", ".join(f"COALESCE(CAST(trunc(TRY_CAST(CAST({m} AS VARCHAR) AS DOUBLE)) AS BIGINT), 0) AS {m}" for m in METRIC_COLS)}
+FROM latest WHERE estado = 'NATION_3'"""))
+def q_metric_row_projection(spark, sf):
+    from .reports import metric_row_projection
+    return metric_row_projection(_latest(spark, sf).where(F.col("estado") == "NATION_3"), METRIC_COLS, B)

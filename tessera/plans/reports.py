@@ -86,3 +86,14 @@ def metric_row_projection(df: DataFrame, measures: list[str], b: Binding = DEFAU
     nd = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("N/D"))
     return df.select(nd(b.facility).alias("facility"), nd(b.name).alias("name"),
                      nd(b.municipality).alias("municipality"), *[trunc_int(m).alias(m) for m in measures])
+
+
+def report_coordinates(latest: DataFrame, b: Binding = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """Coordinate table from the panel (rows without coordinates dropped, rounded to 6,
+    blanks for missing text) and points per group."""
+    t = (latest.where(F.col(b.lat).isNotNull() & F.col(b.lng).isNotNull())
+         .select(F.col(b.facility).alias("facility"), F.coalesce(F.col(b.name), F.lit("")).alias("name"),
+                 F.coalesce(F.col(b.group_name), F.lit("")).alias("group_name"),
+                 F.round(b.lat, 6).alias("lat"), F.round(b.lng, 6).alias("lng")))
+    per_group = t.groupBy(F.col("group_name").alias(b.group_name)).agg(F.count(F.lit(1)).alias("points"))
+    return t, per_group

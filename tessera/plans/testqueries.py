@@ -1332,3 +1332,113 @@ FROM latest WHERE estado = 'NATION_3'"""))
 def q_metric_row_projection(spark, sf):
     from .reports import metric_row_projection
     return metric_row_projection(_latest(spark, sf).where(F.col("estado") == "NATION_3"), METRIC_COLS, B)
+
+
+# ----------------------------------------------------------------------- coordinate export
+RAW_COORDS_SQL = """
+, raw AS (SELECT CASE WHEN mes = 5 THEN '' WHEN mes = 6 THEN 'nan' ELSE clave END AS clave, period_key, estado, municipio,
+                 CASE WHEN mes = 1 THEN replace(CAST(lat AS VARCHAR), '.', ',') WHEN mes = 2 THEN 'abc'
+                      WHEN mes = 3 THEN 'NaN' WHEN mes = 4 THEN 'inf' ELSE CAST(lat AS VARCHAR) END AS lat_raw,
+                 CAST(lng AS VARCHAR) AS lng_raw FROM panel),
+  cls AS (SELECT *, CASE WHEN lower(COALESCE(trim(clave), '')) IN ('', 'nan', 'none', 'nat') THEN '' ELSE trim(clave) END AS key_clean,
+                 TRY_CAST(replace(trim(lat_raw), ',', '.') AS DOUBLE) AS la, TRY_CAST(replace(trim(lng_raw), ',', '.') AS DOUBLE) AS lo FROM raw),
+  rs AS (SELECT *, CASE WHEN key_clean = '' THEN 'no_key' WHEN la IS NULL OR lo IS NULL THEN 'not_numeric'
+                        WHEN isnan(la) OR isnan(lo) THEN 'nan' WHEN isinf(la) OR isinf(lo) THEN 'infinite'
+                        WHEN la = 0 OR lo = 0 THEN 'zero' WHEN NOT (la BETWEEN 14.5 AND 32.7) THEN 'lat_out_of_range'
+                        WHEN NOT (lo BETWEEN -118.5 AND -86.7) THEN 'lng_out_of_range' END AS reason FROM cls)
+"""
+
+
+def _raw_coords(spark, sf):
+    p = panel(spark, sf)
+    lat_s = F.col("lat").cast("string")
+    return p.select(
+        F.when(F.col("mes") == 5, F.lit("")).when(F.col("mes") == 6, F.lit("nan")).otherwise(F.col("clave")).alias("clave"),
+        "period_key", "estado", "municipio",
+        F.when(F.col("mes") == 1, F.replace(lat_s, F.lit("."), F.lit(","))).when(F.col("mes") == 2, F.lit("abc"))
+         .when(F.col("mes") == 3, F.lit("NaN")).when(F.col("mes") == 4, F.lit("inf")).otherwise(lat_s).alias("lat_raw"),
+        F.col("lng").cast("string").alias("lng_raw"))
+
+
+def _export(spark, sf):
+    from ..operators.clean import export_coordinates
+    return export_coordinates(_raw_coords(spark, sf), "clave", "lat_raw", "lng_raw", "period_key", ("estado", "municipio"))
+
+
+@register("coordinate_validity", oracle(RAW_COORDS_SQL + "SELECT key_clean, period_key, reason FROM rs"))
+def q_coordinate_validity(spark, sf):
+    from ..operators.clean import classify_coordinates
+    return classify_coordinates(_raw_coords(spark, sf), "clave", "lat_raw", "lng_raw").select("key_clean", "period_key", "reason")
+
+
+@register("clean_counters", oracle(RAW_COORDS_SQL + """
+SELECT COUNT(*) AS rows, CAST(SUM(CASE WHEN reason = 'no_key' THEN 1 ELSE 0 END) AS BIGINT) AS no_key,
+       CAST(SUM(CASE WHEN reason IS NOT NULL AND reason <> 'no_key' THEN 1 ELSE 0 END) AS BIGINT) AS rejected,
+       CAST(SUM(CASE WHEN reason IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS valid,
+       COUNT(DISTINCT CASE WHEN reason IS NULL THEN key_clean END) AS kept,
+       CAST(SUM(CASE WHEN reason IS NULL THEN 1 ELSE 0 END) AS BIGINT) - COUNT(DISTINCT CASE WHEN reason IS NULL THEN key_clean END) AS duplicates
+FROM rs"""))
+def q_clean_counters(spark, sf):
+    return _export(spark, sf)[2]
+
+
+EXPORT_SQL = RAW_COORDS_SQL + """
+, kept AS (SELECT key_clean AS facility, min(period_key) AS row_order, round(arg_min(la, period_key), 7) AS lat,
+                  round(arg_min(lo, period_key), 7) AS lng, COALESCE(trim(arg_min(estado, period_key)), '') AS estado,
+                  COALESCE(trim(arg_min(municipio, period_key)), '') AS municipio
+           FROM rs WHERE reason IS NULL GROUP BY key_clean)
+"""
+
+
+@register("job_export_coordinates", oracle(EXPORT_SQL + "SELECT * FROM kept"))
+def q_job_export_coordinates(spark, sf):
+    return _export(spark, sf)[0]
+
+
+@register("dedup_coordinates_per_group", oracle(EXPORT_SQL + "SELECT estado, COUNT(*) AS points FROM kept GROUP BY estado"))
+def q_dedup_coordinates_per_group(spark, sf):
+    return _export(spark, sf)[0].groupBy("estado").agg(F.count(F.lit(1)).alias("points"))
+
+
+@register("sink_rejects", oracle(RAW_COORDS_SQL + "SELECT reason, COUNT(*) AS rows FROM rs WHERE reason IS NOT NULL AND reason <> 'no_key' GROUP BY reason"))
+def q_sink_rejects(spark, sf):
+    from ..session import scratch_path
+    from ..sources.sinks import sink_table
+    import uuid
+    path = scratch_path(spark, f"rejects-{uuid.uuid4().hex[:12]}")
+    sink_table(_export(spark, sf)[1], path, "parquet")
+    return spark.read.parquet(path).groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("sink_records_json", oracle(EXPORT_SQL + "SELECT COUNT(*) AS records, round(SUM(lat), 4) AS lat_sum, COUNT(DISTINCT facility) AS facilities FROM kept"))
+def q_sink_records_json(spark, sf):
+    from ..session import scratch_path
+    from ..sources.sinks import sink_table
+    import uuid
+    path = scratch_path(spark, f"coords-{uuid.uuid4().hex[:12]}")
+    sink_table(_export(spark, sf)[0], path, "json")
+    back = spark.read.schema("facility string, row_order int, lat double, lng double, estado string, municipio string").json(path)
+    return back.agg(F.count(F.lit(1)).alias("records"), F.round(F.sum("lat"), 4).alias("lat_sum"),
+                    F.count_distinct("facility").alias("facilities"))
+
+
+@register("scan_coordinates_json", oracle(EXPORT_SQL + """
+SELECT facility AS clave, round(lat, 6) AS lat, round(lng, 6) AS lng, estado, municipio FROM kept"""))
+def q_scan_coordinates_json(spark, sf):
+    from ..session import scratch_path
+    from ..sources.json_sources import scan_coordinates_json
+    from ..sources.sinks import sink_table
+    import uuid
+    path = scratch_path(spark, f"coords-{uuid.uuid4().hex[:12]}")
+    recs = _export(spark, sf)[0].select(F.col("facility").alias("clave"), F.col("lat").cast("string").alias("lat"),
+                                        F.col("lng").cast("string").alias("lng"), "estado", "municipio")
+    sink_table(recs, path, "json")
+    return scan_coordinates_json(spark, path, ["estado", "municipio"])
+
+
+@register("report_coordinates", ol(f"""
+SELECT estado, COUNT(*) AS points FROM latest WHERE lat IS NOT NULL AND lng IS NOT NULL GROUP BY estado"""))
+def q_report_coordinates(spark, sf):
+    from .reports import report_coordinates
+    table_, per_group = report_coordinates(_latest(spark, sf), B)
+    return per_group

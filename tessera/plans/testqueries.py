@@ -1442,3 +1442,56 @@ def q_report_coordinates(spark, sf):
     from .reports import report_coordinates
     table_, per_group = report_coordinates(_latest(spark, sf), B)
     return per_group
+
+
+# -------------------------------------------------------------------------- cleaning job
+RAW_HEADERS = {"clave": "Clave Plaza", "nombre": "Nombre_PC", "estado": "  ENTIDAD federativa ", "estado_id": "Clave_Edo",
+               "zona": "Coord. Zona", "municipio": "MUNICIPIO ", "localidad": "Localidad", "anio": "Año", "mes": "Cve-mes",
+               "situacion": "Situación", "conectividad": "Conect_Instalada", "lat": "Latitud", "lng": "Longitud",
+               "inc_total_raw": "Inc_Total", "cn_inicial": "CN_Inicial_Acum", "cn_prim": "CN_Prim_Acum",
+               "cn_sec": "CN_Sec_Acum", "cn_total": "CN_Tot_Acum", "aten_total": "Aten_Total", "period_key": "Foo"}
+
+
+def _raw_csv(spark, sf) -> str:
+    """The panel written as a raw delimited file (text everywhere, status as its label)."""
+    import uuid
+    from ..session import scratch_path
+    p = dims.dim_decode(panel(spark, sf), "situacion", dims.statuses_dim(spark), "status_text", "Situación_")
+    cols = [(F.col("status_text") if k == "situacion" else F.col(k)).cast("string").alias(v) for k, v in RAW_HEADERS.items()]
+    path = scratch_path(spark, f"raw-{uuid.uuid4().hex[:12]}.csv")
+    p.select(*cols).write.option("header", True).csv(path)
+    return path
+
+
+CLEAN_SQL = f"""
+SELECT trim(clave) AS clave, COALESCE(trim(nombre), '') AS nombre, trim(estado) AS estado, CAST(estado_id AS BIGINT) AS estado_id,
+       trim(zona) AS zona, trim(municipio) AS municipio, trim(localidad) AS localidad, '' AS colonia, '' AS calle, '' AS num, '' AS cp,
+       COALESCE(trim(conectividad), '') AS conectividad, CAST(anio AS BIGINT) AS anio,
+       COALESCE(TRY_CAST(round_even({SAFE_NUM_SQL}, 0) AS BIGINT), 0) AS inc_total, CAST(aten_total AS BIGINT) AS aten_total,
+       cn_inicial, cn_prim, cn_sec, cn_total, COALESCE(lat, 0.0) AS lat, COALESCE(lng, 0.0) AS lng, CAST(mes AS INTEGER) AS mes,
+       CASE WHEN situacion = 1 THEN 1 ELSE 0 END AS situacion, anio * 100 + mes AS period_key
+FROM panel"""
+
+
+@register("job_clean_panel", oracle(CLEAN_SQL))
+def q_job_clean_panel(spark, sf):
+    from .jobs import job_clean_panel
+    df, _ = job_clean_panel(spark, _raw_csv(spark, sf))
+    return df
+
+
+@register("standardise_types", oracle(f"SELECT clave, inc_total, lat, situacion, mes FROM ({CLEAN_SQL})"))
+def q_standardise_types(spark, sf):
+    from .jobs import job_clean_panel
+    df, _ = job_clean_panel(spark, _raw_csv(spark, sf))
+    return df.select("clave", "inc_total", "lat", "situacion", "mes")
+
+
+@register("resolve_aliases", None)
+def q_resolve_aliases(spark, sf):
+    """Alias report of the raw file's header (exact / normalised / not found)."""
+    from ..operators.clean import resolve_aliases, trim_column_names
+    from ..sources.delimited import scan_delimited
+    raw = trim_column_names(scan_delimited(spark, _raw_csv(spark, sf)))
+    _, report = resolve_aliases(raw.columns)
+    return spark.createDataFrame(report, "field string, source string, method string")

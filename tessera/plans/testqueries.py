@@ -1495,3 +1495,25 @@ def q_resolve_aliases(spark, sf):
     raw = trim_column_names(scan_delimited(spark, _raw_csv(spark, sf)))
     _, report = resolve_aliases(raw.columns)
     return spark.createDataFrame(report, "field string, source string, method string")
+
+
+# ----------------------------------------------------------------------------- streaming
+@register("incremental_period_load", oracle("""
+SELECT period_key, estado_id, COUNT(*) AS rows, CAST(SUM(CASE WHEN situacion = 1 THEN 1 ELSE 0 END) AS BIGINT) AS operating,
+       CAST(COALESCE(SUM(cn_inicial), 0) AS BIGINT) AS sum_cn_inicial, CAST(COALESCE(SUM(cn_prim), 0) AS BIGINT) AS sum_cn_prim,
+       CAST(COALESCE(SUM(cn_sec), 0) AS BIGINT) AS sum_cn_sec, CAST(COALESCE(SUM(cn_total), 0) AS BIGINT) AS sum_cn_total
+FROM panel GROUP BY period_key, estado_id"""))
+def q_incremental_period_load(spark, sf):
+    """Monthly files (one per period, derived from the tables) arrive in a folder; the stream
+    loads them in several micro-batches and the summary table is read back."""
+    import uuid
+    from ..session import scratch_path
+    from ..streaming.incremental import incremental_period_load
+    base = scratch_path(spark, f"stream-{uuid.uuid4().hex[:12]}")
+    p = panel(spark, sf)
+    src = p.drop("period_key").withColumn("period_key", F.col("anio") * 100 + F.col("mes"))
+    src.repartition("period_key").write.partitionBy("anio").parquet(f"{base}/landing")
+    schema = spark.read.parquet(f"{base}/landing").schema
+    incremental_period_load(spark, f"{base}/landing", schema, f"{base}/panel", f"{base}/summary",
+                            f"{base}/_checkpoint", B, files_per_trigger=8)
+    return spark.read.parquet(f"{base}/summary")

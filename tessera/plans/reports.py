@@ -97,3 +97,48 @@ def report_coordinates(latest: DataFrame, b: Binding = DEFAULT) -> tuple[DataFra
                  F.round(b.lat, 6).alias("lat"), F.round(b.lng, 6).alias("lng")))
     per_group = t.groupBy(F.col("group_name").alias(b.group_name)).agg(F.count(F.lit(1)).alias("points"))
     return t, per_group
+
+
+def report_national_summary(df: DataFrame, is_latest_col, b: Binding = DEFAULT, top: int = 5) -> DataFrame:
+    """Measure summary (long form) plus the top groups by the three-level total, as one
+    long table (section, name, value)."""
+    from ..operators.aggregates import group_measure_totals, measure_summary
+    ms = measure_summary(df, list(b.levels), is_latest_col, b).select(
+        F.lit("measure").alias("section"), F.col("measure").alias("name"), F.col("total").alias("value"))
+    g = group_measure_totals(df, b).orderBy(F.col("sum_total").desc(), F.col(b.group_id)).limit(top)
+    tg = g.select(F.lit("top_group").alias("section"), F.col(b.group_id).cast("string").alias("name"),
+                  F.col("sum_total").alias("value"))
+    return ms.unionByName(tg)
+
+
+def report_general_stats(latest: DataFrame, b: Binding = DEFAULT) -> DataFrame:
+    """Latest-month headline numbers in long form (metric, name, value): facilities,
+    operating, groups, group with most / fewest facilities, best loose connectivity rate,
+    best operating share, highest suspension share. One grouped aggregate feeds all of them."""
+    from ..operators.filters import connected_loose
+    g = latest.groupBy(b.group_name).agg(
+        F.count_distinct(b.facility).alias("n"), F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col(b.status) == b.operating_code).cast("bigint").alias("op"),
+        F.count_if(F.col(b.status) == 0).cast("bigint").alias("susp"),
+        F.count_if(connected_loose(b)).cast("bigint").alias("conn"))
+    g = g.select("*", pct_int(F.col("op"), F.col("rows"), 2).alias("op_pct"),
+                 pct_int(F.col("susp"), F.col("rows"), 2).alias("susp_pct"),
+                 pct_int(F.col("conn"), F.col("rows"), 2).alias("conn_pct"))
+    name = F.col(b.group_name)
+
+    def best(v, hi=True):
+        return F.min_by(F.struct(name.alias("g"), F.col(v).cast("double").alias("v")),
+                        F.struct((-F.col(v) if hi else F.col(v)), name))
+
+    a = g.agg(F.sum("n").alias("facilities"), F.sum("op").alias("operating"), F.count(F.lit(1)).alias("groups"),
+              best("n").alias("most"), best("n", False).alias("least"), best("conn_pct").alias("conn"),
+              best("op_pct").alias("opr"), best("susp_pct").alias("susp"))
+    def row(metric, nm, val):
+        return F.struct(F.lit(metric).alias("metric"), nm.cast("string").alias("name"), val.cast("double").alias("value"))
+
+    rows = [row("facilities", F.lit(""), F.col("facilities")), row("operating", F.lit(""), F.col("operating")),
+            row("groups", F.lit(""), F.col("groups")),
+            *[row(m, F.col(f"{k}.g"), F.col(f"{k}.v")) for m, k in
+              (("most_facilities", "most"), ("least_facilities", "least"), ("best_connectivity_pct", "conn"),
+               ("best_operating_pct", "opr"), ("highest_suspension_pct", "susp"))]]
+    return a.select(F.explode(F.array(*rows)).alias("r")).select("r.*")

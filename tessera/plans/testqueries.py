@@ -1517,3 +1517,120 @@ def q_incremental_period_load(spark, sf):
     incremental_period_load(spark, f"{base}/landing", schema, f"{base}/panel", f"{base}/summary",
                             f"{base}/_checkpoint", B, files_per_trigger=8)
     return spark.read.parquet(f"{base}/summary")
+
+
+# ------------------------------------------------------------------- composite reports
+@register("report_status", ol(f"""
+SELECT g.status, g.rows, {nb.pct_int_sql('g.rows', '(SELECT COUNT(*) FROM latest)', 2)} AS pct,
+       CASE WHEN g.status IS NULL THEN '' ELSE COALESCE(s.dim_name, 'Situación_' || CAST(g.status AS VARCHAR)) END AS status_name
+FROM (SELECT situacion AS status, COUNT(*) AS rows FROM latest GROUP BY situacion) g
+LEFT JOIN {STATUSES_SQL} s ON s.dim_id = g.status ORDER BY rows DESC"""))
+def q_report_status(spark, sf):
+    return ag.status_distribution(_latest(spark, sf), B, dims.statuses_dim(spark)).orderBy(F.col("rows").desc())
+
+
+@register("report_nearby", _radius_oracle("""
+SELECT r.point_id, r.facility, r.distance_km, r.pos, l.nombre, l.municipio FROM r JOIN latest l ON l.clave = r.facility WHERE pos <= 10"""))
+def q_report_nearby(spark, sf):
+    from ..operators.nearby import radius_join
+    from ..sources.testbind import points
+    l = _latest(spark, sf)
+    h = radius_join(points(spark, sf), l, 150.0, B, limit_per_point=10).drop("distance_km_exact")
+    return h.join(l.select(F.col("clave").alias("facility"), "nombre", "municipio"), "facility")
+
+
+@register("report_national_summary", oracle(f"""
+, ms AS ({_measure_summary_sql(LV).replace(", u AS", "WITH u AS", 1)})
+{GMT_SQL}
+SELECT 'measure' AS section, measure AS name, total AS value FROM ms
+UNION ALL
+SELECT * FROM (SELECT 'top_group', CAST(estado_id AS VARCHAR), sum_total FROM t ORDER BY sum_total DESC, estado_id LIMIT 5)"""))
+def q_report_national_summary(spark, sf):
+    from .reports import is_latest, report_national_summary
+    p = panel(spark, sf)
+    return report_national_summary(p, is_latest(p, B, as_of=AS_OF), B)
+
+
+@register("report_general_stats", ol(f"""
+, g AS (SELECT estado, COUNT(DISTINCT clave) AS n, COUNT(*) AS rows, CAST(SUM(CASE WHEN situacion = 1 THEN 1 ELSE 0 END) AS BIGINT) AS op,
+               CAST(SUM(CASE WHEN situacion = 0 THEN 1 ELSE 0 END) AS BIGINT) AS susp,
+               CAST(SUM(CASE WHEN {LOOSE_SQL} THEN 1 ELSE 0 END) AS BIGINT) AS conn FROM latest GROUP BY estado),
+  h AS (SELECT *, {nb.pct_int_sql('op', 'rows', 2)} AS op_pct, {nb.pct_int_sql('susp', 'rows', 2)} AS susp_pct,
+               {nb.pct_int_sql('conn', 'rows', 2)} AS conn_pct FROM g)
+SELECT 'facilities' AS metric, '' AS name, CAST(SUM(n) AS DOUBLE) AS value FROM h
+UNION ALL SELECT 'operating', '', CAST(SUM(op) AS DOUBLE) FROM h
+UNION ALL SELECT 'groups', '', CAST(COUNT(*) AS DOUBLE) FROM h
+UNION ALL SELECT 'most_facilities', arg_min(estado, (-n, estado)), CAST(max(n) AS DOUBLE) FROM h
+UNION ALL SELECT 'least_facilities', arg_min(estado, (n, estado)), CAST(min(n) AS DOUBLE) FROM h
+UNION ALL SELECT 'best_connectivity_pct', arg_min(estado, (-conn_pct, estado)), max(conn_pct) FROM h
+UNION ALL SELECT 'best_operating_pct', arg_min(estado, (-op_pct, estado)), max(op_pct) FROM h
+UNION ALL SELECT 'highest_suspension_pct', arg_min(estado, (-susp_pct, estado)), max(susp_pct) FROM h"""))
+def q_report_general_stats(spark, sf):
+    from .reports import report_general_stats
+    return report_general_stats(_latest(spark, sf), B)
+
+
+@register("add_normalised_columns", oracle(f"""
+SELECT clave, period_key, {_norm_sql('estado')} AS normalized_group, {_norm_sql('zona')} AS normalized_zone,
+       {_norm_sql('municipio')} AS normalized_municipality, {_norm_sql('localidad')} AS normalized_locality,
+       {_norm_sql('clave')} AS normalized_key, '' AS normalized_neighbourhood FROM panel"""))
+def q_add_normalised_columns(spark, sf):
+    from ..operators.clean import add_normalised_columns
+    cols = {"group": "estado", "zone": "zona", "municipality": "municipio", "locality": "localidad", "key": "clave",
+            "neighbourhood": "colonia"}
+    return add_normalised_columns(panel(spark, sf).select("clave", "period_key", "estado", "zona", "municipio", "localidad"),
+                                  cols).drop("estado", "zona", "municipio", "localidad")
+
+
+@register("drop_internal_columns", oracle("SELECT clave, period_key, estado FROM panel"))
+def q_drop_internal_columns(spark, sf):
+    from ..operators.clean import add_normalised_columns, drop_internal_columns
+    p = add_normalised_columns(panel(spark, sf).select("clave", "period_key", "estado"), {"group": "estado"})
+    return drop_internal_columns(p.withColumn("__row", F.lit(1)))
+
+
+@register("null_safe_output", oracle("SELECT clave, period_key, CASE WHEN lat = 0 THEN NULL ELSE lat END AS lat FROM panel"))
+def q_null_safe_output(spark, sf):
+    from ..operators.clean import null_safe_output
+    p = panel(spark, sf).select("clave", "period_key", F.when(F.col("lat") == 0, F.lit(float("nan"))).otherwise(F.col("lat")).alias("lat"))
+    return null_safe_output(p)
+
+
+@register("schema_report", oracle("""
+SELECT 'inc_total_raw' AS "column", 'recognised' AS status, COUNT(inc_total_raw) AS non_null,
+       CAST(SUM(CASE WHEN inc_total_raw IS NOT NULL AND TRY_CAST(inc_total_raw AS DOUBLE) IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS not_numeric FROM panel
+UNION ALL SELECT 'cn_total', 'recognised', COUNT(cn_total), CAST(0 AS BIGINT) FROM panel
+UNION ALL SELECT 'extra_column', 'unknown', NULL, NULL
+UNION ALL SELECT 'eq_total', 'missing', NULL, NULL"""))
+def q_schema_report(spark, sf):
+    from ..operators.clean import schema_report
+    p = panel(spark, sf).select("clave", "inc_total_raw", "cn_total", F.lit(1).alias("extra_column"))
+    return schema_report(p, ["clave", "inc_total_raw", "cn_total", "eq_total"], ["inc_total_raw", "cn_total", "eq_total"])
+
+
+@register("sink_panel_partitioned", oracle("SELECT period_key, COUNT(*) AS rows FROM panel GROUP BY period_key"))
+def q_sink_panel_partitioned(spark, sf):
+    import uuid
+    from ..session import scratch_path
+    from ..sources.panel import sink_panel_partitioned
+    path = scratch_path(spark, f"sink-{uuid.uuid4().hex[:12]}")
+    sink_panel_partitioned(panel(spark, sf), path, ("period_key",), "clave", 2)
+    return spark.read.parquet(path).groupBy("period_key").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("first_load_materialise", oracle("SELECT COUNT(*) AS rows, COUNT(DISTINCT period_key) AS periods FROM panel"))
+def q_first_load_materialise(spark, sf):
+    import uuid
+    from ..session import scratch_path
+    from ..sources.panel import first_load_materialise
+    path = scratch_path(spark, f"first-{uuid.uuid4().hex[:12]}")
+    first_load_materialise(spark, panel(spark, sf), path)
+    df = first_load_materialise(spark, panel(spark, sf), path)  # second call: table exists, nothing written
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("period_key").alias("periods"))
+
+
+@register("scan_delimited", oracle("SELECT COUNT(*) AS rows, COUNT(DISTINCT clave) AS keys FROM panel"))
+def q_scan_delimited(spark, sf):
+    from ..sources.delimited import scan_delimited
+    raw = scan_delimited(spark, _raw_csv(spark, sf))
+    return raw.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("Clave Plaza").alias("keys"))

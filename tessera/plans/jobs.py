@@ -23,3 +23,12 @@ def job_clean_panel(spark: SparkSession, raw_path: str, out_path: str | None = N
         sink_panel_partitioned(typed, out_path, ("period_key",), "clave", 1)
         typed = spark.read.parquet(out_path)
     return typed, report
+
+
+def job_image_index(images: DataFrame) -> DataFrame:
+    """Key index of a flattened image tree: state, alias, image count and the first / last file
+    id (the file rows themselves stay in the flattened table; no per-key list is collected)."""
+    return (images.groupBy("key")
+            .agg(F.min("state_id").alias("state_id"), F.min("alias").alias("alias"),
+                 F.count(F.lit(1)).alias("images"), F.min("file_id").alias("first_file"),
+                 F.max("file_id").alias("last_file")))

@@ -1634,3 +1634,140 @@ def q_scan_delimited(spark, sf):
     from ..sources.delimited import scan_delimited
     raw = scan_delimited(spark, _raw_csv(spark, sf))
     return raw.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("Clave Plaza").alias("keys"))
+
+
+# ---------------------------------------------------------------------------- image catalogue
+def _image_tree(spark, sf) -> str:
+    """An image folder tree derived from the panel (year 2000): one folder per facility, one
+    image per month; folder naming varies by group (new ``k`` field, decorated old names),
+    written as JSON lines of state nodes (a state is split into chunks of <= 500 folders)."""
+    import uuid
+    from ..session import scratch_path
+    p = panel(spark, sf).where(F.col("anio") == 2000)
+    v = F.col("estado_id") % 4
+    name = (F.when(v == 1, F.concat("estado", F.lit("_"), "clave"))
+            .when(v == 2, F.replace("clave", F.lit("I-"), F.lit("l-")))
+            .when(v == 3, F.concat("clave", F.lit(" (1)"))))
+    f = F.struct(F.concat("clave", F.lit("-"), F.col("period_key").cast("string")).alias("i"),
+                 F.concat(F.lit("foto_"), F.lpad(F.col("mes").cast("string"), 2, "0"), F.lit(".jpg")).alias("n"),
+                 F.col("cn_total").alias("s"),
+                 F.concat(F.col("anio").cast("string"), F.lit("-"), F.lpad(F.col("mes").cast("string"), 2, "0"),
+                          F.lit("-01")).alias("m"),
+                 F.when(F.col("mes") % 2 == 0, F.concat(F.lit("https://img.example/"), "clave", F.lit("/"),
+                                                         F.col("mes").cast("string"))).alias("mediumUrl"))
+    folders = (p.groupBy("estado_id", "estado", "clave")
+               .agg(F.sort_array(F.collect_list(F.struct("period_key", f.alias("file")))).alias("files"))
+               .select("estado_id", "estado", "clave",
+                       F.struct(F.when(v == 0, F.lower("clave")).alias("k"), name.alias("name"),
+                                F.lit("folder").alias("type"),
+                                F.transform("files", lambda x: x["file"]).alias("children")).alias("folder")))
+    per_state = folders.groupBy("estado_id").agg(F.count(F.lit(1)).alias("n"))
+    chunked = (folders.join(F.broadcast(per_state), "estado_id")  # one row per group (bounded by the group count)
+               .withColumn("chunk", F.pmod(F.xxhash64("clave"), F.greatest(F.ceil(F.col("n") / 500), F.lit(1)))))
+    nodes = (chunked.groupBy("estado_id", "estado", "chunk")
+             .agg(F.sort_array(F.collect_list(F.struct("clave", "folder"))).alias("fs"))
+             .select((F.col("estado_id").cast("long") * 1000 + F.col("chunk")).alias("pos"),
+                     F.col("estado_id").alias("id"), "estado", F.lit("folder").alias("type"),
+                     F.transform("fs", lambda x: x["folder"]).alias("children")))
+    path = scratch_path(spark, f"imgtree-{uuid.uuid4().hex[:12]}")
+    nodes.write.json(path)
+    return path
+
+
+def _images(spark, sf):
+    from ..operators.images import read_state_nodes, scan_image_tree
+    return scan_image_tree(read_state_nodes(spark, _image_tree(spark, sf)))
+
+
+IMAGES_SQL = """
+, img AS (SELECT estado_id AS state_id, estado AS state, lower(clave) AS key,
+                 CASE estado_id % 4 WHEN 0 THEN NULL WHEN 1 THEN estado || '_' || clave
+                      WHEN 2 THEN replace(clave, 'I-', 'l-') ELSE clave || ' (1)' END AS alias,
+                 clave || '-' || CAST(period_key AS VARCHAR) AS file_id, 'foto_' || lpad(CAST(mes AS VARCHAR), 2, '0') || '.jpg' AS file_name,
+                 cn_total AS size, CAST(anio AS VARCHAR) || '-' || lpad(CAST(mes AS VARCHAR), 2, '0') || '-01' AS modified,
+                 COALESCE(CASE WHEN mes % 2 = 0 THEN 'https://img.example/' || clave || '/' || CAST(mes AS VARCHAR) END,
+                          'https://drive.google.com/thumbnail?id=' || clave || '-' || CAST(period_key AS VARCHAR) || '&sz=w800') AS url,
+                 mes
+          FROM panel WHERE anio = 2000)
+"""
+
+
+@register("scan_image_tree", oracle(IMAGES_SQL + "SELECT state_id, state, key, alias, file_id, file_name, size, modified, url FROM img"))
+def q_scan_image_tree(spark, sf):
+    return _images(spark, sf).drop("folder_order")
+
+
+@register("image_counts", oracle(IMAGES_SQL + """
+SELECT state, COUNT(*) AS images, COUNT(DISTINCT key) AS folders FROM img GROUP BY state
+UNION ALL SELECT 'TOTAL', COUNT(*), COUNT(DISTINCT key) FROM img"""))
+def q_image_counts(spark, sf):
+    from ..operators.images import image_counts
+    return image_counts(_images(spark, sf))
+
+
+@register("job_image_index", oracle(IMAGES_SQL + """
+SELECT key, min(state_id) AS state_id, min(alias) AS alias, COUNT(*) AS images, min(file_id) AS first_file, max(file_id) AS last_file
+FROM img GROUP BY key"""))
+def q_job_image_index(spark, sf):
+    from .jobs import job_image_index
+    return job_image_index(_images(spark, sf))
+
+
+LOOKUP_Q_SQL = """
+, q AS (SELECT lower(clave) AS query FROM latest
+        UNION ALL SELECT estado || '_' || clave FROM latest
+        UNION ALL SELECT substring(clave, 1, 8) FROM latest
+        UNION ALL SELECT clave || '-9' FROM latest),
+  keys AS (SELECT DISTINCT key FROM img),
+  al AS (SELECT lower(alias) AS alias, min(key) AS key FROM img WHERE alias IS NOT NULL GROUP BY 1),
+  ex AS (SELECT q.query, k.key, 'exact' AS method FROM q JOIN keys k ON k.key = lower(trim(q.query))),
+  r1 AS (SELECT * FROM q WHERE query NOT IN (SELECT query FROM ex)),
+  ea AS (SELECT r1.query, al.key, 'alias' AS method FROM r1 JOIN al ON al.alias = lower(trim(r1.query))),
+  r2 AS (SELECT * FROM r1 WHERE query NOT IN (SELECT query FROM ea)),
+  pc AS (SELECT r2.query, arg_min(k.key, (abs(length(k.key) - length(lower(trim(r2.query)))), k.key)) AS key, 'partial' AS method
+         FROM r2 JOIN keys k ON contains(k.key, lower(trim(r2.query))) OR contains(lower(trim(r2.query)), k.key)
+         WHERE length(lower(trim(r2.query))) > 0 GROUP BY r2.query),
+  f AS (SELECT * FROM ex UNION ALL SELECT * FROM ea UNION ALL SELECT * FROM pc)
+"""
+
+
+@register("image_lookup_cascade", ol(IMAGES_SQL + LOOKUP_Q_SQL + "SELECT q.query, f.key, f.method FROM q LEFT JOIN f USING (query)"))
+def q_image_lookup_cascade(spark, sf):
+    from ..operators.images import image_lookup_cascade
+    l = _latest(spark, sf)
+    q = (l.select(F.lower("clave").alias("query"))
+         .unionByName(l.select(F.concat("estado", F.lit("_"), "clave").alias("query")))
+         .unionByName(l.select(F.substring("clave", 1, 8).alias("query")))
+         .unionByName(l.select(F.concat("clave", F.lit("-9")).alias("query"))))
+    return image_lookup_cascade(q, _images(spark, sf))
+
+
+@register("image_sync_merge", oracle(IMAGES_SQL + """
+SELECT CASE WHEN mes > 8 THEN 'new' WHEN mes = 3 THEN 'updated' ELSE 'unchanged' END AS status, COUNT(*) AS files
+FROM img GROUP BY 1"""))
+def q_image_sync_merge(spark, sf):
+    from ..operators.images import image_sync_merge
+    imgs = _images(spark, sf)
+    old = imgs.where(F.substring("modified", 6, 2).cast("int") <= 8)
+    new = imgs.withColumn("modified", F.when(F.substring("modified", 6, 2) == "03", F.lit("2000-03-15"))
+                          .otherwise(F.col("modified")))
+    return image_sync_merge(old, new)[1]
+
+
+FOLDER_NAMES = [a for a, _ in __import__("tessera.operators.images", fromlist=["x"]).STATE_FOLDER_ALIASES]
+
+
+@register("alias_dim_match", oracle(f"""
+, f AS (SELECT DISTINCT estado_id, CASE WHEN estado_id % 5 = 4 THEN 'Estado_' || CAST(estado_id AS VARCHAR)
+                                       ELSE [{", ".join(f"'{a}'" for a in FOLDER_NAMES)}][estado_id + 1] END AS folder FROM panel),
+  al AS (SELECT * FROM (VALUES {", ".join(f"('{a}', {i})" for a, i in __import__("tessera.operators.images", fromlist=["x"]).STATE_FOLDER_ALIASES)}) v(alias, state_id))
+SELECT f.folder, al.state_id, s.dim_name AS state FROM f LEFT JOIN al ON al.alias = f.folder LEFT JOIN {STATES_SQL} s ON s.dim_id = al.state_id"""))
+def q_alias_dim_match(spark, sf):
+    from ..operators.images import alias_dim_match
+    names = F.array(*[F.lit(a) for a in FOLDER_NAMES])
+    f = panel(spark, sf).select("estado_id").distinct().select(
+        F.when(F.col("estado_id") % 5 == 4, F.concat(F.lit("Estado_"), F.col("estado_id").cast("string")))
+         .otherwise(F.element_at(names, F.col("estado_id") + 1)).alias("folder"))
+    matched, unmatched = alias_dim_match(spark, f, "folder")
+    return matched.select("folder", "state_id", "state").unionByName(
+        unmatched.select("folder", F.lit(None).cast("int").alias("state_id"), F.lit(None).cast("string").alias("state")))

@@ -59,3 +59,17 @@ def period_label_sql(y: str, m: str) -> str:
     whens = " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(MONTH_NAMES, 1))
     return (f"concat(CASE CAST({m} AS INTEGER) {whens} ELSE lpad(CAST({m} AS VARCHAR), 2, '0') END, "
             f"' ', CAST({y} AS VARCHAR))")
+
+
+def source_freshness(ts, reference_mode: bool = False) -> Column:
+    """Modification time shown one month back ('dd/MM/yyyy'), day clamped to the target month.
+    ``reference_mode`` leaves December unshifted, as the reference does [D12]."""
+    d = F.to_date(_c(ts))
+    back = F.add_months(d, -1)
+    if reference_mode:
+        back = F.when(F.month(d) == 12, d).otherwise(back)
+    return F.date_format(back, "dd/MM/yyyy")
+
+
+def is_stale(ts, as_of: str, days: int = 500) -> Column:
+    return F.datediff(F.to_date(F.lit(as_of)), F.to_date(_c(ts))) > days

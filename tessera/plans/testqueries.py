@@ -1771,3 +1771,165 @@ def q_alias_dim_match(spark, sf):
     matched, unmatched = alias_dim_match(spark, f, "folder")
     return matched.select("folder", "state_id", "state").unionByName(
         unmatched.select("folder", F.lit(None).cast("int").alias("state_id"), F.lit(None).cast("string").alias("state")))
+
+
+# ------------------------------------------------------------------- period index / catalog
+def _period_index_docs(spark, sf) -> str:
+    """Two period-index documents derived from the panel's periods: wrapped under ``index``
+    (all periods) and at the root (year 2000 only). Months 4 and 12 carry no URL."""
+    import uuid
+    from ..session import scratch_path
+    per = panel(spark, sf).select("anio", "mes").distinct()
+    key = F.concat(F.col("anio").cast("string"), F.lit("-"), F.lpad(F.col("mes").cast("string"), 2, "0"))
+    val = F.struct(F.concat(F.lit("Plazas_"), key, F.lit(".parquet")).alias("name"),
+                   F.concat(F.lit("f"), F.col("anio").cast("string"), F.col("mes").cast("string")).alias("id"),
+                   F.when(F.col("mes") % 4 != 0, F.concat(F.lit("https://files.example/d/"), key)).alias("download_url"),
+                   F.when(F.col("mes") == 8, F.concat(F.lit("https://files.example/v/"), key)).alias("view_url"))
+    e = per.select("anio", F.struct(key.alias("k"), val.alias("v")).alias("e"))
+    base = scratch_path(spark, f"pindex-{uuid.uuid4().hex[:12]}")
+    # one entry per month: the map is small by construction
+    e.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list("e")).alias("index"))).alias("value")) \
+        .write.text(f"{base}/wrapped")
+    e.where("anio = 2000").agg(F.to_json(F.map_from_entries(F.collect_list("e"))).alias("value")) \
+        .write.text(f"{base}/root")
+    return base
+
+
+PINDEX_SQL = """
+, per AS (SELECT DISTINCT anio, mes, CAST(anio AS VARCHAR) || '-' || lpad(CAST(mes AS VARCHAR), 2, '0') AS k FROM panel),
+  docs AS (SELECT *, 'wrapped' AS doc FROM per UNION ALL SELECT *, 'root' FROM per WHERE anio = 2000)
+"""
+
+
+@register("scan_period_index", oracle(PINDEX_SQL + """
+SELECT k AS period, 'Plazas_' || k || '.parquet' AS name, 'f' || CAST(anio AS VARCHAR) || CAST(mes AS VARCHAR) AS file_id,
+       CASE WHEN mes % 4 <> 0 THEN 'https://files.example/d/' || k ELSE 'https://files.example/v/' || k END AS url
+FROM docs WHERE mes % 4 <> 0 OR mes = 8"""))
+def q_scan_period_index(spark, sf):
+    from ..sources.json_sources import scan_period_index
+    base = _period_index_docs(spark, sf)
+    return scan_period_index(spark, [f"{base}/wrapped", f"{base}/root"])[0]
+
+
+@register("period_index_discarded", oracle(PINDEX_SQL + """
+SELECT CAST(SUM(CASE WHEN mes % 4 = 0 AND mes <> 8 THEN 1 ELSE 0 END) AS BIGINT) AS discarded,
+       CAST(SUM(CASE WHEN mes % 4 <> 0 OR mes = 8 THEN 1 ELSE 0 END) AS BIGINT) AS kept FROM docs"""))
+def q_period_index_discarded(spark, sf):
+    from ..sources.json_sources import scan_period_index
+    base = _period_index_docs(spark, sf)
+    return scan_period_index(spark, [f"{base}/wrapped", f"{base}/root"])[1]
+
+
+@register("available_periods_with_index", oracle("""
+, g AS (SELECT year, list_sort(list_distinct(list(month))) AS months FROM (
+          SELECT CAST(anio AS INTEGER) AS year, CAST(mes AS INTEGER) AS month FROM panel WHERE anio < 2001
+          UNION ALL SELECT CAST(anio AS INTEGER), CAST(mes AS INTEGER) FROM panel WHERE mes % 4 <> 0 OR mes = 8) GROUP BY year)
+SELECT year, CAST(len(months) AS INTEGER) AS n_months,
+       array_to_string(list_transform(months, lambda x: lpad(CAST(x AS VARCHAR), 2, '0')), ',') AS months
+FROM g WHERE len(list_intersect(months, range(1, 13))) = 12 OR year = 2001"""))
+def q_available_periods_with_index(spark, sf):
+    """Local table holds years before 2001; the rest is known only from the period index."""
+    from ..sources.json_sources import scan_period_index
+    base = _period_index_docs(spark, sf)
+    idx = scan_period_index(spark, f"{base}/wrapped")[0].select(
+        F.substring("period", 1, 4).cast("int").alias("year"), F.substring("period", 6, 2).cast("int").alias("month"))
+    return ag.available_periods(panel(spark, sf).where("anio < 2001"), B, current_year=2001, extra=idx)
+
+
+def _catalog(spark, sf) -> str:
+    import uuid
+    from ..session import scratch_path
+    g = panel(spark, sf).groupBy("anio", "mes").agg(F.count(F.lit(1)).alias("rows"))
+    y, m = F.col("anio").cast("string"), F.lpad(F.col("mes").cast("string"), 2, "0")
+    f = F.struct(F.concat(F.lit("Plazas_"), y, F.lit("_"), m, F.lit(".parquet")).alias("name"),
+                 F.concat(F.lit("Año_"), y, F.lit("/Plazas_"), y, F.lit("_"), m, F.lit(".parquet")).alias("path"),
+                 F.lit("file").alias("type"), F.col("rows").cast("string").alias("size"),
+                 F.concat(y, F.lit("-"), m, F.lit("-28T00:00:00Z")).alias("modifiedTime"),
+                 y.alias("year"), m.alias("month"))
+    years = (g.groupBy("anio").agg(F.sort_array(F.collect_list(F.struct("mes", f.alias("f")))).alias("fs"))  # <= 12 per year
+             .select(F.col("anio").cast("long").alias("pos"), F.concat(F.lit("Año_"), F.col("anio").cast("string")).alias("name"),
+                     F.col("anio").cast("string").alias("path"), F.lit("folder").alias("type"),
+                     F.transform("fs", lambda x: x["f"]).alias("children")))
+    empty = spark.range(1).select(F.lit(1994).cast("long").alias("pos"), F.lit("Año_1994").alias("name"),
+                                  F.lit("1994").alias("path"), F.lit("folder").alias("type"),
+                                  F.array().cast(years.schema["children"].dataType).alias("children"))
+    path = scratch_path(spark, f"catalog-{uuid.uuid4().hex[:12]}")
+    years.unionByName(empty).write.json(path)
+    return path
+
+
+@register("scan_file_catalog", oracle("""
+SELECT 'Año_' || CAST(anio AS VARCHAR) AS folder, 'Plazas_' || CAST(anio AS VARCHAR) || '_' || lpad(CAST(mes AS VARCHAR), 2, '0') || '.parquet' AS name,
+       'Año_' || CAST(anio AS VARCHAR) || '/Plazas_' || CAST(anio AS VARCHAR) || '_' || lpad(CAST(mes AS VARCHAR), 2, '0') || '.parquet' AS path,
+       COUNT(*) AS size, CAST(anio AS VARCHAR) || '-' || lpad(CAST(mes AS VARCHAR), 2, '0') || '-28T00:00:00Z' AS modified,
+       CAST(anio AS VARCHAR) AS year, lpad(CAST(mes AS VARCHAR), 2, '0') AS month
+FROM panel GROUP BY anio, mes"""))
+def q_scan_file_catalog(spark, sf):
+    from ..sources.json_sources import scan_file_catalog
+    return scan_file_catalog(spark, _catalog(spark, sf))[0]
+
+
+@register("file_catalog_statistics", oracle("""
+SELECT COUNT(*) AS files, array_to_string(list_sort(list_distinct(list(y))), ',') AS years,
+       array_to_string(list_sort(list_distinct(list(m))), ',') AS months
+FROM (SELECT DISTINCT CAST(anio AS VARCHAR) AS y, lpad(CAST(mes AS VARCHAR), 2, '0') AS m FROM panel)"""))
+def q_file_catalog_statistics(spark, sf):
+    from ..sources.json_sources import scan_file_catalog
+    return scan_file_catalog(spark, _catalog(spark, sf))[1]
+
+
+@register("source_freshness", oracle("""
+SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE) - INTERVAL 1 MONTH, '%d/%m/%Y') AS shown,
+       strftime(CASE WHEN month(o_orderdate) = 12 THEN CAST(o_orderdate AS DATE) ELSE CAST(o_orderdate AS DATE) - INTERVAL 1 MONTH END, '%d/%m/%Y') AS shown_reference,
+       date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-09-01') > 500 AS stale
+FROM orders"""))
+def q_source_freshness(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.select("o_orderkey", pe.source_freshness("o_orderdate").alias("shown"),
+                    pe.source_freshness("o_orderdate", reference_mode=True).alias("shown_reference"),
+                    pe.is_stale("o_orderdate", "2001-09-01").alias("stale"))
+
+
+# ------------------------------------------------------------------------- vocabularies
+RENAME_COLS = ["clave", "nombre", "municipio", "localidad", "zona", "cn_total", "inc_total", "lat", "lng", "anio", "mes"]
+
+
+@register("rename_short_to_long", oracle("""
+SELECT clave AS "Clave_Plaza", nombre AS "Nombre_PC", municipio AS "Municipio", localidad AS "Localidad", zona AS "Coord. Zona",
+       cn_total AS "CN_Tot_Acum", inc_total AS "Inc_Total", lat AS "Latitud", lng AS "Longitud", anio AS "Año", mes AS mes FROM panel"""))
+def q_rename_short_to_long(spark, sf):
+    from ..operators.schema import rename_short_to_long
+    return rename_short_to_long(panel(spark, sf).select(*RENAME_COLS))
+
+
+@register("rename_long_to_short", oracle(f"SELECT {', '.join(RENAME_COLS)} FROM panel"))
+def q_rename_long_to_short(spark, sf):
+    from ..operators.schema import rename_long_to_short, rename_short_to_long
+    return rename_long_to_short(rename_short_to_long(panel(spark, sf).select(*RENAME_COLS)))
+
+
+@register("facility_profile_struct", ol("""
+SELECT clave AS general_clave, nombre AS general_nombre, situacion AS general_situacion, conectividad AS general_conectividad,
+       estado AS location_estado, estado_id AS location_estado_id, zona AS location_zona, municipio AS location_municipio,
+       localidad AS location_localidad, lat AS location_lat, lng AS location_lng, anio AS period_anio, mes AS period_mes,
+       inc_total AS enrolment_inc_total, aten_total AS attendance_aten_total, cn_inicial AS certificates_cn_inicial,
+       cn_prim AS certificates_cn_prim, cn_sec AS certificates_cn_sec, cn_total AS certificates_cn_total FROM latest"""))
+def q_facility_profile_struct(spark, sf):
+    from ..operators.schema import facility_profile_struct
+    s = facility_profile_struct(_latest(spark, sf))
+    return s.select(*[F.col(f"{c}.{f.name}").alias(f"{c}_{f.name}") for c in s.columns for f in s.schema[c].dataType.fields])
+
+
+@register("decode_numeric_codes", ol(f"""
+SELECT r.clave, COALESCE(g.dim_name, r.estado) AS estado, COALESCE(s.dim_name, r.situacion) AS situacion
+FROM (SELECT clave, CASE WHEN estado_id % 2 = 0 THEN CAST(estado_id + 1 AS VARCHAR) ELSE estado END AS estado,
+             CAST(situacion AS VARCHAR) AS situacion FROM latest) r
+LEFT JOIN {STATES_SQL} g ON CAST(g.dim_id AS VARCHAR) = trim(r.estado)
+LEFT JOIN {STATUSES_SQL} s ON CAST(s.dim_id AS VARCHAR) = trim(r.situacion)"""))
+def q_decode_numeric_codes(spark, sf):
+    from ..sources.json_sources import decode_numeric_codes
+    rec = _latest(spark, sf).select(
+        "clave", F.when(F.col("estado_id") % 2 == 0, (F.col("estado_id") + 1).cast("string")).otherwise(F.col("estado")).alias("estado"),
+        F.col("situacion").cast("string").alias("situacion"))
+    return decode_numeric_codes(rec, {"estado": "states", "situacion": "statuses"},
+                                {"states": dims.states_dim(spark), "statuses": dims.statuses_dim(spark)})[0]

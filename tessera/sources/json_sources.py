@@ -15,3 +15,59 @@ def scan_coordinates_json(spark: SparkSession, path: str, text_fields: list[str]
     return (df.where(la.isNotNull() & lo.isNotNull())
             .select(F.coalesce("clave", F.lit("")).alias("clave"), F.round(la, 6).alias("lat"),
                     F.round(lo, 6).alias("lng"), *[F.coalesce(f, F.lit("")).alias(f) for f in text_fields]))
+
+
+PERIOD_ENTRY = "struct<name:string,id:string,download_url:string,view_url:string,url:string>"
+
+
+def scan_period_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Period index documents: a map 'YYYY-MM' -> file info, under ``index`` or at the root.
+    Entries with any of download_url / view_url / url are kept; returns (entries, discarded
+    count per document). Each document is one small map (one entry per month)."""
+    doc = spark.read.text(path, wholetext=True)
+    top = F.from_json("value", "map<string,string>")
+    d = doc.select(top.alias("top"))
+    raw = (F.when(F.col("top").getItem("index").isNotNull(), F.col("top").getItem("index"))
+           .when(F.element_at(F.map_keys("top"), 1).rlike(r"^\d{4}-"), F.to_json("top")))
+    m = F.from_json(raw, f"map<string,string>")
+    e = (d.select(F.posexplode(m).alias("doc_entry", "period", "v"))
+         .select("period", F.from_json("v", PERIOD_ENTRY).alias("x")))
+    ok = F.col("x").isNotNull() & F.coalesce(F.col("x.download_url"), F.col("x.view_url"), F.col("x.url")).isNotNull()
+    entries = e.where(ok).select("period", F.col("x.name").alias("name"), F.col("x.id").alias("file_id"),
+                                 F.coalesce("x.download_url", "x.view_url", "x.url").alias("url"))
+    discarded = e.agg(F.count_if(~ok).cast("bigint").alias("discarded"), F.count_if(ok).cast("bigint").alias("kept"))
+    return entries, discarded
+
+
+CATALOG_FILE = ("struct<name:string,path:string,type:string,size:string,modifiedTime:string,year:string,"
+                "month:string,download_url:string,view_url:string>")
+CATALOG_YEAR = f"pos long, name string, path string, type string, children array<{CATALOG_FILE}>"
+
+
+def scan_file_catalog(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Folder tree of monthly files (JSON lines of year folders) -> one row per file, and the
+    statistics block (file count, sorted distinct years and months)."""
+    years = spark.read.schema(CATALOG_YEAR).json(path)
+    files = (years.select(F.col("name").alias("folder"), F.explode("children").alias("f"))
+             .select("folder", "f.name", "f.path", F.col("f.size").try_cast("bigint").alias("size"),
+                     F.col("f.modifiedTime").alias("modified"), F.col("f.year").alias("year"),
+                     F.col("f.month").alias("month")))
+    stats = files.agg(F.count(F.lit(1)).alias("files"),
+                      F.array_join(F.sort_array(F.collect_set("year")), ",").alias("years"),
+                      F.array_join(F.sort_array(F.collect_set("month")), ",").alias("months"))
+    return files, stats
+
+
+def decode_numeric_codes(records: DataFrame, code_cols: dict, dims: dict) -> tuple[DataFrame, DataFrame]:
+    """Replace numeric codes stored as text (e.g. '15') by names through broadcast
+    dictionaries; returns (records, number of records changed)."""
+    out, changed = records, F.lit(False)
+    for col, name in code_cols.items():
+        d = F.broadcast(dims[name].select(F.col("dim_id").cast("string").alias(f"__c_{col}"),
+                                          F.col("dim_name").alias(f"__n_{col}")))
+        out = out.join(d, F.trim(out[col]) == F.col(f"__c_{col}"), "left")
+        changed = changed | F.col(f"__n_{col}").isNotNull()
+        out = out.withColumn(col, F.coalesce(F.col(f"__n_{col}"), F.col(col)))
+    out = out.withColumn("__changed", changed)
+    n = out.agg(F.count_if("__changed").cast("bigint").alias("changed"))
+    return out.drop(*[c for c in out.columns if c.startswith("__")]), n

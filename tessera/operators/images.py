@@ -172,3 +172,53 @@ def alias_dim_match(spark: SparkSession, folders: DataFrame, name_col: str = "fo
     j = folders.join(dim, folders[name_col] == dim["alias"], "left")
     return (j.where(F.col("state_id").isNotNull()).drop("alias"),
             j.where(F.col("state_id").isNull()).select(name_col))
+
+
+# ------------------------------------------------------------------ old (v1) folder tree
+V1_FILE = ("struct<name:string,type:string,mimeType:string,id:string,path:string,webContentLink:string>")
+V1_FOLDER = f"struct<name:string,type:string,id:string,path:string,children:array<{V1_FILE}>>"
+V1_STATE = (f"pos long, name string, type string, id string, path string, "
+            f"children array<struct<name:string,type:string,mimeType:string,id:string,path:string,"
+            f"webContentLink:string,children:array<{V1_FILE}>>>")
+
+
+def flatten_tree_v1(spark: SparkSession, path: str) -> DataFrame:
+    """Old tree (JSON lines of state nodes, depth state > folder > file) -> one row per child
+    of every folder, with the folder's depth-first order and lower-cased name."""
+    st = spark.read.schema(V1_STATE).json(path)
+    state_level = st.select(F.struct(F.col("pos").alias("s"), F.lit(-1).alias("f")).alias("order"), F.lower("name").alias("folder"),
+                            F.col("type").alias("folder_type"), F.explode("children").alias("c"))
+    sub = (st.select("pos", F.posexplode("children").alias("fp", "f"))
+           .where(F.col("f.type") == "folder")
+           .select(F.struct(F.col("pos").alias("s"), F.col("fp").alias("f")).alias("order"), F.lower("f.name").alias("folder"),
+                   F.col("f.type").alias("folder_type"), F.explode("f.children").alias("c")))
+    cols = ["order", "folder", "folder_type", F.col("c.name").alias("name"), F.col("c.type").alias("type"),
+            F.col("c.mimeType").alias("mime"), F.col("c.id").alias("id"), F.col("c.path").alias("path"),
+            F.col("c.webContentLink").alias("link")]
+    return state_level.select(*cols).unionByName(sub.select(*cols))
+
+
+def scan_image_tree_v1(children: DataFrame, keys: DataFrame, key_col: str = "key") -> DataFrame:
+    """Images of the first folder (depth-first) whose lower-cased name equals each key: image
+    files with a link, '&export=download' and '?usp=drivesdk' removed."""
+    folders = children.where(F.col("folder_type") == "folder").select("order", "folder").distinct()
+    k = keys.select(F.lower(F.trim(key_col)).alias("folder")).distinct()
+    first = folders.join(k, "folder").groupBy("folder").agg(F.min("order").alias("order"))
+    imgs = (children.join(first, ["folder", "order"], "left_semi")
+            .where((F.col("type") == "file") & F.coalesce(F.col("mime").startswith("image/"), F.lit(False))
+                   & F.col("link").isNotNull()))
+    url = F.replace(F.replace("link", F.lit("&export=download"), F.lit("")), F.lit("?usp=drivesdk"), F.lit(""))
+    return imgs.select(F.col("folder").alias("key"), "name", url.alias("url"))
+
+
+# Download link template of a file id.
+DOWNLOAD_URL = "https://drive.google.com/uc?id={}&export=download"
+
+
+def lookup_image_by_path(children: DataFrame, paths: DataFrame, path_col: str = "path") -> DataFrame:
+    """File node by full path (first in depth-first order) -> download link; miss -> null."""
+    pre, post = DOWNLOAD_URL.split("{}")
+    files = (children.where((F.col("type") == "file") & F.col("path").isNotNull())
+             .groupBy("path").agg(F.min_by("id", "order").alias("id")))
+    j = paths.select(F.col(path_col).alias("path")).join(files, "path", "left")
+    return j.select("path", F.when(F.col("id").isNotNull(), F.concat(F.lit(pre), F.col("id"), F.lit(post))).alias("url"))

@@ -1933,3 +1933,87 @@ def q_decode_numeric_codes(spark, sf):
         F.col("situacion").cast("string").alias("situacion"))
     return decode_numeric_codes(rec, {"estado": "states", "situacion": "statuses"},
                                 {"states": dims.states_dim(spark), "statuses": dims.statuses_dim(spark)})[0]
+
+
+def _tree_v1(spark, sf) -> str:
+    """Old-format folder tree derived from the panel (year 1999): state > facility folder
+    (name = key, alternating case) > monthly files (one non-image, links in two styles)."""
+    import uuid
+    from ..session import scratch_path
+    p = panel(spark, sf).where(F.col("anio") == 1999)
+    fid = F.concat("clave", F.lit("_"), F.col("mes").cast("string"))
+    link = F.when(F.col("mes") % 2 == 0, F.concat(F.lit("https://drive.example/uc?id="), fid, F.lit("&export=download"))) \
+        .otherwise(F.concat(F.lit("https://drive.example/file/"), fid, F.lit("?usp=drivesdk")))
+    fname = F.concat(F.lit("foto_"), F.lpad(F.col("mes").cast("string"), 2, "0"), F.lit(".jpg"))
+    f = F.struct(fname.alias("name"), F.lit("file").alias("type"),
+                 F.when(F.col("mes") == 6, F.lit("application/pdf")).otherwise(F.lit("image/jpeg")).alias("mimeType"),
+                 fid.alias("id"), F.concat("estado", F.lit("/"), "clave", F.lit("/"), fname).alias("path"),
+                 link.alias("webContentLink"))
+    folders = (p.groupBy("estado_id", "estado", "clave")
+               .agg(F.sort_array(F.collect_list(F.struct("mes", f.alias("f")))).alias("fs"))  # <= 12 per folder
+               .select("estado_id", "estado", "clave", F.struct(
+                   F.when(F.col("estado_id") % 2 == 0, F.col("clave")).otherwise(F.lower("clave")).alias("name"),
+                   F.lit("folder").alias("type"), F.lit(None).cast("string").alias("mimeType"), F.col("clave").alias("id"),
+                   F.concat("estado", F.lit("/"), "clave").alias("path"), F.lit(None).cast("string").alias("webContentLink"),
+                   F.transform("fs", lambda x: x["f"]).alias("children")).alias("folder")))
+    per_state = folders.groupBy("estado_id").agg(F.count(F.lit(1)).alias("n"))
+    nodes = (folders.join(F.broadcast(per_state), "estado_id")  # one row per group
+             .withColumn("chunk", F.pmod(F.xxhash64("clave"), F.greatest(F.ceil(F.col("n") / 500), F.lit(1))))
+             .groupBy("estado_id", "estado", "chunk")
+             .agg(F.sort_array(F.collect_list(F.struct("clave", "folder"))).alias("fs"))
+             .select((F.col("estado_id").cast("long") * 1000 + F.col("chunk")).alias("pos"), F.col("estado").alias("name"),
+                     F.lit("folder").alias("type"), F.col("estado_id").cast("string").alias("id"),
+                     F.col("estado").alias("path"), F.transform("fs", lambda x: x["folder"]).alias("children")))
+    path = scratch_path(spark, f"treev1-{uuid.uuid4().hex[:12]}")
+    nodes.write.json(path)
+    return path
+
+
+V1_SQL = """
+, v1 AS (SELECT lower(clave) AS key, 'foto_' || lpad(CAST(mes AS VARCHAR), 2, '0') || '.jpg' AS name,
+                CASE WHEN mes % 2 = 0 THEN 'https://drive.example/uc?id=' || clave || '_' || CAST(mes AS VARCHAR)
+                     ELSE 'https://drive.example/file/' || clave || '_' || CAST(mes AS VARCHAR) END AS url, mes, clave, estado
+         FROM panel WHERE anio = 1999)
+"""
+
+
+@register("scan_image_tree_v1", ol(V1_SQL + """
+SELECT v1.key, v1.name, v1.url FROM v1 WHERE v1.mes <> 6 AND v1.key IN (SELECT lower(clave) FROM latest)"""))
+def q_scan_image_tree_v1(spark, sf):
+    from ..operators.images import flatten_tree_v1, scan_image_tree_v1
+    ch = flatten_tree_v1(spark, _tree_v1(spark, sf))
+    return scan_image_tree_v1(ch, _latest(spark, sf).select(F.col("clave").alias("key")))
+
+
+@register("lookup_image_by_path", ol(V1_SQL + """
+SELECT l.estado || '/' || l.clave || '/foto_03.jpg' AS path,
+       CASE WHEN v1.clave IS NOT NULL THEN 'https://drive.google.com/uc?id=' || v1.clave || '_3&export=download' END AS url
+FROM latest l LEFT JOIN v1 ON v1.clave = l.clave AND v1.mes = 3"""))
+def q_lookup_image_by_path(spark, sf):
+    from ..operators.images import flatten_tree_v1, lookup_image_by_path
+    ch = flatten_tree_v1(spark, _tree_v1(spark, sf))
+    paths = _latest(spark, sf).select(F.concat("estado", F.lit("/"), "clave", F.lit("/foto_03.jpg")).alias("path"))
+    return lookup_image_by_path(ch, paths)
+
+
+@register("incremental_image_sync", oracle(IMAGES_SQL + """
+SELECT CASE WHEN mes > 8 THEN 'new' WHEN mes = 3 THEN 'updated' ELSE 'unchanged' END AS status, COUNT(*) AS files
+FROM img GROUP BY 1"""))
+def q_incremental_image_sync(spark, sf):
+    """Two rescans of the image tree land as snapshots; the stream merges them in order and the
+    status counts of the second merge are returned."""
+    import time
+    import uuid
+    from ..session import scratch_path
+    from ..streaming.incremental import incremental_image_sync
+    base = scratch_path(spark, f"imgsync-{uuid.uuid4().hex[:12]}")
+    imgs = _images(spark, sf).drop("folder_order")
+    imgs.where(F.substring("modified", 6, 2).cast("int") <= 8).coalesce(1).write.parquet(f"{base}/snap/s1")
+    time.sleep(1.1)  # the file source orders snapshots by modification time
+    imgs.withColumn("modified", F.when(F.substring("modified", 6, 2) == "03", F.lit("2000-03-15"))
+                    .otherwise(F.col("modified"))).coalesce(1).write.parquet(f"{base}/snap/s2")
+    schema = spark.read.parquet(f"{base}/snap/s1").schema
+    incremental_image_sync(spark, f"{base}/snap/*", schema, f"{base}/table", f"{base}/_checkpoint")
+    counts = spark.read.parquet(f"{base}/table_counts")
+    last = counts.agg(F.max("epoch")).scalar()
+    return counts.where(F.col("epoch") == last).select("status", "files")

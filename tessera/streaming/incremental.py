@@ -47,3 +47,37 @@ def incremental_period_load(spark: SparkSession, source_dir: str, schema, panel_
     q = (reader.parquet(source_dir).writeStream.foreachBatch(load)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def incremental_image_sync(spark: SparkSession, snapshots_dir: str, schema, table_dir: str, checkpoint: str) -> None:
+    """Each new rescan snapshot (flattened image rows) is merged into the keyed image table:
+    unchanged files keep their cached name/size, new and updated ones take the new values.
+    Every batch writes a new table version (``v=<epoch>``, overwrite: a replay rewrites the
+    same version) and its status counts (``counts/epoch=<epoch>``)."""
+    from ..operators.images import image_sync_merge
+
+    def merge(batch: DataFrame, epoch_id: int) -> None:
+        if batch.isEmpty():
+            return
+        prev = _latest_version(spark, table_dir, before=epoch_id)
+        old = prev if prev is not None else batch.limit(0)
+        merged, counts = image_sync_merge(old, batch)
+        merged.write.mode("overwrite").parquet(f"{table_dir}/v={epoch_id}")
+        counts.withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite").parquet(
+            f"{table_dir}_counts/epoch={epoch_id}")
+
+    q = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(snapshots_dir)
+         .writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def _latest_version(spark: SparkSession, table_dir: str, before: int):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(table_dir)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return None
+    versions = [int(s.getPath().getName()[2:]) for s in fs.listStatus(p) if s.getPath().getName().startswith("v=")]
+    versions = [v for v in versions if v < before]
+    return spark.read.parquet(f"{table_dir}/v={max(versions)}") if versions else None

@@ -66,25 +66,39 @@ def radius_join(points: DataFrame, facilities: DataFrame, radius_km: float, b: B
 
 
 def nearest_facility(points: DataFrame, facilities: DataFrame, max_km: float = 5000.0,
-                     b: Binding = DEFAULT, start_km: float = 25.0, growth: float = 4.0) -> DataFrame:
+                     b: Binding = DEFAULT, start_km: float | None = None, growth: float = 4.0) -> DataFrame:
     """Single closest facility per point within ``max_km`` (ranked on the distance rounded to
     2 dec., then key [D9]).
 
-    Expanding rings: a radius join at ``start_km``; only the points still without a hit are
-    searched again with the radius multiplied by ``growth``, up to ``max_km``. Exact (the grid
-    finds every facility within the current radius) without pairing every point with every
-    facility. Each round is one distributed join; the loop only counts the remaining points."""
+    Expanding rings: a radius join at a start radius (by default twice the typical
+    nearest-neighbour spacing, from one aggregate over the facilities: bounding box and
+    count); only the points still without a hit are searched again with the radius multiplied
+    by ``growth``, up to ``max_km``. Exact (the grid finds every facility within the current
+    radius) without pairing every point with every facility. Each round is one distributed
+    join; resolved rounds are checkpointed to the shared folder so the final union does not
+    recompute them."""
+    if start_km is None:
+        st = facilities.where(F.col(b.lat).isNotNull() & F.col(b.lng).isNotNull()).agg(
+            F.count(F.lit(1)).alias("n"), F.min(b.lat).alias("a"), F.max(b.lat).alias("b"),
+            F.min(b.lng).alias("c"), F.max(b.lng).alias("d")).first()
+        if not st["n"]:
+            start_km = max_km
+        else:
+            mid = math.radians((st["a"] + st["b"]) / 2)
+            area = max((st["b"] - st["a"]) * KM_PER_DEG * (st["d"] - st["c"]) * KM_PER_DEG * math.cos(mid), 1.0)
+            start_km = 2 * math.sqrt(area / (math.pi * st["n"]))
     pending = points.select("point_id", "lat", "lng")
     found = None
-    r = min(start_km, max_km)
+    r = min(max(start_km, 1.0), max_km)
     while True:
         hits = radius_join(pending, facilities, r, b)
         best = (hits.groupBy("point_id")
                 .agg(F.min_by(F.struct("facility", "distance_km"), F.struct("distance_km", "facility")).alias("n"))
                 .select("point_id", "n.facility", "n.distance_km"))
-        best = best.checkpoint() if r < max_km else best
+        last = r >= max_km
+        best = best if last else best.checkpoint()
         found = best if found is None else found.unionByName(best)
-        if r >= max_km:
+        if last:
             break
         pending = pending.join(best.select("point_id"), "point_id", "left_anti")
         if pending.limit(1).count() == 0:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from ..binding import DEFAULT, Binding
 from ..functions.numbers import pct_int
@@ -35,11 +36,13 @@ def report_by_group(df: DataFrame, dim: DataFrame, b: Binding = DEFAULT, mode: s
               F.count_if(op).cast("bigint").alias("operating"),
               F.count_if(op & flt.connected_strict(b)).cast("bigint").alias("connected"),
               *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(f"sum_{c}") for c in lv]))
-    g = g.withColumn("sum_total", sum((F.col(f"sum_{c}") for c in lv), F.lit(0)).cast("bigint"))
-    national = g.agg(F.sum("sum_total").cast("bigint")).scalar()
-    g = (g.withColumn("pct_connected", pct_int(F.col("connected"), F.col("operating"), 1))
-         .withColumn("pct_of_national", pct_int(F.col("sum_total"), national, 2))
-         .withColumn("national_total", F.coalesce(national, F.lit(0)).cast("bigint")))
+    g = g.select("*", sum((F.col(f"sum_{c}") for c in lv), F.lit(0)).cast("bigint").alias("sum_total"))
+    # the national total is a window over the aggregated rows (one per group, a bounded set):
+    # no second scan of the panel
+    national = F.sum("sum_total").over(Window.partitionBy()).cast("bigint")
+    g = g.select("*", national.alias("national_total"))
+    g = g.select("*", pct_int(F.col("connected"), F.col("operating"), 1).alias("pct_connected"),
+                 pct_int(F.col("sum_total"), F.col("national_total"), 2).alias("pct_of_national"))
     return dim_decode(g, b.group_id, dim, "group_name", "Estado_")
 
 
@@ -142,3 +145,23 @@ def report_general_stats(latest: DataFrame, b: Binding = DEFAULT) -> DataFrame:
               (("most_facilities", "most"), ("least_facilities", "least"), ("best_connectivity_pct", "conn"),
                ("best_operating_pct", "opr"), ("highest_suspension_pct", "susp"))]]
     return a.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def report_group_detail(latest: DataFrame, group_name: str, measures: list[str], b: Binding = DEFAULT) -> DataFrame:
+    """Facility rows of one group (text 'N/D' when missing, measures as truncated ints), each
+    with its municipality's totals (from the municipality rollup, one row per municipality)
+    and, per measure, whether the facility leads the group (largest value, ties by key)."""
+    from ..functions.numbers import trunc_int
+    from ..operators.aggregates import municipality_rollup
+    from ..operators.ranking import leader_per_measure
+    rows = latest.where(F.col(b.group_name) == F.lit(group_name))
+    nd = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("N/D"))
+    fac = rows.select(nd(b.facility).alias("facility"), nd(b.name).alias("name"),
+                      F.col(b.municipality).alias("municipality"), *[trunc_int(m).alias(m) for m in measures])
+    muni = (municipality_rollup(rows, measures, b).where(F.col("is_total") == 0)
+            .select("municipality", F.col("facilities").alias("muni_facilities"),
+                    *[F.col(f"sum_{m}").alias(f"muni_sum_{m}") for m in measures]))
+    leaders = leader_per_measure(rows.withColumn(b.facility, nd(b.facility)), measures, b)
+    flags = [F.coalesce(F.col("facility") == leaders.where(F.col("measure") == m).select("leader").scalar(),
+                        F.lit(False)).alias(f"leads_{m}") for m in measures]
+    return fac.join(muni, "municipality", "left").select("*", *flags)

@@ -2017,3 +2017,22 @@ def q_incremental_image_sync(spark, sf):
     counts = spark.read.parquet(f"{base}/table_counts")
     last = counts.agg(F.max("epoch")).scalar()
     return counts.where(F.col("epoch") == last).select("status", "files")
+
+
+DETAIL_MS = ["cn_inicial", "cn_prim", "cn_sec", "cn_total"]
+
+
+@register("report_group_detail", ol(f"""
+, r AS (SELECT * FROM latest WHERE estado = 'NATION_3'),
+  m AS (SELECT municipio, COUNT(*) AS muni_facilities,
+               {", ".join(f"CAST(trunc(COALESCE(SUM(COALESCE(TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE), 0.0)), 0.0)) AS BIGINT) AS muni_sum_{c}" for c in DETAIL_MS)}
+        FROM r GROUP BY municipio),
+  ld AS (SELECT {", ".join(f"arg_min(COALESCE(trim(clave), 'N/D'), (-COALESCE({c}, 0), COALESCE(trim(clave), 'N/D'))) AS l_{c}" for c in DETAIL_MS)} FROM r)
+SELECT COALESCE(trim(r.clave), 'N/D') AS facility, COALESCE(trim(r.nombre), 'N/D') AS name, r.municipio AS municipality,
+       {", ".join(f"COALESCE(CAST(trunc(TRY_CAST(CAST(r.{c} AS VARCHAR) AS DOUBLE)) AS BIGINT), 0) AS {c}" for c in DETAIL_MS)},
+       m.muni_facilities, {", ".join(f"m.muni_sum_{c}" for c in DETAIL_MS)},
+       {", ".join(f"COALESCE(COALESCE(trim(r.clave), 'N/D') = (SELECT l_{c} FROM ld), false) AS leads_{c}" for c in DETAIL_MS)}
+FROM r LEFT JOIN m ON m.municipio = r.municipio"""))
+def q_report_group_detail(spark, sf):
+    from .reports import report_group_detail
+    return report_group_detail(_latest(spark, sf), "NATION_3", DETAIL_MS, B)

@@ -172,14 +172,17 @@ def write_panel(df: DataFrame, path: str, files_per_period: int = 1) -> None:
      .partitionBy("period_key").parquet(path))
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def panel(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> DataFrame:
     """The panel as a written table under the shared checkpoint folder (built once per input
     fingerprint, then read back): the prepared, period-partitioned dataset every report reads."""
     key = (id(spark), sf_dir)
-    if key in _PANELS:
+    if key in _PANELS and not rebuild:
         return _PANELS[key]
     path = scratch_path(spark, f"panel-{_fingerprint(sf_dir)}")
-    if not _exists(spark, path):
+    if rebuild:
+        import uuid
+        path = scratch_path(spark, f"panel-{_fingerprint(sf_dir)}-{uuid.uuid4().hex[:8]}")
+    if rebuild or not _exists(spark, path):
         fpp = int(spark.conf.get("tessera.panel.filesPerPeriod", "1"))
         write_panel(derive_panel(spark, sf_dir), path, fpp)
     df = spark.read.parquet(path)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..binding import DEFAULT, Binding
-from ..functions.numbers import clamp_nonneg, pct_change, pct_int
+from ..functions.numbers import clamp_nonneg, pct_change, pct_expr, pct_int
 from ..functions.text import norm_text, norm_text_lit
 from ..operators import filters as flt
 from ..operators.dims import dim_decode
@@ -30,14 +30,19 @@ def compare_by_group(df: DataFrame, p1: int, p2: int, dim: DataFrame, b: Binding
     compare measure v1, v2, delta, pct (2 dec., 0 when v1 = 0). Optional group-name filter:
     an unknown name gives an empty result [D5]."""
     pc = period_col or b.period
-    in1, in2 = F.col(pc) == F.lit(p1), F.col(pc) == F.lit(p2)
     src = df.where(F.col(pc).isin(p1, p2) & F.col(b.group_id).isNotNull())
-    aggs = [F.count_if(in1).cast("bigint").alias("facilities_p1"),
-            F.count_if(in2).cast("bigint").alias("facilities_p2"),
-            F.count_if(in2 & flt.operating(b)).cast("bigint").alias("operating_p2")]
+    # the conditional aggregates are written as SQL text: one driver call per column
+    q = lambda c: f"`{c}`"
+    in1, in2 = f"{q(pc)} = {int(p1)}", f"{q(pc)} = {int(p2)}"
+    val = (lambda c: f"greatest(coalesce(CAST({q(c)} AS BIGINT), 0L), 0L)") if clamp_negative else \
+        (lambda c: f"coalesce(CAST({q(c)} AS BIGINT), 0L)")
+    aggs = [F.expr(f"CAST(count_if({in1}) AS BIGINT)").alias("facilities_p1"),
+            F.expr(f"CAST(count_if({in2}) AS BIGINT)").alias("facilities_p2"),
+            F.expr(f"CAST(count_if({in2} AND coalesce({q(b.status)} = {int(b.operating_code)}, false)) AS BIGINT)")
+             .alias("operating_p2")]
     for o, c in b.compare_measures:
-        aggs.append(F.coalesce(F.sum(F.when(in1, _val(c, clamp_negative))), F.lit(0)).cast("bigint").alias(f"{o}_p1"))
-        aggs.append(F.coalesce(F.sum(F.when(in2, _val(c, clamp_negative))), F.lit(0)).cast("bigint").alias(f"{o}_p2"))
+        aggs.append(F.expr(f"CAST(coalesce(sum(CASE WHEN {in1} THEN {val(c)} END), 0L) AS BIGINT)").alias(f"{o}_p1"))
+        aggs.append(F.expr(f"CAST(coalesce(sum(CASE WHEN {in2} THEN {val(c)} END), 0L) AS BIGINT)").alias(f"{o}_p2"))
     g = src.groupBy(b.group_id).agg(*aggs)
     g = g.select("*", *_deltas(b))
     g = dim_decode(g, b.group_id, dim, "group_name", "Estado_")
@@ -48,10 +53,10 @@ def compare_by_group(df: DataFrame, p1: int, p2: int, dim: DataFrame, b: Binding
 
 def _deltas(b: Binding) -> list[Column]:
     """Derived delta / % columns, built as one projection (no withColumn chains)."""
-    out = [(F.col("facilities_p2") - F.col("facilities_p1")).alias("facilities_delta")]
+    out = [F.expr("facilities_p2 - facilities_p1").alias("facilities_delta")]
     for o, _ in b.compare_measures:
-        out.append((F.col(f"{o}_p2") - F.col(f"{o}_p1")).alias(f"{o}_delta"))
-        out.append(pct_change(F.col(f"{o}_p1"), F.col(f"{o}_p2")).alias(f"{o}_pct"))
+        out.append(F.expr(f"`{o}_p2` - `{o}_p1`").alias(f"{o}_delta"))
+        out.append(pct_expr(f"`{o}_p2` - `{o}_p1`", f"`{o}_p1`").alias(f"{o}_pct"))
     return out
 
 

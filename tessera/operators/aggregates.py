@@ -92,9 +92,10 @@ STATUS_CODES = (0, 1, 2, 3, 4)
 def status_pivot(df: DataFrame, b: Binding = DEFAULT, codes=STATUS_CODES) -> DataFrame:
     """Distinct facilities per group x status (explicit pivot values: stable schema, no extra
     job), row total, and operating / suspended shares (2 dec.)."""
-    p = (df.groupBy(b.group_name)
-         .pivot(b.status, list(codes))
-         .agg(F.count_distinct(b.facility)))
+    # distinct (group, status, key) first: one shuffle spread over all keys, then a plain
+    # pivoted count (partial aggregation), instead of one distinct aggregate per pivot value
+    p = (df.select(b.group_name, b.status, b.facility).where(F.col(b.facility).isNotNull()).distinct()
+         .groupBy(b.group_name).pivot(b.status, list(codes)).count())
     names = {str(c): f"status_{c}" for c in codes}
     p = p.select(b.group_name, *[F.coalesce(F.col(k), F.lit(0)).cast("bigint").alias(v) for k, v in names.items()])
     total = sum((F.col(v) for v in names.values()), F.lit(0))

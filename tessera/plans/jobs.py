@@ -14,8 +14,15 @@ def job_clean_panel(spark: SparkSession, raw_path: str, out_path: str | None = N
                     sep: str | None = None) -> tuple[DataFrame, list[tuple]]:
     """Read a raw delimited file, resolve headers, type every field, add ``period_key``.
     Writes the partitioned panel when ``out_path`` is given. Returns (panel, alias report)."""
+    from ..operators.schema import detect_period_columns
     raw = clean.trim_column_names(scan_delimited(spark, raw_path, sep))
     mapping, report = clean.resolve_aliases(raw.columns)
+    if "mes" not in mapping.values() or "anio" not in mapping.values():
+        # no alias matched: fall back to the period-column detection (numeric month column)
+        month, year = detect_period_columns(raw)
+        for src, field in ((month, "mes"), (year, "anio")):
+            if src and field not in mapping.values():
+                mapping[src] = field
     typed = clean.standardise_types(clean.apply_aliases(raw, mapping))
     typed = typed.withColumn("period_key", period_key("anio", "mes"))
     if out_path:
@@ -32,3 +39,17 @@ def job_image_index(images: DataFrame) -> DataFrame:
             .agg(F.min("state_id").alias("state_id"), F.min("alias").alias("alias"),
                  F.count(F.lit(1)).alias("images"), F.min("file_id").alias("first_file"),
                  F.max("file_id").alias("last_file")))
+
+
+# Accepted headers per role of the coordinate export (first match wins).
+COORD_ROLES = {"key": ("clave", "clave_plaza", "clave plaza"), "lat": ("lat", "latitud", "latitude"),
+               "lng": ("lng", "longitud", "longitude", "lon"), "name": ("nombre", "nombre_pc"),
+               "group": ("estado", "entidad"), "municipality": ("municipio",)}
+
+
+def job_export_coordinates(raw: DataFrame, order_col: str):
+    """Raw table -> validated unique coordinates, rejects and counters; columns found by role."""
+    from ..operators.schema import resolve_role
+    roles = resolve_role(raw.columns, COORD_ROLES, required=("key", "lat", "lng"))
+    extra = tuple(roles[r] for r in ("name", "group", "municipality") if roles[r])
+    return clean.export_coordinates(raw, roles["key"], roles["lat"], roles["lng"], order_col, extra)

@@ -1361,8 +1361,9 @@ def _raw_coords(spark, sf):
 
 
 def _export(spark, sf):
-    from ..operators.clean import export_coordinates
-    return export_coordinates(_raw_coords(spark, sf), "clave", "lat_raw", "lng_raw", "period_key", ("estado", "municipio"))
+    from .jobs import job_export_coordinates
+    raw = _raw_coords(spark, sf).withColumnRenamed("lat_raw", "Latitud").withColumnRenamed("lng_raw", "Longitud")
+    return job_export_coordinates(raw, "period_key")
 
 
 @register("coordinate_validity", oracle(RAW_COORDS_SQL + "SELECT key_clean, period_key, reason FROM rs"))
@@ -2036,3 +2037,53 @@ FROM r LEFT JOIN m ON m.municipio = r.municipio"""))
 def q_report_group_detail(spark, sf):
     from .reports import report_group_detail
     return report_group_detail(_latest(spark, sf), "NATION_3", DETAIL_MS, B)
+
+
+# ------------------------------------------------------- second names of paired inventory rows
+@register("furniture_sums", ol(f"""
+SELECT {", ".join(f"CAST(trunc(COALESCE(SUM(COALESCE(TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE), 0.0)), 0.0)) AS BIGINT) AS sum_{c}"
+                  for c in ["inc_total", "aten_total", "lat"])} FROM latest"""))
+def q_furniture_sums(spark, sf):
+    return ag.coerced_sums(_latest(spark, sf), ["inc_total", "aten_total", "lat"])
+
+
+@register("clean_string", oracle("""
+SELECT clave, period_key, CASE WHEN lower(COALESCE(trim(conectividad), '')) IN ('nan','none','nat') THEN ''
+                               ELSE COALESCE(trim(conectividad), '') END AS conect_clean FROM panel"""))
+def q_clean_string(spark, sf):
+    return panel(spark, sf).select("clave", "period_key", tx.clean_string("conectividad").alias("conect_clean"))
+
+
+@register("parse_period_key", oracle("""
+SELECT DISTINCT period_key, CAST(period_key // 100 AS INTEGER) AS year, lpad(CAST(period_key % 100 AS VARCHAR), 2, '0') AS month FROM panel"""))
+def q_parse_period_key(spark, sf):
+    y, m = pe.parse_period_key("period_key")
+    return panel(spark, sf).select("period_key", y.alias("year"), m.alias("month")).distinct()
+
+
+@register("month_name", oracle(f"""
+SELECT DISTINCT mes, {pe.month_name_sql('mes')} AS name, {pe.month_name_sql('mes + 6')} AS name_shifted FROM panel"""))
+def q_month_name(spark, sf):
+    return panel(spark, sf).select("mes", pe.month_name("mes").alias("name"),
+                                   pe.month_name(F.col("mes") + 6).alias("name_shifted")).distinct()
+
+
+@register("format_delta", oracle(CMP + f"""
+SELECT group_name, CASE WHEN cn_total_delta > 0 THEN '+' ELSE '' END || format('{{:,}}', cn_total_delta) AS delta_text,
+       CASE WHEN cn_total_delta > 0 THEN 'positive' WHEN cn_total_delta < 0 THEN 'negative' ELSE 'neutral' END AS sign_class
+FROM cg"""))
+def q_format_delta(spark, sf):
+    from ..functions.labels import delta_text, sign_class
+    return _cmp(spark, sf).select("group_name", delta_text(F.col("cn_total_delta")).alias("delta_text"),
+                                  sign_class(F.col("cn_total_delta")).alias("sign_class"))
+
+
+@register("file_url", oracle(IMAGES_SQL + "SELECT file_id, 'https://drive.google.com/thumbnail?id=' || file_id || '&sz=w800' AS thumbnail FROM img"))
+def q_file_url(spark, sf):
+    from ..operators.images import file_url
+    return _images(spark, sf).select("file_id", file_url("file_id").alias("thumbnail"))
+
+
+@register("compare_trends", QUERIES["top3_growth_per_level"][1])
+def q_compare_trends(spark, sf):
+    return q_top3_growth(spark, sf)

@@ -87,11 +87,44 @@ def _grams(s: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(ln - n + 1, F.lit(1))), lambda i: F.substring(s, i, n))
 
 
+GRAM = 3
+
+
+def _all_grams(df: DataFrame, col: str) -> DataFrame:
+    """Distinct grams of lengths 1..GRAM of ``col``, one row each (g, gl)."""
+    arrs = [F.transform(_grams(F.col(col), L), lambda g: F.struct(g.alias("g"), F.length(g).alias("gl")))
+            for L in range(1, GRAM + 1)]
+    return df.select("*", F.explode(F.array_distinct(F.flatten(F.array(*arrs)))).alias("x")).select(
+        *df.columns, "x.*").where(F.col("gl") > 0)
+
+
+def _gram_freq(grams: DataFrame, owner: str) -> DataFrame:
+    """How many strings contain each gram; at most (alphabet size)^GRAM rows, size-checked
+    before it is broadcast."""
+    from ..sources.tables import bounded_broadcast
+    return bounded_broadcast(grams.groupBy("g", "gl").agg(F.count_distinct(owner).alias("df")), 2_000_000)
+
+
+def _rarest_probe(df: DataFrame, col: str, freq: DataFrame) -> DataFrame:
+    """For each string: its rarest gram of length min(len, GRAM) by ``freq`` (a gram absent
+    from ``freq`` has frequency 0, so the string then matches nothing). Every gram of a
+    contained string occurs in the containing one, so this single probe finds all partners."""
+    gl = F.least(F.length(col), F.lit(GRAM))
+    own = df.select("*", F.explode(F.array_distinct(
+        F.transform(F.sequence(F.lit(1), F.length(col) - gl + 1), lambda i: F.substring(col, i, GRAM)))).alias("g"))
+    own = own.select("*", F.length("g").alias("gl")).where(F.col("gl") == gl)
+    j = own.join(freq, ["g", "gl"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    keep = [c for c in df.columns]
+    best = j.groupBy(*keep).agg(F.min_by(F.struct("g", "gl"), F.struct("df", "g")).alias("p"))
+    return best.select(*keep, "p.g", "p.gl")
+
+
 def image_lookup_cascade(queries: DataFrame, images: DataFrame, q_col: str = "query") -> DataFrame:
     """Per query: exact key, else alias, else containment either way with the smallest length
     difference (ties by key). Containment candidates come from an equi-join on 3-grams (the
-    shorter string's first n-gram must occur in the longer one), then are verified: exact, no
-    all-pairs product. Returns (query, key, method); unresolved queries get null."""
+    shorter string's rarest n-gram must occur in the longer one), then are verified: exact, and
+    each string meets only the partners sharing its rarest gram, not all pairs.
+    Returns (query, key, method); unresolved queries get null."""
     keys = images.select("key").distinct()
     q = queries.select(F.col(q_col).alias("query"), F.lower(F.trim(q_col)).alias("qn"))
     exact = q.join(keys.withColumnRenamed("key", "qn"), "qn", "left_semi").select("query", F.col("qn").alias("key"),
@@ -100,20 +133,15 @@ def image_lookup_cascade(queries: DataFrame, images: DataFrame, q_col: str = "qu
     al = rest.join(alias_index(images).withColumnRenamed("alias", "qn"), "qn").select(
         "query", "key", F.lit("alias").alias("method"))
     rest = rest.join(al.select("query"), "query", "left_anti")
-    n = 3
-    # q inside key: q's first min(len, n) characters occur as a gram of that length in key
-    kg = keys.select("key", F.explode(F.array_distinct(F.flatten(F.array(
-        *[F.transform(_grams(F.col("key"), L), lambda g: F.struct(g.alias("g"), F.length(g).alias("gl")))
-          for L in range(1, n + 1)])))).alias("x")).select("key", "x.*")
     rq = rest.where(F.length("qn") > 0)
-    c1 = (rq.select("query", "qn", F.substring("qn", 1, n).alias("g"), F.least(F.length("qn"), F.lit(n)).alias("gl"))
+    kg = _all_grams(keys, "key")
+    qg = _all_grams(rq.select("query", "qn"), "qn")
+    # q inside key: every gram of q occurs in key; probe with q's rarest gram among the keys
+    c1 = (_rarest_probe(rq.select("query", "qn"), "qn", _gram_freq(kg, "key"))
           .join(kg, ["g", "gl"]).where(F.col("key").contains(F.col("qn"))))
-    # key inside q: key's first min(len, n) characters occur as a gram of that length in q
-    qg = rq.select("query", "qn", F.explode(F.array_distinct(F.flatten(F.array(
-        *[F.transform(_grams(F.col("qn"), L), lambda g: F.struct(g.alias("g"), F.length(g).alias("gl")))
-          for L in range(1, n + 1)])))).alias("x")).select("query", "qn", "x.*")
-    kp = keys.select("key", F.substring("key", 1, n).alias("g"), F.least(F.length("key"), F.lit(n)).alias("gl"))
-    c2 = qg.join(kp, ["g", "gl"]).where(F.col("qn").contains(F.col("key")))
+    # key inside q: probe with the key's rarest gram among the queries
+    c2 = (_rarest_probe(keys, "key", _gram_freq(qg, "qn"))
+          .join(qg, ["g", "gl"]).where(F.col("qn").contains(F.col("key"))))
     cand = c1.select("query", "qn", "key").unionByName(c2.select("query", "qn", "key"))
     part = (cand.withColumn("score", F.abs(F.length("key") - F.length("qn")))
             .groupBy("query").agg(F.min_by("key", F.struct("score", "key")).alias("key"))

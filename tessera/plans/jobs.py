@@ -27,7 +27,7 @@ def job_clean_panel(spark: SparkSession, raw_path: str, out_path: str | None = N
     typed = typed.withColumn("period_key", period_key("anio", "mes"))
     if out_path:
         from ..sources.panel import sink_panel_partitioned
-        sink_panel_partitioned(typed, out_path, ("period_key",), "clave", 1)
+        sink_panel_partitioned(typed, out_path, ("period_key",), "clave")
         typed = spark.read.parquet(out_path)
     return typed, report
 

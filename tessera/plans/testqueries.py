@@ -1615,7 +1615,7 @@ def q_sink_panel_partitioned(spark, sf):
     from ..session import scratch_path
     from ..sources.panel import sink_panel_partitioned
     path = scratch_path(spark, f"sink-{uuid.uuid4().hex[:12]}")
-    sink_panel_partitioned(panel(spark, sf), path, ("period_key",), "clave", 2)
+    sink_panel_partitioned(panel(spark, sf), path, ("period_key",), "clave", tasks=3)
     return spark.read.parquet(path).groupBy("period_key").agg(F.count(F.lit(1)).alias("rows"))
 
 

@@ -30,15 +30,27 @@ def period_source_union(local: DataFrame, history: DataFrame, period_col: str =
             .unionByName(hist.withColumn("source", F.lit("history")), allowMissingColumns=True))
 
 
+TARGET_FILE_BYTES = 256 << 20
+
+
+def writer_tasks(df: DataFrame, target_bytes: int = TARGET_FILE_BYTES, max_tasks: int = 100_000) -> int:
+    """Number of write tasks from Catalyst's size estimate of the plan (no job)."""
+    from .tables import plan_size_bytes
+    est = plan_size_bytes(df) or target_bytes
+    return int(min(max(est // target_bytes, 1), max_tasks))
+
+
 def sink_panel_partitioned(df: DataFrame, path: str, partition_cols=("period_key",), spread_key: str | None = None,
-                           files_per_partition: int = 1) -> None:
+                           tasks: int | None = None) -> None:
     """Parquet, snappy, partitioned (partitions replace the reference's row-position indexes).
-    Rows of one partition are spread over ``files_per_partition`` writers by a hash of
-    ``spread_key`` so a large month is not written by a single task."""
-    cols = [F.col(c) for c in partition_cols]
-    if spread_key and files_per_partition > 1:
-        cols.append(F.pmod(F.xxhash64(spread_key), F.lit(files_per_partition)))
-    (df.repartition(*cols).write.mode("overwrite").option("compression", "snappy")
+
+    Rows are range-partitioned on (partition columns, ``spread_key``) into ``tasks`` writers
+    (default: estimated size / 256 MiB). Range boundaries come from a sample, so a month that
+    holds a third of all rows is cut across many tasks, each task writes one contiguous slice
+    (few files), and no month is funnelled into a single task."""
+    n = tasks or writer_tasks(df)
+    keys = [F.col(c) for c in partition_cols] + ([F.col(spread_key)] if spread_key else [])
+    (df.repartitionByRange(n, *keys).write.mode("overwrite").option("compression", "snappy")
      .partitionBy(*partition_cols).parquet(path))
 
 

@@ -161,15 +161,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def write_panel(df: DataFrame, path: str, files_per_period: int = 1) -> None:
-    """Write a panel partitioned by period (the reports prune on it). Rows are spread over
-    ``files_per_period`` writers per period by a hash of the facility key, so one month never
-    funnels into a single task at scale."""
-    spread = max(int(files_per_period), 1)
-    out = df.repartition("period_key", F.pmod(F.xxhash64("clave"), F.lit(spread))) if spread > 1 \
-        else df.repartition("period_key")
-    (out.write.mode("overwrite").option("compression", "snappy")
-     .partitionBy("period_key").parquet(path))
+def write_panel(df: DataFrame, path: str, tasks: int | None = None) -> None:
+    """Write a panel partitioned by period (the reports prune on it); range-partitioned
+    writers sized from the plan estimate (see ``sources.panel.sink_panel_partitioned``)."""
+    from .panel import sink_panel_partitioned
+    sink_panel_partitioned(df, path, ("period_key",), "clave", tasks)
 
 
 def panel(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> DataFrame:
@@ -183,8 +179,7 @@ def panel(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> DataFrame:
         import uuid
         path = scratch_path(spark, f"panel-{_fingerprint(sf_dir)}-{uuid.uuid4().hex[:8]}")
     if rebuild or not _exists(spark, path):
-        fpp = int(spark.conf.get("tessera.panel.filesPerPeriod", "1"))
-        write_panel(derive_panel(spark, sf_dir), path, fpp)
+        write_panel(derive_panel(spark, sf_dir), path)
     df = spark.read.parquet(path)
     _PANELS[key] = df
     return df

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..binding import DEFAULT, Binding
@@ -23,43 +23,51 @@ from .ranking import top_k_per
 KM_PER_DEG = math.pi * EARTH_RADIUS_KM / 180.0
 
 
-def cell_steps(radius_km: float, max_abs_lat: float) -> tuple[float, float]:
-    """Cell height/width in degrees so that any pair within ``radius_km`` lies in the same or
-    an adjacent cell. Width: from a >= cos(p1)cos(p2)sin^2(dlng/2) in the haversine formula."""
-    dlat = radius_km / KM_PER_DEG
-    phi = min(max_abs_lat + dlat, 89.9)
-    s = math.sin(radius_km / (2 * EARTH_RADIUS_KM)) / math.cos(math.radians(phi))
-    dlng = 360.0 if s >= 1 else math.degrees(2 * math.asin(s))
-    return dlat * 1.000001, min(dlng * 1.000001, 360.0)
+def _band_width(cy: Column, dlat: float, radius_km: float) -> Column:
+    """Longitude width (degrees) of the cells in latitude band ``cy``: wide enough that two
+    points within ``radius_km`` whose bands differ by at most one fall in the same or adjacent
+    cells. Both points lie in bands cy-1..cy+1, so |lat| <= max(|cy-2|, |cy+3|) * dlat, and the
+    haversine formula gives sin(dlng/2) <= sin(R/2r) / cos(lat_max)."""
+    phi = F.least(F.greatest(F.abs(cy - 2), F.abs(cy + 3)) * dlat, F.lit(89.9))
+    s = math.sin(radius_km / (2 * EARTH_RADIUS_KM)) / F.cos(F.radians(phi))
+    return F.when(s >= 1, F.lit(360.0)).otherwise(F.least(F.degrees(2 * F.asin(s)) * 1.000001, F.lit(360.0)))
 
 
 def radius_join(points: DataFrame, facilities: DataFrame, radius_km: float, b: Binding = DEFAULT,
                 limit_per_point: int | None = None, max_broadcast_points: int = 200_000) -> DataFrame:
     """(point_id, facility key, distance_km rounded to 2 dec.) for every facility within
     ``radius_km`` of each point; nearest first per point (ties by key), optionally the first n.
-    ``points`` has columns point_id, lat, lng."""
+    ``points`` has columns point_id, lat, lng.
+
+    Cells: latitude bands of R/111.2 km; within a band the longitude width follows the band's
+    latitude (``_band_width``), so cells stay small near the equator and still exact near the
+    poles. Each point probes the 3 neighbouring bands x 3 cells (plus the same cells shifted by
+    360 degrees next to the antimeridian). No data-dependent parameter: no extra job."""
+    dlat = radius_km / KM_PER_DEG * 1.000001
     fac = facilities.where(F.col(b.lat).isNotNull() & F.col(b.lng).isNotNull())
-    # the widest latitude sets the cell width (two tiny scalar aggregates on the driver)
-    mx = fac.select(F.max(F.abs(F.col(b.lat))).alias("m")).first()["m"] or 0.0
-    mq = points.select(F.max(F.abs(F.col("lat"))).alias("m")).first()["m"] or 0.0
-    dlat, dlng = cell_steps(radius_km, max(mx, mq))
-    fcell = fac.select(
-        F.col(b.facility).alias("facility"), F.col(b.lat).alias("f_lat"), F.col(b.lng).alias("f_lng"),
-        F.floor(F.col(b.lat) / dlat).cast("bigint").alias("cy"),
-        F.floor((F.col(b.lng) + 180.0) / dlng).cast("bigint").alias("cx"))
-    offs = F.array(*[F.struct(F.lit(i).alias("dy"), F.lit(j).alias("dx")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    fy = F.floor(F.col(b.lat) / dlat).cast("bigint")
+    fcell = (fac.select(F.col(b.facility).alias("facility"), F.col(b.lat).alias("f_lat"),
+                        F.col(b.lng).alias("f_lng"), fy.alias("cy"))
+             .withColumn("cx", F.floor((F.col("f_lng") + 180.0) / _band_width(F.col("cy"), dlat, radius_km))
+                         .cast("bigint")))
+    probes = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(sh).alias("sh"))
+                       for dy in (-1, 0, 1) for dx in (-1, 0, 1) for sh in (0.0, 360.0, -360.0)])
     q = (points.where(F.col("lat").isNotNull() & F.col("lng").isNotNull())
-         .select("point_id", F.col("lat").alias("q_lat"), F.col("lng").alias("q_lng"),
-                 F.floor(F.col("lat") / dlat).cast("bigint").alias("qy"),
-                 F.floor((F.col("lng") + 180.0) / dlng).cast("bigint").alias("qx"), F.explode(offs).alias("o"))
-         .select("point_id", "q_lat", "q_lng", (F.col("qy") + F.col("o.dy")).alias("cy"),
-                 (F.col("qx") + F.col("o.dx")).alias("cx")))
-    q = bounded_broadcast(q, max_broadcast_points * 9)
+         .select("point_id", F.col("lat").alias("q_lat"), F.col("lng").alias("q_lng"), F.explode(probes).alias("o"))
+         .withColumn("cy", F.floor(F.col("q_lat") / dlat).cast("bigint") + F.col("o.dy")))
+    w = _band_width(F.col("cy"), dlat, radius_km)
+    shifted = F.col("q_lng") + F.col("o.sh")
+    # a copy shifted by +-360 degrees is kept only when it lands within one cell of the map
+    q = (q.where((F.col("o.sh") == 0) | ((shifted >= -180.0 - w) & (shifted <= 180.0 + w)))
+         .withColumn("cx", F.floor((shifted + 180.0) / w).cast("bigint") + F.col("o.dx"))
+         .select("point_id", "q_lat", "q_lng", "cy", "cx").distinct())
+    q = bounded_broadcast(q, max_broadcast_points * 27)
     j = fcell.join(q, ["cy", "cx"])
     d = haversine_km("q_lat", "q_lng", "f_lat", "f_lng")
     hits = (j.withColumn("distance_km_exact", d).where(F.col("distance_km_exact") <= F.lit(radius_km))
             .select("point_id", "facility", F.round("distance_km_exact", 2).alias("distance_km"),
                     "distance_km_exact"))
+    # (point, cell) probes are distinct and a facility has one cell: each pair occurs once
     if limit_per_point is not None:
         hits = top_k_per(hits, "point_id", [F.col("distance_km"), F.col("facility")], limit_per_point, "pos")
     return hits

@@ -88,3 +88,19 @@ def test_radius_join_matches_brute_force(spark):
     got = {(r.point_id, r.facility) for r in radius_join(p, f, 300.0, B).collect()}
     want = {(i, k) for i, a, b in pts for k, c, d in fac if haversine_py(a, b, c, d) <= 300.0}
     assert got == want
+
+
+def test_radius_join_global_and_antimeridian(spark):
+    import random
+    from tessera.functions.geo import haversine_py
+    from tessera.operators.nearby import radius_join
+    rnd = random.Random(11)
+    fac = [(f"F{i}", rnd.uniform(-89, 89), rnd.uniform(-180, 180)) for i in range(600)]
+    fac += [("W", 10.0, 179.95), ("E", 10.0, -179.95), ("N", 88.5, 20.0), ("N2", 88.7, -160.0)]
+    pts = [(i, rnd.uniform(-89, 89), rnd.uniform(-180, 180)) for i in range(40)] + [(100, 10.0, 179.99), (101, 88.6, 100.0)]
+    f = spark.createDataFrame(fac, "clave string, lat double, lng double")
+    p = spark.createDataFrame(pts, "point_id int, lat double, lng double")
+    for r in (50.0, 800.0):
+        got = {(x.point_id, x.facility) for x in radius_join(p, f, r, B).collect()}
+        want = {(i, k) for i, a, b in pts for k, c, d in fac if haversine_py(a, b, c, d) <= r}
+        assert got == want, r

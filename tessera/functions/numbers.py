@@ -65,8 +65,8 @@ def pct_int(num, den, scale: int = 2) -> Column:
     n, d = _c(num).cast("bigint"), _c(den).cast("bigint")
     f = 100 * 10 ** scale
     q = idiv(F.abs(n) * (2 * f) + F.abs(d), 2 * F.abs(d))
-    sign = F.signum(n) * F.signum(d)
-    return F.when(d.isNull() | (d == 0), F.lit(0.0)).otherwise(sign * q / float(10 ** scale))
+    sign = (F.signum(n) * F.signum(d)).cast("bigint")  # integer sign: a zero result is +0.0
+    return F.when(d.isNull() | (d == 0), F.lit(0.0)).otherwise((sign * q) / float(10 ** scale))
 
 
 def pct_expr(num: str, den: str, scale: int = 2) -> Column:
@@ -74,8 +74,8 @@ def pct_expr(num: str, den: str, scale: int = 2) -> Column:
     instead of one per sub-expression; same exact integer arithmetic)."""
     f = 100 * 10 ** scale
     n, d = f"CAST(({num}) AS BIGINT)", f"CAST(({den}) AS BIGINT)"
-    return F.expr(f"CASE WHEN {d} IS NULL OR {d} = 0 THEN 0.0D ELSE signum({n}) * signum({d}) * "
-                  f"((abs({n}) * {2 * f} + abs({d})) div (2 * abs({d}))) / {float(10 ** scale)}D END")
+    return F.expr(f"CASE WHEN {d} IS NULL OR {d} = 0 THEN 0.0D ELSE (CAST(signum({n}) * signum({d}) AS BIGINT) * "
+                  f"((abs({n}) * {2 * f} + abs({d})) div (2 * abs({d})))) / {float(10 ** scale)}D END")
 
 
 def pct_int_sql(num: str, den: str, scale: int = 2) -> str:

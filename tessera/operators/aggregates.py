@@ -94,10 +94,12 @@ def status_pivot(df: DataFrame, b: Binding = DEFAULT, codes=STATUS_CODES) -> Dat
     job), row total, and operating / suspended shares (2 dec.)."""
     # distinct (group, status, key) first: one shuffle spread over all keys, then a plain
     # pivoted count (partial aggregation), instead of one distinct aggregate per pivot value
+    # the pivot is written as one conditional count per explicit status value, so the
+    # distinct rows feed a single grouped aggregate (two shuffles in all)
+    names = {c: f"status_{c}" for c in codes}
     p = (df.select(b.group_name, b.status, b.facility).where(F.col(b.facility).isNotNull()).distinct()
-         .groupBy(b.group_name).pivot(b.status, list(codes)).count())
-    names = {str(c): f"status_{c}" for c in codes}
-    p = p.select(b.group_name, *[F.coalesce(F.col(k), F.lit(0)).cast("bigint").alias(v) for k, v in names.items()])
+         .groupBy(b.group_name)
+         .agg(*[F.count_if(F.col(b.status) == F.lit(c)).cast("bigint").alias(v) for c, v in names.items()]))
     total = sum((F.col(v) for v in names.values()), F.lit(0))
     return (p.withColumn("total", total.cast("bigint"))
             .withColumn("pct_operating", pct_int(F.col("status_1"), F.col("total"), 2))
@@ -120,7 +122,8 @@ def measure_summary(df: DataFrame, measures: list[str], is_latest: Column, b: Bi
     (``is_latest``): operating facilities with value > 0. Plus a combined TOTAL row (sum of
     sums, all operating facilities). One pass: a single conditional aggregate, then the
     one-row result is unpivoted."""
-    op = flt.operating(b) & is_latest
+    df = df.withColumn("__latest", is_latest)  # one scalar subquery, evaluated once per row
+    op = flt.operating(b) & F.col("__latest")
     one = df.agg(F.count(F.lit(1)).alias("rows"), _count_if(op).alias("op_all"),
                  *[F.count_if(F.col(m).isNull()).cast("bigint").alias(f"n_{m}") for m in measures],
                  *[F.coalesce(F.sum(m), F.lit(0)).cast("bigint").alias(f"s_{m}") for m in measures],
@@ -161,8 +164,9 @@ def coerced_sums(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def dataset_counters(df: DataFrame, is_latest: Column, b: Binding = DEFAULT) -> DataFrame:
     """Distinct facilities, rows, distinct groups (all history) and rows in the latest month."""
-    return df.agg(F.count_distinct(b.facility).alias("facilities"), F.count(F.lit(1)).alias("rows"),
-                  F.count_distinct(b.group_id).alias("groups"), _count_if(is_latest).alias("rows_latest"))
+    return (df.select(b.facility, b.group_id, is_latest.alias("__latest"))
+            .agg(F.count_distinct(b.facility).alias("facilities"), F.count(F.lit(1)).alias("rows"),
+                 F.count_distinct(b.group_id).alias("groups"), _count_if(F.col("__latest")).alias("rows_latest")))
 
 
 def dataset_profile(df: DataFrame, b: Binding = DEFAULT) -> DataFrame:

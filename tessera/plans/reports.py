@@ -27,10 +27,12 @@ def report_by_group(df: DataFrame, dim: DataFrame, b: Binding = DEFAULT, mode: s
 
     One scan, one conditional hash aggregate keyed by group; the national total is a scalar
     subquery over the (tiny) aggregated result; names come from a broadcast dictionary."""
-    latest = is_latest(df, b, mode, as_of)
-    op = latest & flt.operating(b)
     lv = list(b.levels)
-    g = (df.where(F.col(b.group_id).isNotNull())
+    # the latest-period flag is projected once, so its scalar subquery is planned once
+    src = df.select(b.group_id, b.status, b.connectivity, *lv, is_latest(df, b, mode, as_of).alias("__latest"))
+    latest = F.col("__latest")
+    op = latest & flt.operating(b)
+    g = (src.where(F.col(b.group_id).isNotNull())
          .groupBy(b.group_id)
          .agg(F.count_if(latest).cast("bigint").alias("facilities"),
               F.count_if(op).cast("bigint").alias("operating"),

@@ -156,9 +156,17 @@ def _fingerprint(sf_dir: str) -> str:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    """Whether a completed table (``_SUCCESS`` marker) exists at ``path``."""
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+        return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    except Exception:  # noqa: BLE001 - no JVM handle (e.g. Spark Connect): probe by reading
+        try:
+            spark.read.text(path + "/_SUCCESS").limit(1).collect()
+            return True
+        except Exception:  # noqa: BLE001
+            return False
 
 
 def write_panel(df: DataFrame, path: str, tasks: int | None = None) -> None:

@@ -73,3 +73,27 @@ def test_coordinate_reasons(spark):
     df = spark.createDataFrame([(a, b) for a, b, _ in rows], "la string, lo string")
     got = [r[0] for r in df.select(reject_reason("la", "lo")).collect()]
     assert got == [w for _, _, w in rows]
+
+
+def test_pct_int_matches_exact_fractions(spark):
+    """Integer-space percentage == round-half-away-from-zero of the exact fraction."""
+    from fractions import Fraction
+    from hypothesis import given, settings, strategies as st
+
+    pairs = []
+
+    @settings(max_examples=200, deadline=None)
+    @given(st.integers(-10**9, 10**9), st.integers(-10**6, 10**6))
+    def collect(n, d):
+        pairs.append((n, d))
+
+    collect()
+    df = spark.createDataFrame(pairs, "n long, d long")
+    got = [r[0] for r in df.select(nb.pct_int(F.col("n"), F.col("d"), 2)).collect()]
+    for (n, d), g in zip(pairs, got):
+        if d == 0:
+            assert g == 0.0
+            continue
+        x = Fraction(n * 100, d) * 100
+        r = int(abs(x) + Fraction(1, 2)) * (1 if x >= 0 else -1)
+        assert g == r / 100.0 and math.copysign(1, g) == (1 if r >= 0 else -1)

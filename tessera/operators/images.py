@@ -125,14 +125,17 @@ def image_lookup_cascade(queries: DataFrame, images: DataFrame, q_col: str = "qu
     shorter string's rarest n-gram must occur in the longer one), then are verified: exact, and
     each string meets only the partners sharing its rarest gram, not all pairs.
     Returns (query, key, method); unresolved queries get null."""
-    keys = images.select("key").distinct()
-    q = queries.select(F.col(q_col).alias("query"), F.lower(F.trim(q_col)).alias("qn"))
+    # the cascade reuses its inputs many times: cut the lineage once (reliable checkpoints in
+    # the shared folder) so each step plans against a stored table, not the whole tree scan
+    keys = images.select("key").distinct().checkpoint()
+    aliases = alias_index(images).checkpoint()
+    q = queries.select(F.col(q_col).alias("query"), F.lower(F.trim(q_col)).alias("qn")).checkpoint()
     exact = q.join(keys.withColumnRenamed("key", "qn"), "qn", "left_semi").select("query", F.col("qn").alias("key"),
                                                                                  F.lit("exact").alias("method"))
     rest = q.join(exact.select("query"), "query", "left_anti")
-    al = rest.join(alias_index(images).withColumnRenamed("alias", "qn"), "qn").select(
+    al = rest.join(aliases.withColumnRenamed("alias", "qn"), "qn").select(
         "query", "key", F.lit("alias").alias("method"))
-    rest = rest.join(al.select("query"), "query", "left_anti")
+    rest = rest.join(al.select("query"), "query", "left_anti").checkpoint()
     rq = rest.where(F.length("qn") > 0)
     kg = _all_grams(keys, "key")
     qg = _all_grams(rq.select("query", "qn"), "qn")

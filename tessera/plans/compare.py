@@ -12,17 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..binding import DEFAULT, Binding
-from ..functions.numbers import clamp_nonneg, pct_change, pct_expr, pct_int
+from ..functions.numbers import pct_change, pct_expr, pct_int
 from ..functions.text import norm_text, norm_text_lit
-from ..operators import filters as flt
 from ..operators.dims import dim_decode
 
 
-def _val(c: str, clamp: bool) -> Column:
-    v = F.col(c).cast("bigint")
-    return clamp_nonneg(v) if clamp else F.coalesce(v, F.lit(0))
-
-
 def compare_by_group(df: DataFrame, p1: int, p2: int, dim: DataFrame, b: Binding = DEFAULT,
                      clamp_negative: bool = True, group_name: str | None = None,
                      period_col: str | None = None) -> DataFrame:

@@ -33,10 +33,11 @@ def period_source_union(local: DataFrame, history: DataFrame, period_col: str =
 TARGET_FILE_BYTES = 256 << 20
 
 
-def writer_tasks(df: DataFrame, target_bytes: int = TARGET_FILE_BYTES, max_tasks: int = 100_000) -> int:
-    """Number of write tasks from Catalyst's size estimate of the plan (no job)."""
-    from .tables import plan_size_bytes
-    est = plan_size_bytes(df) or target_bytes
+def writer_tasks(df: DataFrame, target_bytes: int = TARGET_FILE_BYTES, max_tasks: int = 20_000) -> int:
+    """Number of write tasks from the bytes the plan reads (no job): about one task per
+    ``target_bytes`` of input, at least one."""
+    from .tables import input_size_bytes
+    est = input_size_bytes(df) or target_bytes
     return int(min(max(est // target_bytes, 1), max_tasks))
 
 

@@ -30,6 +30,16 @@ def plan_size_bytes(df: DataFrame) -> int | None:
         return None
 
 
+def input_size_bytes(df: DataFrame) -> int | None:
+    """Sum of the leaf relations' sizes (file sizes for scans): what the plan reads. Unlike the
+    estimate of a join's output, this never explodes."""
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    except Exception:  # noqa: BLE001
+        return None
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = 100_000, max_plan_bytes: int = 1 << 20) -> DataFrame:
     """Broadcast ``df`` only with a proven size bound.
 

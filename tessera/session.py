@@ -35,6 +35,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     Only when the session has none (local tests) a scratch folder is created and set.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if d and d.startswith("file:"):
+        d = d[len("file:"):]
     if not d:
         d = tempfile.mkdtemp(prefix="tessera-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)

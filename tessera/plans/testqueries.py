@@ -365,10 +365,10 @@ def q_haversine(spark, sf):
 @register("pair_distance", oracle(f"""
 SELECT clave, period_key, round({HAV_SQL}, 2) AS km, CAST(round({HAV_SQL} * 1000) AS BIGINT) AS metres,
        printf('%.1f km', {HAV_SQL}) AS km_text
-FROM panel WHERE lat <> 0 AND lat < 33"""))
+FROM panel"""))
 def q_pair_distance(spark, sf):
     d = geo.haversine_km("lat", "lng", F.lit(19.4326), F.lit(-99.1332))
-    return (panel(spark, sf).where((F.col("lat") != 0) & (F.col("lat") < 33))
+    return (panel(spark, sf)
             .select("clave", "period_key", F.round(d, 2).alias("km"), F.round(d * 1000).cast("bigint").alias("metres"),
                     geo.distance_text(d).alias("km_text")))
 
@@ -1030,9 +1030,9 @@ def q_sample_rows(spark, sf):
             .select("clave", F.coalesce("conectividad", F.lit("")).alias("conectividad"), "cn_total"))
 
 
-@register("sort_table_columns", ol("SELECT clave, municipio, cn_total FROM latest ORDER BY cn_total DESC, clave LIMIT 25"))
+@register("sort_table_columns", ol("SELECT clave, municipio, cn_total FROM latest ORDER BY cn_total DESC, clave"))
 def q_sort_table_columns(spark, sf):
-    return _latest(spark, sf).select("clave", "municipio", "cn_total").orderBy(F.col("cn_total").desc(), "clave").limit(25)
+    return _latest(spark, sf).select("clave", "municipio", "cn_total").orderBy(F.col("cn_total").desc(), "clave")
 
 
 # ------------------------------------------------------------------------------------- sets
@@ -1639,23 +1639,23 @@ def q_scan_delimited(spark, sf):
 
 # ---------------------------------------------------------------------------- image catalogue
 def _image_tree(spark, sf) -> str:
-    """An image folder tree derived from the panel (year 2000): one folder per facility, one
-    image per month; folder naming varies by group (new ``k`` field, decorated old names),
+    """An image folder tree derived from the whole panel: one folder per facility, one image
+    per period; folder naming varies by group (new ``k`` field, decorated old names),
     written as JSON lines of state nodes (a state is split into chunks of <= 500 folders)."""
     import uuid
     from ..session import scratch_path
-    p = panel(spark, sf).where(F.col("anio") == 2000)
+    p = panel(spark, sf)
     v = F.col("estado_id") % 4
     name = (F.when(v == 1, F.concat("estado", F.lit("_"), "clave"))
             .when(v == 2, F.replace("clave", F.lit("I-"), F.lit("l-")))
             .when(v == 3, F.concat("clave", F.lit(" (1)"))))
     f = F.struct(F.concat("clave", F.lit("-"), F.col("period_key").cast("string")).alias("i"),
-                 F.concat(F.lit("foto_"), F.lpad(F.col("mes").cast("string"), 2, "0"), F.lit(".jpg")).alias("n"),
+                 F.concat(F.lit("foto_"), F.col("period_key").cast("string"), F.lit(".jpg")).alias("n"),
                  F.col("cn_total").alias("s"),
                  F.concat(F.col("anio").cast("string"), F.lit("-"), F.lpad(F.col("mes").cast("string"), 2, "0"),
                           F.lit("-01")).alias("m"),
                  F.when(F.col("mes") % 2 == 0, F.concat(F.lit("https://img.example/"), "clave", F.lit("/"),
-                                                         F.col("mes").cast("string"))).alias("mediumUrl"))
+                                                         F.col("period_key").cast("string"))).alias("mediumUrl"))
     folders = (p.groupBy("estado_id", "estado", "clave")
                .agg(F.sort_array(F.collect_list(F.struct("period_key", f.alias("file")))).alias("files"))
                .select("estado_id", "estado", "clave",
@@ -1684,12 +1684,12 @@ IMAGES_SQL = """
 , img AS (SELECT estado_id AS state_id, estado AS state, lower(clave) AS key,
                  CASE estado_id % 4 WHEN 0 THEN NULL WHEN 1 THEN estado || '_' || clave
                       WHEN 2 THEN replace(clave, 'I-', 'l-') ELSE clave || ' (1)' END AS alias,
-                 clave || '-' || CAST(period_key AS VARCHAR) AS file_id, 'foto_' || lpad(CAST(mes AS VARCHAR), 2, '0') || '.jpg' AS file_name,
+                 clave || '-' || CAST(period_key AS VARCHAR) AS file_id, 'foto_' || CAST(period_key AS VARCHAR) || '.jpg' AS file_name,
                  cn_total AS size, CAST(anio AS VARCHAR) || '-' || lpad(CAST(mes AS VARCHAR), 2, '0') || '-01' AS modified,
-                 COALESCE(CASE WHEN mes % 2 = 0 THEN 'https://img.example/' || clave || '/' || CAST(mes AS VARCHAR) END,
+                 COALESCE(CASE WHEN mes % 2 = 0 THEN 'https://img.example/' || clave || '/' || CAST(period_key AS VARCHAR) END,
                           'https://drive.google.com/thumbnail?id=' || clave || '-' || CAST(period_key AS VARCHAR) || '&sz=w800') AS url,
                  mes
-          FROM panel WHERE anio = 2000)
+          FROM panel)
 """
 
 
@@ -1750,7 +1750,8 @@ def q_image_sync_merge(spark, sf):
     from ..operators.images import image_sync_merge
     imgs = _images(spark, sf)
     old = imgs.where(F.substring("modified", 6, 2).cast("int") <= 8)
-    new = imgs.withColumn("modified", F.when(F.substring("modified", 6, 2) == "03", F.lit("2000-03-15"))
+    new = imgs.withColumn("modified", F.when(F.substring("modified", 6, 2) == "03",
+                                             F.concat(F.substring("modified", 1, 5), F.lit("03-15")))
                           .otherwise(F.col("modified")))
     return image_sync_merge(old, new)[1]
 
@@ -1776,8 +1777,8 @@ def q_alias_dim_match(spark, sf):
 
 # ------------------------------------------------------------------- period index / catalog
 def _period_index_docs(spark, sf) -> str:
-    """Two period-index documents derived from the panel's periods: wrapped under ``index``
-    (all periods) and at the root (year 2000 only). Months 4 and 12 carry no URL."""
+    """Two period-index documents derived from the panel's periods: even months wrapped under
+    ``index``, odd months at the root. Months 4 and 12 carry no URL."""
     import uuid
     from ..session import scratch_path
     per = panel(spark, sf).select("anio", "mes").distinct()
@@ -1789,16 +1790,16 @@ def _period_index_docs(spark, sf) -> str:
     e = per.select("anio", F.struct(key.alias("k"), val.alias("v")).alias("e"))
     base = scratch_path(spark, f"pindex-{uuid.uuid4().hex[:12]}")
     # one entry per month: the map is small by construction
-    e.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list("e")).alias("index"))).alias("value")) \
-        .write.text(f"{base}/wrapped")
-    e.where("anio = 2000").agg(F.to_json(F.map_from_entries(F.collect_list("e"))).alias("value")) \
+    e.where("mes % 2 = 0").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list("e")).alias("index")))
+                               .alias("value")).write.text(f"{base}/wrapped")
+    e.where("mes % 2 = 1").agg(F.to_json(F.map_from_entries(F.collect_list("e"))).alias("value")) \
         .write.text(f"{base}/root")
     return base
 
 
 PINDEX_SQL = """
 , per AS (SELECT DISTINCT anio, mes, CAST(anio AS VARCHAR) || '-' || lpad(CAST(mes AS VARCHAR), 2, '0') AS k FROM panel),
-  docs AS (SELECT *, 'wrapped' AS doc FROM per UNION ALL SELECT *, 'root' FROM per WHERE anio = 2000)
+  docs AS (SELECT *, 'wrapped' AS doc FROM per WHERE mes % 2 = 0 UNION ALL SELECT *, 'root' FROM per WHERE mes % 2 = 1)
 """
 
 
@@ -1832,7 +1833,7 @@ def q_available_periods_with_index(spark, sf):
     """Local table holds years before 2001; the rest is known only from the period index."""
     from ..sources.json_sources import scan_period_index
     base = _period_index_docs(spark, sf)
-    idx = scan_period_index(spark, f"{base}/wrapped")[0].select(
+    idx = scan_period_index(spark, [f"{base}/wrapped", f"{base}/root"])[0].select(
         F.substring("period", 1, 4).cast("int").alias("year"), F.substring("period", 6, 2).cast("int").alias("month"))
     return ag.available_periods(panel(spark, sf).where("anio < 2001"), B, current_year=2001, extra=idx)
 
@@ -1937,21 +1938,22 @@ def q_decode_numeric_codes(spark, sf):
 
 
 def _tree_v1(spark, sf) -> str:
-    """Old-format folder tree derived from the panel (year 1999): state > facility folder
-    (name = key, alternating case) > monthly files (one non-image, links in two styles)."""
+    """Old-format folder tree derived from the whole panel: state > facility folder (name =
+    key, alternating case) > one file per period (June files are not images; links in two
+    styles)."""
     import uuid
     from ..session import scratch_path
-    p = panel(spark, sf).where(F.col("anio") == 1999)
-    fid = F.concat("clave", F.lit("_"), F.col("mes").cast("string"))
+    p = panel(spark, sf)
+    fid = F.concat("clave", F.lit("_"), F.col("period_key").cast("string"))
     link = F.when(F.col("mes") % 2 == 0, F.concat(F.lit("https://drive.example/uc?id="), fid, F.lit("&export=download"))) \
         .otherwise(F.concat(F.lit("https://drive.example/file/"), fid, F.lit("?usp=drivesdk")))
-    fname = F.concat(F.lit("foto_"), F.lpad(F.col("mes").cast("string"), 2, "0"), F.lit(".jpg"))
+    fname = F.concat(F.lit("foto_"), F.col("period_key").cast("string"), F.lit(".jpg"))
     f = F.struct(fname.alias("name"), F.lit("file").alias("type"),
                  F.when(F.col("mes") == 6, F.lit("application/pdf")).otherwise(F.lit("image/jpeg")).alias("mimeType"),
                  fid.alias("id"), F.concat("estado", F.lit("/"), "clave", F.lit("/"), fname).alias("path"),
                  link.alias("webContentLink"))
     folders = (p.groupBy("estado_id", "estado", "clave")
-               .agg(F.sort_array(F.collect_list(F.struct("mes", f.alias("f")))).alias("fs"))  # <= 12 per folder
+               .agg(F.sort_array(F.collect_list(F.struct("period_key", f.alias("f")))).alias("fs"))  # one per period
                .select("estado_id", "estado", "clave", F.struct(
                    F.when(F.col("estado_id") % 2 == 0, F.col("clave")).otherwise(F.lower("clave")).alias("name"),
                    F.lit("folder").alias("type"), F.lit(None).cast("string").alias("mimeType"), F.col("clave").alias("id"),
@@ -1971,10 +1973,11 @@ def _tree_v1(spark, sf) -> str:
 
 
 V1_SQL = """
-, v1 AS (SELECT lower(clave) AS key, 'foto_' || lpad(CAST(mes AS VARCHAR), 2, '0') || '.jpg' AS name,
-                CASE WHEN mes % 2 = 0 THEN 'https://drive.example/uc?id=' || clave || '_' || CAST(mes AS VARCHAR)
-                     ELSE 'https://drive.example/file/' || clave || '_' || CAST(mes AS VARCHAR) END AS url, mes, clave, estado
-         FROM panel WHERE anio = 1999)
+, v1 AS (SELECT lower(clave) AS key, 'foto_' || CAST(period_key AS VARCHAR) || '.jpg' AS name,
+                CASE WHEN mes % 2 = 0 THEN 'https://drive.example/uc?id=' || clave || '_' || CAST(period_key AS VARCHAR)
+                     ELSE 'https://drive.example/file/' || clave || '_' || CAST(period_key AS VARCHAR) END AS url,
+                mes, period_key, clave, estado
+         FROM panel)
 """
 
 
@@ -1987,13 +1990,15 @@ def q_scan_image_tree_v1(spark, sf):
 
 
 @register("lookup_image_by_path", ol(V1_SQL + """
-SELECT l.estado || '/' || l.clave || '/foto_03.jpg' AS path,
-       CASE WHEN v1.clave IS NOT NULL THEN 'https://drive.google.com/uc?id=' || v1.clave || '_3&export=download' END AS url
-FROM latest l LEFT JOIN v1 ON v1.clave = l.clave AND v1.mes = 3"""))
+SELECT l.estado || '/' || l.clave || '/foto_' || CAST(p AS VARCHAR) || '.jpg' AS path,
+       CASE WHEN v1.clave IS NOT NULL THEN 'https://drive.google.com/uc?id=' || v1.clave || '_' || CAST(p AS VARCHAR) || '&export=download' END AS url
+FROM (SELECT *, UNNEST([period_key, period_key - 100]) AS p FROM latest) l
+LEFT JOIN v1 ON v1.clave = l.clave AND v1.period_key = l.p"""))
 def q_lookup_image_by_path(spark, sf):
     from ..operators.images import flatten_tree_v1, lookup_image_by_path
     ch = flatten_tree_v1(spark, _tree_v1(spark, sf))
-    paths = _latest(spark, sf).select(F.concat("estado", F.lit("/"), "clave", F.lit("/foto_03.jpg")).alias("path"))
+    l = _latest(spark, sf).select("estado", "clave", F.explode(F.array("period_key", F.col("period_key") - 100)).alias("p"))
+    paths = l.select(F.concat("estado", F.lit("/"), "clave", F.lit("/foto_"), F.col("p").cast("string"), F.lit(".jpg")).alias("path"))
     return lookup_image_by_path(ch, paths)
 
 
@@ -2011,7 +2016,8 @@ def q_incremental_image_sync(spark, sf):
     imgs = _images(spark, sf).drop("folder_order")
     imgs.where(F.substring("modified", 6, 2).cast("int") <= 8).coalesce(1).write.parquet(f"{base}/snap/s1")
     time.sleep(1.1)  # the file source orders snapshots by modification time
-    imgs.withColumn("modified", F.when(F.substring("modified", 6, 2) == "03", F.lit("2000-03-15"))
+    imgs.withColumn("modified", F.when(F.substring("modified", 6, 2) == "03",
+                                       F.concat(F.substring("modified", 1, 5), F.lit("03-15")))
                     .otherwise(F.col("modified"))).coalesce(1).write.parquet(f"{base}/snap/s2")
     schema = spark.read.parquet(f"{base}/snap/s1").schema
     incremental_image_sync(spark, f"{base}/snap/*", schema, f"{base}/table", f"{base}/_checkpoint")

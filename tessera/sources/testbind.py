@@ -141,10 +141,13 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(-118.5) + ((s * 61) % 31800).cast("double") / 1000).alias("lng"))
 
 
+PANEL_VERSION = "2"  # bump when the derivation changes, so stored panels are rebuilt
+
+
 def _fingerprint(sf_dir: str) -> str:
     import hashlib
     import os
-    h = hashlib.sha1(os.path.abspath(sf_dir).encode())
+    h = hashlib.sha1(f"{PANEL_VERSION}:{os.path.abspath(sf_dir)}".encode())
     for t in ("orders", "lineitem", "customer", "nation", "region"):
         p = f"{sf_dir.rstrip('/')}/{t}.parquet"
         try:

@@ -205,12 +205,38 @@ def compare_years(df: DataFrame, y1: int, y2: int, dim: DataFrame, b: Binding =
     return compare_by_group(src, y1, y2, dim, b, clamp_negative, period_col=b.year)
 
 
-def sort_group_comparison(per_group: DataFrame) -> DataFrame:
-    """Positions of each group under three of the table orderings: name (case and accent
-    insensitive collation), % change of cn_total desc, facility delta desc."""
-    name_ci = F.col("group_name").collate("UNICODE_CI_AI") if hasattr(Column, "collate") else F.lower("group_name")
-    base = per_group.select("group_name", "cn_total_pct", "facilities_delta")
-    out = (base.withColumn("by_name", F.row_number().over(Window.orderBy(name_ci, F.col("group_name"))))
-           .withColumn("by_pct", F.row_number().over(Window.orderBy(F.col("cn_total_pct").desc(), F.col("group_name"))))
-           .withColumn("by_delta", F.row_number().over(Window.orderBy(F.col("facilities_delta").desc(), F.col("group_name")))))
-    return out.drop("facilities_delta")
+# Orderings of the group comparison table: criterion -> sort expression.
+SORT_CRITERIA = {
+    "name": None, "facilities": "facilities_p2", "cn": "cn_total_p2", "pct": "cn_total_pct",
+    "inicial": "cn_inicial_pct", "primaria": "cn_prim_pct", "secundaria": "cn_sec_pct",
+    "delta": "facilities_delta", "cnp1": "cn_total_p1", "cnabs": "abs_cn_total_p2",
+}
+
+
+def _sort_key(criterion: str) -> Column:
+    if criterion == "name":
+        name = F.col("group_name")
+        return name.collate("UNICODE_CI_AI") if hasattr(Column, "collate") else F.lower(name)
+    if criterion == "cnabs":
+        return F.abs("cn_total_p2")
+    return F.col(SORT_CRITERIA[criterion])
+
+
+def order_group_comparison(per_group: DataFrame, criterion: str = "name", direction: str = "asc") -> DataFrame:
+    """The comparison table sorted by one criterion (names compared ignoring case and
+    accents); ties by name."""
+    k = _sort_key(criterion)
+    return per_group.orderBy(k.asc() if direction == "asc" else k.desc(), F.col("group_name"))
+
+
+def sort_group_comparison(per_group: DataFrame, direction: str = "desc") -> DataFrame:
+    """Position of each group under every ordering of the table (name ascending, the numeric
+    criteria in ``direction``); windows over <= #groups aggregated rows."""
+    cols = [F.row_number().over(Window.orderBy(_sort_key("name"), F.col("group_name"))).alias("by_name")]
+    for c in SORT_CRITERIA:
+        if c == "name":
+            continue
+        k = _sort_key(c)
+        cols.append(F.row_number().over(Window.orderBy(k.desc() if direction == "desc" else k.asc(),
+                                                       F.col("group_name"))).alias(f"by_{c}"))
+    return per_group.select("group_name", "cn_total_pct", *cols)

@@ -1238,8 +1238,15 @@ def q_top_abs_change(spark, sf):
 
 @register("sort_group_comparison", oracle(CMP + """
 SELECT group_name, cn_total_pct, row_number() OVER (ORDER BY lower(strip_accents(group_name)), group_name) AS by_name,
+       row_number() OVER (ORDER BY facilities_p2 DESC, group_name) AS by_facilities,
+       row_number() OVER (ORDER BY cn_total_p2 DESC, group_name) AS by_cn,
        row_number() OVER (ORDER BY cn_total_pct DESC, group_name) AS by_pct,
-       row_number() OVER (ORDER BY facilities_delta DESC, group_name) AS by_delta FROM cg"""))
+       row_number() OVER (ORDER BY cn_inicial_pct DESC, group_name) AS by_inicial,
+       row_number() OVER (ORDER BY cn_prim_pct DESC, group_name) AS by_primaria,
+       row_number() OVER (ORDER BY cn_sec_pct DESC, group_name) AS by_secundaria,
+       row_number() OVER (ORDER BY facilities_delta DESC, group_name) AS by_delta,
+       row_number() OVER (ORDER BY cn_total_p1 DESC, group_name) AS by_cnp1,
+       row_number() OVER (ORDER BY abs(cn_total_p2) DESC, group_name) AS by_cnabs FROM cg"""))
 def q_sort_group_comparison(spark, sf):
     from .compare import sort_group_comparison
     return sort_group_comparison(_cmp(spark, sf))

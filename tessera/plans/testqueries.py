@@ -428,15 +428,18 @@ def q_pct_change(spark, sf):
 SELECT clave, period_key,
        CASE WHEN cn_prim - cn_inicial > 0 THEN 'positive' WHEN cn_prim - cn_inicial < 0 THEN 'negative' ELSE 'neutral' END AS sign_class,
        CASE WHEN cn_prim - cn_inicial > 0 THEN '+' ELSE '' END || format('{{:,}}', cn_prim - cn_inicial) AS delta_text,
-       CASE WHEN {nb.pct_int_sql('cn_prim - cn_inicial', 'cn_inicial', 1)} > 0 THEN '+' ELSE '' END
-         || printf('%.1f', {nb.pct_int_sql('cn_prim - cn_inicial', 'cn_inicial', 1)}) || '%' AS pct_text
+       CASE WHEN {nb.pct_int_sql('cn_prim - cn_inicial', 'cn_inicial', 2)} > 0 THEN '+' ELSE '' END
+         || printf('%.2f', {nb.pct_int_sql('cn_prim - cn_inicial', 'cn_inicial', 2)}) || '%' AS pct_text,
+       CASE WHEN cn_prim - cn_inicial > 0 THEN '📈' WHEN cn_prim - cn_inicial < 0 THEN '📉' ELSE '➡️' END AS trend,
+       CASE WHEN cn_prim - cn_inicial > 0 THEN '📈 Aumento' WHEN cn_prim - cn_inicial < 0 THEN '📉 Disminución' ELSE '➡️ Sin cambio' END AS trend_label
 FROM panel"""))
 def q_growth_sign_label(spark, sf):
-    from ..functions.labels import delta_text, pct_text, sign_class
+    from ..functions.labels import delta_text, pct_text, sign_class, trend_icon, trend_text
     d = F.col("cn_prim") - F.col("cn_inicial")
-    p = nb.pct_change("cn_inicial", "cn_prim", 1)
+    p = nb.pct_change("cn_inicial", "cn_prim", 2)
     return panel(spark, sf).select("clave", "period_key", sign_class(d).alias("sign_class"),
-                                   delta_text(d).alias("delta_text"), pct_text(p).alias("pct_text"))
+                                   delta_text(d).alias("delta_text"), pct_text(p).alias("pct_text"),
+                                   trend_icon(d).alias("trend"), trend_text(d).alias("trend_label"))
 
 
 @register("connectivity_band", oracle(f"""

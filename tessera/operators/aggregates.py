@@ -114,9 +114,15 @@ def status_distribution(df: DataFrame, b: Binding = DEFAULT, labels: DataFrame |
     if labels is not None:
         from .dims import dim_decode
         out = dim_decode(out, "status", labels, "status_name", "Situación_")
+        out = out.withColumn("status_name", F.when(F.col("status").isNull(), F.lit(MISSING_STATUS))
+                             .otherwise(F.col("status_name")))
     return out
 
 
+# Label of rows without a status.
+MISSING_STATUS = "Sin información"
+
+
 def measure_summary(df: DataFrame, measures: list[str], is_latest: Column, b: Binding = DEFAULT) -> DataFrame:
     """Per measure over all history: rows, nulls, % null, sum; over the latest month
     (``is_latest``): operating facilities with value > 0. Plus a combined TOTAL row (sum of

@@ -61,8 +61,9 @@ def group_name_search(df: DataFrame, query: str, b: Binding = DEFAULT) -> DataFr
 def facility_history(df: DataFrame, key: str, b: Binding = DEFAULT, measures=("cn_total",)) -> DataFrame:
     """All periods of one key, newest first."""
     h = flt.facility_by_key(df, key, b)
-    return (h.select(F.col(b.facility).alias("facility"), F.col(b.year).cast("int").alias("year"),
-                     F.col(b.month).cast("int").alias("month"), F.col(b.status).alias("status"), *measures)
+    num = lambda c: F.coalesce(F.col(c).cast("string").try_cast("double").try_cast("int"), F.lit(0))
+    return (h.select(F.col(b.facility).alias("facility"), num(b.year).alias("year"),
+                     num(b.month).alias("month"), F.col(b.status).alias("status"), *measures)
             .orderBy(F.col("year").desc(), F.col("month").desc()))
 
 

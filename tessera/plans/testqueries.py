@@ -714,7 +714,7 @@ def q_status_pivot(spark, sf):
 
 @register("status_distribution", ol(f"""
 SELECT g.status, g.rows, {nb.pct_int_sql('g.rows', '(SELECT COUNT(*) FROM latest)', 2)} AS pct,
-       CASE WHEN g.status IS NULL THEN '' ELSE COALESCE(s.dim_name, 'Situación_' || CAST(g.status AS VARCHAR)) END AS status_name
+       CASE WHEN g.status IS NULL THEN 'Sin información' ELSE COALESCE(s.dim_name, 'Situación_' || CAST(g.status AS VARCHAR)) END AS status_name
 FROM (SELECT situacion AS status, COUNT(*) AS rows FROM latest GROUP BY situacion) g
 LEFT JOIN {STATUSES_SQL} s ON s.dim_id = g.status"""))
 def q_status_distribution(spark, sf):
@@ -1533,7 +1533,7 @@ def q_incremental_period_load(spark, sf):
 # ------------------------------------------------------------------- composite reports
 @register("report_status", ol(f"""
 SELECT g.status, g.rows, {nb.pct_int_sql('g.rows', '(SELECT COUNT(*) FROM latest)', 2)} AS pct,
-       CASE WHEN g.status IS NULL THEN '' ELSE COALESCE(s.dim_name, 'Situación_' || CAST(g.status AS VARCHAR)) END AS status_name
+       CASE WHEN g.status IS NULL THEN 'Sin información' ELSE COALESCE(s.dim_name, 'Situación_' || CAST(g.status AS VARCHAR)) END AS status_name
 FROM (SELECT situacion AS status, COUNT(*) AS rows FROM latest GROUP BY situacion) g
 LEFT JOIN {STATUSES_SQL} s ON s.dim_id = g.status ORDER BY rows DESC"""))
 def q_report_status(spark, sf):

@@ -67,11 +67,20 @@ def facility_history(df: DataFrame, key: str, b: Binding = DEFAULT, measures=("c
             .orderBy(F.col("year").desc(), F.col("month").desc()))
 
 
-def report_facility(df: DataFrame, latest: DataFrame, key: str, b: Binding = DEFAULT) -> DataFrame:
-    """Profile of one key in the latest month: named categories as structs flattened to
-    columns, address, map link, and the number of periods in its history."""
+def report_facility(df: DataFrame, latest: DataFrame, key: str, b: Binding = DEFAULT,
+                    images: DataFrame | None = None) -> DataFrame:
+    """Profile of one key in the latest month: identity and location fields, address, map
+    link, the number of periods in its history and, given an image catalogue, the number of
+    images found for the key by the exact -> alias -> partial look-up."""
     row = first_per_key(flt.facility_by_key(latest, key, b), b.facility, [b.period])
     hist = flt.facility_by_key(df, key, b).agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    n_img = F.lit(None).cast("bigint")
+    if images is not None:
+        from ..operators.images import image_lookup_cascade
+        spark = df.sparkSession
+        found = image_lookup_cascade(spark.createDataFrame([(key,)], "query string"), images)
+        n_img = (images.join(found.select("key"), "key", "left_semi")
+                 .agg(F.count(F.lit(1)).alias("n")).select("n").scalar())
     parts = [c for c in (b.neighbourhood, b.street, b.number, b.postcode) if c in row.columns]
     return row.select(
         F.col(b.facility).alias("facility"), F.col(b.name).alias("name"),
@@ -81,4 +90,4 @@ def report_facility(df: DataFrame, latest: DataFrame, key: str, b: Binding = DEF
         address_line(*parts).alias("address"),
         F.when(F.col(b.lat).isNotNull() & F.col(b.lng).isNotNull() & (F.col(b.lat) != 0) & (F.col(b.lng) != 0),
                map_search_url(b.lat, b.lng)).alias("map_url"),
-        hist.alias("history_periods"))
+        hist.alias("history_periods"), n_img.alias("images"))

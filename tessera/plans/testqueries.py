@@ -1317,11 +1317,12 @@ SELECT clave AS facility, nombre AS name, estado AS group_name, zona AS zone, mu
        period_key AS period, situacion AS status, '' AS address,
        CASE WHEN lat IS NOT NULL AND lng IS NOT NULL AND lat <> 0 AND lng <> 0
             THEN 'https://www.google.com/maps/search/?api=1&query=' || CAST(lat AS VARCHAR) || ',' || CAST(lng AS VARCHAR) END AS map_url,
-       (SELECT COUNT(*) FROM panel WHERE upper(trim(clave)) = 'I-02-000-55') AS history_periods
+       (SELECT COUNT(*) FROM panel WHERE upper(trim(clave)) = 'I-02-000-55') AS history_periods,
+       (SELECT COUNT(*) FROM panel WHERE lower(clave) = 'i-02-000-55') AS images
 FROM latest WHERE upper(trim(clave)) = 'I-02-000-55'"""))
 def q_report_facility(spark, sf):
     from .search import report_facility
-    return report_facility(panel(spark, sf), _latest(spark, sf), "i-02-000-55", B)
+    return report_facility(panel(spark, sf), _latest(spark, sf), "i-02-000-55", B, images=_images(spark, sf))
 
 
 @register("report_group_facilities", ol("""

@@ -42,7 +42,7 @@ def index_last_row_per_key(df: DataFrame, key: str, order_col: str) -> DataFrame
 
 def rank_small(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """1-based position after sorting. For aggregated (small) frames only: one ordered window."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
 
 
 def share_of_total(df: DataFrame, value: str, out: str = "share", scale: int = 2) -> DataFrame:
@@ -54,7 +54,7 @@ def share_of_total(df: DataFrame, value: str, out: str = "share", scale: int = 2
 def top_k_per(df: DataFrame, part: str, order: list[Column], k: int, name: str = "pos") -> DataFrame:
     """Rows with ``row_number() <= k`` per ``part`` (partial limit before the shuffle)."""
     w = Window.partitionBy(part).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
+    return df.withColumn(name, F.row_number().over(w).cast("bigint")).where(F.col(name) <= k)
 
 
 def unpivot_measures(df: DataFrame, ids: list[str], measures: list[str], var: str = "measure",

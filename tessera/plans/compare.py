@@ -152,7 +152,7 @@ def compare_ranking(per_group: DataFrame) -> DataFrame:
                          sc.alias("score"))
     w = Window.orderBy(F.col("cn_total_pct").desc(), F.col("group_name"))
     # a single ordered window over <= #groups aggregated rows (not raw rows)
-    return r.withColumn("score_class", score_class(F.col("score"))).withColumn("rank", F.row_number().over(w))
+    return r.withColumn("score_class", score_class(F.col("score"))).withColumn("rank", F.row_number().over(w).cast("bigint"))
 
 
 def compare_trends(per_group: DataFrame, totals: DataFrame, levels=("cn_inicial", "cn_prim", "cn_sec")) -> DataFrame:
@@ -161,7 +161,7 @@ def compare_trends(per_group: DataFrame, totals: DataFrame, levels=("cn_inicial"
              for l in levels]
     long = per_group.select("group_name", F.explode(F.array(*parts)).alias("x")).select("group_name", "x.*")
     w = Window.partitionBy("level").orderBy(F.col("pct").desc(), F.col("group_name"))
-    top = long.withColumn("pos", F.row_number().over(w)).where("pos <= 3")
+    top = long.withColumn("pos", F.row_number().over(w).cast("bigint")).where("pos <= 3")
     nat = totals.select(F.explode(F.array(*[F.struct(F.lit(l).alias("level"), F.col(f"{l}_pct").alias("national_pct"))
                                             for l in levels])).alias("x")).select("x.*")
     lab = (F.when(F.col("national_pct") > 0, "growth").when(F.col("national_pct") < 0, "decline")
@@ -232,11 +232,11 @@ def order_group_comparison(per_group: DataFrame, criterion: str = "name", direct
 def sort_group_comparison(per_group: DataFrame, direction: str = "desc") -> DataFrame:
     """Position of each group under every ordering of the table (name ascending, the numeric
     criteria in ``direction``); windows over <= #groups aggregated rows."""
-    cols = [F.row_number().over(Window.orderBy(_sort_key("name"), F.col("group_name"))).alias("by_name")]
+    cols = [F.row_number().over(Window.orderBy(_sort_key("name"), F.col("group_name"))).cast("bigint").alias("by_name")]
     for c in SORT_CRITERIA:
         if c == "name":
             continue
         k = _sort_key(c)
         cols.append(F.row_number().over(Window.orderBy(k.desc() if direction == "desc" else k.asc(),
-                                                       F.col("group_name"))).alias(f"by_{c}"))
+                                                       F.col("group_name"))).cast("bigint").alias(f"by_{c}"))
     return per_group.select("group_name", "cn_total_pct", *cols)

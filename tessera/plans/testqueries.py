@@ -394,7 +394,8 @@ def q_interpolate_route(spark, sf):
     from ..sources.testbind import points
     r = points(spark, sf).select("point_id", F.explode(
         geo.interpolate_route("lat", "lng", F.lit(19.4326), F.lit(-99.1332))).alias("p"))
-    return r.select("point_id", "p.step", F.round("p.lat", 9).alias("lat"), F.round("p.lng", 9).alias("lng"))
+    return r.select("point_id", F.col("p.step").cast("bigint").alias("step"), F.round("p.lat", 9).alias("lat"),
+                    F.round("p.lng", 9).alias("lng"))
 
 
 @register("navigation_urls", ol("""

@@ -262,3 +262,23 @@ def monthly_trend(df: DataFrame, measures: list[str], start: str, end: str, b: B
             .agg(F.count(F.lit(1)).alias("rows"),
                  *[F.round(F.coalesce(F.sum(m), F.lit(0))).cast("bigint").alias(f"sum_{m}") for m in measures])
             .withColumn("label", month_name(b.month)))
+
+
+def measure_profile_columns(df: DataFrame, measures: list[str]) -> DataFrame:
+    """Per measure column: sum (numeric coercion, bad -> 0), nulls, rows with a value > 0."""
+    one = df.agg(*[F.coalesce(F.sum(F.coalesce(to_number(m), F.lit(0.0))), F.lit(0.0)).try_cast("bigint").alias(f"s_{m}")
+                   for m in measures],
+                 *[F.count_if(to_number(m).isNull()).cast("bigint").alias(f"n_{m}") for m in measures],
+                 *[F.count_if(to_number(m) > 0).cast("bigint").alias(f"p_{m}") for m in measures])
+    parts = [F.struct(F.lit(m).alias("measure"), F.col(f"s_{m}").alias("total"), F.col(f"n_{m}").alias("nulls"),
+                      F.col(f"p_{m}").alias("positive")) for m in measures]
+    return one.select(F.explode(F.array(*parts)).alias("r")).select("r.*")
+
+
+def measure_profile_top_groups(df: DataFrame, measures: list[str], b: Binding = DEFAULT, k: int = 10) -> DataFrame:
+    """Per measure: the ``k`` groups with the largest sum (ties by group)."""
+    from .ranking import top_k_per
+    g = df.groupBy(b.group_name).agg(*[F.coalesce(F.sum(F.coalesce(to_number(m), F.lit(0.0))), F.lit(0.0))
+                                       .try_cast("bigint").alias(m) for m in measures])
+    long = g.unpivot([b.group_name], measures, "measure", "total")
+    return top_k_per(long, "measure", [F.col("total").desc(), F.col(b.group_name)], k)

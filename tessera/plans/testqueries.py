@@ -2105,3 +2105,25 @@ def q_file_url(spark, sf):
 @register("compare_trends", QUERIES["top3_growth_per_level"][1])
 def q_compare_trends(spark, sf):
     return q_top3_growth(spark, sf)
+
+
+PROFILE_MS = ["cn_inicial", "cn_prim", "cn_sec", "inc_total_raw"]
+
+
+@register("measure_profile_columns", oracle(" UNION ALL ".join(
+    f"""SELECT '{m}' AS measure, CAST(trunc(COALESCE(SUM(COALESCE(TRY_CAST(CAST({m} AS VARCHAR) AS DOUBLE), 0.0)), 0.0)) AS BIGINT) AS total,
+       CAST(SUM(CASE WHEN TRY_CAST(CAST({m} AS VARCHAR) AS DOUBLE) IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS nulls,
+       CAST(SUM(CASE WHEN TRY_CAST(CAST({m} AS VARCHAR) AS DOUBLE) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS positive FROM panel"""
+    for m in PROFILE_MS)))
+def q_measure_profile_columns(spark, sf):
+    return ag.measure_profile_columns(panel(spark, sf), PROFILE_MS)
+
+
+@register("measure_profile_top_groups", oracle(f"""
+, g AS (SELECT estado, {", ".join(f"CAST(trunc(COALESCE(SUM(COALESCE(TRY_CAST(CAST({m} AS VARCHAR) AS DOUBLE), 0.0)), 0.0)) AS BIGINT) AS {m}" for m in PROFILE_MS)}
+        FROM panel GROUP BY estado),
+  u AS ({" UNION ALL ".join(f"SELECT estado, '{m}' AS measure, {m} AS total FROM g" for m in PROFILE_MS)}),
+  r AS (SELECT *, row_number() OVER (PARTITION BY measure ORDER BY total DESC, estado) AS pos FROM u)
+SELECT * FROM r WHERE pos <= 10"""))
+def q_measure_profile_top_groups(spark, sf):
+    return ag.measure_profile_top_groups(panel(spark, sf), PROFILE_MS, B)

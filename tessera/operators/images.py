@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import KEY_PATTERN, normalise_facility_key
+from ..session import reliable_checkpoint
 
 FILE_T = T.StructType([T.StructField(n, t) for n, t in (
     ("i", T.StringType()), ("id", T.StringType()), ("n", T.StringType()), ("name", T.StringType()),
@@ -127,15 +128,15 @@ def image_lookup_cascade(queries: DataFrame, images: DataFrame, q_col: str = "qu
     Returns (query, key, method); unresolved queries get null."""
     # the cascade reuses its inputs many times: cut the lineage once (reliable checkpoints in
     # the shared folder) so each step plans against a stored table, not the whole tree scan
-    keys = images.select("key").distinct().checkpoint()
-    aliases = alias_index(images).checkpoint()
-    q = queries.select(F.col(q_col).alias("query"), F.lower(F.trim(q_col)).alias("qn")).checkpoint()
+    keys = reliable_checkpoint(images.select("key").distinct())
+    aliases = reliable_checkpoint(alias_index(images))
+    q = reliable_checkpoint(queries.select(F.col(q_col).alias("query"), F.lower(F.trim(q_col)).alias("qn")))
     exact = q.join(keys.withColumnRenamed("key", "qn"), "qn", "left_semi").select("query", F.col("qn").alias("key"),
                                                                                  F.lit("exact").alias("method"))
     rest = q.join(exact.select("query"), "query", "left_anti")
     al = rest.join(aliases.withColumnRenamed("alias", "qn"), "qn").select(
         "query", "key", F.lit("alias").alias("method"))
-    rest = rest.join(al.select("query"), "query", "left_anti").checkpoint()
+    rest = reliable_checkpoint(rest.join(al.select("query"), "query", "left_anti"))
     rq = rest.where(F.length("qn") > 0)
     kg = _all_grams(keys, "key")
     qg = _all_grams(rq.select("query", "qn"), "qn")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..binding import DEFAULT, Binding
 from ..functions.geo import EARTH_RADIUS_KM, haversine_km
+from ..session import reliable_checkpoint
 from ..sources.tables import bounded_broadcast
 from .ranking import top_k_per
 
@@ -104,7 +105,7 @@ def nearest_facility(points: DataFrame, facilities: DataFrame, max_km: float = 5
                 .agg(F.min_by(F.struct("facility", "distance_km"), F.struct("distance_km", "facility")).alias("n"))
                 .select("point_id", "n.facility", "n.distance_km"))
         last = r >= max_km
-        best = best if last else best.checkpoint()
+        best = best if last else reliable_checkpoint(best)
         found = best if found is None else found.unionByName(best)
         if last:
             break

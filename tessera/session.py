@@ -52,3 +52,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def sf_label(sf_dir: str) -> str:
     return os.path.basename(os.path.normpath(sf_dir)).removeprefix("sf")
+
+
+def reliable_checkpoint(df):
+    """``df.checkpoint()`` into the shared folder (set from the session's
+    ``spark.checkpoint.dir`` first): cuts lineage and survives executor loss."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

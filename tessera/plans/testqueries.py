@@ -1476,14 +1476,23 @@ def _raw_csv(spark, sf) -> str:
     return path
 
 
-CLEAN_SQL = f"""
-SELECT trim(clave) AS clave, COALESCE(trim(nombre), '') AS nombre, trim(estado) AS estado, CAST(estado_id AS BIGINT) AS estado_id,
-       trim(zona) AS zona, trim(municipio) AS municipio, trim(localidad) AS localidad, '' AS colonia, '' AS calle, '' AS num, '' AS cp,
-       COALESCE(trim(conectividad), '') AS conectividad, CAST(anio AS BIGINT) AS anio,
-       COALESCE(TRY_CAST(round_even({SAFE_NUM_SQL}, 0) AS BIGINT), 0) AS inc_total, CAST(aten_total AS BIGINT) AS aten_total,
-       cn_inicial, cn_prim, cn_sec, cn_total, COALESCE(lat, 0.0) AS lat, COALESCE(lng, 0.0) AS lng, CAST(mes AS INTEGER) AS mes,
-       CASE WHEN situacion = 1 THEN 1 ELSE 0 END AS situacion, anio * 100 + mes AS period_key
-FROM panel"""
+def _clean_sql() -> str:
+    from ..operators.clean import INT_FIELDS, STRING_FIELDS
+    present = {
+        "clave": "trim(clave)", "nombre": "COALESCE(trim(nombre), '')", "estado": "trim(estado)",
+        "zona": "trim(zona)", "municipio": "trim(municipio)", "localidad": "trim(localidad)",
+        "conectividad": "COALESCE(trim(conectividad), '')", "estado_id": "CAST(estado_id AS BIGINT)",
+        "anio": "CAST(anio AS BIGINT)", "inc_total": f"COALESCE(TRY_CAST(round_even({SAFE_NUM_SQL}, 0) AS BIGINT), 0)",
+        "aten_total": "CAST(aten_total AS BIGINT)", "cn_inicial": "cn_inicial", "cn_prim": "cn_prim",
+        "cn_sec": "cn_sec", "cn_total": "cn_total"}
+    cols = [f"{present[f]} AS {f}" if f in present else f"CAST(NULL AS VARCHAR) AS {f}" for f in STRING_FIELDS]
+    cols += [f"{present[f]} AS {f}" if f in present else f"CAST(NULL AS BIGINT) AS {f}" for f in INT_FIELDS]
+    cols += ["COALESCE(lat, 0.0) AS lat", "COALESCE(lng, 0.0) AS lng", "CAST(mes AS INTEGER) AS mes",
+             "CASE WHEN situacion = 1 THEN 1 ELSE 0 END AS situacion", "anio * 100 + mes AS period_key"]
+    return "SELECT " + ",\n       ".join(cols) + "\nFROM panel"
+
+
+CLEAN_SQL = _clean_sql()
 
 
 @register("job_clean_panel", oracle(CLEAN_SQL))

@@ -23,7 +23,7 @@ def test_standardise_defaults(spark):
     df = spark.createDataFrame([(" K1 ", "2.5", "x", "19.43°", "En operación")],
                                "clave string, inc_total string, mes string, lat string, situacion string")
     r = standardise_types(df).first()
-    assert (r.clave, r.inc_total, r.mes, r.lat, r.situacion, r.nombre, r.cn_total) == ("K1", 2, 1, 19.43, 1, "", 0)
+    assert (r.clave, r.inc_total, r.mes, r.lat, r.situacion, r.nombre, r.cn_total) == ("K1", 2, 1, 19.43, 1, None, None)
 
 
 def test_schema_detection(spark):

@@ -401,12 +401,16 @@ def q_interpolate_route(spark, sf):
 @register("navigation_urls", ol("""
 SELECT clave,
        'https://www.google.com/maps/search/?api=1&query=' || printf('%.6f', lat) || ',' || printf('%.6f', lng) AS map_url,
-       'https://www.waze.com/ul?ll=' || printf('%.6f', lat) || ',' || printf('%.6f', lng) || '&navigate=yes&to=' || replace(nombre, ' ', '+') AS waze_url
+       'https://www.waze.com/ul?ll=' || printf('%.6f', lat) || ',' || printf('%.6f', lng) || '&navigate=yes&to=' || replace(nombre, ' ', '+') AS waze_url,
+       'https://www.google.com/maps/dir/?api=1&origin=19.4326,-99.1332&destination=' || printf('%.6f', lat) || ',' || printf('%.6f', lng)
+         || '&destination_place_id=' || replace(nombre, ' ', '+') || '&travelmode=driving' AS directions_url
 FROM latest"""))
 def q_navigation_urls(spark, sf):
     la, ln = F.format_string("%.6f", F.col("lat")), F.format_string("%.6f", F.col("lng"))
     return _latest(spark, sf).select("clave", geo.map_search_url(la, ln).alias("map_url"),
-                                     geo.waze_url(la, ln, F.col("nombre")).alias("waze_url"))
+                                     geo.waze_url(la, ln, F.col("nombre")).alias("waze_url"),
+                                     geo.navigation_url(F.lit("19.4326"), F.lit("-99.1332"), la, ln, F.col("nombre"))
+                                     .alias("directions_url"))
 
 
 @register("address_line", oracle("""
@@ -2136,3 +2140,15 @@ def q_measure_profile_columns(spark, sf):
 SELECT * FROM r WHERE pos <= 10"""))
 def q_measure_profile_top_groups(spark, sf):
     return ag.measure_profile_top_groups(panel(spark, sf), PROFILE_MS, B)
+
+
+@register("compare_periods_group_filter", oracle(CMP + f"""
+SELECT * FROM cg WHERE {_norm_sql('group_name')} = 'NATION_3'
+UNION ALL SELECT * FROM cg WHERE {_norm_sql('group_name')} = 'NO SUCH GROUP'"""))
+def q_compare_periods_group_filter(spark, sf):
+    """Group-name filter (accent/case-insensitive); an unknown name gives no rows [D5]."""
+    from . import compare as cp
+    dim = _nation_dim(spark, sf)
+    p = panel(spark, sf)
+    return (cp.compare_by_group(p, P1, P2, dim, B, group_name="nation_3")
+            .unionByName(cp.compare_by_group(p, P1, P2, dim, B, group_name="No such group")))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..binding import DEFAULT as B
 from ..operators.dims import as_dim
-from ..sources.tables import table
+from ..sources.tables import bounded_broadcast, table
 from ..sources.testbind import oracle, panel
 from . import reports
 
@@ -1688,7 +1688,7 @@ def _image_tree(spark, sf) -> str:
                                 F.lit("folder").alias("type"),
                                 F.transform("files", lambda x: x["file"]).alias("children")).alias("folder")))
     per_state = folders.groupBy("estado_id").agg(F.count(F.lit(1)).alias("n"))
-    chunked = (folders.join(F.broadcast(per_state), "estado_id")  # one row per group (bounded by the group count)
+    chunked = (folders.join(bounded_broadcast(per_state), "estado_id")  # one row per group, size-checked
                .withColumn("chunk", F.pmod(F.xxhash64("clave"), F.greatest(F.ceil(F.col("n") / 500), F.lit(1)))))
     nodes = (chunked.groupBy("estado_id", "estado", "chunk")
              .agg(F.sort_array(F.collect_list(F.struct("clave", "folder"))).alias("fs"))
@@ -1985,7 +1985,7 @@ def _tree_v1(spark, sf) -> str:
                    F.concat("estado", F.lit("/"), "clave").alias("path"), F.lit(None).cast("string").alias("webContentLink"),
                    F.transform("fs", lambda x: x["f"]).alias("children")).alias("folder")))
     per_state = folders.groupBy("estado_id").agg(F.count(F.lit(1)).alias("n"))
-    nodes = (folders.join(F.broadcast(per_state), "estado_id")  # one row per group
+    nodes = (folders.join(bounded_broadcast(per_state), "estado_id")  # one row per group, size-checked
              .withColumn("chunk", F.pmod(F.xxhash64("clave"), F.greatest(F.ceil(F.col("n") / 500), F.lit(1))))
              .groupBy("estado_id", "estado", "chunk")
              .agg(F.sort_array(F.collect_list(F.struct("clave", "folder"))).alias("fs"))

@@ -59,3 +59,20 @@ def reliable_checkpoint(df):
     ``spark.checkpoint.dir`` first): cuts lineage and survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def recommended_conf(input_bytes: int, cores: int) -> dict:
+    """Cluster settings for a job reading ``input_bytes`` on ``cores`` executor cores:
+    AQE on (runtime coalescing, skew-join splitting, broadcast from runtime sizes), about
+    256 MiB per scan split and per post-shuffle partition, and an initial shuffle width that
+    gives AQE room to coalesce (at least 2 partitions per core, at most one per 64 MiB)."""
+    split = 256 << 20
+    shuffle = max(2 * cores, min(input_bytes // (64 << 20), 200_000))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(split),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.files.maxPartitionBytes": str(split),
+        "spark.sql.shuffle.partitions": str(int(shuffle)),
+    }

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import bounded_broadcast
+
 
 def scan_coordinates_json(spark: SparkSession, path: str, text_fields: list[str], multiline: bool = False) -> DataFrame:
     """Coordinate records (JSON lines, or one JSON array with ``multiline``): records whose
@@ -63,7 +65,7 @@ def decode_numeric_codes(records: DataFrame, code_cols: dict, dims: dict) -> tup
     dictionaries; returns (records, number of records changed)."""
     out, changed = records, F.lit(False)
     for col, name in code_cols.items():
-        d = F.broadcast(dims[name].select(F.col("dim_id").cast("string").alias(f"__c_{col}"),
+        d = bounded_broadcast(dims[name].select(F.col("dim_id").cast("string").alias(f"__c_{col}"),
                                           F.col("dim_name").alias(f"__n_{col}")))
         out = out.join(d, F.trim(out[col]) == F.col(f"__c_{col}"), "left")
         changed = changed | F.col(f"__n_{col}").isNotNull()

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .tables import table
+from .tables import bounded_broadcast, table
 
 _PANELS: dict = {}
 
@@ -99,9 +99,9 @@ def derive_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
               F.sum("qr").cast("bigint").alias("cn_sec"),
               F.max("st").cast("int").alias("situacion")))
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    # nation (25 rows) and region (5 rows) are fixed-size dimensions of the schema
-    n = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
-    r = F.broadcast(table(spark, sf_dir, "region").select("r_regionkey", "r_name"))
+    # nation and region are small dimensions: broadcast after the size check
+    n = bounded_broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+    r = bounded_broadcast(table(spark, sf_dir, "region").select("r_regionkey", "r_name"))
     j = (f.join(c, f.custkey == c.c_custkey)
          .join(n, c.c_nationkey == n.n_nationkey)
          .join(r, n.n_regionkey == r.r_regionkey))

@@ -19,7 +19,9 @@ def test_every_oracle_has_a_query():
 
 
 @pytest.mark.parametrize("name", ["report_by_group", "compare_periods", "status_pivot", "search_scored",
-                                  "radius_join", "job_export_coordinates", "hierarchy_index"])
+                                  "radius_join", "job_export_coordinates", "hierarchy_index", "compare_years",
+                                  "nearest_facility", "report_general_stats", "job_clean_panel", "scan_image_tree",
+                                  "image_lookup_cascade", "scan_period_index", "incremental_period_load"])
 def test_query_matches_duckdb(spark, name):
     con = duckdb.connect()
     from tessera.sources.tables import TABLES

@@ -13,6 +13,7 @@ from ..operators.dims import dim_decode
 
 
 def is_latest(df: DataFrame, b: Binding = DEFAULT, mode: str = "period", as_of: int | None = None):
+    """Boolean column: the row belongs to the latest period (see ``filters.latest_value``)."""
     col = b.period if mode == "period" else b.month
     cond = F.col(col).cast("int") == flt.latest_value(df, b, mode, as_of)
     if as_of is not None:
@@ -25,8 +26,9 @@ def report_by_group(df: DataFrame, dim: DataFrame, b: Binding = DEFAULT, mode: s
     """Per group: latest-month facilities, operating, connected (strict) and % connected of
     operating; all-history sums of the three levels, their total and % of the national total.
 
-    One scan, one conditional hash aggregate keyed by group; the national total is a scalar
-    subquery over the (tiny) aggregated result; names come from a broadcast dictionary."""
+    One scan, one conditional hash aggregate keyed by group; the national total is a window
+    over the aggregated rows (one per group); names come from a size-checked broadcast
+    dictionary."""
     lv = list(b.levels)
     # the latest-period flag is projected once, so its scalar subquery is planned once
     src = df.select(b.group_id, b.status, b.connectivity, *lv, is_latest(df, b, mode, as_of).alias("__latest"))

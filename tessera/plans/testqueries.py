@@ -951,10 +951,10 @@ def q_facility_history(spark, sf):
 
 
 @register("latest_row_lookup", ol("""
-SELECT 'latest' AS variant, arg_min(clave, period_key) AS clave, min(period_key) AS period_key, arg_min(cn_total, period_key) AS cn_total
-FROM latest WHERE clave = 'I-02-000-55'
+SELECT 'latest' AS variant, clave, min(period_key) AS period_key, arg_min(cn_total, period_key) AS cn_total
+FROM latest WHERE upper(trim(clave)) = 'I-02-000-55' GROUP BY clave
 UNION ALL
-SELECT 'detail', arg_min(clave, period_key), min(period_key), arg_min(cn_total, period_key) FROM panel WHERE clave = 'I-02-000-55'"""))
+SELECT 'detail', clave, min(period_key), arg_min(cn_total, period_key) FROM panel WHERE upper(trim(clave)) = 'I-02-000-55' GROUP BY clave"""))
 def q_latest_row_lookup(spark, sf):
     key = "I-02-000-55"
     a = rk.first_per_key(flt.facility_by_key(_latest(spark, sf), key, B).select("clave", "period_key", "cn_total"),

@@ -17,9 +17,11 @@ def geo_grid_cells(df: DataFrame, zooms=(4, 8, 12, 16), b: Binding = DEFAULT) ->
     """Per zoom: points and centroid per cell (count + mean), raw points at zoom >= 16.
     One scan: each point is replicated once per clustered zoom, then one hash aggregate."""
     cz = [z for z in zooms if z < NO_CLUSTER_ZOOM]
-    cells = F.array(*[F.struct(F.lit(z).alias("zoom"), *[c.alias(n) for c, n in
-                                                          zip(web_mercator_cell(b.lat, b.lng, z, cell_px=CLUSTER_PX), ("cx", "cy"))])
-                      for z in cz])
+    def cell(z):
+        cx, cy = web_mercator_cell(b.lat, b.lng, z, cell_px=CLUSTER_PX)
+        return F.struct(F.lit(z).alias("zoom"), cx.alias("cx"), cy.alias("cy"))
+
+    cells = F.array(*[cell(z) for z in cz])
     exploded = df.select(b.lat, b.lng, F.explode(cells).alias("c")).select("c.*", b.lat, b.lng)
     agg = (exploded.groupBy("zoom", "cx", "cy")
            .agg(F.count(F.lit(1)).alias("points"), F.round(F.avg(b.lat), 6).alias("lat"),

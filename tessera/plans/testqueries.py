@@ -2152,3 +2152,26 @@ def q_compare_periods_group_filter(spark, sf):
     p = panel(spark, sf)
     return (cp.compare_by_group(p, P1, P2, dim, B, group_name="nation_3")
             .unionByName(cp.compare_by_group(p, P1, P2, dim, B, group_name="No such group")))
+
+
+def _report_clean_sql() -> str:
+    q = QUERIES["report_by_group"][1]
+    q = q.replace("  SELECT estado_id,\n", "  SELECT CAST(estado_id AS BIGINT) AS estado_id,\n", 1)
+    q = q.replace("COALESCE(nation.n_name, 'Estado_' || CAST(t.estado_id AS VARCHAR)) AS group_name",
+                  "COALESCE(s.dim_name, 'Estado_' || CAST(t.estado_id AS VARCHAR)) AS group_name")
+    q = q.replace("FROM t LEFT JOIN nation ON nation.n_nationkey = t.estado_id",
+                  f"FROM t LEFT JOIN {STATES_SQL} s ON s.dim_id = t.estado_id")
+    return q
+
+
+@register("report_by_group_from_raw", _report_clean_sql())
+def q_report_by_group_from_raw(spark, sf):
+    """End to end on the canonical schema: the panel exported as a raw delimited file, cleaned
+    by ``job_clean_panel`` into a period-partitioned table, then the per-group report with the
+    fixed group dictionary (ids outside it show as 'Estado_<id>')."""
+    import uuid
+    from ..session import scratch_path
+    from .jobs import job_clean_panel
+    out = scratch_path(spark, f"clean-{uuid.uuid4().hex[:12]}")
+    clean, _ = job_clean_panel(spark, _raw_csv(spark, sf), out_path=out)
+    return reports.report_by_group(clean, dims.states_dim(spark), B, as_of=AS_OF)

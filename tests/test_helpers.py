@@ -72,3 +72,28 @@ def test_latest_filter_prunes_partitions(spark):
     from tessera.plans import testqueries as tq
     plan = tq._latest(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "period_key" in plan and "CartesianProduct" not in plan
+
+
+def test_dim_encode_decode_golden(spark):
+    from tessera.operators import dims
+    df = spark.createDataFrame([(" jalisco ",), ("Mexico",), ("México",)], "t string")
+    exact = {r.t: r.i for r in dims.dim_encode(df, "t", "i", spark, accent_insensitive=False).collect()}
+    folded = {r.t: r.i for r in dims.dim_encode(df, "t", "i", spark, accent_insensitive=True).collect()}
+    assert exact == {" jalisco ": 14, "Mexico": 15, "México": 0}
+    assert folded == {" jalisco ": 14, "Mexico": 15, "México": 15}
+    ids = spark.createDataFrame([(14,), (99,), (None,)], "g int")
+    got = {r.g: r.name for r in dims.dim_decode(ids, "g", dims.states_dim(spark), "name", "Estado_").collect()}
+    assert got == {14: "Jalisco", 99: "Estado_99", None: ""}
+
+
+def test_period_index_forms(spark, tmp_path):
+    import json
+    from tessera.sources.json_sources import scan_period_index
+    a = tmp_path / "a.json"
+    a.write_text(json.dumps({"index": {"2025-01": {"name": "x", "id": "1", "download_url": "u1"},
+                                       "2025-02": {"name": "y", "id": "2"}}}))
+    b = tmp_path / "b.json"
+    b.write_text(json.dumps({"2026-10": {"name": "z", "id": "3", "view_url": "v3"}}))
+    entries, disc = scan_period_index(spark, [str(a), str(b)])
+    assert sorted((r.period, r.url) for r in entries.collect()) == [("2025-01", "u1"), ("2026-10", "v3")]
+    assert tuple(disc.first()) == (1, 2)

@@ -62,7 +62,8 @@ def radius_join(points: DataFrame, facilities: DataFrame, radius_km: float, b: B
     q = (q.where((F.col("o.sh") == 0) | ((shifted >= -180.0 - w) & (shifted <= 180.0 + w)))
          .withColumn("cx", F.floor((shifted + 180.0) / w).cast("bigint") + F.col("o.dx"))
          .select("point_id", "q_lat", "q_lng", "cy", "cx").distinct())
-    q = bounded_broadcast(q, max_broadcast_points * 27)
+    # each point becomes at most 27 probe rows: the size bound of the input is scaled by that
+    q = bounded_broadcast(q, max_broadcast_points * 27, max_plan_bytes=(1 << 20) // 27)
     j = fcell.join(q, ["cy", "cx"])
     d = haversine_km("q_lat", "q_lng", "f_lat", "f_lng")
     hits = (j.withColumn("distance_km_exact", d).where(F.col("distance_km_exact") <= F.lit(radius_km))

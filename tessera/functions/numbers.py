@@ -61,7 +61,10 @@ def clamp_nonneg(c) -> Column:
 
 def pct_int(num, den, scale: int = 2) -> Column:
     """round(num / den * 100, scale) computed exactly in integer space, half away from zero;
-    0 when den is 0 or null. Equal in Spark and DuckDB (no binary rounding drift)."""
+    0 when den is 0 or null. Equal in Spark and DuckDB (no binary rounding drift).
+    Column names (str) take the SQL-text path: one expression parsed by the JVM."""
+    if isinstance(num, str) and isinstance(den, str):
+        return pct_expr(f"`{num}`", f"`{den}`", scale)
     n, d = _c(num).cast("bigint"), _c(den).cast("bigint")
     f = 100 * 10 ** scale
     q = idiv(F.abs(n) * (2 * f) + F.abs(d), 2 * F.abs(d))

@@ -76,14 +76,14 @@ def connected_per_group(df: DataFrame, b: Binding = DEFAULT) -> DataFrame:
     op = flt.operating(b)
     g = df.groupBy(b.group_id).agg(_count_if(op).alias("operating"),
                                    _count_if(op & flt.connected_strict(b)).alias("connected"))
-    return g.withColumn("pct_connected", pct_int(F.col("connected"), F.col("operating"), 1))
+    return g.withColumn("pct_connected", pct_int("connected", "operating", 1))
 
 
 def connectivity_rate_by_group(df: DataFrame, b: Binding = DEFAULT) -> DataFrame:
     """Share of rows with the loose connectivity flag (all rows as denominator), 2 dec."""
     g = df.groupBy(b.group_name).agg(F.count(F.lit(1)).alias("rows"),
                                      _count_if(flt.connected_loose(b)).alias("connected"))
-    return g.withColumn("pct_connected", pct_int(F.col("connected"), F.col("rows"), 2))
+    return g.withColumn("pct_connected", pct_int("connected", "rows", 2))
 
 
 STATUS_CODES = (0, 1, 2, 3, 4)
@@ -102,8 +102,8 @@ def status_pivot(df: DataFrame, b: Binding = DEFAULT, codes=STATUS_CODES) -> Dat
          .agg(*[F.count_if(F.col(b.status) == F.lit(c)).cast("bigint").alias(v) for c, v in names.items()]))
     total = sum((F.col(v) for v in names.values()), F.lit(0))
     return (p.withColumn("total", total.cast("bigint"))
-            .withColumn("pct_operating", pct_int(F.col("status_1"), F.col("total"), 2))
-            .withColumn("pct_suspended", pct_int(F.col("status_0"), F.col("total"), 2)))
+            .withColumn("pct_operating", pct_int("status_1", "total", 2))
+            .withColumn("pct_suspended", pct_int("status_0", "total", 2)))
 
 
 def status_distribution(df: DataFrame, b: Binding = DEFAULT, labels: DataFrame | None = None) -> DataFrame:
@@ -141,7 +141,7 @@ def measure_summary(df: DataFrame, measures: list[str], is_latest: Column, b: Bi
                           sum((F.col(f"s_{m}") for m in measures), F.lit(0)).cast("bigint").alias("total"),
                           F.col("op_all").alias("operating_positive")))
     rows = one.select(F.explode(F.array(*parts)).alias("r")).select("r.*")
-    return rows.withColumn("pct_null", pct_int(F.col("nulls"), F.col("rows"), 2))
+    return rows.withColumn("pct_null", pct_int("nulls", "rows", 2))
 
 
 def group_measure_totals(df: DataFrame, b: Binding = DEFAULT, levels=None) -> DataFrame:
@@ -159,7 +159,7 @@ def ratio_sums(df: DataFrame, total_col: str, part_col: str, prefix: str) -> Dat
     t = F.coalesce(F.sum(F.coalesce(to_number(total_col), F.lit(0.0))), F.lit(0.0)).try_cast("bigint")
     p = F.coalesce(F.sum(F.coalesce(to_number(part_col), F.lit(0.0))), F.lit(0.0)).try_cast("bigint")
     g = df.agg(t.alias(f"{prefix}_total"), p.alias(f"{prefix}_part"))
-    return g.withColumn(f"{prefix}_pct", pct_int(F.col(f"{prefix}_part"), F.col(f"{prefix}_total"), 2))
+    return g.withColumn(f"{prefix}_pct", pct_int(f"{prefix}_part", f"{prefix}_total", 2))
 
 
 def coerced_sums(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -191,7 +191,7 @@ def column_distinct_ratio(df: DataFrame, cols: list[str], threshold: float = 0.5
     a = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_distinct(c).alias(f"d_{c}") for c in cols])
     parts = [F.struct(F.lit(c).alias("column"), F.col(f"d_{c}").alias("distinct")) for c in cols]
     out = a.select("rows", F.explode(F.array(*parts)).alias("r")).select("rows", "r.*")
-    out = out.withColumn("ratio_pct", pct_int(F.col("distinct"), F.col("rows"), 2))
+    out = out.withColumn("ratio_pct", pct_int("distinct", "rows", 2))
     return out.withColumn("dictionary_candidate", F.col("distinct") * 2 < F.col("rows") * int(threshold * 2))
 
 

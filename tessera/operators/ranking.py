@@ -72,7 +72,7 @@ def leader_per_measure(df: DataFrame, measures: list[str], b: Binding = DEFAULT)
         F.sum("value").cast("bigint").alias("total"), F.max("value").alias("leader_value"),
         F.min_by(F.col(b.facility), F.struct(-F.col("value"), F.col(b.facility))).alias("leader"))
     out = g.where(F.col("total") > 0)
-    return out.withColumn("leader_pct", pct_int(F.col("leader_value"), F.col("total"), 1))
+    return out.withColumn("leader_pct", pct_int("leader_value", "total", 1))
 
 
 def top_groups_by_measure(groups: DataFrame, measure: str, n: int = 5, name_col: str = "group_name") -> DataFrame:

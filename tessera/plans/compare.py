@@ -177,7 +177,7 @@ def compare_executive(per_group: DataFrame, totals: DataFrame) -> DataFrame:
                       F.count_if((p >= -1) & (p <= 1)).cast("bigint").alias("groups_stable"),
                       F.count(F.lit(1)).alias("groups"))
     t = totals.select("cn_total_pct").scalar()
-    share = pct_int(F.col("groups_growing"), F.col("groups"), 2)
+    share = pct_int("groups_growing", "groups", 2)
     trend = (F.when(t > 5, "strongly positive").when(t > 0, "positive").when(t < -5, "strongly negative")
              .when(t < 0, "negative").otherwise("stable"))
     rec = (F.when((t > 10) & (share > 70), "excellent").when((t > 5) & (share > 50), "good")

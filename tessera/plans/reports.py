@@ -45,8 +45,8 @@ def report_by_group(df: DataFrame, dim: DataFrame, b: Binding = DEFAULT, mode: s
     # no second scan of the panel
     national = F.sum("sum_total").over(Window.partitionBy()).cast("bigint")
     g = g.select("*", national.alias("national_total"))
-    g = g.select("*", pct_int(F.col("connected"), F.col("operating"), 1).alias("pct_connected"),
-                 pct_int(F.col("sum_total"), F.col("national_total"), 2).alias("pct_of_national"))
+    g = g.select("*", pct_int("connected", "operating", 1).alias("pct_connected"),
+                 pct_int("sum_total", "national_total", 2).alias("pct_of_national"))
     return dim_decode(g, b.group_id, dim, "group_name", "Estado_")
 
 
@@ -57,7 +57,7 @@ def state_table_totals(latest: DataFrame, b: Binding = DEFAULT) -> DataFrame:
                                        F.count_if(op).cast("bigint").alias("operating"),
                                        F.count_if(op & flt.connected_strict(b)).cast("bigint").alias("connected"))
     t = g.agg(*[F.sum(c).cast("bigint").alias(c) for c in ("facilities", "operating", "connected")])
-    return t.withColumn("pct_connected_all", pct_int(F.col("connected"), F.col("facilities"), 1))
+    return t.withColumn("pct_connected_all", pct_int("connected", "facilities", 1))
 
 
 def max_min_group(latest: DataFrame, b: Binding = DEFAULT) -> DataFrame:
@@ -128,9 +128,9 @@ def report_general_stats(latest: DataFrame, b: Binding = DEFAULT) -> DataFrame:
         F.count_if(F.col(b.status) == b.operating_code).cast("bigint").alias("op"),
         F.count_if(F.col(b.status) == 0).cast("bigint").alias("susp"),
         F.count_if(connected_loose(b)).cast("bigint").alias("conn"))
-    g = g.select("*", pct_int(F.col("op"), F.col("rows"), 2).alias("op_pct"),
-                 pct_int(F.col("susp"), F.col("rows"), 2).alias("susp_pct"),
-                 pct_int(F.col("conn"), F.col("rows"), 2).alias("conn_pct"))
+    g = g.select("*", pct_int("op", "rows", 2).alias("op_pct"),
+                 pct_int("susp", "rows", 2).alias("susp_pct"),
+                 pct_int("conn", "rows", 2).alias("conn_pct"))
     name = F.col(b.group_name)
 
     def best(v, hi=True):

@@ -452,7 +452,7 @@ SELECT clave, period_key, CASE WHEN p < 50 THEN 'low' WHEN p < 70 THEN 'medium'
 FROM (SELECT clave, period_key, {nb.pct_int_sql('cn_inicial', 'cn_total', 1)} AS p FROM panel)"""))
 def q_connectivity_band(spark, sf):
     from ..functions.labels import connectivity_band
-    p = nb.pct_int(F.col("cn_inicial"), F.col("cn_total"), 1)
+    p = nb.pct_int("cn_inicial", "cn_total", 1)
     return panel(spark, sf).select("clave", "period_key", connectivity_band(p).alias("band"))
 
 

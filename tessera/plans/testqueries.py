@@ -1808,7 +1808,7 @@ def _period_index_docs(spark, sf) -> str:
     from ..session import scratch_path
     per = panel(spark, sf).select("anio", "mes").distinct()
     key = F.concat(F.col("anio").cast("string"), F.lit("-"), F.lpad(F.col("mes").cast("string"), 2, "0"))
-    val = F.struct(F.concat(F.lit("Plazas_"), key, F.lit(".parquet")).alias("name"),
+    val = F.struct(F.concat(F.lit("panel_"), key, F.lit(".parquet")).alias("name"),
                    F.concat(F.lit("f"), F.col("anio").cast("string"), F.col("mes").cast("string")).alias("id"),
                    F.when(F.col("mes") % 4 != 0, F.concat(F.lit("https://files.example/d/"), key)).alias("download_url"),
                    F.when(F.col("mes") == 8, F.concat(F.lit("https://files.example/v/"), key)).alias("view_url"))
@@ -1829,7 +1829,7 @@ PINDEX_SQL = """
 
 
 @register("scan_period_index", oracle(PINDEX_SQL + """
-SELECT k AS period, 'Plazas_' || k || '.parquet' AS name, 'f' || CAST(anio AS VARCHAR) || CAST(mes AS VARCHAR) AS file_id,
+SELECT k AS period, 'panel_' || k || '.parquet' AS name, 'f' || CAST(anio AS VARCHAR) || CAST(mes AS VARCHAR) AS file_id,
        CASE WHEN mes % 4 <> 0 THEN 'https://files.example/d/' || k ELSE 'https://files.example/v/' || k END AS url
 FROM docs WHERE mes % 4 <> 0 OR mes = 8"""))
 def q_scan_period_index(spark, sf):
@@ -1868,8 +1868,8 @@ def _catalog(spark, sf) -> str:
     from ..session import scratch_path
     g = panel(spark, sf).groupBy("anio", "mes").agg(F.count(F.lit(1)).alias("rows"))
     y, m = F.col("anio").cast("string"), F.lpad(F.col("mes").cast("string"), 2, "0")
-    f = F.struct(F.concat(F.lit("Plazas_"), y, F.lit("_"), m, F.lit(".parquet")).alias("name"),
-                 F.concat(F.lit("Año_"), y, F.lit("/Plazas_"), y, F.lit("_"), m, F.lit(".parquet")).alias("path"),
+    f = F.struct(F.concat(F.lit("panel_"), y, F.lit("_"), m, F.lit(".parquet")).alias("name"),
+                 F.concat(F.lit("Año_"), y, F.lit("/panel_"), y, F.lit("_"), m, F.lit(".parquet")).alias("path"),
                  F.lit("file").alias("type"), F.col("rows").cast("string").alias("size"),
                  F.concat(y, F.lit("-"), m, F.lit("-28T00:00:00Z")).alias("modifiedTime"),
                  y.alias("year"), m.alias("month"))
@@ -1886,8 +1886,8 @@ def _catalog(spark, sf) -> str:
 
 
 @register("scan_file_catalog", oracle("""
-SELECT 'Año_' || CAST(anio AS VARCHAR) AS folder, 'Plazas_' || CAST(anio AS VARCHAR) || '_' || lpad(CAST(mes AS VARCHAR), 2, '0') || '.parquet' AS name,
-       'Año_' || CAST(anio AS VARCHAR) || '/Plazas_' || CAST(anio AS VARCHAR) || '_' || lpad(CAST(mes AS VARCHAR), 2, '0') || '.parquet' AS path,
+SELECT 'Año_' || CAST(anio AS VARCHAR) AS folder, 'panel_' || CAST(anio AS VARCHAR) || '_' || lpad(CAST(mes AS VARCHAR), 2, '0') || '.parquet' AS name,
+       'Año_' || CAST(anio AS VARCHAR) || '/panel_' || CAST(anio AS VARCHAR) || '_' || lpad(CAST(mes AS VARCHAR), 2, '0') || '.parquet' AS path,
        COUNT(*) AS size, CAST(anio AS VARCHAR) || '-' || lpad(CAST(mes AS VARCHAR), 2, '0') || '-28T00:00:00Z' AS modified,
        CAST(anio AS VARCHAR) AS year, lpad(CAST(mes AS VARCHAR), 2, '0') AS month
 FROM panel GROUP BY anio, mes"""))

@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
-from tessera.llm import html_text, quality_classifier, quality_rules, sharding
+from tessera.llm import html_text, log_bilinear, pii_tagger, quality_classifier, quality_rules, sharding, string_tiling
 from tessera.llm.common import documents, table
 
 
+def op1_benchmark_decontamination(spark, sf_dir):
+    return string_tiling.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op2_pii(spark, sf_dir):
+    return pii_tagger.find(documents(spark, sf_dir))
+
+
 def op5_quality_classifier(spark, sf_dir):
     return quality_classifier.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op6_lm_scoring(spark, sf_dir):
+    return log_bilinear.score(documents(spark, sf_dir))
+
+
 def op7_sharding(spark, sf_dir):
     return sharding.digest(sharding.place(documents(spark, sf_dir)))
 
@@ -22,5 +34,6 @@ def op9_quality_rules(spark, sf_dir):
     return quality_rules.digest(quality_rules.apply_rules(documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_classifier, op7_sharding, op8_html_extraction, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (
+    op1_benchmark_decontamination, op2_pii, op5_quality_classifier, op6_lm_scoring, op7_sharding, op8_html_extraction, op9_quality_rules)}
 ORACLES = {"op9_quality_rules": quality_rules.ORACLE}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import html_text, log_bilinear, pii_tagger, quality_classifier, quality_rules, sharding, string_tiling
+from tessera.llm import html_text, jaccard_join, log_bilinear, pii_tagger, quality_classifier, quality_rules, sharding, string_tiling
 from tessera.llm.common import documents, table
 
 
@@ -34,6 +34,10 @@ def op9_quality_rules(spark, sf_dir):
     return quality_rules.digest(quality_rules.apply_rules(documents(spark, sf_dir)))
 
 
+def op10_ngram_jaccard_join(spark, sf_dir):
+    return jaccard_join.links(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_benchmark_decontamination, op2_pii, op5_quality_classifier, op6_lm_scoring, op7_sharding, op8_html_extraction, op9_quality_rules)}
+    op1_benchmark_decontamination, op2_pii, op5_quality_classifier, op6_lm_scoring, op7_sharding, op8_html_extraction, op9_quality_rules, op10_ngram_jaccard_join)}
 ORACLES = {"op9_quality_rules": quality_rules.ORACLE}

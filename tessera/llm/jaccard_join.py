@@ -295,8 +295,10 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one document of every linked group: the one with the smallest id, once if its row
     repeats. Rows without an id are not compared and stay."""
-    marked = links(docs, threshold=threshold)
+    marked = checkpoint(links(docs, threshold=threshold))
     away = marked.where("class_id <> doc_id").select(F.col("doc_id").alias("away_id")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull())
-    kept = named.join(away, F.col("doc_id") == F.col("away_id"), "left_anti").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    again = marked.where("class_id = doc_id").groupBy(F.col("doc_id").alias("away_id")).count().where("count > 1").select("away_id")
+    if again.isEmpty():
+        return docs.join(away, F.col("doc_id") == F.col("away_id"), "left_anti")
+    once = docs.join(again, F.col("doc_id") == F.col("away_id"), "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(away.unionByName(again), F.col("doc_id") == F.col("away_id"), "left_anti").unionByName(once)

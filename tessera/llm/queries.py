@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import html_text, jaccard_join, log_bilinear, packing, pii_tagger, quality_classifier, quality_rules, sharding, string_tiling
+from tessera.llm import html_text, jaccard_join, log_bilinear, packing, pii_tagger, quality_classifier, quality_rules, sharding, string_tiling, suffix_dedup
 from tessera.llm.common import documents, table
 
 
@@ -18,6 +18,10 @@ def op3_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op4_suffix_array_dedup(spark, sf_dir):
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(documents(spark, sf_dir)))
+
+
 def op5_quality_classifier(spark, sf_dir):
     return quality_classifier.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -43,5 +47,5 @@ def op10_ngram_jaccard_join(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_benchmark_decontamination, op2_pii, op3_best_fit_packing, op5_quality_classifier, op6_lm_scoring, op7_sharding, op8_html_extraction, op9_quality_rules, op10_ngram_jaccard_join)}
+    op1_benchmark_decontamination, op2_pii, op3_best_fit_packing, op4_suffix_array_dedup, op5_quality_classifier, op6_lm_scoring, op7_sharding, op8_html_extraction, op9_quality_rules, op10_ngram_jaccard_join)}
 ORACLES = {"op9_quality_rules": quality_rules.ORACLE}

@@ -298,7 +298,8 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     marked = checkpoint(links(docs, threshold=threshold))
     away = marked.where("class_id <> doc_id").select(F.col("doc_id").alias("away_id")).distinct()
     again = marked.where("class_id = doc_id").groupBy(F.col("doc_id").alias("away_id")).count().where("count > 1").select("away_id")
+    out = away.unionByName(again)
+    kept = docs.join(out, docs["doc_id"] == out["away_id"], "left_anti")
     if again.isEmpty():
-        return docs.join(away, F.col("doc_id") == F.col("away_id"), "left_anti")
-    once = docs.join(again, F.col("doc_id") == F.col("away_id"), "left_semi").dropDuplicates(["doc_id"])
-    return docs.join(away.unionByName(again), F.col("doc_id") == F.col("away_id"), "left_anti").unionByName(once)
+        return kept
+    return kept.unionByName(docs.join(again, docs["doc_id"] == again["away_id"], "left_semi").dropDuplicates(["doc_id"]))

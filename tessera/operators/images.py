@@ -125,12 +125,14 @@ def image_lookup_cascade(queries: DataFrame, images: DataFrame, q_col: str = "qu
     difference (ties by key). Containment candidates come from an equi-join on 3-grams (the
     shorter string's rarest n-gram must occur in the longer one), then are verified: exact, and
     each string meets only the partners sharing its rarest gram, not all pairs.
-    Returns (query, key, method); unresolved queries get null."""
+    Returns (query, key, method), one row per row of ``queries``; unresolved ones get null.
+    Equal queries are resolved once."""
     # the cascade reuses its inputs many times: cut the lineage once (reliable checkpoints in
     # the shared folder) so each step plans against a stored table, not the whole tree scan
     keys = reliable_checkpoint(images.select("key").distinct())
     aliases = reliable_checkpoint(alias_index(images))
-    q = reliable_checkpoint(queries.select(F.col(q_col).alias("query"), F.lower(F.trim(q_col)).alias("qn")))
+    asked = queries.select(F.col(q_col).alias("query"))
+    q = reliable_checkpoint(asked.distinct().withColumn("qn", F.lower(F.trim("query"))))
     exact = q.join(keys.withColumnRenamed("key", "qn"), "qn", "left_semi").select("query", F.col("qn").alias("key"),
                                                                                  F.lit("exact").alias("method"))
     rest = q.join(exact.select("query"), "query", "left_anti")
@@ -151,7 +153,7 @@ def image_lookup_cascade(queries: DataFrame, images: DataFrame, q_col: str = "qu
             .groupBy("query").agg(F.min_by("key", F.struct("score", "key")).alias("key"))
             .select("query", "key", F.lit("partial").alias("method")))
     found = exact.unionByName(al).unionByName(part)
-    return q.select("query").join(found, "query", "left")
+    return asked.join(found, "query", "left")
 
 
 def image_counts(images: DataFrame) -> DataFrame:
@@ -163,20 +165,19 @@ def image_counts(images: DataFrame) -> DataFrame:
 
 
 def image_sync_merge(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rescan merge on file id: same modified date -> cached name/size kept, else the new ones.
-    Returns (merged files of the new scan, counts of new / updated / unchanged / removed)."""
+    """Rescan merge on file id: same modified date (or none in both) -> cached name/size kept, else
+    the new ones. Presence in a scan is the file's row, not its date. Returns (merged files of the new scan, counts of new / updated / unchanged / removed)."""
     o = old.select(F.col("file_id"), F.col("file_name").alias("o_name"), F.col("size").alias("o_size"),
-                   F.col("modified").alias("o_m"))
-    j = new.join(o, "file_id", "full")
-    status = (F.when(F.col("o_m").isNull() & F.col("modified").isNotNull(), "new")
-              .when(F.col("modified").isNull(), "removed")
-              .when(F.col("o_m") == F.col("modified"), "unchanged").otherwise("updated"))
+                   F.col("modified").alias("o_m"), F.lit(True).alias("o_there"))
+    j = new.withColumn("n_there", F.lit(True)).join(o, "file_id", "full")
+    status = (F.when(F.col("o_there").isNull(), "new").when(F.col("n_there").isNull(), "removed")
+              .when(F.col("o_m").eqNullSafe(F.col("modified")), "unchanged").otherwise("updated"))
     j = j.withColumn("status", status)
     same = F.col("status") == "unchanged"
     merged = (j.where(F.col("status") != "removed")
               .withColumn("file_name", F.when(same, F.col("o_name")).otherwise(F.col("file_name")))
               .withColumn("size", F.when(same, F.col("o_size")).otherwise(F.col("size")))
-              .drop("o_name", "o_size", "o_m", "status"))
+              .drop("o_name", "o_size", "o_m", "o_there", "n_there", "status"))
     counts = j.groupBy("status").agg(F.count(F.lit(1)).alias("files"))
     return merged, counts
 

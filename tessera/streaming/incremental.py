@@ -1,9 +1,11 @@
-"""Incremental monthly loads with Structured Streaming.
-
-New monthly files land in a folder; a file-source stream picks them up and each micro-batch
-(``foreachBatch``) overwrites exactly the periods it carries in the partitioned panel
-(dynamic partition overwrite, so a replayed batch rewrites the same partitions: idempotent)
-and then rebuilds the per-period group summary for those periods only.
+"""Incremental loads with Structured Streaming.
+
+Monthly files land in a folder in any layout; a file-source stream picks them up. One *load* is all
+that one stream checkpoint ever reads: its batches append to the periods they carry, so a period may
+be spread over many files and batches, and a late file adds to it. A new load (a new checkpoint)
+replaces the periods that it touches as a whole; older loads stay on disk and are not read. Every
+batch writes partitions of its own (period, load, batch), so a replayed batch rewrites the same
+files, and the group summary of the touched periods is rebuilt from the current rows.
 """
 
 from __future__ import annotations
@@ -22,24 +24,66 @@ def period_summary(df: DataFrame, b: Binding = DEFAULT) -> DataFrame:
                  *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(f"sum_{c}") for c in (*b.levels, "cn_total")]))
 
 
-def _overwrite_partitions(df: DataFrame, path: str, part: str) -> None:
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(part).parquet(path))
+def _overwrite_partitions(df: DataFrame, path: str, *parts: str) -> None:
+    """Dynamic overwrite of the partitions in ``df``, clustered first so that each has few files."""
+    (df.repartitionByRange(*[F.col(p) for p in parts]).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path))
+
+
+LOAD, BATCH = "load_version", "load_batch"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders and files in ``path`` (none if it is not there)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def load_version(spark: SparkSession, panel_path: str, checkpoint: str) -> int:
+    """The version of the load that ``checkpoint`` stands for: as noted when it began, else the next."""
+    notes = f"{panel_path}_loads"
+    known = {r["checkpoint"]: r["version"] for r in spark.read.parquet(notes).collect()} if _exists(spark, notes) else {}  # a row per load
+    if checkpoint not in known:
+        known[checkpoint] = max(known.values(), default=0) + 1
+        spark.createDataFrame([(checkpoint, known[checkpoint])], "checkpoint string, version int").coalesce(1).write.mode("append").parquet(notes)
+    return known[checkpoint]
+
+
+def current_panel(spark: SparkSession, panel_path: str, b: Binding = DEFAULT, periods: list | None = None) -> DataFrame:
+    """The rows of each period's newest load (of ``periods`` only, if given)."""
+    df = spark.read.parquet(panel_path)
+    if periods is not None:
+        df = df.where(F.col(b.period).isin(periods))
+    newest = df.groupBy(b.period).agg(F.max(LOAD).alias(LOAD))  # partition columns only; a row per period
+    return df.join(newest, [b.period, LOAD], "left_semi").drop(LOAD, BATCH)
 
 
 def incremental_period_load(spark: SparkSession, source_dir: str, schema, panel_path: str, summary_path: str,
                             checkpoint: str, b: Binding = DEFAULT, files_per_trigger: int | None = None) -> None:
     """Process every file present in ``source_dir`` (Trigger.AvailableNow) and stop."""
+    version = load_version(spark, panel_path, checkpoint)
 
     def load(batch: DataFrame, epoch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        _overwrite_partitions(batch, panel_path, b.period)
-        # the touched period keys (a handful per batch) become a literal IN list, so the
-        # summary rebuild reads only those partitions
-        periods = [r[0] for r in batch.select(b.period).distinct().collect()]
-        fresh = spark.read.parquet(panel_path).where(F.col(b.period).isin(periods))
-        _overwrite_partitions(period_summary(fresh, b), summary_path, b.period)
+        batch = batch.persist()
+        try:
+            # the period keys of a batch (a handful) become a literal IN list, so that the
+            # summary rebuild reads only those partitions
+            periods = [r[0] for r in batch.select(b.period).distinct().collect()]
+            if not periods:
+                return
+            _overwrite_partitions(batch.withColumn(LOAD, F.lit(version)).withColumn(BATCH, F.lit(epoch_id)),
+                                  panel_path, b.period, LOAD, BATCH)
+        finally:
+            batch.unpersist()
+        _overwrite_partitions(period_summary(current_panel(spark, panel_path, b, periods), b), summary_path, b.period)
 
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
@@ -50,34 +94,29 @@ def incremental_period_load(spark: SparkSession, source_dir: str, schema, panel_
 
 
 def incremental_image_sync(spark: SparkSession, snapshots_dir: str, schema, table_dir: str, checkpoint: str) -> None:
-    """Each new rescan snapshot (flattened image rows) is merged into the keyed image table:
-    unchanged files keep their cached name/size, new and updated ones take the new values.
-    Every batch writes a new table version (``v=<epoch>``, overwrite: a replay rewrites the
-    same version) and its status counts (``counts/epoch=<epoch>``)."""
+    """Each rescan snapshot (a folder of flattened image rows, named in time order) is merged into
+    the keyed image table: unchanged files keep their cached name/size, new and updated ones take the
+    new values. The stream tells which snapshots have new files; a snapshot is always read whole, in
+    all its part files, and merged with the version before it, so late parts and replays rewrite its
+    version (``v=<snapshot>``) and those after it, and their status counts."""
     from ..operators.images import image_sync_merge
 
     def merge(batch: DataFrame, epoch_id: int) -> None:
-        if batch.isEmpty():
+        folder = F.element_at(F.split("path", "/"), -2)
+        fresh = [r[0] for r in batch.select(folder.alias("s")).distinct().collect()]  # one name per rescan
+        if not fresh:
             return
-        prev = _latest_version(spark, table_dir, before=epoch_id)
-        old = prev if prev is not None else batch.limit(0)
-        merged, counts = image_sync_merge(old, batch)
-        merged.write.mode("overwrite").parquet(f"{table_dir}/v={epoch_id}")
-        counts.withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite").parquet(
-            f"{table_dir}_counts/epoch={epoch_id}")
-
-    q = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(snapshots_dir)
+        done = [n[2:] for n in _names(spark, table_dir) if n.startswith("v=")]
+        for name in sorted({*fresh, *(n for n in done if n > min(fresh))}):
+            new = spark.read.schema(schema).parquet(f"{snapshots_dir}/{name}")
+            before = max((n for n in done if n < name), default=None)
+            old = spark.read.parquet(f"{table_dir}/v={before}") if before is not None else new.limit(0)
+            merged, counts = image_sync_merge(old, new)
+            merged.write.mode("overwrite").parquet(f"{table_dir}/v={name}")
+            counts.write.mode("overwrite").parquet(f"{table_dir}_counts/snapshot={name}")
+            done.append(name)
+
+    q = (spark.readStream.schema(schema).parquet(f"{snapshots_dir}/*").select(F.col("_metadata.file_path").alias("path"))
          .writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-
-
-def _latest_version(spark: SparkSession, table_dir: str, before: int):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(table_dir)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return None
-    versions = [int(s.getPath().getName()[2:]) for s in fs.listStatus(p) if s.getPath().getName().startswith("v=")]
-    versions = [v for v in versions if v < before]
-    return spark.read.parquet(f"{table_dir}/v={max(versions)}") if versions else None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -20,6 +20,7 @@ def build_session(cpus: int | str = "*", app: str = "tessera", shuffle_partition
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.driver.memory", "16g")
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     for k, v in (extra or {}).items():
         b = b.config(k, v)
@@ -30,28 +31,31 @@ def build_session(cpus: int | str = "*", app: str = "tessera", shuffle_partition
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
+    """The cluster's shared folder (``spark.checkpoint.dir``), as the URI that the session names.
 
-    Only when the session has none (local tests) a scratch folder is created and set.
+    Only a local master may go without the setting: tests then get a scratch folder. On a cluster a
+    missing setting is an error, because executors do not share a machine's temporary folder.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if d and d.startswith("file:"):
-        d = d[len("file:"):]
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="tessera-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if _SET.get(sc.applicationId) != d:
+        sc.setCheckpointDir(d)  # once: every call makes a subfolder
+        _SET.clear()
+        _SET[sc.applicationId] = d
     return d
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder, for written intermediate tables."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}"
+_SET: dict[str, str] = {}
 
 
-def sf_label(sf_dir: str) -> str:
-    return os.path.basename(os.path.normpath(sf_dir)).removeprefix("sf")
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path under the shared checkpoint folder, for written intermediate tables."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
 
 
 def reliable_checkpoint(df):
@@ -59,20 +63,3 @@ def reliable_checkpoint(df):
     ``spark.checkpoint.dir`` first): cuts lineage and survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def recommended_conf(input_bytes: int, cores: int) -> dict:
-    """Cluster settings for a job reading ``input_bytes`` on ``cores`` executor cores:
-    AQE on (runtime coalescing, skew-join splitting, broadcast from runtime sizes), about
-    256 MiB per scan split and per post-shuffle partition, and an initial shuffle width that
-    gives AQE room to coalesce (at least 2 partitions per core, at most one per 64 MiB)."""
-    split = 256 << 20
-    shuffle = max(2 * cores, min(input_bytes // (64 << 20), 200_000))
-    return {
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(split),
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.files.maxPartitionBytes": str(split),
-        "spark.sql.shuffle.partitions": str(int(shuffle)),
-    }

@@ -3,14 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-# Encodings tried for raw files, in order (latin-1 accepts any byte).
-ENCODINGS = ("utf-8", "latin-1", "cp1252")
+# Encodings of raw files, in the order they are tried (latin-1, under its standard name, accepts any byte).
+ENCODINGS = ("utf-8", "iso-8859-1")
 
 
-def scan_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str = "utf-8") -> DataFrame:
-    """CSV/TSV/TXT with a header; no schema inference (all strings). ``.tsv`` implies tab."""
+def choose_encoding(spark: SparkSession, path: str) -> str:
+    """The first of ENCODINGS in which every line of the file decodes: one pass over its raw lines."""
+    raw = spark.read.text(path).select(F.col("value").cast("binary").alias("v"))
+    broken = raw.where(~F.is_valid_utf8(F.col("v").cast("string"))).limit(1)
+    return ENCODINGS[0] if broken.isEmpty() else ENCODINGS[1]
+
+
+def scan_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None) -> DataFrame:
+    """CSV/TSV/TXT with a header; no schema inference (all strings). ``.tsv`` implies tab; without an
+    ``encoding`` it is chosen from the bytes."""
     if sep is None:
         sep = "\t" if path.rstrip("/").lower().endswith(".tsv") else ","
-    return (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
+    return (spark.read.option("header", True).option("sep", sep).option("encoding", encoding or choose_encoding(spark, path))
             .option("inferSchema", False).option("multiLine", False).csv(path))

@@ -30,7 +30,7 @@ def scan_period_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     top = F.from_json("value", "map<string,string>")
     d = doc.select(top.alias("top"))
     raw = (F.when(F.col("top").getItem("index").isNotNull(), F.col("top").getItem("index"))
-           .when(F.element_at(F.map_keys("top"), 1).rlike(r"^\d{4}-"), F.to_json("top")))
+           .when(F.try_element_at(F.map_keys("top"), F.lit(1)).rlike(r"^\d{4}-"), F.to_json("top")))
     m = F.from_json(raw, f"map<string,string>")
     e = (d.select(F.posexplode(m).alias("doc_entry", "period", "v"))
          .select("period", F.from_json("v", PERIOD_ENTRY).alias("x")))

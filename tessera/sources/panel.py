@@ -14,11 +14,6 @@ def scan_pruned(src: DataFrame, wanted: list[str]) -> tuple[DataFrame, list[str]
     return src.select(*[c for c in wanted if c in have]), [c for c in wanted if c not in have]
 
 
-def scan_panel(spark: SparkSession, path: str, wanted: list[str] | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
-    return scan_pruned(df, wanted)[0] if wanted else df
-
-
 def period_source_union(local: DataFrame, history: DataFrame, period_col: str = "period_key",
                         max_periods: int = 100_000) -> DataFrame:
     """Each period from the local table if it has it, else from the historical store (local
@@ -33,12 +28,14 @@ def period_source_union(local: DataFrame, history: DataFrame, period_col: str =
 TARGET_FILE_BYTES = 256 << 20
 
 
-def writer_tasks(df: DataFrame, target_bytes: int = TARGET_FILE_BYTES, max_tasks: int = 20_000) -> int:
+def writer_tasks(df: DataFrame, target_bytes: int = TARGET_FILE_BYTES) -> int:
     """Number of write tasks from the bytes the plan reads (no job): about one task per
-    ``target_bytes`` of input, at least one."""
+    ``target_bytes`` of input; without an estimate, the session's shuffle width."""
     from .tables import input_size_bytes
-    est = input_size_bytes(df) or target_bytes
-    return int(min(max(est // target_bytes, 1), max_tasks))
+    est = input_size_bytes(df)
+    if est is None:
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return int(max(est // target_bytes, 1))
 
 
 def sink_panel_partitioned(df: DataFrame, path: str, partition_cols=("period_key",), spread_key: str | None = None,
@@ -56,6 +53,9 @@ def sink_panel_partitioned(df: DataFrame, path: str, partition_cols=("period_key
 
 
 def first_load_materialise(spark: SparkSession, raw: DataFrame, path: str, partition_cols=("period_key",)) -> DataFrame:
-    """Write the table only if it does not exist yet (``ignore`` mode), then read it."""
-    raw.write.mode("ignore").option("compression", "snappy").partitionBy(*partition_cols).parquet(path)
+    """Write the table only if it does not exist yet (``ignore`` mode), then read it. Rows are
+    range-partitioned by the partition columns first, so a partition has few files."""
+    keys = [F.col(c) for c in partition_cols]
+    (raw.repartitionByRange(writer_tasks(raw), *keys).write.mode("ignore").option("compression", "snappy")
+     .partitionBy(*partition_cols).parquet(path))
     return spark.read.parquet(path)

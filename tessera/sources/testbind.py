@@ -29,7 +29,7 @@ WITH f AS (
   GROUP BY 1, 2, 3)
 SELECT f.anio, f.mes, f.anio * 100 + f.mes AS period_key,
        concat('I-', lpad(CAST(n.n_nationkey + 1 AS STRING), 2, '0'), '-',
-              lpad(CAST(CAST(floor(c.c_custkey / 100) AS BIGINT) AS STRING), 3, '0'), '-',
+              lpad(CAST(c.c_custkey // 100 AS STRING), CAST(greatest(length(CAST(c.c_custkey // 100 AS STRING)), 3) AS INT), '0'), '-',
               lpad(CAST(c.c_custkey % 100 AS STRING), 2, '0')) AS clave,
        c.c_name AS nombre, n.n_nationkey AS estado_id, n.n_name AS estado, r.r_name AS zona,
        CASE c.c_mktsegment WHEN 'BUILDING' THEN 'Construcción' WHEN 'MACHINERY' THEN 'Máquinas'
@@ -71,6 +71,15 @@ def _qty(c: str = "l_quantity") -> Column:
     return F.col(c).cast("bigint")
 
 
+def facility_key(nation: Column, customer: Column) -> Column:
+    """'I-<nation>-<customer / 100>-<customer % 100>', padded and never shortened: distinct
+    customers have distinct keys at every size."""
+    high = F.floor(customer / 100).cast("bigint").cast("string")
+    return F.concat(F.lit("I-"), F.lpad((nation + 1).cast("string"), 2, "0"), F.lit("-"),
+                    F.lpad(high, F.greatest(F.length(high), F.lit(3)), F.lit("0")), F.lit("-"),
+                    F.lpad((customer % 100).cast("string"), 2, "0"))
+
+
 def derive_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel as a DataFrame plan.
 
@@ -106,10 +115,7 @@ def derive_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
          .join(n, c.c_nationkey == n.n_nationkey)
          .join(r, n.n_regionkey == r.r_regionkey))
     ck = F.col("c_custkey")
-    key = F.concat(
-        F.lit("I-"), F.lpad((F.col("n_nationkey") + 1).cast("string"), 2, "0"), F.lit("-"),
-        F.lpad(F.floor(ck / 100).cast("bigint").cast("string"), 3, "0"), F.lit("-"),
-        F.lpad((ck % 100).cast("string"), 2, "0"))
+    key = facility_key(F.col("n_nationkey"), ck)
     seg = F.col("c_mktsegment")
     municipio = (F.when(seg == "BUILDING", "Construcción").when(seg == "MACHINERY", "Máquinas")
                  .when(seg == "FURNITURE", " Muebles ").otherwise(seg))
@@ -141,20 +147,21 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(-118.5) + ((s * 61) % 31800).cast("double") / 1000).alias("lng"))
 
 
-PANEL_VERSION = "2"  # bump when the derivation changes, so stored panels are rebuilt
+PANEL_VERSION = "3"  # bump when the derivation changes, so stored panels are rebuilt
 
 
-def _fingerprint(sf_dir: str) -> str:
+def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """Of the input files as their own file system reports them (path, size, time), so that a
+    changed table on any store gives another panel. A missing status is an error."""
     import hashlib
-    import os
-    h = hashlib.sha1(f"{PANEL_VERSION}:{os.path.abspath(sf_dir)}".encode())
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    h = hashlib.sha1(PANEL_VERSION.encode())
     for t in ("orders", "lineitem", "customer", "nation", "region"):
-        p = f"{sf_dir.rstrip('/')}/{t}.parquet"
-        try:
-            st = os.stat(p)
-            h.update(f"{t}:{st.st_size}:{int(st.st_mtime)}".encode())
-        except OSError:
-            h.update(t.encode())
+        p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{t}.parquet")
+        fs = p.getFileSystem(conf)
+        status = fs.getFileStatus(p)
+        for x in sorted(fs.listStatus(p), key=lambda x: x.getPath().toString()) if status.isDirectory() else [status]:
+            h.update(f"{x.getPath()}:{x.getLen()}:{x.getModificationTime()}\n".encode())
     return h.hexdigest()[:16]
 
 
@@ -182,13 +189,14 @@ def write_panel(df: DataFrame, path: str, tasks: int | None = None) -> None:
 def panel(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> DataFrame:
     """The panel as a written table under the shared checkpoint folder (built once per input
     fingerprint, then read back): the prepared, period-partitioned dataset every report reads."""
-    key = (id(spark), sf_dir)
+    mark = _fingerprint(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, mark)
     if key in _PANELS and not rebuild:
         return _PANELS[key]
-    path = scratch_path(spark, f"panel-{_fingerprint(sf_dir)}")
+    path = scratch_path(spark, f"panel-{mark}")
     if rebuild:
         import uuid
-        path = scratch_path(spark, f"panel-{_fingerprint(sf_dir)}-{uuid.uuid4().hex[:8]}")
+        path = scratch_path(spark, f"panel-{mark}-{uuid.uuid4().hex[:8]}")
     if rebuild or not _exists(spark, path):
         write_panel(derive_panel(spark, sf_dir), path)
     df = spark.read.parquet(path)

@@ -6,7 +6,7 @@ frames supplied by the caller go through ``bounded_broadcast`` (size checked fir
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_text, norm_text_lit
@@ -63,6 +63,13 @@ def dim_decode(df: DataFrame, code_col: str, dim: DataFrame, out: str, unknown_p
     return j.withColumn(out, name).drop("dim_id", "dim_name")
 
 
+def state_id_of(text_col: str) -> Column:
+    """State text -> id by the fixed spellings, accents and case folded; unmatched -> null."""
+    names = {norm_text_lit(n): i + 1 for i, n in reversed(list(enumerate(STATE_ENCODE_EXACT)))}
+    pairs = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    return F.try_element_at(pairs, norm_text(text_col))
+
+
 def dim_encode(df: DataFrame, text_col: str, out: str, spark: SparkSession,
                accent_insensitive: bool = True) -> DataFrame:
     """State text -> id; unmatched -> 0. Exact mode compares trim/upper with the fixed spellings

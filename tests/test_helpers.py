@@ -97,3 +97,43 @@ def test_period_index_forms(spark, tmp_path):
     entries, disc = scan_period_index(spark, [str(a), str(b)])
     assert sorted((r.period, r.url) for r in entries.collect()) == [("2025-01", "u1"), ("2026-10", "v3")]
     assert tuple(disc.first()) == (1, 2)
+
+
+def test_cleaning_keeps_month_code_and_month_name_apart(spark, tmp_path):
+    from tessera.plans.jobs import job_clean_panel
+    (tmp_path / "a.csv").write_bytes("CCT,Year,Cve mes,Mes,Entidad,Otra\nK1,2024,3,Marzo,Jalisco,z\nK2,2024,4,Abril,México,z\n".encode("latin-1"))
+    panel, report = job_clean_panel(spark, str(tmp_path / "a.csv"))
+    got = sorted((r.clave, r.period_key, r.estado_id, r.mes) for r in panel.collect())
+    assert got == [("K1", 202403, 14, 3), ("K2", 202404, 15, 4)]
+    assert (None, "Otra", "unknown") in report
+    (tmp_path / "b.csv").write_text("Clave,Ejercicio,Estado\nK1,2024,Nowhere\n")
+    row = job_clean_panel(spark, str(tmp_path / "b.csv"))[0].first()
+    assert (row.mes, row.period_key, row.estado_id) == (1, 202401, 0)
+
+
+def test_every_field_has_its_headers():
+    from tessera.operators.clean import ALIASES, FLOAT_FIELDS, INT_FIELDS, STRING_FIELDS
+    assert {*STRING_FIELDS, *INT_FIELDS, *FLOAT_FIELDS, "mes", "situacion"} <= set(ALIASES) and len(ALIASES) == 49 + 1 - 1
+    assert ALIASES["inc_prim"][:5] == ("Inc_Prim", "Inscripciones Primaria", "Inc. Prim", "Inscritos Primaria", "Inscripciones Nivel Primaria")
+    assert ALIASES["aten_sec"][:4] == ("Aten_Sec", "Atenciones Secundaria", "Aten. Sec", "Atenciones Nivel Secundaria")
+
+
+def test_numeric_columns_are_read_as_numbers(spark):
+    df = spark.createDataFrame([(12345678.0, 1.5e7, "1,234")], "inc_total double, lat double, inc_prim string")
+    r = standardise_types(df).first()
+    assert (r.inc_total, r.lat, r.inc_prim) == (12345678, 1.5e7, 1234)
+
+
+def test_first_spelling_per_level(spark):
+    from tessera.binding import DEFAULT as B
+    from tessera.operators.aggregates import hierarchy_index
+    rows = [("E", "Z", "Bácum", "L1", "k1", 2), ("E", "Z", "BACUM", "L2", "k2", 1), ("E", "Z", "Bacum", "L3", "k3", 3)]
+    out = hierarchy_index(spark.createDataFrame(rows, "estado string, zona string, municipio string, localidad string, clave string, o int"), B, "o").collect()
+    assert {r.municipality for r in out} == {"BACUM"} and {r.group_rows for r in out} == {3} and len(out) == 3
+
+
+def test_dictionary_threshold(spark):
+    from tessera.operators.aggregates import column_distinct_ratio
+    df = spark.range(10).selectExpr("id % 6 as c")
+    flag = lambda t: column_distinct_ratio(df, ["c"], t).first()["dictionary_candidate"]
+    assert flag(0.75) and not flag(0.5) and not flag(0.25)

@@ -65,9 +65,9 @@ def pct_int(num, den, scale: int = 2) -> Column:
     Column names (str) take the SQL-text path: one expression parsed by the JVM."""
     if isinstance(num, str) and isinstance(den, str):
         return pct_expr(f"`{num}`", f"`{den}`", scale)
-    n, d = _c(num).cast("bigint"), _c(den).cast("bigint")
+    n, d = _c(num).cast("decimal(20,0)"), _c(den).cast("decimal(20,0)")  # products past bigint
     f = 100 * 10 ** scale
-    q = idiv(F.abs(n) * (2 * f) + F.abs(d), 2 * F.abs(d))
+    q = F.call_function("div", F.abs(n) * (2 * f) + F.abs(d), 2 * F.abs(d))
     sign = (F.signum(n) * F.signum(d)).cast("bigint")  # integer sign: a zero result is +0.0
     return F.when(d.isNull() | (d == 0), F.lit(0.0)).otherwise((sign * q) / float(10 ** scale))
 
@@ -76,7 +76,7 @@ def pct_expr(num: str, den: str, scale: int = 2) -> Column:
     """``pct_int`` from Spark SQL text operands, parsed once by the JVM (one driver call
     instead of one per sub-expression; same exact integer arithmetic)."""
     f = 100 * 10 ** scale
-    n, d = f"CAST(({num}) AS BIGINT)", f"CAST(({den}) AS BIGINT)"
+    n, d = f"CAST(({num}) AS DECIMAL(20,0))", f"CAST(({den}) AS DECIMAL(20,0))"
     return F.expr(f"CASE WHEN {d} IS NULL OR {d} = 0 THEN 0.0D ELSE (CAST(signum({n}) * signum({d}) AS BIGINT) * "
                   f"((abs({n}) * {2 * f} + abs({d})) div (2 * abs({d})))) / {float(10 ** scale)}D END")
 
@@ -85,7 +85,7 @@ def pct_int_sql(num: str, den: str, scale: int = 2) -> str:
     """DuckDB twin of ``pct_int``."""
     f = 100 * 10 ** scale
     return (f"(CASE WHEN ({den}) IS NULL OR ({den}) = 0 THEN 0.0 ELSE "
-            f"sign({num}) * sign({den}) * ((abs({num}) * {2 * f} + abs({den})) // (2 * abs({den}))) / {float(10 ** scale)} END)")
+            f"sign({num}) * sign({den}) * ((abs(CAST({num} AS HUGEINT)) * {2 * f} + abs(CAST({den} AS HUGEINT))) // (2 * abs(CAST({den} AS HUGEINT)))) / {float(10 ** scale)} END)")
 
 
 def pct_change(v1, v2, scale: int = 2) -> Column:
@@ -96,7 +96,3 @@ def pct_change(v1, v2, scale: int = 2) -> Column:
 def pct_change_floor1(v1, v2, scale: int = 2) -> Column:
     """Annual browser variant: divides by max(v1, 1)."""
     return pct_int(_c(v2) - _c(v1), F.greatest(_c(v1), F.lit(1)), scale)
-
-
-def safe_ratio_pct(num, den, scale: int = 1) -> Column:
-    return pct_int(num, den, scale)

@@ -138,9 +138,3 @@ def normalise_facility_key(c) -> Column:
                       _zfill(F.regexp_extract(s, KEY_PATTERN, 3), 3),
                       _zfill(F.regexp_extract(s, KEY_PATTERN, 4), 2))
     return F.lower(F.when(m, key).otherwise(F.trim(s)))
-
-
-def key_alias(original, key: Column) -> Column:
-    """Alias = original text when it differs from the key (case-insensitive), else null."""
-    o = _c(original)
-    return F.when(F.lower(F.trim(o)) != key, o)

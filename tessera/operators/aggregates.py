@@ -168,31 +168,36 @@ def coerced_sums(df: DataFrame, cols: list[str]) -> DataFrame:
                     .try_cast("bigint").alias(f"sum_{c}") for c in cols])
 
 
+def _distinct(df: DataFrame, col: str) -> Column:
+    """Number of distinct values of one column as a scalar: one grouped distinct, so that several of
+    them do not multiply the rows of one aggregate."""
+    return df.select(col).where(F.col(col).isNotNull()).groupBy(col).agg(F.lit(1).alias("one")).agg(F.count(F.lit(1)).alias("n")).scalar()
+
+
 def dataset_counters(df: DataFrame, is_latest: Column, b: Binding = DEFAULT) -> DataFrame:
     """Distinct facilities, rows, distinct groups (all history) and rows in the latest month."""
-    return (df.select(b.facility, b.group_id, is_latest.alias("__latest"))
-            .agg(F.count_distinct(b.facility).alias("facilities"), F.count(F.lit(1)).alias("rows"),
-                 F.count_distinct(b.group_id).alias("groups"), _count_if(F.col("__latest")).alias("rows_latest")))
+    one = df.select(is_latest.alias("__latest")).agg(F.count(F.lit(1)).alias("rows"), _count_if(F.col("__latest")).alias("rows_latest"))
+    return one.select(_distinct(df, b.facility).alias("facilities"), "rows", _distinct(df, b.group_id).alias("groups"), "rows_latest")
 
 
 def dataset_profile(df: DataFrame, b: Binding = DEFAULT) -> DataFrame:
     """Rows, columns, distinct groups/facilities, sorted distinct years and months (as text)."""
-    ncols = len(df.columns)
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"), F.lit(ncols).alias("columns"),
-        F.count_distinct(b.group_id).alias("groups"), F.count_distinct(b.facility).alias("facilities"),
+    one = df.agg(
+        F.count(F.lit(1)).alias("rows"),
         F.array_join(F.sort_array(F.collect_set(F.col(b.year).cast("string"))), ",").alias("years"),
         F.array_join(F.transform(F.sort_array(F.collect_set(F.col(b.month).cast("int"))),
                                  lambda x: x.cast("string")), ",").alias("months"))
+    return one.select("rows", F.lit(len(df.columns)).alias("columns"), _distinct(df, b.group_id).alias("groups"),
+                      _distinct(df, b.facility).alias("facilities"), "years", "months")
 
 
 def column_distinct_ratio(df: DataFrame, cols: list[str], threshold: float = 0.5) -> DataFrame:
     """distinct/rows per column (4 dec., integer space) and the dictionary-candidate flag."""
-    a = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_distinct(c).alias(f"d_{c}") for c in cols])
-    parts = [F.struct(F.lit(c).alias("column"), F.col(f"d_{c}").alias("distinct")) for c in cols]
+    a = df.agg(F.count(F.lit(1)).alias("rows"))
+    parts = [F.struct(F.lit(c).alias("column"), _distinct(df, c).alias("distinct")) for c in cols]
     out = a.select("rows", F.explode(F.array(*parts)).alias("r")).select("rows", "r.*")
     out = out.withColumn("ratio_pct", pct_int("distinct", "rows", 2))
-    return out.withColumn("dictionary_candidate", F.col("distinct") * 2 < F.col("rows") * int(threshold * 2))
+    return out.withColumn("dictionary_candidate", F.col("distinct") < F.col("rows") * F.lit(threshold))
 
 
 def measure_profile_by_period(df: DataFrame, measures: list[str], b: Binding = DEFAULT) -> DataFrame:
@@ -203,15 +208,18 @@ def measure_profile_by_period(df: DataFrame, measures: list[str], b: Binding = D
 
 def municipality_rollup(df: DataFrame, measures: list[str], b: Binding = DEFAULT) -> DataFrame:
     """Per municipality sums plus one totals line (grouping()=1) that carries the number of
-    distinct non-blank municipalities and of facilities."""
-    muni = F.col("municipality")
-    r = (df.withColumn("municipality", F.col(b.municipality)).rollup("municipality")
-         .agg(F.grouping("municipality").alias("is_total"),
-              F.count(F.lit(1)).alias("facilities"),
-              F.count_distinct(F.when(F.trim(muni) != "", muni)).alias("municipalities"),
-              *[F.coalesce(F.sum(F.coalesce(to_number(m), F.lit(0.0))), F.lit(0.0)).try_cast("bigint").alias(f"sum_{m}")
-                for m in measures]))
-    return r
+    distinct non-blank municipalities and of facilities; the totals line is there without rows too."""
+    g = df.groupBy(F.col(b.municipality).alias("municipality")).agg(
+        F.count(F.lit(1)).alias("facilities"), *[F.sum(F.coalesce(to_number(m), F.lit(0.0))).alias(f"sum_{m}") for m in measures])
+    there = F.coalesce(F.trim("municipality") != "", F.lit(False)).cast("bigint")
+    whole = lambda c: F.coalesce(c, F.lit(0.0)).try_cast("bigint")
+    lines = g.select("municipality", F.lit(0).cast("tinyint").alias("is_total"), "facilities", there.alias("municipalities"),
+                     *[whole(F.col(f"sum_{m}")).alias(f"sum_{m}") for m in measures])
+    total = g.agg(F.lit(None).cast("string").alias("municipality"), F.lit(1).cast("tinyint").alias("is_total"),
+                  F.coalesce(F.sum("facilities"), F.lit(0)).cast("bigint").alias("facilities"),
+                  F.coalesce(F.sum(there), F.lit(0)).cast("bigint").alias("municipalities"),
+                  *[whole(F.sum(f"sum_{m}")).alias(f"sum_{m}") for m in measures])
+    return lines.unionByName(total)
 
 
 def coordinates_per_group(df: DataFrame, b: Binding = DEFAULT) -> DataFrame:
@@ -224,19 +232,24 @@ def geo_bounds(df: DataFrame, b: Binding = DEFAULT) -> DataFrame:
 
 
 def hierarchy_index(df: DataFrame, b: Binding = DEFAULT, order_col: str | None = None) -> DataFrame:
-    """Distinct normalised (group, zone, municipality, locality, key) tuples with the first-seen
-    display spelling of each level and the row count of the tuple."""
+    """Distinct normalised (group, zone, municipality, locality, key) tuples with the display spelling
+    of each level, the row count of the tuple and of its group. A level's spelling is the first seen
+    (ties: the smaller) among all rows below the same normalised path, so one place has one spelling."""
     levels = b.hierarchy()
+    names = ["group", "zone", "municipality", "locality", "facility"]
     src = flt.drop_incomplete_hierarchy(df, levels)
     order = F.col(order_col) if order_col else F.struct(*[F.col(c) for c in levels])
-    keyed = src.select(*[norm_text(c).alias(f"n_{i}") for i, c in enumerate(levels)],
-                       F.struct(*[F.col(c).alias(f"d_{i}") for i, c in enumerate(levels)]).alias("disp"),
-                       order.alias("__ord"))
-    g = keyed.groupBy(*[f"n_{i}" for i in range(len(levels))]).agg(
-        F.min_by("disp", "__ord").alias("disp"), F.count(F.lit(1)).alias("rows"))
-    names = ["group", "zone", "municipality", "locality", "facility"]
-    return g.select(*[F.col(f"n_{i}").alias(f"{n}_norm") for i, n in enumerate(names)],
-                    *[F.col(f"disp.d_{i}").alias(n) for i, n in enumerate(names)], "rows")
+    paths = [f"{n}_norm" for n in names]
+    # rows reduce to distinct spelled tuples before any level looks for its first spelling
+    spelled = src.select(*[norm_text(c).alias(p) for c, p in zip(levels, paths)], *[F.col(c).alias(f"__d{i}") for i, c in enumerate(levels)],
+                         order.alias("__ord")).groupBy(*paths, *[f"__d{i}" for i in range(len(levels))]).agg(
+        F.min("__ord").alias("__ord"), F.count(F.lit(1)).alias("rows"))
+    out = spelled.groupBy(*paths).agg(F.sum("rows").alias("rows"))
+    for i, n in enumerate(names):
+        first = F.min(F.struct("__ord", F.col(f"__d{i}").alias("d")))["d"].alias(n)
+        agg = [first, F.sum("rows").alias("group_rows")] if i == 0 else [first]
+        out = out.join(spelled.groupBy(*paths[:i + 1]).agg(*agg), paths[:i + 1])
+    return out.select(*paths, *names, "rows", "group_rows")
 
 
 def available_periods(df: DataFrame, b: Binding = DEFAULT, current_year: int | None = None,

@@ -99,13 +99,14 @@ def nearest_facility(points: DataFrame, facilities: DataFrame, max_km: float = 5
             start_km = 2 * math.sqrt(area / (math.pi * st["n"]))
     pending = points.select("point_id", "lat", "lng")
     found = None
-    r = min(max(start_km, 1.0), max_km)
+    r = round(min(max(start_km, 1.0), max_km), 2)
     while True:
-        hits = radius_join(pending, facilities, r, b)
+        # ranks use the distance rounded to 2 dec.: a ring is searched to where rounding can tie with it
+        hits = radius_join(pending, facilities, r + 0.005, b).where((F.col("distance_km") <= F.lit(r)) & (F.col("distance_km_exact") <= F.lit(max_km)))
         best = (hits.groupBy("point_id")
                 .agg(F.min_by(F.struct("facility", "distance_km"), F.struct("distance_km", "facility")).alias("n"))
                 .select("point_id", "n.facility", "n.distance_km"))
-        last = r >= max_km
+        last = r >= round(max_km, 2)
         best = best if last else reliable_checkpoint(best)
         found = best if found is None else found.unionByName(best)
         if last:
@@ -113,5 +114,5 @@ def nearest_facility(points: DataFrame, facilities: DataFrame, max_km: float = 5
         pending = pending.join(best.select("point_id"), "point_id", "left_anti")
         if pending.limit(1).count() == 0:
             break
-        r = min(r * growth, max_km)
+        r = round(min(r * growth, max_km), 2)
     return found

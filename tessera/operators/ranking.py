@@ -57,11 +57,6 @@ def top_k_per(df: DataFrame, part: str, order: list[Column], k: int, name: str =
     return df.withColumn(name, F.row_number().over(w).cast("bigint")).where(F.col(name) <= k)
 
 
-def unpivot_measures(df: DataFrame, ids: list[str], measures: list[str], var: str = "measure",
-                     val: str = "value") -> DataFrame:
-    return df.unpivot(ids, measures, var, val)
-
-
 def leader_per_measure(df: DataFrame, measures: list[str], b: Binding = DEFAULT) -> DataFrame:
     """Per measure: sum, the facility with the largest value (ties: smallest key), its value and
     its share of the sum (1 dec.); measures whose sum <= 0 are skipped."""

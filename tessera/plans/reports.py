@@ -107,29 +107,43 @@ def report_coordinates(latest: DataFrame, b: Binding = DEFAULT) -> tuple[DataFra
 
 
 def report_national_summary(df: DataFrame, is_latest_col, b: Binding = DEFAULT, top: int = 5) -> DataFrame:
-    """Measure summary (long form) plus the top groups by the three-level total, as one
-    long table (section, name, value)."""
+    """Measure summary (long form: total, nulls, % null, operating facilities with a value) plus
+    the top groups by the three-level total, as one long table; groups have the total only."""
     from ..operators.aggregates import group_measure_totals, measure_summary
     ms = measure_summary(df, list(b.levels), is_latest_col, b).select(
-        F.lit("measure").alias("section"), F.col("measure").alias("name"), F.col("total").alias("value"))
+        F.lit("measure").alias("section"), F.col("measure").alias("name"), F.col("total").alias("value"),
+        "nulls", "pct_null", "operating_positive")
     g = group_measure_totals(df, b).orderBy(F.col("sum_total").desc(), F.col(b.group_id)).limit(top)
     tg = g.select(F.lit("top_group").alias("section"), F.col(b.group_id).cast("string").alias("name"),
                   F.col("sum_total").alias("value"))
-    return ms.unionByName(tg)
+    return ms.unionByName(tg, allowMissingColumns=True)
+
+
+# Sections of the headline report: (metric, total column, operating column or None).
+STATS_SECTIONS = (("computers", "eq_total", "eq_operan"), ("servers", "srv_total", "srv_operan"), ("tables", "mesas", None),
+                  ("chairs", "sillas", None), ("shelves", "anaqueles", None), ("cert_initial", "cn_inicial", None),
+                  ("cert_primary", "cn_prim", None), ("cert_secondary", "cn_sec", None), ("cert_total", "cn_total", None),
+                  ("cert_issued", "certificados", None))
 
 
 def report_general_stats(latest: DataFrame, b: Binding = DEFAULT) -> DataFrame:
-    """Latest-month headline numbers in long form (metric, name, value): facilities,
-    operating, groups, group with most / fewest facilities, best loose connectivity rate,
-    best operating share, highest suspension share. One grouped aggregate feeds all of them."""
+    """Latest-month headline numbers in long form (metric, name, value): facilities, operating,
+    groups, group with most / fewest facilities, best loose connectivity rate, best operating
+    share, highest suspension share; then the equipment, server, furniture and certificate sums of
+    the columns that the table has. Facilities are counted by distinct key, shares over distinct
+    (key, status) pairs of a group; connectivity is a share of rows.
+
+    Rows reduce to one per (group, key, status) first, and every distinct count is of one column,
+    so no plan multiplies rows."""
+    from ..functions.numbers import to_number
     from ..operators.filters import connected_loose
-    g = latest.groupBy(b.group_name).agg(
-        F.count_distinct(b.facility).alias("n"), F.count(F.lit(1)).alias("rows"),
-        F.count_if(F.col(b.status) == b.operating_code).cast("bigint").alias("op"),
-        F.count_if(F.col(b.status) == 0).cast("bigint").alias("susp"),
-        F.count_if(connected_loose(b)).cast("bigint").alias("conn"))
-    g = g.select("*", pct_int("op", "rows", 2).alias("op_pct"),
-                 pct_int("susp", "rows", 2).alias("susp_pct"),
+    pairs = latest.groupBy(b.group_name, b.facility, b.status).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(connected_loose(b)).cast("bigint").alias("conn"))
+    g = pairs.groupBy(b.group_name).agg(
+        F.count_distinct(b.facility).alias("n"), F.sum("rows").alias("rows"), F.sum("conn").alias("conn"),
+        F.count(F.lit(1)).alias("pairs"), F.count_if(F.col(b.status) == b.operating_code).cast("bigint").alias("op"),
+        F.count_if(F.col(b.status) == 0).cast("bigint").alias("susp"))
+    g = g.select("*", pct_int("op", "pairs", 2).alias("op_pct"), pct_int("susp", "pairs", 2).alias("susp_pct"),
                  pct_int("conn", "rows", 2).alias("conn_pct"))
     name = F.col(b.group_name)
 
@@ -137,18 +151,33 @@ def report_general_stats(latest: DataFrame, b: Binding = DEFAULT) -> DataFrame:
         return F.min_by(F.struct(name.alias("g"), F.col(v).cast("double").alias("v")),
                         F.struct((-F.col(v) if hi else F.col(v)), name))
 
-    a = g.agg(F.sum("n").alias("facilities"), F.sum("op").alias("operating"), F.count(F.lit(1)).alias("groups"),
-              best("n").alias("most"), best("n", False).alias("least"), best("conn_pct").alias("conn"),
-              best("op_pct").alias("opr"), best("susp_pct").alias("susp"))
+    a = g.agg(F.count(F.lit(1)).alias("groups"), best("n").alias("most"), best("n", False).alias("least"),
+              best("conn_pct").alias("conn"), best("op_pct").alias("opr"), best("susp_pct").alias("susp"))
+    keys = pairs.groupBy(b.facility).agg(F.max(F.coalesce(F.col(b.status) == b.operating_code, F.lit(False))).alias("op")).agg(
+        F.count(b.facility).alias("facilities"), F.count_if(F.col("op") & F.col(b.facility).isNotNull()).alias("operating"))
+
     def row(metric, nm, val):
         return F.struct(F.lit(metric).alias("metric"), nm.cast("string").alias("name"), val.cast("double").alias("value"))
 
-    rows = [row("facilities", F.lit(""), F.col("facilities")), row("operating", F.lit(""), F.col("operating")),
-            row("groups", F.lit(""), F.col("groups")),
-            *[row(m, F.col(f"{k}.g"), F.col(f"{k}.v")) for m, k in
-              (("most_facilities", "most"), ("least_facilities", "least"), ("best_connectivity_pct", "conn"),
-               ("best_operating_pct", "opr"), ("highest_suspension_pct", "susp"))]]
-    return a.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    def long(one, rows):
+        return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+    out = long(keys, [row(m, F.lit(""), F.col(m)) for m in ("facilities", "operating")]).unionByName(
+        long(a, [row("groups", F.lit(""), F.col("groups")),
+                 *[row(m, F.col(f"{k}.g"), F.col(f"{k}.v")) for m, k in
+                   (("most_facilities", "most"), ("least_facilities", "least"), ("best_connectivity_pct", "conn"),
+                    ("best_operating_pct", "opr"), ("highest_suspension_pct", "susp"))]]))
+    there = [s for s in STATS_SECTIONS if s[1] in latest.columns and (s[2] is None or s[2] in latest.columns)]
+    if not there:
+        return out
+    total = lambda c: F.coalesce(F.sum(F.coalesce(to_number(c), F.lit(0.0))), F.lit(0.0))
+    sums = latest.agg(*[total(t).alias(f"{m}_total") for m, t, _ in there], *[total(o).alias(f"{m}_operating") for m, _, o in there if o])
+    rows = [row(f"{m}_total", F.lit(""), F.col(f"{m}_total")) for m, _, _ in there]
+    for m, _, o in there:
+        if o:
+            rows += [row(f"{m}_operating", F.lit(""), F.col(f"{m}_operating")),
+                     row(f"{m}_operating_pct", F.lit(""), pct_int(F.col(f"{m}_operating").try_cast("bigint"), F.col(f"{m}_total").try_cast("bigint"), 2))]
+    return out.unionByName(long(sums, rows))
 
 
 def report_group_detail(latest: DataFrame, group_name: str, measures: list[str], b: Binding = DEFAULT) -> DataFrame:

@@ -30,13 +30,12 @@ def search_scored(latest: DataFrame, query: str, b: Binding = DEFAULT, kind: str
                   limit: int = 20) -> DataFrame:
     """First matching rule per row (exact key 100 ... name 50), accent-insensitive; optional
     match-type filter; best score first, ties by key."""
-    if len((query or "").strip()) < 2:
-        return latest.limit(0).select(F.lit(None).cast("string").alias("facility"))
-    mt = match_type(query.strip(), b.facility, b.group_name, b.municipality, b.locality, b.name)
+    short = len((query or "").strip()) < 2  # too short: no rows, the same columns
+    mt = match_type((query or "").strip(), b.facility, b.group_name, b.municipality, b.locality, b.name)
     s = latest.select(F.col(b.facility).alias("facility"), F.col(b.name).alias("name"),
                       F.col(b.group_name).alias("group_name"), F.col(b.municipality).alias("municipality"),
                       F.col(b.locality).alias("locality"), mt.alias("match_type"))
-    s = s.where(F.col("match_type").isNotNull())
+    s = s.where(F.lit(False) if short else F.col("match_type").isNotNull())
     if kind != "todas":
         s = s.where(F.col("match_type") == kind)
     return (s.withColumn("score", match_score(F.col("match_type")))

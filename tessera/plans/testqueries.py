@@ -14,7 +14,6 @@ from ..sources.tables import bounded_broadcast, table
 from ..sources.testbind import oracle, panel
 from . import reports
 
-AS_OF = 200107  # newest test period 2001-08 has only 2 rows at sf0.01 (see SURVEY §7.2)
 
 QUERIES: dict[str, tuple] = {}
 
@@ -31,7 +30,7 @@ def _nation_dim(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------------- reports
-LATEST_SQL = f"(SELECT max(period_key) FROM panel WHERE period_key <= {AS_OF})"
+LATEST_SQL = "(SELECT max(period_key) FROM panel)"
 
 
 def _pct(num: str, den: str, scale: int = 2) -> str:
@@ -59,7 +58,7 @@ SELECT t.*, {_pct('connected', 'operating', 1)} AS pct_connected,
 FROM t LEFT JOIN nation ON nation.n_nationkey = t.estado_id
 """))
 def q_report_by_group(spark, sf):
-    return reports.report_by_group(panel(spark, sf), _nation_dim(spark, sf), B, as_of=AS_OF)
+    return reports.report_by_group(panel(spark, sf), _nation_dim(spark, sf), B)
 
 
 # ------------------------------------------------------------------------ shared pieces
@@ -71,11 +70,11 @@ from ..operators.dims import STATES, STATUSES  # noqa: E402
 
 
 def _latest(spark, sf):
-    return flt.latest_period_filter(panel(spark, sf), B, as_of=AS_OF)
+    return flt.latest_period_filter(panel(spark, sf), B)
 
 
 def ol(sql: str) -> str:
-    """Oracle with a ``latest`` CTE (rows of the latest period up to AS_OF)."""
+    """Oracle with a ``latest`` CTE (rows of the latest period)."""
     return oracle(f", latest AS (SELECT * FROM panel WHERE period_key = {LATEST_SQL})\n{sql}")
 
 
@@ -125,6 +124,12 @@ def q_latest_period_filter(spark, sf):
     return _latest(spark, sf).select("clave", "period_key", "cn_total")
 
 
+@register("latest_period_filter_as_of", oracle(
+    "SELECT clave, period_key, cn_total FROM panel WHERE period_key = (SELECT max(period_key) FROM panel WHERE period_key <= 199912)"))
+def q_latest_period_filter_as_of(spark, sf):
+    return flt.latest_period_filter(panel(spark, sf), B, as_of=199912).select("clave", "period_key", "cn_total")
+
+
 @register("latest_period_filter_month", oracle(
     "SELECT clave, period_key, cn_total FROM panel WHERE mes = (SELECT max(mes) FROM panel)"))
 def q_latest_period_filter_month(spark, sf):
@@ -743,7 +748,7 @@ FROM panel""")
 def q_measure_summary(spark, sf):
     from .reports import is_latest
     p = panel(spark, sf)
-    return ag.measure_summary(p, LV, is_latest(p, B, as_of=AS_OF), B)
+    return ag.measure_summary(p, LV, is_latest(p, B), B)
 
 
 GMT_SQL = f"""
@@ -779,7 +784,7 @@ SELECT COUNT(DISTINCT clave) AS facilities, COUNT(*) AS rows, COUNT(DISTINCT est
 def q_dataset_counters(spark, sf):
     from .reports import is_latest
     p = panel(spark, sf)
-    return ag.dataset_counters(p, is_latest(p, B, as_of=AS_OF), B)
+    return ag.dataset_counters(p, is_latest(p, B), B)
 
 
 @register("dataset_profile", oracle("""
@@ -871,7 +876,8 @@ def q_geo_grid_cells(spark, sf):
 SELECT {_norm_sql('estado')} AS group_norm, {_norm_sql('zona')} AS zone_norm, {_norm_sql('municipio')} AS municipality_norm,
        {_norm_sql('localidad')} AS locality_norm, {_norm_sql('clave')} AS facility_norm,
        arg_min(estado, period_key) AS "group", arg_min(zona, period_key) AS zone, arg_min(municipio, period_key) AS municipality,
-       arg_min(localidad, period_key) AS locality, arg_min(clave, period_key) AS facility, COUNT(*) AS rows
+       arg_min(localidad, period_key) AS locality, arg_min(clave, period_key) AS facility, COUNT(*) AS rows,
+       CAST(SUM(COUNT(*)) OVER (PARTITION BY {_norm_sql('estado')}) AS BIGINT) AS group_rows
 FROM panel
 WHERE COALESCE(trim(estado) <> '', false) AND COALESCE(trim(zona) <> '', false) AND COALESCE(trim(municipio) <> '', false)
   AND COALESCE(trim(localidad) <> '', false) AND COALESCE(trim(clave) <> '', false)
@@ -1412,6 +1418,19 @@ def q_job_export_coordinates(spark, sf):
     return _export(spark, sf)[0]
 
 
+@register("job_export_coordinates_latest", oracle("""
+SELECT clave AS facility, period_key AS row_order, round(lat, 7) AS lat, round(lng, 7) AS lng, COALESCE(trim(estado), '') AS estado,
+       COALESCE(trim(municipio), '') AS municipio, COALESCE(trim(localidad), '') AS "Localidad", CAST(situacion AS VARCHAR) AS "Estatus"
+FROM panel WHERE period_key = (SELECT max(period_key) FROM panel) AND lat BETWEEN 14.5 AND 32.7 AND lng BETWEEN -118.5 AND -86.7"""))
+def q_job_export_coordinates_latest(spark, sf):
+    """The newest period only, with locality and status."""
+    from .jobs import job_export_coordinates
+    raw = panel(spark, sf).select("clave", "period_key", F.col("period_key").cast("string").alias("YYYYMM"), F.col("lat").cast("string").alias("Latitud"),
+                                  F.col("lng").cast("string").alias("Longitud"), "estado", "municipio", F.col("localidad").alias("Localidad"),
+                                  F.col("situacion").cast("string").alias("Estatus"))
+    return job_export_coordinates(raw, "period_key")[0]
+
+
 @register("dedup_coordinates_per_group", oracle(EXPORT_SQL + "SELECT estado, COUNT(*) AS points FROM kept GROUP BY estado"))
 def q_dedup_coordinates_per_group(spark, sf):
     return _export(spark, sf)[0].groupBy("estado").agg(F.count(F.lit(1)).alias("points"))
@@ -1513,14 +1532,29 @@ def q_standardise_types(spark, sf):
     return df.select("clave", "inc_total", "lat", "situacion", "mes")
 
 
-@register("resolve_aliases", None)
+#: How each header of the raw file must be recognised, and the panel column that it holds.
+RAW_MATCHES = [("clave", "Clave Plaza", "exact"), ("nombre", "Nombre_PC", "exact"), ("estado", "ENTIDAD federativa", "normalised"),
+               ("estado_id", "Clave_Edo", "exact"), ("zona", "Coord. Zona", "exact"), ("municipio", "MUNICIPIO", "normalised"),
+               ("localidad", "Localidad", "exact"), ("anio", "Año", "exact"), ("mes", "Cve-mes", "exact"),
+               ("situacion", "Situación", "exact"), ("conectividad", "Conect_Instalada", "exact"), ("lat", "Latitud", "exact"),
+               ("lng", "Longitud", "exact"), ("inc_total", "Inc_Total", "exact"), ("cn_inicial", "CN_Inicial_Acum", "exact"),
+               ("cn_prim", "CN_Prim_Acum", "exact"), ("cn_sec", "CN_Sec_Acum", "exact"), ("cn_total", "CN_Tot_Acum", "exact"),
+               ("aten_total", "Aten_Total", "exact")]
+
+
+@register("resolve_aliases", oracle(" UNION ALL ".join(
+    f"SELECT '{f}' AS field, '{src}' AS source, '{how}' AS method, COUNT({'inc_total_raw' if f == 'inc_total' else f}) AS filled FROM panel"
+    for f, src, how in RAW_MATCHES)))
 def q_resolve_aliases(spark, sf):
-    """Alias report of the raw file's header (exact / normalised / not found)."""
-    from ..operators.clean import resolve_aliases, trim_column_names
+    """Fields found in the raw file's header, how, and the rows that hold a value."""
+    from ..operators.clean import apply_aliases, resolve_aliases, trim_column_names
     from ..sources.delimited import scan_delimited
     raw = trim_column_names(scan_delimited(spark, _raw_csv(spark, sf)))
-    _, report = resolve_aliases(raw.columns)
-    return spark.createDataFrame(report, "field string, source string, method string")
+    mapping, report = resolve_aliases(raw.columns)
+    found = [r for r in report if r[1] is not None]
+    one = apply_aliases(raw, mapping).agg(*[F.count(f).alias(f) for f, _, _ in found])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(src).alias("source"), F.lit(how).alias("method"),
+                                                   F.col(f).alias("filled")) for f, src, how in found])).alias("r")).select("r.*")
 
 
 # ----------------------------------------------------------------------------- streaming
@@ -1530,18 +1564,18 @@ SELECT period_key, estado_id, COUNT(*) AS rows, CAST(SUM(CASE WHEN situacion = 1
        CAST(COALESCE(SUM(cn_sec), 0) AS BIGINT) AS sum_cn_sec, CAST(COALESCE(SUM(cn_total), 0) AS BIGINT) AS sum_cn_total
 FROM panel GROUP BY period_key, estado_id"""))
 def q_incremental_period_load(spark, sf):
-    """Monthly files (one per period, derived from the tables) arrive in a folder; the stream
-    loads them in several micro-batches and the summary table is read back."""
+    """Files whose rows mix periods (any writer's layout, each period in many files) arrive in a
+    folder; the stream loads them in several micro-batches and the summary table is read back."""
     import uuid
     from ..session import scratch_path
     from ..streaming.incremental import incremental_period_load
     base = scratch_path(spark, f"stream-{uuid.uuid4().hex[:12]}")
     p = panel(spark, sf)
     src = p.drop("period_key").withColumn("period_key", F.col("anio") * 100 + F.col("mes"))
-    src.repartition("period_key").write.partitionBy("anio").parquet(f"{base}/landing")
+    src.write.parquet(f"{base}/landing")
     schema = spark.read.parquet(f"{base}/landing").schema
     incremental_period_load(spark, f"{base}/landing", schema, f"{base}/panel", f"{base}/summary",
-                            f"{base}/_checkpoint", B, files_per_trigger=8)
+                            f"{base}/_checkpoint", B, files_per_trigger=1)
     return spark.read.parquet(f"{base}/summary")
 
 
@@ -1568,32 +1602,41 @@ def q_report_nearby(spark, sf):
 @register("report_national_summary", oracle(f"""
 , ms AS ({_measure_summary_sql(LV).replace(", u AS", "WITH u AS", 1)})
 {GMT_SQL}
-SELECT 'measure' AS section, measure AS name, total AS value FROM ms
+SELECT 'measure' AS section, measure AS name, total AS value, nulls, pct_null, operating_positive FROM ms
 UNION ALL
-SELECT * FROM (SELECT 'top_group', CAST(estado_id AS VARCHAR), sum_total FROM t ORDER BY sum_total DESC, estado_id LIMIT 5)"""))
+SELECT *, NULL, NULL, NULL FROM (SELECT 'top_group', CAST(estado_id AS VARCHAR), sum_total FROM t ORDER BY sum_total DESC, estado_id LIMIT 5)"""))
 def q_report_national_summary(spark, sf):
     from .reports import is_latest, report_national_summary
     p = panel(spark, sf)
-    return report_national_summary(p, is_latest(p, B, as_of=AS_OF), B)
+    return report_national_summary(p, is_latest(p, B), B)
 
 
 @register("report_general_stats", ol(f"""
-, g AS (SELECT estado, COUNT(DISTINCT clave) AS n, COUNT(*) AS rows, CAST(SUM(CASE WHEN situacion = 1 THEN 1 ELSE 0 END) AS BIGINT) AS op,
-               CAST(SUM(CASE WHEN situacion = 0 THEN 1 ELSE 0 END) AS BIGINT) AS susp,
+, g AS (SELECT estado, COUNT(DISTINCT clave) AS n, COUNT(*) AS rows, COUNT(DISTINCT CASE WHEN situacion = 1 THEN clave END) AS op,
+               COUNT(DISTINCT CASE WHEN situacion = 0 THEN clave END) AS susp, COUNT(DISTINCT (clave, situacion)) AS pairs,
                CAST(SUM(CASE WHEN {LOOSE_SQL} THEN 1 ELSE 0 END) AS BIGINT) AS conn FROM latest GROUP BY estado),
-  h AS (SELECT *, {nb.pct_int_sql('op', 'rows', 2)} AS op_pct, {nb.pct_int_sql('susp', 'rows', 2)} AS susp_pct,
+  h AS (SELECT *, {nb.pct_int_sql('op', 'pairs', 2)} AS op_pct, {nb.pct_int_sql('susp', 'pairs', 2)} AS susp_pct,
                {nb.pct_int_sql('conn', 'rows', 2)} AS conn_pct FROM g)
-SELECT 'facilities' AS metric, '' AS name, CAST(SUM(n) AS DOUBLE) AS value FROM h
-UNION ALL SELECT 'operating', '', CAST(SUM(op) AS DOUBLE) FROM h
+SELECT 'facilities' AS metric, '' AS name, CAST(COUNT(DISTINCT clave) AS DOUBLE) AS value FROM latest
+UNION ALL SELECT 'operating', '', CAST(COUNT(DISTINCT CASE WHEN situacion = 1 THEN clave END) AS DOUBLE) FROM latest
 UNION ALL SELECT 'groups', '', CAST(COUNT(*) AS DOUBLE) FROM h
 UNION ALL SELECT 'most_facilities', arg_min(estado, (-n, estado)), CAST(max(n) AS DOUBLE) FROM h
 UNION ALL SELECT 'least_facilities', arg_min(estado, (n, estado)), CAST(min(n) AS DOUBLE) FROM h
 UNION ALL SELECT 'best_connectivity_pct', arg_min(estado, (-conn_pct, estado)), max(conn_pct) FROM h
 UNION ALL SELECT 'best_operating_pct', arg_min(estado, (-op_pct, estado)), max(op_pct) FROM h
-UNION ALL SELECT 'highest_suspension_pct', arg_min(estado, (-susp_pct, estado)), max(susp_pct) FROM h"""))
+UNION ALL SELECT 'highest_suspension_pct', arg_min(estado, (-susp_pct, estado)), max(susp_pct) FROM h
+""" + "\n".join(f"UNION ALL SELECT '{m}', '', CAST(COALESCE(SUM({c}), 0) AS DOUBLE) FROM latest" for m, c in (
+    ("computers_total", "inc_total"), ("computers_operating", "aten_total"), ("servers_total", "cn_total"), ("servers_operating", "cn_sec"),
+    ("tables_total", "cn_prim"), ("cert_initial_total", "cn_inicial"), ("cert_primary_total", "cn_prim"), ("cert_secondary_total", "cn_sec"),
+    ("cert_total_total", "cn_total")))
+    + f"\nUNION ALL SELECT 'computers_operating_pct', '', {nb.pct_int_sql('SUM(aten_total)', 'SUM(inc_total)', 2)} FROM latest"
+    + f"\nUNION ALL SELECT 'servers_operating_pct', '', {nb.pct_int_sql('SUM(cn_sec)', 'SUM(cn_total)', 2)} FROM latest"))
 def q_report_general_stats(spark, sf):
+    """Equipment and furniture columns are bound to measures of the panel."""
     from .reports import report_general_stats
-    return report_general_stats(_latest(spark, sf), B)
+    l = _latest(spark, sf)
+    return report_general_stats(l.select("*", F.col("inc_total").alias("eq_total"), F.col("aten_total").alias("eq_operan"),
+                                         F.col("cn_total").alias("srv_total"), F.col("cn_sec").alias("srv_operan"), F.col("cn_prim").alias("mesas")), B)
 
 
 @register("add_normalised_columns", oracle(f"""
@@ -1670,7 +1713,8 @@ def _image_tree(spark, sf) -> str:
     import uuid
     from ..session import scratch_path
     p = panel(spark, sf)
-    v = F.col("estado_id") % 4
+    # only keys of the folder pattern can be recognised in a decorated name
+    v = F.when(F.length("clave") > 11, F.lit(0)).otherwise(F.col("estado_id") % 4)
     name = (F.when(v == 1, F.concat("estado", F.lit("_"), "clave"))
             .when(v == 2, F.replace("clave", F.lit("I-"), F.lit("l-")))
             .when(v == 3, F.concat("clave", F.lit(" (1)"))))
@@ -1692,7 +1736,7 @@ def _image_tree(spark, sf) -> str:
                .withColumn("chunk", F.pmod(F.xxhash64("clave"), F.greatest(F.ceil(F.col("n") / 500), F.lit(1)))))
     nodes = (chunked.groupBy("estado_id", "estado", "chunk")
              .agg(F.sort_array(F.collect_list(F.struct("clave", "folder"))).alias("fs"))
-             .select((F.col("estado_id").cast("long") * 1000 + F.col("chunk")).alias("pos"),
+             .select((F.col("estado_id").cast("long") * (1 << 40) + F.col("chunk")).alias("pos"),
                      F.col("estado_id").alias("id"), "estado", F.lit("folder").alias("type"),
                      F.transform("fs", lambda x: x["folder"]).alias("children")))
     path = scratch_path(spark, f"imgtree-{uuid.uuid4().hex[:12]}")
@@ -1707,8 +1751,8 @@ def _images(spark, sf):
 
 IMAGES_SQL = """
 , img AS (SELECT estado_id AS state_id, estado AS state, lower(clave) AS key,
-                 CASE estado_id % 4 WHEN 0 THEN NULL WHEN 1 THEN estado || '_' || clave
-                      WHEN 2 THEN replace(clave, 'I-', 'l-') ELSE clave || ' (1)' END AS alias,
+                 CASE WHEN length(clave) > 11 THEN NULL ELSE CASE estado_id % 4 WHEN 0 THEN NULL WHEN 1 THEN estado || '_' || clave
+                      WHEN 2 THEN replace(clave, 'I-', 'l-') ELSE clave || ' (1)' END END AS alias,
                  clave || '-' || CAST(period_key AS VARCHAR) AS file_id, 'foto_' || CAST(period_key AS VARCHAR) || '.jpg' AS file_name,
                  cn_total AS size, CAST(anio AS VARCHAR) || '-' || lpad(CAST(mes AS VARCHAR), 2, '0') || '-01' AS modified,
                  COALESCE(CASE WHEN mes % 2 = 0 THEN 'https://img.example/' || clave || '/' || CAST(period_key AS VARCHAR) END,
@@ -1989,7 +2033,7 @@ def _tree_v1(spark, sf) -> str:
              .withColumn("chunk", F.pmod(F.xxhash64("clave"), F.greatest(F.ceil(F.col("n") / 500), F.lit(1))))
              .groupBy("estado_id", "estado", "chunk")
              .agg(F.sort_array(F.collect_list(F.struct("clave", "folder"))).alias("fs"))
-             .select((F.col("estado_id").cast("long") * 1000 + F.col("chunk")).alias("pos"), F.col("estado").alias("name"),
+             .select((F.col("estado_id").cast("long") * (1 << 40) + F.col("chunk")).alias("pos"), F.col("estado").alias("name"),
                      F.lit("folder").alias("type"), F.col("estado_id").cast("string").alias("id"),
                      F.col("estado").alias("path"), F.transform("fs", lambda x: x["folder"]).alias("children")))
     path = scratch_path(spark, f"treev1-{uuid.uuid4().hex[:12]}")
@@ -2033,22 +2077,18 @@ FROM img GROUP BY 1"""))
 def q_incremental_image_sync(spark, sf):
     """Two rescans of the image tree land as snapshots; the stream merges them in order and the
     status counts of the second merge are returned."""
-    import time
     import uuid
     from ..session import scratch_path
     from ..streaming.incremental import incremental_image_sync
     base = scratch_path(spark, f"imgsync-{uuid.uuid4().hex[:12]}")
     imgs = _images(spark, sf).drop("folder_order")
-    imgs.where(F.substring("modified", 6, 2).cast("int") <= 8).coalesce(1).write.parquet(f"{base}/snap/s1")
-    time.sleep(1.1)  # the file source orders snapshots by modification time
+    imgs.where(F.substring("modified", 6, 2).cast("int") <= 8).write.parquet(f"{base}/snap/s1")
     imgs.withColumn("modified", F.when(F.substring("modified", 6, 2) == "03",
                                        F.concat(F.substring("modified", 1, 5), F.lit("03-15")))
-                    .otherwise(F.col("modified"))).coalesce(1).write.parquet(f"{base}/snap/s2")
+                    .otherwise(F.col("modified"))).write.parquet(f"{base}/snap/s2")
     schema = spark.read.parquet(f"{base}/snap/s1").schema
-    incremental_image_sync(spark, f"{base}/snap/*", schema, f"{base}/table", f"{base}/_checkpoint")
-    counts = spark.read.parquet(f"{base}/table_counts")
-    last = counts.agg(F.max("epoch")).scalar()
-    return counts.where(F.col("epoch") == last).select("status", "files")
+    incremental_image_sync(spark, f"{base}/snap", schema, f"{base}/table", f"{base}/_checkpoint")
+    return spark.read.parquet(f"{base}/table_counts").where(F.col("snapshot") == "s2").select("status", "files")
 
 
 DETAIL_MS = ["cn_inicial", "cn_prim", "cn_sec", "cn_total"]
@@ -2174,4 +2214,4 @@ def q_report_by_group_from_raw(spark, sf):
     from .jobs import job_clean_panel
     out = scratch_path(spark, f"clean-{uuid.uuid4().hex[:12]}")
     clean, _ = job_clean_panel(spark, _raw_csv(spark, sf), out_path=out)
-    return reports.report_by_group(clean, dims.states_dim(spark), B, as_of=AS_OF)
+    return reports.report_by_group(clean, dims.states_dim(spark), B)

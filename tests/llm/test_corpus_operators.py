@@ -404,7 +404,7 @@ def test_base_scores_match_brute_force(spark, awkward, awkward_rows, empty, monk
         rows = [(r.doc_id, r.text) for r in df.collect()]
         want = _score_brute(rows)
         for top in (400_000, 1_000):
-            monkeypatch.setattr(log_bilinear, "TOP_WORDS", top)
+            monkeypatch.setattr(log_bilinear, "TOP_WORDS", top)  # also fewer than have classes
             got = log_bilinear.score(df).collect()
             assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
             assert all(r.score < 0 and r.held_out == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 == 1) for r in got)

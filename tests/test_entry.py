@@ -34,3 +34,30 @@ def test_query_matches_duckdb(spark, name):
     got = sorted(tuple(str(r[c]) for c in sorted(cols)) for r in sdf.collect())
     assert sorted(sdf.columns) == sorted(cols)
     assert got == want
+
+
+GUARD = """
+import sys
+class Gone:
+    def find_spec(self, name, path=None, target=None):
+        if name == "corpus_pipeline" or name == "tessera.llm" or name.startswith("tessera.llm."):
+            raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+sys.meta_path.insert(0, Gone())
+import __spark_entry__ as E
+q = E.queries()
+assert "report_by_group" in q and "pipeline" not in q and not [k for k in q if k.startswith("op1_")]
+assert set(E.oracle_sql()) <= set(q)
+"""
+
+
+def test_entry_works_without_the_training_data_queries():
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.abspath(E.__file__))
+    subprocess.run([sys.executable, "-c", GUARD], cwd=root, check=True)
+
+
+def test_a_broken_import_is_not_hidden():
+    with pytest.raises(ImportError):
+        E._without(ModuleNotFoundError("No module named 'nothing'", name="nothing"), "tessera.llm", "corpus_pipeline")

@@ -52,10 +52,9 @@ def as_dim(df: DataFrame, id_col: str, name_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("dim_id"), F.col(name_col).alias("dim_name"))
 
 
-def dim_decode(df: DataFrame, code_col: str, dim: DataFrame, out: str, unknown_prefix: str,
-               max_dim_rows: int = 100_000) -> DataFrame:
+def dim_decode(df: DataFrame, code_col: str, dim: DataFrame, out: str, unknown_prefix: str) -> DataFrame:
     """id -> name via a left broadcast join; unmatched -> '<prefix><id>', null id -> ''."""
-    d = bounded_broadcast(dim.select("dim_id", "dim_name"), max_dim_rows)
+    d = bounded_broadcast(dim.select("dim_id", "dim_name"))
     j = df.join(d, df[code_col] == d["dim_id"], "left")
     name = (F.when(F.col(code_col).isNull(), F.lit(""))
             .otherwise(F.coalesce(F.col("dim_name"),

@@ -100,10 +100,8 @@ def _all_grams(df: DataFrame, col: str) -> DataFrame:
 
 
 def _gram_freq(grams: DataFrame, owner: str) -> DataFrame:
-    """How many strings contain each gram; at most (alphabet size)^GRAM rows, size-checked
-    before it is broadcast."""
-    from ..sources.tables import bounded_broadcast
-    return bounded_broadcast(grams.groupBy("g", "gl").agg(F.count_distinct(owner).alias("df")), 2_000_000)
+    """How many strings contain each gram; at most (alphabet size)^GRAM rows."""
+    return grams.groupBy("g", "gl").agg(F.count_distinct(owner).alias("df"))
 
 
 def _rarest_probe(df: DataFrame, col: str, freq: DataFrame) -> DataFrame:
@@ -215,10 +213,17 @@ V1_STATE = (f"pos long, name string, type string, id string, path string, "
             f"webContentLink:string,children:array<{V1_FILE}>>>")
 
 
-def flatten_tree_v1(spark: SparkSession, path: str) -> DataFrame:
-    """Old tree (JSON lines of state nodes, depth state > folder > file) -> one row per child
-    of every folder, with the folder's depth-first order and lower-cased name."""
-    st = spark.read.schema(V1_STATE).json(path)
+def flatten_tree_v1(spark: SparkSession, path: str, whole_document: bool = False) -> DataFrame:
+    """Old tree (JSON lines of state nodes, or one document that holds them under
+    ``structure.children``; depth state > folder > file) -> one row per child of every folder,
+    with the folder's depth-first order and lower-cased name."""
+    if whole_document:
+        node = spark.range(0).select(F.from_json(F.lit(None).cast("string"), V1_STATE).alias("s")).schema["s"].dataType
+        tree = T.StructType([T.StructField("structure", T.StructType([T.StructField("children", T.ArrayType(node))]))])
+        doc = spark.read.schema(tree).option("multiLine", True).json(path)
+        st = doc.select(F.posexplode("structure.children").alias("at", "s")).select("s.*", "at").withColumn("pos", F.col("at").cast("long")).drop("at")
+    else:
+        st = spark.read.schema(V1_STATE).json(path)
     state_level = st.select(F.struct(F.col("pos").alias("s"), F.lit(-1).alias("f")).alias("order"), F.lower("name").alias("folder"),
                             F.col("type").alias("folder_type"), F.explode("children").alias("c"))
     sub = (st.select("pos", F.posexplode("children").alias("fp", "f"))

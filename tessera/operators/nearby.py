@@ -4,7 +4,7 @@ Spatial index = an equi-join key. Both sides get a grid cell sized from R; each
 is replicated into its 3x3 neighbourhood of cells, the join is an equi-join on the cell, and
 the exact haversine distance filters the candidates. No candidate cap: every facility within
 R is found (the cell size guarantees it), and nothing outside R survives the exact filter.
-The query side is broadcast only after its row count is checked; otherwise both sides
+The query side is broadcast only if its estimated size is within a bound; otherwise both sides
 shuffle on the cell key (AQE splits a hot cell).
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..binding import DEFAULT, Binding
 from ..functions.geo import EARTH_RADIUS_KM, haversine_km
 from ..session import reliable_checkpoint
-from ..sources.tables import bounded_broadcast
+from ..sources.tables import plan_size_bytes
 from .ranking import top_k_per
 
 KM_PER_DEG = math.pi * EARTH_RADIUS_KM / 180.0
@@ -35,15 +35,15 @@ def _band_width(cy: Column, dlat: float, radius_km: float) -> Column:
 
 
 def radius_join(points: DataFrame, facilities: DataFrame, radius_km: float, b: Binding = DEFAULT,
-                limit_per_point: int | None = None, max_broadcast_points: int = 200_000) -> DataFrame:
+                limit_per_point: int | None = None) -> DataFrame:
     """(point_id, facility key, distance_km rounded to 2 dec.) for every facility within
     ``radius_km`` of each point; nearest first per point (ties by key), optionally the first n.
     ``points`` has columns point_id, lat, lng.
 
     Cells: latitude bands of R/111.2 km; within a band the longitude width follows the band's
     latitude (``_band_width``), so cells stay small near the equator and still exact near the
-    poles. Each point probes the 3 neighbouring bands x 3 cells (plus the same cells shifted by
-    360 degrees next to the antimeridian). No data-dependent parameter: no extra job."""
+    poles. Each point probes the 3 neighbouring bands x 3 cells; only points within a cell of the
+    antimeridian also probe the cells beyond it. No data-dependent parameter: no extra job."""
     dlat = radius_km / KM_PER_DEG * 1.000001
     fac = facilities.where(F.col(b.lat).isNotNull() & F.col(b.lng).isNotNull())
     fy = F.floor(F.col(b.lat) / dlat).cast("bigint")
@@ -51,19 +51,20 @@ def radius_join(points: DataFrame, facilities: DataFrame, radius_km: float, b: B
                         F.col(b.lng).alias("f_lng"), fy.alias("cy"))
              .withColumn("cx", F.floor((F.col("f_lng") + 180.0) / _band_width(F.col("cy"), dlat, radius_km))
                          .cast("bigint")))
-    probes = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(sh).alias("sh"))
-                       for dy in (-1, 0, 1) for dx in (-1, 0, 1) for sh in (0.0, 360.0, -360.0)])
-    q = (points.where(F.col("lat").isNotNull() & F.col("lng").isNotNull())
-         .select("point_id", F.col("lat").alias("q_lat"), F.col("lng").alias("q_lng"), F.explode(probes).alias("o"))
-         .withColumn("cy", F.floor(F.col("q_lat") / dlat).cast("bigint") + F.col("o.dy")))
+    probes = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
+    at = (points.where(F.col("lat").isNotNull() & F.col("lng").isNotNull())
+          .select("point_id", F.col("lat").alias("q_lat"), F.col("lng").alias("q_lng"), F.floor(F.col("lat") / dlat).cast("bigint").alias("y")))
+    widest = F.greatest(*[_band_width(F.col("y") + dy, dlat, radius_km) for dy in (-1, 0, 1)])
+    beyond = F.array_compact(F.array(F.lit(0.0), F.when(F.col("q_lng") <= widest - 180.0, F.lit(360.0)),
+                                     F.when(F.col("q_lng") >= 180.0 - widest, F.lit(-360.0))))
+    q = (at.withColumn("sh", F.explode(beyond)).withColumn("o", F.explode(probes))
+         .withColumn("cy", F.col("y") + F.col("o.dy")))
     w = _band_width(F.col("cy"), dlat, radius_km)
-    shifted = F.col("q_lng") + F.col("o.sh")
-    # a copy shifted by +-360 degrees is kept only when it lands within one cell of the map
-    q = (q.where((F.col("o.sh") == 0) | ((shifted >= -180.0 - w) & (shifted <= 180.0 + w)))
-         .withColumn("cx", F.floor((shifted + 180.0) / w).cast("bigint") + F.col("o.dx"))
+    q = (q.withColumn("cx", F.floor((F.col("q_lng") + F.col("sh") + 180.0) / w).cast("bigint") + F.col("o.dx"))
          .select("point_id", "q_lat", "q_lng", "cy", "cx").distinct())
-    # each point becomes at most 27 probe rows: the size bound of the input is scaled by that
-    q = bounded_broadcast(q, max_broadcast_points * 27, max_plan_bytes=(1 << 20) // 27)
+    # a point becomes nine probe rows, or a few more: the bound is on the points
+    est = plan_size_bytes(points)
+    q = F.broadcast(q) if est is not None and est <= (1 << 20) else q
     j = fcell.join(q, ["cy", "cx"])
     d = haversine_km("q_lat", "q_lng", "f_lat", "f_lng")
     hits = (j.withColumn("distance_km_exact", d).where(F.col("distance_km_exact") <= F.lit(radius_km))

@@ -17,7 +17,10 @@ from ..functions.numbers import pct_int
 
 
 def first_per_key(df: DataFrame, key: str, order: list[str], last: bool = False) -> DataFrame:
-    """The first (or last) row of each key by ``order``; all columns kept."""
+    """The first (or last) row of each key by ``order``; all columns kept.
+
+    Rows are reduced before the shuffle (one row per key and task), so a hot key stays small; a
+    struct is no type for a hash aggregate, so this costs a sort by key on either side."""
     cols = [c for c in df.columns if c != key]
     ordk = F.struct(*[F.col(c) for c in order])
     pick = F.max_by if last else F.min_by

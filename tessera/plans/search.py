@@ -66,20 +66,35 @@ def facility_history(df: DataFrame, key: str, b: Binding = DEFAULT, measures=("c
             .orderBy(F.col("year").desc(), F.col("month").desc()))
 
 
+def images_of_key(images: DataFrame, key: str) -> DataFrame:
+    """Catalogue rows of one key: of the equal key, else of the alias, else by containment. The
+    catalogue is filtered first; containment runs only when the others find nothing."""
+    from ..operators.images import image_lookup_cascade
+    k = F.lit(key.strip().lower())
+    exact = images.where(F.col("key") == k)
+    if not exact.isEmpty():
+        return exact
+    found = images.where(F.lower("alias") == k).groupBy().agg(F.max_by("key", "folder_order").alias("key")).where(F.col("key").isNotNull())
+    if found.isEmpty():
+        found = image_lookup_cascade(images.sparkSession.createDataFrame([(key,)], "query string"), images).select("key")
+    return images.join(F.broadcast(found), "key", "left_semi")  # one key
+
+
 def report_facility(df: DataFrame, latest: DataFrame, key: str, b: Binding = DEFAULT,
                     images: DataFrame | None = None) -> DataFrame:
-    """Profile of one key in the latest month: identity and location fields, address, map
-    link, the number of periods in its history and, given an image catalogue, the number of
-    images found for the key by the exact -> alias -> partial look-up."""
+    """Profile of one key in the latest month: identity and location fields, address, map link;
+    ``profile``, a struct per category of the fields that the table has; ``history``, its periods
+    newest first (period, status, cn_total); ``images``, its files in the catalogue by file id.
+    The lists belong to one facility: one entry per period, and per file of its folder."""
+    from ..operators.schema import PROFILE_CATEGORIES, facility_profile_struct
     row = first_per_key(flt.facility_by_key(latest, key, b), b.facility, [b.period])
-    hist = flt.facility_by_key(df, key, b).agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    n_img = F.lit(None).cast("bigint")
+    categories = [c for c, fields in PROFILE_CATEGORIES if any(f in row.columns for f in fields)]
+    profiled = facility_profile_struct(row.select("*")).select(F.struct(*categories).alias("profile"))
+    past = [c for c in (b.period, b.status, "cn_total") if c in df.columns]
+    hist = flt.facility_by_key(df, key, b).agg(F.reverse(F.array_sort(F.collect_list(F.struct(*past)))).alias("h")).scalar()
+    files = F.array()
     if images is not None:
-        from ..operators.images import image_lookup_cascade
-        spark = df.sparkSession
-        found = image_lookup_cascade(spark.createDataFrame([(key,)], "query string"), images)
-        n_img = (images.join(found.select("key"), "key", "left_semi")
-                 .agg(F.count(F.lit(1)).alias("n")).select("n").scalar())
+        files = images_of_key(images, key).agg(F.array_sort(F.collect_list(F.struct("file_id", "file_name", "url")))).scalar()
     parts = [c for c in (b.neighbourhood, b.street, b.number, b.postcode) if c in row.columns]
     return row.select(
         F.col(b.facility).alias("facility"), F.col(b.name).alias("name"),
@@ -89,4 +104,4 @@ def report_facility(df: DataFrame, latest: DataFrame, key: str, b: Binding = DEF
         address_line(*parts).alias("address"),
         F.when(F.col(b.lat).isNotNull() & F.col(b.lng).isNotNull() & (F.col(b.lat) != 0) & (F.col(b.lng) != 0),
                map_search_url(b.lat, b.lng)).alias("map_url"),
-        hist.alias("history_periods"), n_img.alias("images"))
+        profiled.scalar().alias("profile"), hist.alias("history"), files.alias("images"))

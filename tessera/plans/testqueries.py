@@ -73,6 +73,11 @@ def _latest(spark, sf):
     return flt.latest_period_filter(panel(spark, sf), B)
 
 
+def _first_group(spark, sf):
+    """The first group that has rows in the latest period, as a scalar subquery."""
+    return _latest(spark, sf).agg(F.min("estado")).scalar()
+
+
 def ol(sql: str) -> str:
     """Oracle with a ``latest`` CTE (rows of the latest period)."""
     return oracle(f", latest AS (SELECT * FROM panel WHERE period_key = {LATEST_SQL})\n{sql}")
@@ -149,9 +154,9 @@ def q_facility_by_key(spark, sf):
     return flt.facility_by_key(panel(spark, sf), "i-01-012-65", B).select("clave", "period_key", "cn_total")
 
 
-@register("rows_by_group_exact", ol("SELECT clave, estado FROM latest WHERE estado = 'NATION_3'"))
+@register("rows_by_group_exact", ol("SELECT clave, estado FROM latest WHERE estado = (SELECT min(estado) FROM latest)"))
 def q_rows_by_group_exact(spark, sf):
-    return _latest(spark, sf).where(F.col("estado") == "NATION_3").select("clave", "estado")
+    return _latest(spark, sf).where(F.col("estado") == _first_group(spark, sf)).select("clave", "estado")
 
 
 @register("filter_group_status", oracle("SELECT clave, period_key FROM panel WHERE estado_id = 3 AND situacion = 1"))
@@ -821,9 +826,9 @@ MUNI_MS = ["cn_inicial", "cn_prim", "cn_sec", "cn_total", "inc_total_raw", "aten
 SELECT municipio AS municipality, CAST(GROUPING(municipio) AS INTEGER) AS is_total, COUNT(*) AS facilities,
        COUNT(DISTINCT CASE WHEN trim(municipio) <> '' THEN municipio END) AS municipalities,
        {", ".join(f"CAST(trunc(COALESCE(SUM(COALESCE(TRY_CAST(CAST({m} AS VARCHAR) AS DOUBLE), 0.0)), 0.0)) AS BIGINT) AS sum_{m}" for m in MUNI_MS)}
-FROM latest WHERE estado = 'NATION_3' GROUP BY ROLLUP (municipio)"""))
+FROM latest WHERE estado = (SELECT min(estado) FROM latest) GROUP BY ROLLUP (municipio)"""))
 def q_municipality_rollup(spark, sf):
-    r = ag.municipality_rollup(_latest(spark, sf).where(F.col("estado") == "NATION_3"), MUNI_MS, B)
+    r = ag.municipality_rollup(_latest(spark, sf).where(F.col("estado") == _first_group(spark, sf)), MUNI_MS, B)
     return r.withColumn("is_total", F.col("is_total").cast("int"))
 
 
@@ -941,11 +946,11 @@ LEADER_MS = ["cn_inicial", "cn_prim", "cn_sec", "inc_total"]
 
 
 @register("leader_per_measure", ol(f"""
-, u AS ({" UNION ALL ".join(f"SELECT '{m}' AS measure, clave, CAST(COALESCE({m}, 0) AS BIGINT) AS value FROM latest WHERE estado = 'NATION_3'" for m in LEADER_MS)}),
+, u AS ({" UNION ALL ".join(f"SELECT '{m}' AS measure, clave, CAST(COALESCE({m}, 0) AS BIGINT) AS value FROM latest WHERE estado = (SELECT min(estado) FROM latest)" for m in LEADER_MS)}),
   g AS (SELECT measure, CAST(SUM(value) AS BIGINT) AS total, max(value) AS leader_value, arg_min(clave, (-value, clave)) AS leader FROM u GROUP BY measure)
 SELECT *, {nb.pct_int_sql('leader_value', 'total', 1)} AS leader_pct FROM g WHERE total > 0"""))
 def q_leader_per_measure(spark, sf):
-    return rk.leader_per_measure(_latest(spark, sf).where(F.col("estado") == "NATION_3"), LEADER_MS, B)
+    return rk.leader_per_measure(_latest(spark, sf).where(F.col("estado") == _first_group(spark, sf)), LEADER_MS, B)
 
 
 @register("facility_history", oracle("""
@@ -1328,20 +1333,31 @@ SELECT clave AS facility, nombre AS name, estado AS group_name, zona AS zone, mu
        period_key AS period, situacion AS status, '' AS address,
        CASE WHEN lat IS NOT NULL AND lng IS NOT NULL AND lat <> 0 AND lng <> 0
             THEN 'https://www.google.com/maps/search/?api=1&query=' || CAST(lat AS VARCHAR) || ',' || CAST(lng AS VARCHAR) END AS map_url,
-       (SELECT COUNT(*) FROM panel WHERE upper(trim(clave)) = 'I-02-000-55') AS history_periods,
-       (SELECT COUNT(*) FROM panel WHERE lower(clave) = 'i-02-000-55') AS images
-FROM latest WHERE upper(trim(clave)) = 'I-02-000-55'"""))
+       CAST(cn_inicial AS VARCHAR) || ',' || CAST(cn_prim AS VARCHAR) || ',' || CAST(cn_sec AS VARCHAR) || ',' || CAST(cn_total AS VARCHAR) AS certificates,
+       (SELECT COUNT(*) FROM panel p WHERE p.clave = latest.clave) AS history_periods,
+       (SELECT string_agg(CAST(period_key AS VARCHAR) || ':' || CAST(situacion AS VARCHAR) || ':' || CAST(cn_total AS VARCHAR), ',' ORDER BY period_key DESC)
+        FROM panel p WHERE p.clave = latest.clave) AS history,
+       (SELECT COUNT(*) FROM panel p WHERE p.clave = latest.clave) AS images,
+       (SELECT string_agg(clave || '-' || CAST(period_key AS VARCHAR), ',' ORDER BY period_key) FROM panel p WHERE p.clave = latest.clave) AS image_files
+FROM latest WHERE clave = (SELECT min(clave) FROM latest)"""))
 def q_report_facility(spark, sf):
+    """The first facility of the latest period; of its profile, the certificates category as text."""
     from .search import report_facility
-    return report_facility(panel(spark, sf), _latest(spark, sf), "i-02-000-55", B, images=_images(spark, sf))
+    key = _latest(spark, sf).agg(F.min("clave")).first()[0] or ""
+    out = report_facility(panel(spark, sf), _latest(spark, sf), key.lower(), B, images=_images(spark, sf))
+    cert = F.concat_ws(",", *[F.col(f"profile.certificates.{c}") for c in ("cn_inicial", "cn_prim", "cn_sec", "cn_total")])
+    hist = F.array_join(F.transform("history", lambda x: F.concat_ws(":", x["period_key"], x["situacion"], x["cn_total"])), ",")
+    return out.select("facility", "name", "group_name", "zone", "municipality", "locality", "period", "status", "address", "map_url",
+                      cert.alias("certificates"), F.size("history").cast("long").alias("history_periods"), hist.alias("history"),
+                      F.size("images").cast("long").alias("images"), F.array_join(F.transform("images", lambda x: x["file_id"]), ",").alias("image_files"))
 
 
 @register("report_group_facilities", ol("""
 SELECT clave AS facility, concat_ws(', ', NULLIF(trim(municipio), ''), NULLIF(trim(localidad), '')) AS address,
-       municipio AS municipality, localidad AS locality FROM latest WHERE estado = 'NATION_3'"""))
+       municipio AS municipality, localidad AS locality FROM latest WHERE estado = (SELECT min(estado) FROM latest)"""))
 def q_report_group_facilities(spark, sf):
     from .reports import report_group_facilities
-    return report_group_facilities(_latest(spark, sf), "NATION_3", B.with_(neighbourhood="municipio", street="localidad"))
+    return report_group_facilities(_latest(spark, sf), _first_group(spark, sf), B.with_(neighbourhood="municipio", street="localidad"))
 
 
 METRIC_COLS = ["inc_total_raw", "aten_total", "cn_inicial", "cn_prim", "cn_sec", "cn_total", "inc_total", "lat", "lng", "situacion"]
@@ -1350,10 +1366,10 @@ METRIC_COLS = ["inc_total_raw", "aten_total", "cn_inicial", "cn_prim", "cn_sec",
 @register("metric_row_projection", ol(f"""
 SELECT COALESCE(trim(clave), 'N/D') AS facility, COALESCE(trim(nombre), 'N/D') AS name, COALESCE(trim(municipio), 'N/D') AS municipality,
        {", ".join(f"COALESCE(CAST(trunc(TRY_CAST(CAST({m} AS VARCHAR) AS DOUBLE)) AS BIGINT), 0) AS {m}" for m in METRIC_COLS)}
-FROM latest WHERE estado = 'NATION_3'"""))
+FROM latest WHERE estado = (SELECT min(estado) FROM latest)"""))
 def q_metric_row_projection(spark, sf):
     from .reports import metric_row_projection
-    return metric_row_projection(_latest(spark, sf).where(F.col("estado") == "NATION_3"), METRIC_COLS, B)
+    return metric_row_projection(_latest(spark, sf).where(F.col("estado") == _first_group(spark, sf)), METRIC_COLS, B)
 
 
 # ----------------------------------------------------------------------- coordinate export
@@ -2095,7 +2111,7 @@ DETAIL_MS = ["cn_inicial", "cn_prim", "cn_sec", "cn_total"]
 
 
 @register("report_group_detail", ol(f"""
-, r AS (SELECT * FROM latest WHERE estado = 'NATION_3'),
+, r AS (SELECT * FROM latest WHERE estado = (SELECT min(estado) FROM latest)),
   m AS (SELECT municipio, COUNT(*) AS muni_facilities,
                {", ".join(f"CAST(trunc(COALESCE(SUM(COALESCE(TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE), 0.0)), 0.0)) AS BIGINT) AS muni_sum_{c}" for c in DETAIL_MS)}
         FROM r GROUP BY municipio),
@@ -2103,11 +2119,11 @@ DETAIL_MS = ["cn_inicial", "cn_prim", "cn_sec", "cn_total"]
 SELECT COALESCE(trim(r.clave), 'N/D') AS facility, COALESCE(trim(r.nombre), 'N/D') AS name, r.municipio AS municipality,
        {", ".join(f"COALESCE(CAST(trunc(TRY_CAST(CAST(r.{c} AS VARCHAR) AS DOUBLE)) AS BIGINT), 0) AS {c}" for c in DETAIL_MS)},
        m.muni_facilities, {", ".join(f"m.muni_sum_{c}" for c in DETAIL_MS)},
-       {", ".join(f"COALESCE(COALESCE(trim(r.clave), 'N/D') = (SELECT l_{c} FROM ld), false) AS leads_{c}" for c in DETAIL_MS)}
+       {", ".join(f"COALESCE(COALESCE(trim(r.clave), 'N/D') = (SELECT l_{c} FROM ld) AND (SELECT SUM({c}) FROM r) > 0, false) AS leads_{c}" for c in DETAIL_MS)}
 FROM r LEFT JOIN m ON m.municipio = r.municipio"""))
 def q_report_group_detail(spark, sf):
     from .reports import report_group_detail
-    return report_group_detail(_latest(spark, sf), "NATION_3", DETAIL_MS, B)
+    return report_group_detail(_latest(spark, sf), _first_group(spark, sf), DETAIL_MS, B)
 
 
 # ------------------------------------------------------- second names of paired inventory rows

@@ -46,10 +46,15 @@ CATALOG_FILE = ("struct<name:string,path:string,type:string,size:string,modified
 CATALOG_YEAR = f"pos long, name string, path string, type string, children array<{CATALOG_FILE}>"
 
 
-def scan_file_catalog(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Folder tree of monthly files (JSON lines of year folders) -> one row per file, and the
-    statistics block (file count, sorted distinct years and months)."""
-    years = spark.read.schema(CATALOG_YEAR).json(path)
+def scan_file_catalog(spark: SparkSession, path: str, whole_document: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Folder tree of monthly files (JSON lines of year folders, or one document that holds them under
+    ``structure.children``) -> one row per file, and the statistics block (file count, sorted
+    distinct years and months)."""
+    if whole_document:
+        doc = spark.read.schema(f"structure struct<children: array<struct<{CATALOG_YEAR.replace('pos long, ', '').replace(' string', ': string').replace('children array', 'children: array')}>>>")
+        years = doc.option("multiLine", True).json(path).select(F.explode("structure.children").alias("y")).select("y.*")
+    else:
+        years = spark.read.schema(CATALOG_YEAR).json(path)
     files = (years.select(F.col("name").alias("folder"), F.explode("children").alias("f"))
              .select("folder", "f.name", "f.path", F.col("f.size").try_cast("bigint").alias("size"),
                      F.col("f.modifiedTime").alias("modified"), F.col("f.year").alias("year"),

@@ -14,12 +14,11 @@ def scan_pruned(src: DataFrame, wanted: list[str]) -> tuple[DataFrame, list[str]
     return src.select(*[c for c in wanted if c in have]), [c for c in wanted if c not in have]
 
 
-def period_source_union(local: DataFrame, history: DataFrame, period_col: str = "period_key",
-                        max_periods: int = 100_000) -> DataFrame:
+def period_source_union(local: DataFrame, history: DataFrame, period_col: str = "period_key") -> DataFrame:
     """Each period from the local table if it has it, else from the historical store (local
     always wins). Adds ``source``. The set of local periods is small and size-checked before
     it is broadcast into the anti join."""
-    periods = bounded_broadcast(local.select(period_col).distinct(), max_periods)
+    periods = bounded_broadcast(local.select(period_col).distinct())
     hist = history.join(periods, period_col, "left_anti")
     return (local.withColumn("source", F.lit("local"))
             .unionByName(hist.withColumn("source", F.lit("history")), allowMissingColumns=True))

@@ -40,16 +40,9 @@ def input_size_bytes(df: DataFrame) -> int | None:
         return None
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = 100_000, max_plan_bytes: int = 1 << 20) -> DataFrame:
-    """Broadcast ``df`` only with a proven size bound.
-
-    A plan whose Catalyst estimate is at most ``max_plan_bytes`` (1 MiB: small dictionary
-    files) is broadcast without running anything. Otherwise the rows are counted, reading at
-    most ``max_rows + 1``; beyond the bound the frame is returned unhinted and Spark plans a
-    shuffle join (AQE may still switch to broadcast from runtime sizes).
-    """
+def bounded_broadcast(df: DataFrame, max_bytes: int = 8 << 20) -> DataFrame:
+    """Hint a broadcast of ``df`` only if Catalyst's own size estimate (file sizes of what the plan
+    reads) is within ``max_bytes``. No job runs; beyond the bound, or without an estimate, the frame
+    is returned as it is and AQE chooses the join from the sizes it measures."""
     est = plan_size_bytes(df)
-    if est is not None and est <= max_plan_bytes:
-        return F.broadcast(df)
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if est is not None and est <= max_bytes else df

@@ -90,3 +90,19 @@ def test_a_changed_table_gives_another_panel(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/region.parquet").limit(2).toPandas().to_parquet(tmp_path / "region2.parquet")
     shutil.copy(tmp_path / "region2.parquet", tmp_path / "region.parquet")
     assert testbind._fingerprint(spark, str(tmp_path)) != first
+
+
+def test_trees_in_one_document(spark, tmp_path):
+    import json
+    from tessera.operators.images import flatten_tree_v1
+    from tessera.sources.json_sources import scan_file_catalog
+    catalog = {"structure": {"children": [{"name": "Y2024", "type": "folder", "children": [
+        {"name": "a.parquet", "path": "Y2024/a.parquet", "size": "5", "year": "2024", "month": "01"}]}]}}
+    (tmp_path / "c.json").write_text(json.dumps(catalog, indent=1))
+    files, stats = scan_file_catalog(spark, str(tmp_path / "c.json"), whole_document=True)
+    assert [(r.folder, r.name, r.size) for r in files.collect()] == [("Y2024", "a.parquet", 5)] and stats.first()["files"] == 1
+    tree = {"structure": {"children": [{"name": "S", "type": "folder", "children": [
+        {"name": "K1", "type": "folder", "children": [{"name": "x.jpg", "type": "file", "mimeType": "image/jpeg", "id": "1"}]}]}]}}
+    (tmp_path / "t.json").write_text(json.dumps(tree, indent=1))
+    rows = flatten_tree_v1(spark, str(tmp_path / "t.json"), whole_document=True).collect()
+    assert sorted((r.folder, r.name) for r in rows) == [("k1", "x.jpg"), ("s", "K1")]

@@ -93,6 +93,23 @@ def count_words(training: DataFrame) -> DataFrame:
     return training.mapInArrow(_count_batches, "h long, ending int, n long").groupBy("h").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"))
 
 
+def top_words(counts: DataFrame, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, count and ending class of at most ``most`` (TOP_WORDS) words, the most frequent first. The
+    least count that goes in comes from a histogram of counts in steps of 1/32 octave (at most 2,000
+    rows), so that no task or driver ever sorts or holds more than that many words."""
+    step = F.floor(F.log2("n") * 32)
+    room, least = TOP_WORDS if most is None else most, None
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["step"]
+    t = counts.where(step >= least if least is not None else F.lit(False)).select("h", "n", "ending").toArrow()
+    h, n, endings = (t.column(c).to_numpy() for c in ("h", "n", "ending"))
+    order = np.lexsort((h, -n))
+    return h[order], n[order], endings[order]
+
+
 class Model:
     """Class vectors, context maps and biases, with the counts that the class shares need."""
 
@@ -164,15 +181,15 @@ class Lexicon:
     """What tasks know of words: hashes and counts of the most frequent, the first FREQUENT of which
     have classes of their own, and the totals behind the shares of the other classes."""
 
-    def __init__(self, top: list, ending_totals: dict[int, tuple[int, int]], tokens: int, types: int, ends: int):
+    def __init__(self, h: np.ndarray, n: np.ndarray, ending_totals: dict[int, tuple[int, int]], tokens: int, types: int, ends: int):
+        """h, n: hashes and counts of the top words, the most frequent first."""
         self.tokens, self.types, self.ends = tokens, types, ends
-        h, n = np.array([r["h"] for r in top], np.int64), np.array([r["n"] for r in top], np.int64)
-        own = np.where(np.arange(len(top)) < FREQUENT, np.arange(len(top)) + 1, 0).astype(np.int32)
+        own = np.where(np.arange(len(h)) < FREQUENT, np.arange(len(h)) + 1, 0).astype(np.int32)
         order = np.argsort(h)
         self.h, self.n, self.own = h[order], n[order], own[order]
         class_counts = np.zeros(CLASSES)
         class_counts[END] = ends
-        class_counts[1:1 + min(FREQUENT, len(top))] = n[:FREQUENT]
+        class_counts[1:1 + min(FREQUENT, len(h))] = n[:FREQUENT]
         share = np.full(CLASSES, 0.0)
         for c in range(1 + FREQUENT, CLASSES):
             total, distinct = ending_totals.get(c, (0, 0))
@@ -242,14 +259,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     ends = training.count()
     totals = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     tokens, types = (totals[0] or 0) + ends, totals[1] + (1 if ends else 0)
-    top = counts.orderBy(F.desc("n"), "h").limit(TOP_WORDS).select("h", "n", "ending").collect()
+    h, n, endings = top_words(counts)
     own = {}
-    for r in top[:FREQUENT]:
-        t, d = own.get(r["ending"], (0, 0))
-        own[r["ending"]] = (t + r["n"], d + 1)
+    for k in range(min(FREQUENT, len(h))):
+        t, d = own.get(int(endings[k]), (0, 0))
+        own[int(endings[k])] = (t + int(n[k]), d + 1)
     ending_totals = {r[0]: (r[1] - own.get(r[0], (0, 0))[0], r[2] - own.get(r[0], (0, 0))[1])
                      for r in counts.groupBy("ending").agg(F.sum("n"), F.count(F.lit(1))).collect()}
-    lexicon = Lexicon(top, ending_totals, tokens, types, ends)
+    lexicon = Lexicon(h, n, ending_totals, tokens, types, ends)
     model = train(training, lexicon)
 
     def parts(batches):

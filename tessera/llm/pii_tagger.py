@@ -34,7 +34,7 @@ from tessera.llm.common import id_and_text, slices
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 48, 24
 TRAIN_WINDOWS = 200
-HIDDEN, STEPS, BATCH, RATE = 16, 450, 32, 0.02
+HIDDEN, STEPS, BATCH, RATE = 16, 300, 64, 0.025
 N_TAGS = 1 + 2 * len(KINDS)
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -215,9 +215,9 @@ class Tagger:
         self._lstm_back("b", x[::-1], bw, dboth[::-1, :, self.h:], g)
         return float((z - gold).mean()), {name: v / n for name, v in g.items()}
 
-    def train(self, x: np.ndarray, y: np.ndarray, steps: int = STEPS, seed: int = 11) -> list[float]:
-        """About ``steps`` Adam steps over windows (rows of x) with tags y; the losses by epoch."""
-        epochs = -(-steps // -(-len(x) // BATCH))
+    def train(self, x: np.ndarray, y: np.ndarray, steps: int | None = None, seed: int = 11) -> list[float]:
+        """About ``steps`` (STEPS) Adam steps over windows (rows of x) with tags y; the losses by epoch."""
+        epochs = -(-(STEPS if steps is None else steps) // -(-len(x) // BATCH))
         r, mean, var, k, losses = np.random.default_rng(seed), {}, {}, 0, []
         for epoch in range(epochs):
             total, order = 0.0, r.permutation(len(x))

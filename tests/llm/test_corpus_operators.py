@@ -213,7 +213,8 @@ def test_tagger_alone_finds_most_spans(spark, found):
     assert total > 30 and hit / total > 0.8
 
 
-def test_mask_and_awkward(spark, awkward, awkward_rows, empty):
+def test_mask_and_awkward(spark, awkward, awkward_rows, empty, monkeypatch):
+    monkeypatch.setattr(pii_tagger, "STEPS", 20)
     out = pii_tagger.find(awkward).collect()
     assert len(out) == len(awkward_rows)
     assert [(r.n_email, r.n_ip, r.n_card, r.n_phone) for r in out if r.doc_id == 13] == [(1, 1, 1, 1)] * 2

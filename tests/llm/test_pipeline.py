@@ -16,6 +16,14 @@ def _shingles(text):
     return frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def short_training():
+    """The tagger's skill is tested elsewhere."""
+    keep, pii_tagger.STEPS = pii_tagger.STEPS, 20
+    yield
+    pii_tagger.STEPS = keep
+
+
 @pytest.fixture(scope="module")
 def steps(spark, tmp_path_factory):
     folder, docs, out = tmp_path_factory.mktemp("stages"), documents(spark, SMALL), [documents(spark, SMALL)]

@@ -35,7 +35,7 @@ from tessera.llm.common import checkpoint, id_and_text, slices
 SEQUENCE = 2048
 END_ID = 0
 SALT_ROWS = 100_000
-CACHE = 600_000
+CACHE = 1_500_000
 _LETTERS = "a-zß-öø-ÿā-ſ"
 #: The tokenizer's own splitting rule, for texts of the characters below only.
 _PRE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s0-9{_LETTERS}]+")
@@ -55,12 +55,13 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.by_word = self._split_known(spec)
-        self.cache: dict[str, np.ndarray] = {}
         if self.by_word:
             words = spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
                 {"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
             self.words = Tokenizer.from_str(json.dumps(words))
             size = max(spec["model"]["vocab"].values()) + 1
+            self.kind = np.uint16 if size <= 1 << 16 else np.uint32
+            self._forget()
             self.ends = np.zeros(size, bool)
             for token, i in spec["model"]["vocab"].items():
                 self.ends[i] = token.endswith("</w>")
@@ -75,40 +76,57 @@ class Encoder:
         except (KeyError, TypeError, IndexError):
             return False
 
+    def _forget(self) -> None:
+        """The known chunks: their place in one array of all their ids."""
+        self.index: dict[str, int] = {}
+        self.flat, self.begin = np.zeros(0, self.kind), np.zeros(1, np.int64)
+
     def _learn(self, chunks: list[str]) -> None:
-        new = [c for c in chunks if c not in self.cache]
-        split = {c: _PRE.findall(c) for c in new}
-        words = list(dict.fromkeys(w for x in split.values() for w in x))
-        ids: dict[str, np.ndarray] = {}
+        """Encode the chunks (text between white space) not yet known; at most CACHE, or one slice's,
+        are held, about 200 bytes each."""
+        new = [c for c in chunks if c not in self.index]
+        if len(self.index) + len(new) > CACHE:
+            self._forget()
+            new = chunks
+        if not new:
+            return
+        split = [_PRE.findall(c) for c in new]
+        words = list(dict.fromkeys(w for x in split for w in x))
+        place = dict(zip(words, range(len(words))))
+        parts = []
         for lo in range(0, len(words), 1000):
-            part = words[lo:lo + 1000]
-            a = np.array(self.words.encode(" ".join(part), add_special_tokens=False).ids, dtype=np.uint32)
-            ids.update(zip(part, np.split(a, np.flatnonzero(self.ends[a])[:-1] + 1)))
-        for c, x in split.items():
-            self.cache[c] = ids[x[0]] if len(x) == 1 else np.concatenate([ids[w] for w in x])
+            parts.append(np.array(self.words.encode(" ".join(words[lo:lo + 1000]), add_special_tokens=False).ids, dtype=self.kind))
+        flat, begin = np.concatenate(parts), None
+        begin = np.concatenate([[0], np.flatnonzero(self.ends[flat]) + 1])
+        at = np.fromiter((place[w] for x in split for w in x), np.int64)
+        of = np.repeat(np.arange(len(new)), [len(x) for x in split])
+        n = np.bincount(of, np.diff(begin)[at], len(new)).astype(np.int64)
+        self.index.update(zip(new, range(len(self.begin) - 1, len(self.begin) - 1 + len(new))))
+        self.flat = np.concatenate([self.flat, _stretches(flat, begin, at)])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(n)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
         plain = [i for i, t in enumerate(texts) if self.by_word and not _OTHER.search(t) and not any(s in t for s in self.special)]
         chunks = {i: texts[i].lower().split() for i in plain}
-        distinct = list(dict.fromkeys(c for x in chunks.values() for c in x))
-        if len(self.cache) + len(distinct) > CACHE:
-            self.cache.clear()
-        self._learn(distinct)
-        index = dict(zip(distinct, range(len(distinct))))
-        pieces = [self.cache[c] for c in distinct]
-        lens = np.array([len(p) for p in pieces], np.int64)
-        flat, begin = (np.concatenate(pieces) if pieces else np.zeros(0, np.uint32)), np.concatenate([[0], np.cumsum(lens)])
+        if plain:
+            self._learn(list(dict.fromkeys(c for x in chunks.values() for c in x)))
         for i, x in chunks.items():
-            at = np.fromiter(map(index.__getitem__, x), np.int64, len(x))
-            n = lens[at]
-            total = int(n.sum())
-            out[i] = flat[np.repeat(begin[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(total)] if total else flat[:0]
+            out[i] = _stretches(self.flat, self.begin, np.fromiter(map(self.index.__getitem__, x), np.int64, len(x))).astype(np.uint32)
         for i in set(range(len(texts))) - set(plain):
             out[i] = np.array(self.whole.encode(texts[i], add_special_tokens=False).ids, dtype=np.uint32)
         return out
 
 
+def _stretches(flat: np.ndarray, begin: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The stretches flat[begin[k]:begin[k + 1]] for k in ``at``, one after the other."""
+    n = begin[at + 1] - begin[at]
+    total = int(n.sum())
+    if not total:
+        return flat[:0]
+    return flat[np.repeat(begin[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(total)]
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> Encoder:
     return Encoder(path)

@@ -35,10 +35,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, id_and_text, slices
+from tessera.llm.common import SLICE_BYTES, checkpoint, id_and_text, slices
 
 MIN_LENGTH = 100
 SHARD_BYTES = (1 << 20) - 1
@@ -308,13 +309,28 @@ def _across(batches):
             yield pa.record_batch([pa.array(x.astype(np.int64)) for x in cols[:3]] + [pa.array(cols[3].astype(np.int32))], names=["gram", "doc_id", "start", "shape"])
 
 
+def _packed(batches):
+    """(doc_id, compressed text): what the joins by document shuffle."""
+    z = zstandard.ZstdCompressor(level=3)
+    for b in slices(batches):
+        yield pa.record_batch([b.column("doc_id"), pa.array([z.compress(t.encode("utf-8", "replace")) for t in b.column("text").to_pylist()], pa.binary())], names=["doc_id", "packed"])
+
+
+def _unpack(column) -> list[bytes]:
+    z = zstandard.ZstdDecompressor()
+    return [z.decompress(x) for x in column.to_pylist()]
+
+
+def packed_texts(docs: DataFrame) -> DataFrame:
+    return docs.mapInArrow(_packed, "doc_id long, packed binary")
+
+
 def _context_bytes(depth: int):
     """Bytes of the contexts asked for, one row each."""
     def work(batches):
-        for b in slices(batches):
+        for b in slices(batches, "packed", SLICE_BYTES // 4):
             rows = []
-            for doc_id, text, asked in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("asked").to_pylist()):
-                t = text.encode("utf-8", "replace")
+            for doc_id, t, asked in zip(b.column("doc_id").to_pylist(), _unpack(b.column("packed")), b.column("asked").to_pylist()):
                 rows += [(x["gram"], doc_id, x["start"], x["shape"], t[x["start"]:x["start"] + x["shape"] // 128 - 1 + depth]) for x in asked]
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))],
@@ -375,7 +391,7 @@ def repeated_spans(docs: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
     found = checkpoint(rows.repartition("gram").sortWithinPartitions("gram", "ctx", "doc_id", "start").mapInArrow(
         _across, "gram long, doc_id long, start long, shape int"))
     asked = found.where("shape > 0").groupBy(F.col("doc_id").alias("asked_id")).agg(F.collect_list(F.struct("gram", "start", "shape")).alias("asked"))
-    one_row = named.join(asked, F.col("doc_id") == F.col("asked_id")).select("doc_id", "text", "asked")
+    one_row = packed_texts(named).join(asked, F.col("doc_id") == F.col("asked_id")).select("doc_id", "packed", "asked")
     contexts = one_row.mapInArrow(_context_bytes(min_length), "gram long, doc_id long, start long, shape int, bytes binary")
     merged = contexts.repartition("gram").sortWithinPartitions("gram", "doc_id", "start").mapInArrow(_merge(min_length), "doc_id long, start long, number long")
     return found.where("shape < 0").select("doc_id", "start", (-F.col("shape")).cast("long").alias("number")).unionByName(merged)
@@ -403,13 +419,12 @@ def remove_repeats(docs: DataFrame, min_length: int = MIN_LENGTH, id_col: str =
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes): one row per row of ``docs``."""
     rows = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     spans = repeated_spans(rows, min_length).groupBy(F.col("doc_id").alias("cut_id")).agg(F.collect_list(F.struct("start", "number")).alias("spans"))
-    joined = rows.join(spans, F.col("doc_id") == F.col("cut_id"), "left").select("doc_id", "text", "spans")
+    joined = packed_texts(rows).join(spans, F.col("doc_id") == F.col("cut_id"), "left").select("doc_id", "packed", "spans")
 
     def cut(batches):
-        for b in slices(batches):
+        for b in slices(batches, "packed", SLICE_BYTES // 4):
             out = []
-            for doc_id, text, found in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("spans").to_pylist()):
-                t = text.encode("utf-8", "replace")
+            for doc_id, t, found in zip(b.column("doc_id").to_pylist(), _unpack(b.column("packed")), b.column("spans").to_pylist()):
                 kept, n = cut_text(t, [(x["start"], x["number"]) for x in found or ()], min_length)
                 out.append((doc_id, len(t), len(t) - len(kept), n, hashlib.sha256(kept).hexdigest(), kept))
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))],

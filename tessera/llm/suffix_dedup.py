@@ -12,7 +12,8 @@ the same document); matches stay inside documents and overlaps count. Steps:
    anchor are one context, a row. Sorted by anchor, equal contexts of several shards are repeats but
    for the first, anchors of one context are done, and contexts that differ go to step 3.
 3. The strings of differing contexts of one anchor are merged: each one's hash is looked up, by binary
-   search, among those of the contexts before it.
+   search, among those of the contexts before it. Where an anchor has more than MANY contexts (the
+   edges of a passage that many documents share), its strings are dealt out by their own hashes.
 4. The spans of all steps meet the text again, which is cut.
 
 Strings are compared by 64-bit polynomial hashes over random byte values in steps 2 and 3, by bytes in
@@ -26,7 +27,7 @@ ignored.
 Scale: a document longer than a shard is cut into segments that overlap by MIN_LENGTH - 1 bytes, so a
 shard is bounded. About one row in 40 bytes that no shard has resolved is shuffled; a passage that
 many documents share sends one row per shard and anchor, not one per document. Steps 2 and 3 stream
-over sorted rows.
+over sorted rows; what a task holds is bounded by its batch and MANY contexts.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +46,8 @@ from tessera.llm.common import SLICE_BYTES, checkpoint, id_and_text, slices
 MIN_LENGTH = 100
 SHARD_BYTES = (1 << 20) - 1
 GRAM = 20
+#: Contexts of one anchor up to which they are merged in one task; the strings of more are dealt by hash.
+MANY = 500
 _R = np.random.default_rng(4_099)
 _BYTE = _R.integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = np.uint64(0x5851F42D4C957F2D)
@@ -325,35 +329,63 @@ def packed_texts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(_packed, "doc_id long, packed binary")
 
 
+def _string_keys(grams: np.ndarray, shape: np.ndarray, raw: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, place in the row) of every string of the contexts given: equal strings of one anchor
+    have it at equal distance, so gram, distance and bytes go into the hash."""
+    lens = np.array([len(x) for x in raw])
+    hashes, begin = Hashes(np.frombuffer(b"".join(raw), np.uint8)), np.cumsum(lens) - lens
+    number, back = shape // 128, shape % 128
+    row = np.repeat(np.arange(len(raw)), number)
+    k = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)
+    return _mix(hashes.of(begin[row] + k, begin[row] + k + depth) + _mix(grams[row].view(np.uint64) + (back[row] - k).astype(np.uint64))), row, k
+
+
+CONTEXTS = "part long, doc_id long, start long, shape int, bytes binary"
+
+
 def _context_bytes(depth: int):
-    """Bytes of the contexts asked for, one row each."""
+    """Rows of the contexts asked for: one with its bytes (part: the gram) or, of an anchor with many,
+    one for each of its strings (part: the string's hash; shape 0)."""
     def work(batches):
-        for b in slices(batches, "packed", SLICE_BYTES // 4):
-            rows = []
+        for b in slices(batches, "packed", SLICE_BYTES // 2):
+            few, many = [], []
             for doc_id, t, asked in zip(b.column("doc_id").to_pylist(), _unpack(b.column("packed")), b.column("asked").to_pylist()):
-                rows += [(x["gram"], doc_id, x["start"], x["shape"], t[x["start"]:x["start"] + x["shape"] // 128 - 1 + depth]) for x in asked]
-            if rows:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))],
-                                      names=["gram", "doc_id", "start", "shape", "bytes"])
+                for x in asked:
+                    (many if x["many"] else few).append((x["gram"], doc_id, x["start"], x["shape"], t[x["start"]:x["start"] + x["shape"] // 128 - 1 + depth]))
+            names = ["part", "doc_id", "start", "shape", "bytes"]
+            if few:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*few), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=names)
+            for lo in range(0, len(many), 20_000):
+                g, d, s, shape, raw = zip(*many[lo:lo + 20_000])
+                key, row, k = _string_keys(np.array(g, np.int64), np.array(shape, np.int64), list(raw), depth)
+                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(np.array(d, np.int64)[row]), pa.array(np.array(s, np.int64)[row] + k),
+                                       pa.array(np.zeros(len(row), np.int32)), pa.array([b""] * len(row), pa.binary())], names=names)
     return work
 
 
 def _merge(depth: int):
-    """Over contexts sorted by gram, doc_id, start: the starts whose string an earlier context has."""
+    """Over contexts sorted by part, doc_id, start: the starts whose string an earlier context has.
+    Of single strings all but the first of each hash go; contexts are looked up in those before."""
     def work(batches):
+        string = None  # the hash that single strings last had, with its first place
         gram, known = None, np.zeros(0, np.uint64)  # strings seen of the gram that goes on, sorted
         known_at = np.zeros((0, 2), np.int64)
         for b in batches:
+            single = b.filter(pc.equal(b.column("shape"), 0))
+            if single.num_rows:
+                g, d, s = (single.column(x).to_numpy() for x in ("part", "doc_id", "start"))
+                if string is not None:
+                    g, d, s = (np.concatenate([[x], y]) for x, y in zip(string, (g, d, s)))
+                at = np.maximum.accumulate(np.where(np.concatenate([[True], g[1:] != g[:-1]]), np.arange(len(g)), 0))
+                again = (d != d[at]) | (s != s[at])
+                if again.any():
+                    yield pa.record_batch([pa.array(d[again]), pa.array(s[again]), pa.array(np.ones(int(again.sum()), np.int64))], names=["doc_id", "start", "number"])
+                string = (g[-1], d[at[-1]], s[at[-1]])
+            b = b.filter(pc.greater(b.column("shape"), 0))
             if not b.num_rows:
                 continue
-            g, d, s, shape = (b.column(x).to_numpy() for x in ("gram", "doc_id", "start", "shape"))
-            raw = b.column("bytes").to_pylist()
-            lens = np.array([len(x) for x in raw])
-            hashes, begin = Hashes(np.frombuffer(b"".join(raw), np.uint8)), np.cumsum(lens) - lens
-            number, back = shape // 128, shape % 128
-            row = np.repeat(np.arange(len(g)), number)
-            k = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)
-            key = _mix(hashes.of(begin[row] + k, begin[row] + k + depth) + _mix(g[row].view(np.uint64) + (back[row] - k).astype(np.uint64)))
+            g, d, s, shape = (b.column(x).to_numpy() for x in ("part", "doc_id", "start", "shape"))
+            key, row, k = _string_keys(g, shape, b.column("bytes").to_pylist(), depth)
             owner, start = d[row], s[row] + k
             if gram is None or g[0] != gram:
                 known, known_at = known[:0], known_at[:0]
@@ -390,10 +422,13 @@ def repeated_spans(docs: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
     rows = named.mapInArrow(_shard_rows(min_length), ROWS)
     found = checkpoint(rows.repartition("gram").sortWithinPartitions("gram", "ctx", "doc_id", "start").mapInArrow(
         _across, "gram long, doc_id long, start long, shape int"))
-    asked = found.where("shape > 0").groupBy(F.col("doc_id").alias("asked_id")).agg(F.collect_list(F.struct("gram", "start", "shape")).alias("asked"))
+    differ = found.where("shape > 0")
+    many = differ.groupBy(F.col("gram").alias("many_gram")).count().where(F.col("count") > MANY).select("many_gram", F.lit(True).alias("many"))
+    flagged = differ.join(many, F.col("gram") == F.col("many_gram"), "left").withColumn("many", F.coalesce("many", F.lit(False)))
+    asked = flagged.groupBy(F.col("doc_id").alias("asked_id")).agg(F.collect_list(F.struct("gram", "start", "shape", "many")).alias("asked"))
     one_row = packed_texts(named).join(asked, F.col("doc_id") == F.col("asked_id")).select("doc_id", "packed", "asked")
-    contexts = one_row.mapInArrow(_context_bytes(min_length), "gram long, doc_id long, start long, shape int, bytes binary")
-    merged = contexts.repartition("gram").sortWithinPartitions("gram", "doc_id", "start").mapInArrow(_merge(min_length), "doc_id long, start long, number long")
+    contexts = one_row.mapInArrow(_context_bytes(min_length), CONTEXTS)
+    merged = contexts.repartition("part").sortWithinPartitions("part", "doc_id", "start").mapInArrow(_merge(min_length), "doc_id long, start long, number long")
     return found.where("shape < 0").select("doc_id", "start", (-F.col("shape")).cast("long").alias("number")).unionByName(merged)
 
 
@@ -422,7 +457,7 @@ def remove_repeats(docs: DataFrame, min_length: int = MIN_LENGTH, id_col: str =
     joined = packed_texts(rows).join(spans, F.col("doc_id") == F.col("cut_id"), "left").select("doc_id", "packed", "spans")
 
     def cut(batches):
-        for b in slices(batches, "packed", SLICE_BYTES // 4):
+        for b in slices(batches, "packed", SLICE_BYTES // 2):
             out = []
             for doc_id, t, found in zip(b.column("doc_id").to_pylist(), _unpack(b.column("packed")), b.column("spans").to_pylist()):
                 kept, n = cut_text(t, [(x["start"], x["number"]) for x in found or ()], min_length)

@@ -330,8 +330,9 @@ def _removed_brute(rows, depth):
     return out
 
 
-@pytest.mark.parametrize("shard_bytes", [None, 6_000])
-def test_repeats_match_brute_force(spark, awkward, awkward_rows, monkeypatch, shard_bytes):
+@pytest.mark.parametrize("shard_bytes,many", [(None, 500), (6_000, 500), (6_000, 3)])
+def test_repeats_match_brute_force(spark, awkward, awkward_rows, monkeypatch, shard_bytes, many):
+    monkeypatch.setattr(suffix_dedup, "MANY", many)
     rows = [(i, t) for i, t in near_group(40, 90)] + [(r[0], r[1]) for r in awkward_rows] + [(500 + i, prose(60, 300 + i) + " " + prose(40, 7) + " " + prose(60, 400 + i)) for i in range(40)]
     rows = [(1000 + i if i is not None and i < 40 and k < 40 else i, t) for k, (i, t) in enumerate(rows)]
     if shard_bytes:

@@ -40,7 +40,7 @@ FREQUENT = 895
 CLASSES = 1 + FREQUENT + ENDINGS
 TOP_WORDS = 400_000
 DIM, NOISE, BATCH, RATE = 24, 32, 2048, 0.15
-FLUSH = 1_000_000
+FLUSH = 500_000
 END = 0
 
 

@@ -35,7 +35,7 @@ from tessera.llm.common import checkpoint, id_and_text, slices
 SEQUENCE = 2048
 END_ID = 0
 SALT_ROWS = 100_000
-CACHE = 1_500_000
+CACHE = 600_000
 _LETTERS = "a-zß-öø-ÿā-ſ"
 #: The tokenizer's own splitting rule, for texts of the characters below only.
 _PRE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s0-9{_LETTERS}]+")
@@ -82,14 +82,8 @@ class Encoder:
         self.flat, self.begin = np.zeros(0, self.kind), np.zeros(1, np.int64)
 
     def _learn(self, chunks: list[str]) -> None:
-        """Encode the chunks (text between white space) not yet known; at most CACHE, or one slice's,
-        are held, about 200 bytes each."""
-        new = [c for c in chunks if c not in self.index]
-        if len(self.index) + len(new) > CACHE:
-            self._forget()
-            new = chunks
-        if not new:
-            return
+        """Encode distinct chunks (text between white space) that are not yet known."""
+        new = chunks
         split = [_PRE.findall(c) for c in new]
         words = list(dict.fromkeys(w for x in split for w in x))
         place = dict(zip(words, range(len(words))))
@@ -108,11 +102,24 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
         plain = [i for i, t in enumerate(texts) if self.by_word and not _OTHER.search(t) and not any(s in t for s in self.special)]
-        chunks = {i: texts[i].lower().split() for i in plain}
-        if plain:
-            self._learn(list(dict.fromkeys(c for x in chunks.values() for c in x)))
-        for i, x in chunks.items():
-            out[i] = _stretches(self.flat, self.begin, np.fromiter(map(self.index.__getitem__, x), np.int64, len(x))).astype(np.uint32)
+        if plain and len(self.index) > CACHE:  # what is held: CACHE chunks and a slice's, about 200 bytes each
+            self._forget()
+        get, places, missing, unknown = self.index.get, [], [], []
+        for i in plain:  # one text at a time: its chunks are still in the processor's cache when they are looked up
+            x = texts[i].lower().split()
+            at = np.array([get(c, -1) for c in x], np.int64)
+            new = np.flatnonzero(at < 0)
+            missing.append(new)
+            unknown += [x[k] for k in new.tolist()]
+            places.append(at)
+        if unknown:
+            self._learn(list(dict.fromkeys(unknown)))
+        found = np.fromiter(map(self.index.__getitem__, unknown), np.int64, len(unknown))
+        done = 0
+        for i, at, new in zip(plain, places, missing):
+            at[new] = found[done:done + len(new)]
+            done += len(new)
+            out[i] = _stretches(self.flat, self.begin, at).astype(np.uint32)
         for i in set(range(len(texts))) - set(plain):
             out[i] = np.array(self.whole.encode(texts[i], add_special_tokens=False).ids, dtype=np.uint32)
         return out

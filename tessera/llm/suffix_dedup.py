@@ -121,8 +121,9 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray,
 
 def common_prefixes(text: np.ndarray, sa: np.ndarray, places: np.ndarray, shared: int, depth: int) -> np.ndarray:
     """Common prefix, up to ``depth`` bytes, of the suffixes at ``places`` of the array with those
-    before them, all at least ``shared``. Kasai's rule: from one text place to the next the common
-    prefix shrinks by one byte at most; stretches of text are walked in step."""
+    before them, all at least ``shared``. Kasai's rule: where both suffixes of a pair are one byte on
+    from those of the pair before, the common prefix is one byte less (the array is not sorted beyond
+    some depth, so other pairs start at ``shared``); stretches of text are walked in step."""
     if not len(places):
         return np.zeros(0, np.int64)
     n = len(text)
@@ -141,7 +142,8 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, places: np.ndarray, shared
     for s in range(int(lane_len.max())):
         lanes = lanes[lane_len[lanes] > s]
         at = lane_start[lanes] + s
-        i, j, v = here[at], there[at], np.maximum(value[lanes] - 1, shared)
+        i, j = here[at], there[at]
+        v = np.where((there[at - 1] + 1 == j) & (s > 0), np.maximum(value[lanes] - 1, shared), shared)
         todo = np.flatnonzero(v < depth)
         while len(todo):
             diff = words[i[todo] + v[todo]] ^ words[j[todo] + v[todo]]

@@ -314,6 +314,27 @@ def test_suffix_array_and_common_prefixes():
             assert v == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
+@pytest.mark.parametrize("letters,back", [(40, 13), (40, 30), (40, 55), (100, 93), (100, 95)])
+def test_common_prefixes_where_near_copies_part(letters, back):
+    r = random.Random(letters + back)
+    noise = lambda n: [r.randrange(1, letters - 1) for _ in range(n)]
+    for _ in range(20):
+        copy = noise(400)
+        edited = list(copy)
+        edited[300 - back] = 0  # before the others where it parts from them
+        later, earlier = list(copy), list(copy)
+        later[300], earlier[300] = 0, letters - 1
+        text = np.array(noise(90) + earlier + noise(70) + later + noise(80) + edited + noise(60) + list(range(letters)), np.uint8)
+        t, n = text.tobytes(), len(text)
+        starts = np.arange(n) <= n - 100
+        got = suffix_dedup.repeats_in_shard(text, starts, np.zeros(n, np.int64), np.arange(n), 100)
+        seen, want = set(), []
+        for i in range(n):
+            want.append(i <= n - 100 and t[i:i + 100] in seen)
+            seen.add(t[i:i + 100])
+        assert got.tolist() == want
+
+
 def _removed_brute(rows, depth):
     seen, out = {}, {}
     for doc_id, text in sorted({(r[0], r[1] or "") for r in rows if r[0] is not None}):

@@ -11,8 +11,8 @@ Invisible: script, style, template, head, metadata and embedded media; elements
 ``display:none``, ``visibility:hidden`` (a descendant may be visible again) or
 ``type=hidden``; a ``dialog`` without ``open``. Scripts do not run, so ``noscript`` shows.
 
-Defined cases: null or empty html gives the empty text; a tag that never closes ends the page, as in
-browsers; repeated rows are rendered one by one; an empty table gives an empty result.
+Defined cases: null or empty html gives the empty text; a tag that never closes, or a quoted value in
+it (quotes open values only after ``=``), ends the page, as in browsers; repeated rows are rendered one by one; an empty table gives an empty result.
 
 Scale: narrow, one page at a time in Arrow batches; both passes use explicit stacks, so nesting depth
 is no limit.
@@ -47,8 +47,9 @@ NO_P = (BLOCK - frozenset("html body li dt dd tr thead tbody tfoot caption optio
 P_EDGE = frozenset("td th caption table button object li dd dt".split())
 END_EDGE = frozenset(["td", "th", "caption"])
 
-_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_TAG = re.compile(r"""(/?)([a-zA-Z][^ \t\n\r\f/>]*+)((?:[ \t\n\r\f/]++|[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:"[^"]*+"|'[^']*+'|[^ \t\n\r\f>"'][^ \t\n\r\f>]*+|(?=>))|(?![ \t\n\r\f]*+=)))*+)>""")
+_ATTR = re.compile(r"""([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:"([^"]*+)"|'([^']*+)'|([^ \t\n\r\f>"'][^ \t\n\r\f>]*+)|\Z))?""")
+_RAW_END = {t: re.compile(rf"</{t}(?=[ \t\n\r\f/>])", re.I | re.A) for t in RAW}
 _SPACE = re.compile(r"[ \t\n\r\f\v\xa0]+")
 _HIDE = re.compile(r"display\s*:\s*none", re.I)
 _VIS = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
@@ -89,7 +90,7 @@ def build(page: str) -> Node:
         if found is not None:
             pop_to(found)
 
-    i, n, low = 0, len(page), None
+    i, n = 0, len(page)
     while i < n:
         j = page.find("<", i)
         if j < 0:
@@ -103,7 +104,7 @@ def build(page: str) -> Node:
             k = page.find("-->" if comment else ">", j + 2)
             i = n if k < 0 else k + (3 if comment else 1)
             continue
-        if not (nxt.isascii() and nxt.isalpha()) and not (nxt == "/" and page[j + 2:j + 3].isalpha()):
+        if not (nxt.isascii() and nxt.isalpha()) and not (nxt == "/" and page[j + 2:j + 3].isascii() and page[j + 2:j + 3].isalpha()):
             if nxt == "/":
                 k = page.find(">", j)
                 i = n if k < 0 else k + 1
@@ -142,13 +143,12 @@ def build(page: str) -> Node:
             continue
         push(Node(tag, attrs))
         if tag in RAW:
-            low = low if low is not None else page.lower() if len(page.lower()) == n else page
-            k = low.find(f"</{tag}", i)
-            raw = page[i:] if k < 0 else page[i:k]
+            end = _RAW_END[tag].search(page, i)
+            raw = page[i:end.start()] if end else page[i:]
             stack[-1].kids.append(html.unescape(raw) if tag in ("textarea", "title") else raw)
             pop_to(len(stack) - 1)
-            e = -1 if k < 0 else page.find(">", k)
-            i = n if e < 0 else e + 1
+            m = end and _TAG.match(page, end.start() + 1)
+            i = m.end() if m else n
     return root
 
 

@@ -166,6 +166,28 @@ PAGES = {
 }
 
 
+STRAY = {
+    "<p class=it's>one</p> two": "one\n\ntwo",
+    "<a href=\"x\"\">text</a> mid <b class=\"y\">end</b>": "text mid end",
+    "<p title=5\">a</p><p title='>'>b": "a\n\nb",
+    "<p \" class=x hidden>no</p><b ' title = \"a>b\" =c>yes</b><i x= >z": "yesz",
+    "a</é 'x>b</p \">c": "abc",
+    "\u0130<SCRIPT>no</ScRipt\n>yes<style></styles></STYLE a='>'>z": "\u0130yesz",
+    "a<b title='never closed>z": "a",
+}
+
+
+@pytest.mark.parametrize("page", STRAY)
+def test_stray_quotes_and_raw_text_ends(page):
+    assert html_text.render(page) == STRAY[page]
+
+
+@pytest.mark.parametrize("part", ["<p x=\"", "<p x ", "<p '", " \t=", "<script></scrip", "x='"])
+def test_broken_tags_take_linear_time(part):
+    html_text.render("<p " + part * 100_000)
+    html_text.render(part * 100_000)
+
+
 @pytest.mark.parametrize("page", PAGES)
 def test_rendering(page):
     assert html_text.render(page) == PAGES[page]

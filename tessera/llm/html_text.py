@@ -9,7 +9,8 @@ headings, lists and tables, list items with markers and indents, table cells ali
 
 Invisible: script, style, template, head, metadata and embedded media; elements with ``hidden``,
 ``display:none``, ``visibility:hidden`` (a descendant may be visible again) or
-``type=hidden``; a ``dialog`` without ``open``. Scripts do not run, so ``noscript`` shows.
+``type=hidden``; a ``dialog`` without ``open``; annotations of formulas; titles, descriptions and
+definitions of drawings. Scripts do not run, so ``noscript`` shows. Formulas and the text of drawings show.
 
 Defined cases: null or empty html gives the empty text; a tag that never closes, or a quoted value in
 it (quotes open values only after ``=``), ends the page, as in browsers; repeated rows are rendered one by one; an empty table gives an empty result.
@@ -31,9 +32,9 @@ from tessera.llm.common import slices
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("script style template head title meta link base iframe object embed audio video canvas svg math datalist noembed noframes map param source track".split())
+HIDDEN = frozenset("script style template head title meta link base iframe object embed audio video canvas datalist noembed noframes map param source track".split())
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr menu dir".split())
-BLOCK = PARAGRAPH | frozenset("html body div section article aside nav header footer main address form li dt dd tr thead tbody tfoot caption figcaption details summary legend option optgroup center hgroup search dialog noscript xmp".split())
+BLOCK = PARAGRAPH | frozenset("html body div section article aside nav header footer main address form li dt dd tr thead tbody tfoot caption figcaption details summary legend option optgroup center hgroup search dialog noscript xmp text foreignobject mtr".split())
 #: A start tag (key) ends open elements (first set) up to a boundary (second set).
 LIST_EDGE, TABLE_EDGE = frozenset("ul ol menu dir table td th".split()), frozenset(["table"])
 ENDS = {"li": (frozenset(["li"]), LIST_EDGE), "dt": (frozenset(["dt", "dd"]), frozenset(["dl", "table"])),
@@ -43,10 +44,16 @@ ENDS = {"li": (frozenset(["li"]), LIST_EDGE), "dt": (frozenset(["dt", "dd"]), fr
         "tr": (frozenset(["tr", "td", "th", "caption"]), TABLE_EDGE)}
 for _t in ("thead", "tbody", "tfoot"):
     ENDS[_t] = (frozenset("thead tbody tfoot tr td th caption".split()), TABLE_EDGE)
-NO_P = (BLOCK - frozenset("html body li dt dd tr thead tbody tfoot caption option optgroup legend noscript".split()))
+NO_P = (BLOCK - frozenset("html body li dt dd tr thead tbody tfoot caption option optgroup legend noscript text foreignobject mtr".split()))
 P_EDGE = frozenset("td th caption table button object li dd dt".split())
 END_EDGE = frozenset(["td", "th", "caption"])
 
+#: Parts of formulas and drawings that do not show, those in which html goes on, and the tags that end both.
+FOREIGN = frozenset(["svg", "math"])
+FOREIGN_HIDDEN = frozenset("annotation annotation-xml desc defs metadata symbol clippath mask pattern marker".split())
+HTML_INSIDE = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+
 _TAG = re.compile(r"""(/?)([a-zA-Z][^ \t\n\r\f/>]*+)((?:[ \t\n\r\f/]++|[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:"[^"]*+"|'[^']*+'|[^ \t\n\r\f>"'][^ \t\n\r\f>]*+|(?=>))|(?![ \t\n\r\f]*+=)))*+)>""")
 _ATTR = re.compile(r"""([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:"([^"]*+)"|'([^']*+)'|([^ \t\n\r\f>"'][^ \t\n\r\f>]*+)|\Z))?""")
 _RAW_END = {t: re.compile(rf"</{t}(?=[ \t\n\r\f/>])", re.I | re.A) for t in RAW}
@@ -66,16 +73,23 @@ def build(page: str) -> Node:
     """The element tree of a page; text is a str child."""
     root = Node("#root")
     stack, open_count = [root], {}
+    foreign = [False]  # of each open element: whether it is part of a formula or drawing
 
     def push(node):
         stack[-1].kids.append(node)
         stack.append(node)
+        foreign.append(node.tag in FOREIGN or foreign[-1] and node.tag not in HTML_INSIDE)
         open_count[node.tag] = open_count.get(node.tag, 0) + 1
 
     def pop_to(i):
         for x in stack[i:]:
             open_count[x.tag] -= 1
-        del stack[i:]
+        del stack[i:], foreign[i:]
+
+    def write(text):
+        if open_count.get("head") and stack[-1].tag in ("head", "noscript") and text.strip(" \t\n\r\f"):
+            close(frozenset(["head"]), frozenset())
+        stack[-1].kids.append(text)
 
     def close(tags, edge):
         """End the outermost open element of ``tags`` inside the nearest ``edge``."""
@@ -94,10 +108,10 @@ def build(page: str) -> Node:
     while i < n:
         j = page.find("<", i)
         if j < 0:
-            stack[-1].kids.append(html.unescape(page[i:]))
+            write(html.unescape(page[i:]))
             break
         if j > i:
-            stack[-1].kids.append(html.unescape(page[i:j]))
+            write(html.unescape(page[i:j]))
         nxt = page[j + 1:j + 2]
         if nxt in ("!", "?"):
             comment = page.startswith("<!--", j)
@@ -109,7 +123,7 @@ def build(page: str) -> Node:
                 k = page.find(">", j)
                 i = n if k < 0 else k + 1
             else:
-                stack[-1].kids.append("<")
+                write("<")
                 i = j + 1
             continue
         m = _TAG.match(page, j + 1)
@@ -127,9 +141,25 @@ def build(page: str) -> Node:
             elif tag == "br":
                 stack[-1].kids.append(Node("br"))
             continue
-        attrs = {}
+        attrs, stop = {}, 0
         for a in _ATTR.finditer(m[3]):
             attrs.setdefault(a[1].lower(), html.unescape(a[2] or a[3] or a[4] or ""))
+            stop = a.end()
+        if foreign[-1] and (tag in BREAKOUT or tag == "font" and attrs.keys() & {"color", "face", "size"}):
+            k = len(stack) - 1
+            while foreign[k - 1]:
+                k -= 1
+            pop_to(k)
+        if foreign[-1] or tag in FOREIGN:
+            attrs["style"] = "".join(f"{k}:{attrs[k]};" for k in ("display", "visibility") if k in attrs) + attrs.get("style", "")
+            if tag in FOREIGN_HIDDEN:
+                attrs["hidden"] = ""
+            if m[3].endswith("/") and stop < len(m[3]):
+                stack[-1].kids.append(Node(tag, attrs))
+                continue
+            if foreign[-1] and tag not in RAW:
+                push(Node(tag, attrs))
+                continue
         if tag in ("html", "body") and open_count.get(tag):
             continue
         if tag != "head" and open_count.get("head") and tag not in ("meta", "link", "base", "title", "style", "script", "template", "noscript"):
@@ -245,6 +275,8 @@ def render(page: str | None) -> str:
             continue
         tag = node.tag
         if leaving:
+            if tag == "mtd":
+                out.text(" ")
             if tag in ("td", "th") and tables and tables[-1]["open"]:
                 out.newline()
                 outs.pop()
@@ -327,6 +359,8 @@ def render(page: str | None) -> str:
         todo.append((node, shown, True))
         for kid in reversed(node.kids):
             todo.append((kid, shown, False))
+            if tag == "mfrac":
+                todo.append((" ", shown, False))
     outs[0].newline()
     lines, text = outs[0].lines, []
     for x in lines:

@@ -182,6 +182,27 @@ def test_stray_quotes_and_raw_text_ends(page):
     assert html_text.render(page) == STRAY[page]
 
 
+FOREIGN = {
+    "a <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2</annotation></semantics></math> b": "a x=2 b",
+    "<math><mfrac><mn>1</mn><mn>2</mn></mfrac></math>": "1 2",
+    "a<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><g><text>Jan</text><text>F<tspan>eb</text></g></svg>b": "a\nJan\nFeb\nb",
+    "<svg><defs/><style/><path d=x/><text display=none>no</text><text>yes</text></svg>": "yes",
+    "<svg><a href=x/>link</a></svg>": "link",
+    "<svg><defs><p>shown</p>end": "shown\n\nend",
+    "<svg><foreignObject><div/>in</div></foreignObject></svg>out": "in\nout",
+    "<p>x<desc>y</desc>": "xy",
+    "<head><title>t</title>Hello": "Hello",
+    "<head>\n<title>t</title>\n<meta name=x> < b</head><p>c": "< b\n\nc",
+    "<head><noscript>a</noscript><title>t</title></head>b": "ab",
+    "<head>\n<style>no</style>\n</head>\n<body>b": "b",
+}
+
+
+@pytest.mark.parametrize("page", FOREIGN)
+def test_formulas_drawings_and_open_heads(page):
+    assert html_text.render(page) == FOREIGN[page]
+
+
 @pytest.mark.parametrize("part", ["<p x=\"", "<p x ", "<p '", " \t=", "<script></scrip", "x='"])
 def test_broken_tags_take_linear_time(part):
     html_text.render("<p " + part * 100_000)

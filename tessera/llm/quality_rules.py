@@ -35,7 +35,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     """doc_id, host, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words.
 
     A 5-word window is known by a 64-bit hash whose low bits give way to its place, so that one
-    sort of longs brings equal windows together: n log n per document.
+    sort of longs brings equal windows together: n log n per document. Windows that have an equal
+    there are sorted again by the whole hash, which alone says what is equal.
     """
     t = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     lines = F.filter(F.split(t, "\n", -1), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
@@ -52,9 +53,13 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     c = b.withColumn("bits", F.length(F.bin(F.col("n").cast("long")))).withColumn("s", F.expr(
         f"sort_array(if(n >= {WINDOW}, transform(sequence(0, n - {WINDOW}), i -> "
         f"shiftleft(shiftright(xxhash64({window}), bits), bits) | cast(i as bigint)), cast(array() as array<bigint>)))"))
-    d = c.withColumn("at", F.expr(
+    whole = ", ".join(f"get(h, cast(x & (shiftleft(1L, bits) - 1L) as int) + {k})" for k in range(WINDOW))
+    v = c.withColumn("v", F.expr(
         "sort_array(transform(filter(s, (x, k) -> shiftright(x, bits) = shiftright(get(s, k - 1), bits) "
-        "or shiftright(x, bits) = shiftright(get(s, k + 1), bits)), x -> x & (shiftleft(1L, bits) - 1L)))"))
+        "or shiftright(x, bits) = shiftright(get(s, k + 1), bits)), "
+        f"x -> struct(xxhash64({whole}) as g, x & (shiftleft(1L, bits) - 1L) as i)))"))
+    d = v.withColumn("at", F.expr(
+        "sort_array(transform(filter(v, (x, k) -> x.g = get(v, k - 1).g or x.g = get(v, k + 1).g), x -> x.i))"))
     repeat = F.expr(f"aggregate(transform(at, (x, k) -> least({WINDOW}L, coalesce(get(at, k + 1) - x, {WINDOW}L))), "
                     "0L, (acc, x) -> acc + x)")
     return d.select("doc_id", "host", F.col("n").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_lines",

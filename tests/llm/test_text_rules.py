@@ -28,6 +28,13 @@ def test_measures_match_brute_force(awkward, awkward_rows):
     assert got == Counter((r[0], *_rules_brute(r[1] or "")) for r in awkward_rows)
 
 
+def test_windows_are_equal_by_their_whole_hash(spark):
+    # two windows whose hashes differ only in the bits that give way to places in a text of 2^17 words
+    text = "a b c d x95996 " + " ".join(map(str, range(140_000))) + " a b c d x26867248 9 8 7 6 5 9 8 7 6 5"
+    row = quality_rules.measure(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")).first()
+    assert row.n_repeat_words == _rules_brute(text)[4] == 10
+
+
 def test_rules_query_matches_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")

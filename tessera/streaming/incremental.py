@@ -24,9 +24,11 @@ def period_summary(df: DataFrame, b: Binding = DEFAULT) -> DataFrame:
                  *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(f"sum_{c}") for c in (*b.levels, "cn_total")]))
 
 
-def _overwrite_partitions(df: DataFrame, path: str, *parts: str) -> None:
-    """Dynamic overwrite of the partitions in ``df``, clustered first so that each has few files."""
-    (df.repartitionByRange(*[F.col(p) for p in parts]).write.mode("overwrite")
+def _overwrite_partitions(df: DataFrame, path: str, *parts: str, spread_key: str | None = None) -> None:
+    """Dynamic overwrite of the partitions in ``df``, clustered first so that each has few files; with
+    ``spread_key`` a large partition is cut across many tasks."""
+    keys = [F.col(p) for p in parts] + ([F.col(spread_key)] if spread_key else [])
+    (df.repartitionByRange(*keys).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path))
 
 
@@ -80,7 +82,7 @@ def incremental_period_load(spark: SparkSession, source_dir: str, schema, panel_
             if not periods:
                 return
             _overwrite_partitions(batch.withColumn(LOAD, F.lit(version)).withColumn(BATCH, F.lit(epoch_id)),
-                                  panel_path, b.period, LOAD, BATCH)
+                                  panel_path, b.period, LOAD, BATCH, spread_key=b.facility)
         finally:
             batch.unpersist()
         _overwrite_partitions(period_summary(current_panel(spark, panel_path, b, periods), b), summary_path, b.period)

@@ -38,6 +38,22 @@ def test_stream_equals_batch_in_any_layout_and_a_new_load_replaces(spark):
     assert current_panel(spark, f"{base}/panel").count() == both.count()
 
 
+def test_one_period_is_written_by_many_tasks(spark):
+    base = scratch_path(spark, f"test-spread-{uuid.uuid4().hex[:8]}")
+    p = tq.panel(spark, SF)
+    p = p.where(F.col("period_key") == p.groupBy("period_key").count().orderBy(F.col("count").desc(), "period_key").first()[0])
+    p.coalesce(1).write.parquet(f"{base}/landing")
+    conf = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "false")
+    try:
+        _run(spark, base, spark.read.parquet(f"{base}/landing").schema, "ck", 1)
+    finally:
+        spark.conf.set(conf, before)
+    got = spark.read.parquet(f"{base}/panel")
+    assert got.count() == p.count() and got.select(F.input_file_name()).distinct().count() > 1
+
+
 def test_image_snapshots_of_many_parts(spark):
     base = scratch_path(spark, f"test-snap-{uuid.uuid4().hex[:8]}")
     rows = spark.range(1000).select(F.col("id").cast("string").alias("file_id"), F.lit("a").alias("file_name"),

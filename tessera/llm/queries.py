@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import html_text, jaccard_join, log_bilinear, packing, pii_tagger, quality_classifier, quality_rules, sharding, string_tiling, suffix_dedup
+from tessera.llm import fill_in_middle, html_text, jaccard_join, line_dedup, log_bilinear, packing, pii_tagger, quality_classifier, quality_rules, sharding, string_tiling, suffix_dedup, term_pipeline
 from tessera.llm.common import documents, table
 
 
@@ -46,6 +46,20 @@ def op10_ngram_jaccard_join(spark, sf_dir):
     return jaccard_join.links(documents(spark, sf_dir))
 
 
+def op11_fill_in_middle(spark, sf_dir):
+    return fill_in_middle.digest(fill_in_middle.rearrange(documents(spark, sf_dir)))
+
+
+def op12_line_dedup(spark, sf_dir):
+    return line_dedup.digest(line_dedup.drop_frequent_lines(documents(spark, sf_dir)))
+
+
+def op13_ranked_search(spark, sf_dir):
+    return term_pipeline.search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_benchmark_decontamination, op2_pii, op3_best_fit_packing, op4_suffix_array_dedup, op5_quality_classifier, op6_lm_scoring, op7_sharding, op8_html_extraction, op9_quality_rules, op10_ngram_jaccard_join)}
-ORACLES = {"op9_quality_rules": quality_rules.ORACLE}
+    op1_benchmark_decontamination, op2_pii, op3_best_fit_packing, op4_suffix_array_dedup, op5_quality_classifier, op6_lm_scoring, op7_sharding, op8_html_extraction, op9_quality_rules, op10_ngram_jaccard_join,
+    op11_fill_in_middle, op12_line_dedup, op13_ranked_search)}
+ORACLES = {"op9_quality_rules": quality_rules.ORACLE, "op11_fill_in_middle": fill_in_middle.ORACLE,
+           "op12_line_dedup": line_dedup.ORACLE, "op13_ranked_search": term_pipeline.ORACLE}

@@ -20,7 +20,7 @@ about SHARD_POSTINGS postings, and keeps only terms of the items: it knows them
 size (FILTER_BITS), whose false hits the join on terms removes. Posting lists, so cut, are a written
 table, as are the lists of each owner; a hot term is one row a shard, and the join on terms is split
 by AQE where it is skewed. A group of a cogroup holds one shard's lists and the accumulators of one
-block of at most BLOCK items, both bounded. The driver sees the bitmap and two counts.
+block of at most 2^BLOCK_BITS items, both bounded. The driver sees the bitmap and two counts.
 """
 
 from __future__ import annotations
@@ -125,7 +125,7 @@ def inverted_lists(docs: DataFrame, wanted: bytes | None = None, id_col: str = "
                 if wanted is not None:
                     if len(known) > _KNOWN:
                         known.clear()
-                    for t in terms.keys() - known.keys():
+                    for t in [t for t in terms if t not in known]:
                         h = xxhash.xxh64_intdigest(t, seed=42) & mask
                         known[t] = wanted[h >> 3] >> (h & 7) & 1
                     terms = {t: n for t, n in terms.items() if known[t]}

@@ -19,6 +19,7 @@ from ..binding import DEFAULT, Binding
 from ..functions.geo import EARTH_RADIUS_KM, haversine_km
 from ..session import reliable_checkpoint
 from ..sources.tables import plan_size_bytes
+from .cells import FINEST, around, cell_counts, cells_of, children, covering, distance_bounds, level_of
 from .ranking import top_k_per
 
 KM_PER_DEG = math.pi * EARTH_RADIUS_KM / 180.0
@@ -76,44 +77,65 @@ def radius_join(points: DataFrame, facilities: DataFrame, radius_km: float, b: B
     return hits
 
 
-def nearest_facility(points: DataFrame, facilities: DataFrame, max_km: float = 5000.0,
-                     b: Binding = DEFAULT, start_km: float | None = None, growth: float = 4.0) -> DataFrame:
-    """Single closest facility per point within ``max_km`` (ranked on the distance rounded to
-    2 dec., then key [D9]).
-
-    Expanding rings: a radius join at a start radius (by default twice the typical
-    nearest-neighbour spacing, from one aggregate over the facilities: bounding box and
-    count); only the points still without a hit are searched again with the radius multiplied
-    by ``growth``, up to ``max_km``. Exact (the grid finds every facility within the current
-    radius) without pairing every point with every facility. Each round is one distributed
-    join; resolved rounds are checkpointed to the shared folder so the final union does not
-    recompute them."""
-    if start_km is None:
-        st = facilities.where(F.col(b.lat).isNotNull() & F.col(b.lng).isNotNull()).agg(
-            F.count(F.lit(1)).alias("n"), F.min(b.lat).alias("a"), F.max(b.lat).alias("b"),
-            F.min(b.lng).alias("c"), F.max(b.lng).alias("d")).first()
-        if not st["n"]:
-            start_km = max_km
-        else:
-            mid = math.radians((st["a"] + st["b"]) / 2)
-            area = max((st["b"] - st["a"]) * KM_PER_DEG * (st["d"] - st["c"]) * KM_PER_DEG * math.cos(mid), 1.0)
-            start_km = 2 * math.sqrt(area / (math.pi * st["n"]))
-    pending = points.select("point_id", "lat", "lng")
-    found = None
-    r = round(min(max(start_km, 1.0), max_km), 2)
-    while True:
-        # ranks use the distance rounded to 2 dec.: a ring is searched to where rounding can tie with it
-        hits = radius_join(pending, facilities, r + 0.005, b).where((F.col("distance_km") <= F.lit(r)) & (F.col("distance_km_exact") <= F.lit(max_km)))
-        best = (hits.groupBy("point_id")
-                .agg(F.min_by(F.struct("facility", "distance_km"), F.struct("distance_km", "facility")).alias("n"))
-                .select("point_id", "n.facility", "n.distance_km"))
-        last = r >= round(max_km, 2)
-        best = best if last else reliable_checkpoint(best)
-        found = best if found is None else found.unionByName(best)
-        if last:
-            break
-        pending = pending.join(best.select("point_id"), "point_id", "left_anti")
-        if pending.limit(1).count() == 0:
-            break
-        r = round(min(r * growth, max_km), 2)
-    return found
+def candidate_cells(points: DataFrame, facilities: DataFrame, max_km: float, b: Binding = DEFAULT) -> DataFrame:
+    """point_id, q_lat, q_lng, cell, n: the occupied cells that can hold a point's nearest facility.
+
+    Each point starts at its own level: of all levels, the cells around it that are occupied bound its
+    nearest distance from above, and the finest ones do so most tightly. The disc of that radius is
+    covered with cells of a level that fits it; then, a few times, cells that hold many facilities give
+    way to their occupied children, which tightens the bound, and cells beyond it fall away. Of a
+    dense town, near or far, only the nearest edge so remains."""
+    fac = facilities.where(F.col(b.lat).isNotNull() & F.col(b.lng).isNotNull() & ~F.isnan(b.lat) & ~F.isnan(b.lng))
+    index = reliable_checkpoint(cell_counts(fac.select(b.lat, b.lng), b.lat, b.lng))
+    q = points.where(F.col("lat").isNotNull() & F.col("lng").isNotNull() & ~F.isnan("lat") & ~F.isnan("lng")).select(
+        "point_id", F.col("lat").alias("q_lat"), F.col("lng").alias("q_lng"))
+    lat, lng, cell, me = F.col("q_lat"), F.col("q_lng"), F.col("cell"), ["point_id", "q_lat", "q_lng"]
+    near = _probes(points, q.select(*me, F.explode(around(lat, lng, F.sequence(F.lit(0), F.lit(FINEST)))).alias("cell")))
+    least, most = distance_bounds("q_lat", "q_lng", "cell")
+    reach = index.join(near, "cell").groupBy(*me).agg(F.least(F.min(most), F.lit(max_km)).alias("reach"))
+    crowded = index.where(F.col("n") > SPLIT_OVER).agg(F.max(level_of(cell))).first()[0]
+    descents = 0 if crowded is None else min(crowded + 1, DESCENTS)  # none where no cell is crowded
+    cells = reach.select(*me, F.explode(covering(lat, lng, F.col("reach") + ROUNDING_KM)).alias("cell"))
+    for step in range(descents + 1):
+        seen = index.join(_probes(points, cells), "cell").select(*me, F.struct("cell", "n", least.alias("least")).alias("c"), most.alias("most"))
+        # ranks use the distance rounded to 2 dec.: cells where rounding can tie with the bound stay
+        held = seen.groupBy(*me).agg(F.collect_list("c").alias("cells"), F.least(F.min("most"), F.lit(max_km)).alias("bound"))
+        kept = held.select(*me, F.inline(F.filter("cells", lambda c: c["least"] <= F.col("bound") + ROUNDING_KM))).drop("least")
+        if step < descents:
+            deeper = (F.col("n") > SPLIT_OVER) & (level_of(cell) < FINEST)
+            cells = kept.select(*me, F.explode(F.when(deeper, children(cell)).otherwise(F.array(cell))).alias("cell"))
+    return kept
+
+
+#: Cells that hold more than this give way to their children, so many times over at most.
+SPLIT_OVER, DESCENTS = 64, 5
+#: What rounding to 2 dec. can make equal.
+ROUNDING_KM = 0.01
+
+
+def _probes(points: DataFrame, probes: DataFrame) -> DataFrame:
+    """Probe cells are broadcast where the points are few (a bound on their bytes); else AQE chooses."""
+    est = plan_size_bytes(points)
+    return F.broadcast(probes) if est is not None and est <= (1 << 18) else probes
+
+
+def nearest_facility(points: DataFrame, facilities: DataFrame, max_km: float = 5000.0, b: Binding = DEFAULT) -> DataFrame:
+    """Single closest facility per point within ``max_km`` (ranked on the distance rounded to 2 dec., then
+    key [D9]).
+
+    No ring search: ``candidate_cells`` gives each point the few cells of the hierarchy that matter, all
+    facilities of those cells are measured, and the least goes to the point. The cell counts and the
+    candidate cells are each checkpointed once, however far points and facilities are apart. A facility
+    takes part once for each level that the candidates use. Coordinates are degrees; rows without them
+    (null or NaN) take no part."""
+    cand = reliable_checkpoint(candidate_cells(points, facilities, max_km, b))
+    used = cand.select(F.collect_set(level_of(F.col("cell"))).alias("l")).scalar()  # ten levels at most
+    fac = facilities.where(F.col(b.lat).isNotNull() & F.col(b.lng).isNotNull() & ~F.isnan(b.lat) & ~F.isnan(b.lng))
+    placed = fac.select(F.col(b.facility).alias("facility"), F.col(b.lat).alias("f_lat"), F.col(b.lng).alias("f_lng"),
+                        F.explode(cells_of(F.col(b.lat), F.col(b.lng), F.sequence(F.lit(0), F.lit(FINEST)))).alias("cell")
+                        ).where(F.array_contains(used, level_of(F.col("cell"))))
+    met = placed.join(_probes(points, cand.drop("n")), "cell").withColumn("exact", haversine_km("q_lat", "q_lng", "f_lat", "f_lng"))
+    hits = met.where(F.col("exact") <= F.lit(max_km)).withColumn("distance_km", F.round("exact", 2))
+    return hits.groupBy("point_id").agg(
+        F.min_by(F.struct("facility", "distance_km"), F.struct("distance_km", "facility")).alias("n")).select(
+        "point_id", "n.facility", "n.distance_km")

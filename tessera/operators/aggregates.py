@@ -231,27 +231,6 @@ def geo_bounds(df: DataFrame, b: Binding = DEFAULT) -> DataFrame:
                   F.min(b.lng).alias("min_lng"), F.max(b.lng).alias("max_lng"))
 
 
-def hierarchy_index(df: DataFrame, b: Binding = DEFAULT, order_col: str | None = None) -> DataFrame:
-    """Distinct normalised (group, zone, municipality, locality, key) tuples with the display spelling
-    of each level, the row count of the tuple and of its group. A level's spelling is the first seen
-    (ties: the smaller) among all rows below the same normalised path, so one place has one spelling."""
-    levels = b.hierarchy()
-    names = ["group", "zone", "municipality", "locality", "facility"]
-    src = flt.drop_incomplete_hierarchy(df, levels)
-    order = F.col(order_col) if order_col else F.struct(*[F.col(c) for c in levels])
-    paths = [f"{n}_norm" for n in names]
-    # rows reduce to distinct spelled tuples before any level looks for its first spelling
-    spelled = src.select(*[norm_text(c).alias(p) for c, p in zip(levels, paths)], *[F.col(c).alias(f"__d{i}") for i, c in enumerate(levels)],
-                         order.alias("__ord")).groupBy(*paths, *[f"__d{i}" for i in range(len(levels))]).agg(
-        F.min("__ord").alias("__ord"), F.count(F.lit(1)).alias("rows"))
-    out = spelled.groupBy(*paths).agg(F.sum("rows").alias("rows"))
-    for i, n in enumerate(names):
-        first = F.min(F.struct("__ord", F.col(f"__d{i}").alias("d")))["d"].alias(n)
-        agg = [first, F.sum("rows").alias("group_rows")] if i == 0 else [first]
-        out = out.join(spelled.groupBy(*paths[:i + 1]).agg(*agg), paths[:i + 1])
-    return out.select(*paths, *names, "rows", "group_rows")
-
-
 def available_periods(df: DataFrame, b: Binding = DEFAULT, current_year: int | None = None,
                       extra: DataFrame | None = None) -> DataFrame:
     """year -> sorted months (text list). Month 99 skipped; a year other than ``current_year``

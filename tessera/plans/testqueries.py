@@ -25,6 +25,13 @@ def register(name: str, sql: str | None):
     return deco
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared scratch folder."""
+    import uuid
+    from ..session import scratch_path
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
 def _nation_dim(spark: SparkSession, sf: str) -> DataFrame:
     return as_dim(table(spark, sf, "nation"), "n_nationkey", "n_name")
 
@@ -888,7 +895,39 @@ WHERE COALESCE(trim(estado) <> '', false) AND COALESCE(trim(zona) <> '', false)
   AND COALESCE(trim(localidad) <> '', false) AND COALESCE(trim(clave) <> '', false)
 GROUP BY 1, 2, 3, 4, 5"""))
 def q_hierarchy_index(spark, sf):
-    return ag.hierarchy_index(panel(spark, sf), B, "period_key")
+    from ..operators.hierarchy import hierarchy_index
+    return hierarchy_index(panel(spark, sf), B, "period_key")
+
+
+_PREFIX_WHERE = """WHERE COALESCE(trim(estado) <> '', false) AND COALESCE(trim(zona) <> '', false) AND COALESCE(trim(municipio) <> '', false)
+  AND COALESCE(trim(localidad) <> '', false) AND COALESCE(trim(clave) <> '', false)"""
+
+
+def _prefix_sql() -> str:
+    """One SELECT a level: its path, its first spelling and its rows."""
+    cols = ["estado", "zona", "municipio", "localidad", "clave"]
+    names = ["group_norm", "zone_norm", "municipality_norm", "locality_norm", "facility_norm"]
+    parts = []
+    for i, c in enumerate(cols):
+        path = ", ".join(f"{_norm_sql(x) if k <= i else 'CAST(NULL AS VARCHAR)'} AS {n}" for k, (x, n) in enumerate(zip(cols, names)))
+        parts.append(f"SELECT CAST({i + 1} AS INTEGER) AS level, {path}, first(trim({c}) ORDER BY period_key, trim({c})) AS name, COUNT(*) AS rows "
+                     f"FROM panel {_PREFIX_WHERE} GROUP BY {', '.join(_norm_sql(x) for x in cols[:i + 1])}")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("hierarchy_prefix_table", oracle(f"\n{_prefix_sql()}"))
+def q_hierarchy_prefix_table(spark, sf):
+    from ..operators.hierarchy import prefix_table
+    return prefix_table(panel(spark, sf), B, "period_key")
+
+
+@register("prefix_children", oracle(f"""
+SELECT first(trim(municipio) ORDER BY period_key, trim(municipio)) AS name, COUNT(*) AS rows
+FROM panel {_PREFIX_WHERE} AND {_norm_sql('estado')} = 'BRAZIL' AND {_norm_sql('zona')} = 'AMERICA' GROUP BY {_norm_sql('municipio')}"""))
+def q_prefix_children(spark, sf):
+    """Children of one place, from the prepared prefix table: only the files of their level are read."""
+    from ..operators.hierarchy import children_of, write_prefix_table
+    return children_of(write_prefix_table(panel(spark, sf), _scratch(spark, "prefix"), B, "period_key"), "Brázil", "america")
 
 
 @register("available_periods", oracle("""
@@ -2095,7 +2134,7 @@ def q_incremental_image_sync(spark, sf):
     status counts of the second merge are returned."""
     import uuid
     from ..session import scratch_path
-    from ..streaming.incremental import incremental_image_sync
+    from ..streaming.image_changes import incremental_image_sync
     base = scratch_path(spark, f"imgsync-{uuid.uuid4().hex[:12]}")
     imgs = _images(spark, sf).drop("folder_order")
     imgs.where(F.substring("modified", 6, 2).cast("int") <= 8).write.parquet(f"{base}/snap/s1")

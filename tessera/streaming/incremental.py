@@ -3,9 +3,12 @@
 Monthly files land in a folder in any layout; a file-source stream picks them up. One *load* is all
 that one stream checkpoint ever reads: its batches append to the periods they carry, so a period may
 be spread over many files and batches, and a late file adds to it. A new load (a new checkpoint)
-replaces the periods that it touches as a whole; older loads stay on disk and are not read. Every
-batch writes partitions of its own (period, load, batch), so a replayed batch rewrites the same
-files, and the group summary of the touched periods is rebuilt from the current rows.
+replaces the periods that it touches as a whole; older loads stay on disk and are not read.
+
+Every batch writes its rows (partitioned by period) and its partial aggregates (a row per period and
+group) in folders of its own, so a replayed batch rewrites the same files. The
+group summary is a sum of partial aggregates: rows that were loaded are never read again for it. It is
+brought up to date when a run has taken all that is there.
 """
 
 from __future__ import annotations
@@ -17,75 +20,76 @@ from ..binding import DEFAULT, Binding
 
 
 def period_summary(df: DataFrame, b: Binding = DEFAULT) -> DataFrame:
-    """Per period and group: rows, operating rows and the certificate sums."""
+    """Per period and group: rows, operating rows and the certificate sums. Sums of such rows over the
+    batches of a load are the summary of the load (``merge_partials``)."""
     return (df.groupBy(b.period, b.group_id)
             .agg(F.count(F.lit(1)).alias("rows"),
                  F.count_if(F.col(b.status) == b.operating_code).cast("bigint").alias("operating"),
                  *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(f"sum_{c}") for c in (*b.levels, "cn_total")]))
 
 
-def _overwrite_partitions(df: DataFrame, path: str, *parts: str, spread_key: str | None = None) -> None:
-    """Dynamic overwrite of the partitions in ``df``, clustered first so that each has few files; with
-    ``spread_key`` a large partition is cut across many tasks."""
-    keys = [F.col(p) for p in parts] + ([F.col(spread_key)] if spread_key else [])
-    (df.repartitionByRange(*keys).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path))
-
-
 LOAD, BATCH = "load_version", "load_batch"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def _names(spark: SparkSession, path: str) -> list[str]:
-    """Names of the folders and files in ``path`` (none if it is not there)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
-
-
 def load_version(spark: SparkSession, panel_path: str, checkpoint: str) -> int:
     """The version of the load that ``checkpoint`` stands for: as noted when it began, else the next."""
     notes = f"{panel_path}_loads"
-    known = {r["checkpoint"]: r["version"] for r in spark.read.parquet(notes).collect()} if _exists(spark, notes) else {}  # a row per load
+    known = {r["checkpoint"]: r["version"] for r in spark.read.parquet(notes).collect()} if exists(spark, notes) else {}  # a row per load
     if checkpoint not in known:
         known[checkpoint] = max(known.values(), default=0) + 1
-        spark.createDataFrame([(checkpoint, known[checkpoint])], "checkpoint string, version int").coalesce(1).write.mode("append").parquet(notes)
+        note = spark.range(1).coalesce(1).select(F.lit(checkpoint).alias("checkpoint"), F.lit(known[checkpoint]).alias("version"))
+        note.write.mode("append").parquet(notes)
     return known[checkpoint]
 
 
+def _partials(panel_path: str) -> str:
+    return f"{panel_path}_partials"
+
+
+def newest_partials(spark: SparkSession, panel_path: str, b: Binding = DEFAULT) -> DataFrame:
+    """The partial aggregates of each period's newest load."""
+    parts = spark.read.parquet(_partials(panel_path))
+    newest = parts.groupBy(b.period).agg(F.max(LOAD).alias(LOAD))  # partials are small: a row per batch, period and group
+    return parts.join(newest, [b.period, LOAD], "left_semi")
+
+
+def merge_partials(parts: DataFrame, b: Binding = DEFAULT) -> DataFrame:
+    """Partial aggregates of any number of batches -> one row per period and group."""
+    keys = [b.period, b.group_id]
+    return parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in parts.columns if c not in (*keys, LOAD, BATCH)])
+
+
 def current_panel(spark: SparkSession, panel_path: str, b: Binding = DEFAULT, periods: list | None = None) -> DataFrame:
-    """The rows of each period's newest load (of ``periods`` only, if given)."""
-    df = spark.read.parquet(panel_path)
+    """The rows of each period's newest load (of ``periods`` only, if given), as the partials name it."""
+    df, newest = spark.read.parquet(panel_path), newest_partials(spark, panel_path, b).select(b.period, LOAD).distinct()
     if periods is not None:
-        df = df.where(F.col(b.period).isin(periods))
-    newest = df.groupBy(b.period).agg(F.max(LOAD).alias(LOAD))  # partition columns only; a row per period
+        df, newest = df.where(F.col(b.period).isin(periods)), newest.where(F.col(b.period).isin(periods))
     return df.join(newest, [b.period, LOAD], "left_semi").drop(LOAD, BATCH)
 
 
+def refresh_summary(spark: SparkSession, panel_path: str, summary_path: str, b: Binding = DEFAULT) -> None:
+    """Sum the partials of the newest loads: one small table, written anew. A refresh that broke off is
+    made good by the next one."""
+    merge_partials(newest_partials(spark, panel_path, b), b).write.mode("overwrite").parquet(summary_path)
+
+
 def incremental_period_load(spark: SparkSession, source_dir: str, schema, panel_path: str, summary_path: str,
                             checkpoint: str, b: Binding = DEFAULT, files_per_trigger: int | None = None) -> None:
-    """Process every file present in ``source_dir`` (Trigger.AvailableNow) and stop."""
+    """Process every file present in ``source_dir`` (Trigger.AvailableNow), refresh the summary and stop."""
     version = load_version(spark, panel_path, checkpoint)
 
     def load(batch: DataFrame, epoch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            # the period keys of a batch (a handful) become a literal IN list, so that the
-            # summary rebuild reads only those partitions
-            periods = [r[0] for r in batch.select(b.period).distinct().collect()]
-            if not periods:
-                return
-            _overwrite_partitions(batch.withColumn(LOAD, F.lit(version)).withColumn(BATCH, F.lit(epoch_id)),
-                                  panel_path, b.period, LOAD, BATCH, spread_key=b.facility)
-        finally:
-            batch.unpersist()
-        _overwrite_partitions(period_summary(current_panel(spark, panel_path, b, periods), b), summary_path, b.period)
+        own = f"{LOAD}={version}/{BATCH}={epoch_id}"
+        # ranges of (period, facility): a period is contiguous, and a large one is cut across many tasks
+        batch.repartitionByRange(b.period, b.facility).write.mode("overwrite").partitionBy(b.period).parquet(f"{panel_path}/{own}")
+        # last: a period of a batch counts as loaded once its partials are there
+        period_summary(batch, b).write.mode("overwrite").parquet(f"{_partials(panel_path)}/{own}")
 
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
@@ -93,32 +97,5 @@ def incremental_period_load(spark: SparkSession, source_dir: str, schema, panel_
     q = (reader.parquet(source_dir).writeStream.foreachBatch(load)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-
-
-def incremental_image_sync(spark: SparkSession, snapshots_dir: str, schema, table_dir: str, checkpoint: str) -> None:
-    """Each rescan snapshot (a folder of flattened image rows, named in time order) is merged into
-    the keyed image table: unchanged files keep their cached name/size, new and updated ones take the
-    new values. The stream tells which snapshots have new files; a snapshot is always read whole, in
-    all its part files, and merged with the version before it, so late parts and replays rewrite its
-    version (``v=<snapshot>``) and those after it, and their status counts."""
-    from ..operators.images import image_sync_merge
-
-    def merge(batch: DataFrame, epoch_id: int) -> None:
-        folder = F.element_at(F.split("path", "/"), -2)
-        fresh = [r[0] for r in batch.select(folder.alias("s")).distinct().collect()]  # one name per rescan
-        if not fresh:
-            return
-        done = [n[2:] for n in _names(spark, table_dir) if n.startswith("v=")]
-        for name in sorted({*fresh, *(n for n in done if n > min(fresh))}):
-            new = spark.read.schema(schema).parquet(f"{snapshots_dir}/{name}")
-            before = max((n for n in done if n < name), default=None)
-            old = spark.read.parquet(f"{table_dir}/v={before}") if before is not None else new.limit(0)
-            merged, counts = image_sync_merge(old, new)
-            merged.write.mode("overwrite").parquet(f"{table_dir}/v={name}")
-            counts.write.mode("overwrite").parquet(f"{table_dir}_counts/snapshot={name}")
-            done.append(name)
-
-    q = (spark.readStream.schema(schema).parquet(f"{snapshots_dir}/*").select(F.col("_metadata.file_path").alias("path"))
-         .writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    if exists(spark, _partials(panel_path)):
+        refresh_summary(spark, panel_path, summary_path, b)

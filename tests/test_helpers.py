@@ -126,7 +126,7 @@ def test_numeric_columns_are_read_as_numbers(spark):
 
 def test_first_spelling_per_level(spark):
     from tessera.binding import DEFAULT as B
-    from tessera.operators.aggregates import hierarchy_index
+    from tessera.operators.hierarchy import hierarchy_index
     rows = [("E", "Z", "Bácum", "L1", "k1", 2), ("E", "Z", "BACUM", "L2", "k2", 1), ("E", "Z", "Bacum", "L3", "k3", 3)]
     out = hierarchy_index(spark.createDataFrame(rows, "estado string, zona string, municipio string, localidad string, clave string, o int"), B, "o").collect()
     assert {r.municipality for r in out} == {"BACUM"} and {r.group_rows for r in out} == {3} and len(out) == 3

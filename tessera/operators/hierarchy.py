@@ -33,7 +33,7 @@ def prefix_table(df: DataFrame, b: Binding = DEFAULT, order_col: str | None = No
     spelled = src.select(*columns, (F.col(order_col) if order_col else F.lit(0)).alias("__o")).groupBy(*columns).agg(
         F.min("__o").alias("__o"), F.count(F.lit(1)).alias("rows"))
     # rows are normalised after they are reduced
-    norm = spelled.select(*[norm_text(c).alias(p) for c, p in zip(columns, PATHS)], *[F.trim(c).alias(f"d{i}") for i, c in enumerate(columns)], "__o", "rows")
+    norm = spelled.select(*[norm_text(c).alias(p) for c, p in zip(columns, PATHS)], *[F.col(c).alias(f"d{i}") for i, c in enumerate(columns)], "__o", "rows")
     up = [F.struct(F.lit(i + 1).alias("level"), *[(F.col(p) if k <= i else F.lit(None).cast("string")).alias(p) for k, p in enumerate(PATHS)],
                    F.struct(F.col("__o").alias("o"), F.col(f"d{i}").alias("d")).alias("first")) for i in range(5)]
     places = norm.select(F.inline(F.array(*up)), "rows").groupBy("level", *PATHS).agg(F.min("first").alias("first"), F.sum("rows").alias("rows"))
@@ -52,12 +52,12 @@ def read_prefix_table(spark, path: str) -> DataFrame:
 
 
 def children_of(table: DataFrame, *path: str) -> DataFrame:
-    """name, rows of the places right below a path of names (accents, case and blanks do not count); no
-    path gives the groups. An unknown path has no rows."""
+    """name (without blanks at its ends), rows of the places right below a path of names (accents, case and
+    blanks do not count); no path gives the groups. An unknown path has no rows."""
     below = table.where(F.col("level") == len(path) + 1)
     for p, name in zip(PATHS, path):
         below = below.where(F.col(p) == F.lit(norm_text_lit(name)))
-    return below.select("name", "rows").orderBy("name")
+    return below.select(F.trim("name").alias("name"), "rows").orderBy("name")
 
 
 def index_of(table: DataFrame) -> DataFrame:

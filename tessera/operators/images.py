@@ -7,12 +7,14 @@ single record by nature and is only read that way when given.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import KEY_PATTERN, normalise_facility_key
-from ..session import reliable_checkpoint
+from ..session import scratch_path
 
 FILE_T = T.StructType([T.StructField(n, t) for n, t in (
     ("i", T.StringType()), ("id", T.StringType()), ("n", T.StringType()), ("name", T.StringType()),
@@ -82,76 +84,11 @@ def alias_index(images: DataFrame) -> DataFrame:
     return a.groupBy("alias").agg(F.max_by("key", "folder_order").alias("key"))
 
 
-def _grams(s: Column, n: int) -> Column:
-    """All substrings of length n (at least one element)."""
-    ln = F.length(s)
-    return F.transform(F.sequence(F.lit(1), F.greatest(ln - n + 1, F.lit(1))), lambda i: F.substring(s, i, n))
-
-
-GRAM = 3
-
-
-def _all_grams(df: DataFrame, col: str) -> DataFrame:
-    """Distinct grams of lengths 1..GRAM of ``col``, one row each (g, gl)."""
-    arrs = [F.transform(_grams(F.col(col), L), lambda g: F.struct(g.alias("g"), F.length(g).alias("gl")))
-            for L in range(1, GRAM + 1)]
-    return df.select("*", F.explode(F.array_distinct(F.flatten(F.array(*arrs)))).alias("x")).select(
-        *df.columns, "x.*").where(F.col("gl") > 0)
-
-
-def _gram_freq(grams: DataFrame, owner: str) -> DataFrame:
-    """How many strings contain each gram; at most (alphabet size)^GRAM rows."""
-    return grams.groupBy("g", "gl").agg(F.count_distinct(owner).alias("df"))
-
-
-def _rarest_probe(df: DataFrame, col: str, freq: DataFrame) -> DataFrame:
-    """For each string: its rarest gram of length min(len, GRAM) by ``freq`` (a gram absent
-    from ``freq`` has frequency 0, so the string then matches nothing). Every gram of a
-    contained string occurs in the containing one, so this single probe finds all partners."""
-    gl = F.least(F.length(col), F.lit(GRAM))
-    own = df.select("*", F.explode(F.array_distinct(
-        F.transform(F.sequence(F.lit(1), F.length(col) - gl + 1), lambda i: F.substring(col, i, GRAM)))).alias("g"))
-    own = own.select("*", F.length("g").alias("gl")).where(F.col("gl") == gl)
-    j = own.join(freq, ["g", "gl"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    keep = [c for c in df.columns]
-    best = j.groupBy(*keep).agg(F.min_by(F.struct("g", "gl"), F.struct("df", "g")).alias("p"))
-    return best.select(*keep, "p.g", "p.gl")
-
-
 def image_lookup_cascade(queries: DataFrame, images: DataFrame, q_col: str = "query") -> DataFrame:
-    """Per query: exact key, else alias, else containment either way with the smallest length
-    difference (ties by key). Containment candidates come from an equi-join on 3-grams (the
-    shorter string's rarest n-gram must occur in the longer one), then are verified: exact, and
-    each string meets only the partners sharing its rarest gram, not all pairs.
-    Returns (query, key, method), one row per row of ``queries``; unresolved ones get null.
-    Equal queries are resolved once."""
-    # the cascade reuses its inputs many times: cut the lineage once (reliable checkpoints in
-    # the shared folder) so each step plans against a stored table, not the whole tree scan
-    keys = reliable_checkpoint(images.select("key").distinct())
-    aliases = reliable_checkpoint(alias_index(images))
-    asked = queries.select(F.col(q_col).alias("query"))
-    q = reliable_checkpoint(asked.distinct().withColumn("qn", F.lower(F.trim("query"))))
-    exact = q.join(keys.withColumnRenamed("key", "qn"), "qn", "left_semi").select("query", F.col("qn").alias("key"),
-                                                                                 F.lit("exact").alias("method"))
-    rest = q.join(exact.select("query"), "query", "left_anti")
-    al = rest.join(aliases.withColumnRenamed("alias", "qn"), "qn").select(
-        "query", "key", F.lit("alias").alias("method"))
-    rest = reliable_checkpoint(rest.join(al.select("query"), "query", "left_anti"))
-    rq = rest.where(F.length("qn") > 0)
-    kg = _all_grams(keys, "key")
-    qg = _all_grams(rq.select("query", "qn"), "qn")
-    # q inside key: every gram of q occurs in key; probe with q's rarest gram among the keys
-    c1 = (_rarest_probe(rq.select("query", "qn"), "qn", _gram_freq(kg, "key"))
-          .join(kg, ["g", "gl"]).where(F.col("key").contains(F.col("qn"))))
-    # key inside q: probe with the key's rarest gram among the queries
-    c2 = (_rarest_probe(keys, "key", _gram_freq(qg, "qn"))
-          .join(qg, ["g", "gl"]).where(F.col("qn").contains(F.col("key"))))
-    cand = c1.select("query", "qn", "key").unionByName(c2.select("query", "qn", "key"))
-    part = (cand.withColumn("score", F.abs(F.length("key") - F.length("qn")))
-            .groupBy("query").agg(F.min_by("key", F.struct("score", "key")).alias("key"))
-            .select("query", "key", F.lit("partial").alias("method")))
-    found = exact.unionByName(al).unionByName(part)
-    return asked.join(found, "query", "left")
+    """(query, key, method) per row of ``queries`` through the look-up tables of ``images`` (key, alias,
+    folder_order), written for this call; ``image_index`` keeps them for a tree. See ``image_index.lookup``."""
+    from .image_index import lookup, write_lookup
+    return lookup(queries, write_lookup(images, scratch_path(images.sparkSession, f"lookup-{uuid.uuid4().hex}")), q_col)
 
 
 def image_counts(images: DataFrame) -> DataFrame:

@@ -95,15 +95,31 @@ def metric_row_projection(df: DataFrame, measures: list[str], b: Binding = DEFAU
                      nd(b.municipality).alias("municipality"), *[trunc_int(m).alias(m) for m in measures])
 
 
-def report_coordinates(latest: DataFrame, b: Binding = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """Coordinate table from the panel (rows without coordinates dropped, rounded to 6,
-    blanks for missing text) and points per group."""
-    t = (latest.where(F.col(b.lat).isNotNull() & F.col(b.lng).isNotNull())
-         .select(F.col(b.facility).alias("facility"), F.coalesce(F.col(b.name), F.lit("")).alias("name"),
-                 F.coalesce(F.col(b.group_name), F.lit("")).alias("group_name"),
-                 F.round(b.lat, 6).alias("lat"), F.round(b.lng, 6).alias("lng")))
-    per_group = t.groupBy(F.col("group_name").alias(b.group_name)).agg(F.count(F.lit(1)).alias("points"))
-    return t, per_group
+#: Text columns of the coordinate table, beside clave, lat and lng.
+COORDINATE_TEXTS = ("nombre", "estado", "municipio", "localidad", "situacion")
+
+
+def coordinate_table(latest: DataFrame, b: Binding = DEFAULT, document: str | None = None) -> DataFrame:
+    """clave, lat, lng and COORDINATE_TEXTS: the records of the coordinate document if it gives any, else
+    the rows of the panel that have coordinates (rounded to 6, '' for missing text). Which one it is, is
+    decided when the query runs."""
+    from ..sources.json_sources import scan_coordinate_documents
+    source = dict(zip(COORDINATE_TEXTS, (b.name, b.group_name, b.municipality, b.locality, b.status)))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in latest.columns else F.lit("")
+    rows = latest.where(F.col(b.lat).isNotNull() & F.col(b.lng).isNotNull()).select(
+        text(b.facility).alias("clave"), F.round(b.lat, 6).alias("lat"), F.round(b.lng, 6).alias("lng"),
+        *[text(c).alias(f) for f, c in source.items()])
+    if document is None:
+        return rows
+    records = scan_coordinate_documents(latest.sparkSession, document, list(COORDINATE_TEXTS))
+    found = records.agg(F.count(F.lit(1))).scalar()
+    return records.unionByName(rows.where(found == 0))
+
+
+def report_coordinates(latest: DataFrame, b: Binding = DEFAULT, document: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The coordinate table (``coordinate_table``) and its points per group."""
+    t = coordinate_table(latest, b, document)
+    return t, t.groupBy(F.col("estado").alias(b.group_name)).agg(F.count(F.lit(1)).alias("points"))
 
 
 def report_national_summary(df: DataFrame, is_latest_col, b: Binding = DEFAULT, top: int = 5) -> DataFrame:

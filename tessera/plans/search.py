@@ -9,6 +9,7 @@ from ..binding import DEFAULT, Binding
 from ..functions.geo import map_search_url
 from ..functions.text import address_line, match_score, match_type, norm_text, norm_text_lit
 from ..operators import filters as flt
+from ..operators.image_index import ImageIndex, images_of_key
 from ..operators.ranking import first_per_key
 
 
@@ -66,22 +67,8 @@ def facility_history(df: DataFrame, key: str, b: Binding = DEFAULT, measures=("c
             .orderBy(F.col("year").desc(), F.col("month").desc()))
 
 
-def images_of_key(images: DataFrame, key: str) -> DataFrame:
-    """Catalogue rows of one key: of the equal key, else of the alias, else by containment. The
-    catalogue is filtered first; containment runs only when the others find nothing."""
-    from ..operators.images import image_lookup_cascade
-    k = F.lit(key.strip().lower())
-    exact = images.where(F.col("key") == k)
-    if not exact.isEmpty():
-        return exact
-    found = images.where(F.lower("alias") == k).groupBy().agg(F.max_by("key", "folder_order").alias("key")).where(F.col("key").isNotNull())
-    if found.isEmpty():
-        found = image_lookup_cascade(images.sparkSession.createDataFrame([(key,)], "query string"), images).select("key")
-    return images.join(F.broadcast(found), "key", "left_semi")  # one key
-
-
 def report_facility(df: DataFrame, latest: DataFrame, key: str, b: Binding = DEFAULT,
-                    images: DataFrame | None = None) -> DataFrame:
+                    images: ImageIndex | None = None) -> DataFrame:
     """Profile of one key in the latest month: identity and location fields, address, map link;
     ``profile``, a struct per category of the fields that the table has; ``history``, its periods
     newest first (period, status, cn_total); ``images``, its files in the catalogue by file id.

@@ -910,7 +910,7 @@ def _prefix_sql() -> str:
     parts = []
     for i, c in enumerate(cols):
         path = ", ".join(f"{_norm_sql(x) if k <= i else 'CAST(NULL AS VARCHAR)'} AS {n}" for k, (x, n) in enumerate(zip(cols, names)))
-        parts.append(f"SELECT CAST({i + 1} AS INTEGER) AS level, {path}, first(trim({c}) ORDER BY period_key, trim({c})) AS name, COUNT(*) AS rows "
+        parts.append(f"SELECT CAST({i + 1} AS INTEGER) AS level, {path}, first({c} ORDER BY period_key, {c}) AS name, COUNT(*) AS rows "
                      f"FROM panel {_PREFIX_WHERE} GROUP BY {', '.join(_norm_sql(x) for x in cols[:i + 1])}")
     return "\nUNION ALL\n".join(parts)
 
@@ -923,11 +923,11 @@ def q_hierarchy_prefix_table(spark, sf):
 
 @register("prefix_children", oracle(f"""
 SELECT first(trim(municipio) ORDER BY period_key, trim(municipio)) AS name, COUNT(*) AS rows
-FROM panel {_PREFIX_WHERE} AND {_norm_sql('estado')} = 'BRAZIL' AND {_norm_sql('zona')} = 'AMERICA' GROUP BY {_norm_sql('municipio')}"""))
+FROM panel {_PREFIX_WHERE} AND {_norm_sql('estado')} = 'NATION_1' AND {_norm_sql('zona')} = 'AMERICA' GROUP BY {_norm_sql('municipio')}"""))
 def q_prefix_children(spark, sf):
     """Children of one place, from the prepared prefix table: only the files of their level are read."""
     from ..operators.hierarchy import children_of, write_prefix_table
-    return children_of(write_prefix_table(panel(spark, sf), _scratch(spark, "prefix"), B, "period_key"), "Brázil", "america")
+    return children_of(write_prefix_table(panel(spark, sf), _scratch(spark, "prefix"), B, "period_key"), "nátion_1", "america")
 
 
 @register("available_periods", oracle("""
@@ -1383,7 +1383,7 @@ def q_report_facility(spark, sf):
     """The first facility of the latest period; of its profile, the certificates category as text."""
     from .search import report_facility
     key = _latest(spark, sf).agg(F.min("clave")).first()[0] or ""
-    out = report_facility(panel(spark, sf), _latest(spark, sf), key.lower(), B, images=_images(spark, sf))
+    out = report_facility(panel(spark, sf), _latest(spark, sf), key.lower(), B, images=_index(spark, sf))
     cert = F.concat_ws(",", *[F.col(f"profile.certificates.{c}") for c in ("cn_inicial", "cn_prim", "cn_sec", "cn_total")])
     hist = F.array_join(F.transform("history", lambda x: F.concat_ws(":", x["period_key"], x["situacion"], x["cn_total"])), ",")
     return out.select("facility", "name", "group_name", "zone", "municipality", "locality", "period", "status", "address", "map_url",
@@ -1535,6 +1535,36 @@ def q_report_coordinates(spark, sf):
     return per_group
 
 
+_COORDINATE_ROWS = """SELECT COALESCE(clave, '') AS clave, round(lat, 6) AS lat, round(lng, 6) AS lng, COALESCE(nombre, '') AS nombre,
+       COALESCE(estado, '') AS estado, COALESCE(municipio, '') AS municipio, COALESCE(localidad, '') AS localidad,
+       COALESCE(CAST(situacion AS VARCHAR), '') AS situacion"""
+
+
+def _coordinate_document(spark, sf, refused: bool) -> str:
+    """The latest month's facilities with coordinates as one JSON list; a refused one has an object first that
+    has no lat."""
+    from .reports import coordinate_table
+    rows = coordinate_table(_latest(spark, sf), B).withColumn("lat", F.col("lat").cast("string"))
+    one = rows.agg(F.concat_ws(",", F.lit('{"lng": 1}') if refused else F.lit(None).cast("string"), F.collect_list(F.to_json(F.struct("*")))).alias("t"))
+    path = _scratch(spark, "coords-document")
+    one.select(F.concat(F.lit("["), "t", F.lit("]")).alias("value")).coalesce(1).write.text(path)
+    return path
+
+
+@register("coordinate_table_document", ol(f"\n{_COORDINATE_ROWS} FROM latest WHERE lat IS NOT NULL AND lng IS NOT NULL"))
+def q_coordinate_table_document(spark, sf):
+    """From a good document: the panel given beside it has no rows."""
+    from .reports import coordinate_table
+    return coordinate_table(_latest(spark, sf).where(F.lit(False)), B, _coordinate_document(spark, sf, refused=False))
+
+
+@register("coordinate_table_fallback", ol(f"\n{_COORDINATE_ROWS} FROM latest WHERE lat IS NOT NULL AND lng IS NOT NULL"))
+def q_coordinate_table_fallback(spark, sf):
+    """The document is refused, so the panel gives the rows."""
+    from .reports import coordinate_table
+    return coordinate_table(_latest(spark, sf), B, _coordinate_document(spark, sf, refused=True))
+
+
 # -------------------------------------------------------------------------- cleaning job
 RAW_HEADERS = {"clave": "Clave Plaza", "nombre": "Nombre_PC", "estado": "  ENTIDAD federativa ", "estado_id": "Clave_Edo",
                "zona": "Coord. Zona", "municipio": "MUNICIPIO ", "localidad": "Localidad", "anio": "Año", "mes": "Cve-mes",
@@ -1762,11 +1792,17 @@ def q_scan_delimited(spark, sf):
 
 # ---------------------------------------------------------------------------- image catalogue
 def _image_tree(spark, sf) -> str:
-    """An image folder tree derived from the whole panel: one folder per facility, one image
-    per period; folder naming varies by group (new ``k`` field, decorated old names),
-    written as JSON lines of state nodes (a state is split into chunks of <= 500 folders)."""
-    import uuid
-    from ..session import scratch_path
+    """An image folder tree derived from the whole panel, written once for each state of the tables."""
+    from ..sources.prepared import prepared
+    from ..sources.testbind import PANEL_VERSION
+    inputs = [f"{sf.rstrip('/')}/{t}.parquet" for t in ("orders", "lineitem", "customer", "nation", "region")]
+    return prepared(spark, "imgtree", inputs, PANEL_VERSION, "", lambda path: _write_image_tree(spark, sf, path))
+
+
+def _write_image_tree(spark, sf, path: str) -> None:
+    """One folder per facility, one image per period; folder naming varies by group (new ``k`` field,
+    decorated old names), written as JSON lines of state nodes (a state is split into chunks of <= 500
+    folders)."""
     p = panel(spark, sf)
     # only keys of the folder pattern can be recognised in a decorated name
     v = F.when(F.length("clave") > 11, F.lit(0)).otherwise(F.col("estado_id") % 4)
@@ -1794,14 +1830,17 @@ def _image_tree(spark, sf) -> str:
              .select((F.col("estado_id").cast("long") * (1 << 40) + F.col("chunk")).alias("pos"),
                      F.col("estado_id").alias("id"), "estado", F.lit("folder").alias("type"),
                      F.transform("fs", lambda x: x["folder"]).alias("children")))
-    path = scratch_path(spark, f"imgtree-{uuid.uuid4().hex[:12]}")
-    nodes.write.json(path)
-    return path
+    nodes.write.mode("overwrite").json(path)
+
+
+def _index(spark, sf):
+    from ..operators.image_index import image_index
+    return image_index(spark, _image_tree(spark, sf))
 
 
 def _images(spark, sf):
-    from ..operators.images import read_state_nodes, scan_image_tree
-    return scan_image_tree(read_state_nodes(spark, _image_tree(spark, sf)))
+    """The flattened images, from the prepared index."""
+    return _index(spark, sf).images()
 
 
 IMAGES_SQL = """
@@ -1819,7 +1858,8 @@ IMAGES_SQL = """
 
 @register("scan_image_tree", oracle(IMAGES_SQL + "SELECT state_id, state, key, alias, file_id, file_name, size, modified, url FROM img"))
 def q_scan_image_tree(spark, sf):
-    return _images(spark, sf).drop("folder_order")
+    from ..operators.images import read_state_nodes, scan_image_tree
+    return scan_image_tree(read_state_nodes(spark, _image_tree(spark, sf))).drop("folder_order")
 
 
 @register("image_counts", oracle(IMAGES_SQL + """
@@ -1858,13 +1898,13 @@ LOOKUP_Q_SQL = """
 
 @register("image_lookup_cascade", ol(IMAGES_SQL + LOOKUP_Q_SQL + "SELECT q.query, f.key, f.method FROM q LEFT JOIN f USING (query)"))
 def q_image_lookup_cascade(spark, sf):
-    from ..operators.images import image_lookup_cascade
+    from ..operators.image_index import lookup
     l = _latest(spark, sf)
     q = (l.select(F.lower("clave").alias("query"))
          .unionByName(l.select(F.concat("estado", F.lit("_"), "clave").alias("query")))
          .unionByName(l.select(F.substring("clave", 1, 8).alias("query")))
          .unionByName(l.select(F.concat("clave", F.lit("-9")).alias("query"))))
-    return image_lookup_cascade(q, _images(spark, sf))
+    return lookup(q, _index(spark, sf))
 
 
 @register("image_sync_merge", oracle(IMAGES_SQL + """
@@ -2016,6 +2056,14 @@ def q_source_freshness(spark, sf):
                     pe.is_stale("o_orderdate", "2001-09-01").alias("stale"))
 
 
+@register("source_file_freshness", None)
+def q_source_file_freshness(spark, sf):
+    """A row per file of the given tables; SQL has no file times, tests compare with the file system."""
+    from ..sources.freshness import file_freshness
+    from ..sources.tables import TABLES
+    return file_freshness(spark, [f"{sf.rstrip('/')}/{t}.parquet" for t in TABLES], as_of="2030-01-01")
+
+
 # ------------------------------------------------------------------------- vocabularies
 RENAME_COLS = ["clave", "nombre", "municipio", "localidad", "zona", "cn_total", "inc_total", "lat", "lng", "anio", "mes"]
 

@@ -2,23 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .prepared import path_exists
 from .tables import bounded_broadcast
 
 
 def scan_coordinates_json(spark: SparkSession, path: str, text_fields: list[str], multiline: bool = False) -> DataFrame:
-    """Coordinate records (JSON lines, or one JSON array with ``multiline``): records whose
-    lat/lng do not parse are skipped, missing text becomes '', coordinates rounded to 6."""
+    """Coordinate records: JSON lines of records, or with ``multiline`` documents that each are one list
+    (``scan_coordinate_documents``). Records whose lat/lng do not parse are skipped, missing text becomes
+    '', coordinates rounded to 6."""
+    if multiline:
+        return scan_coordinate_documents(spark, path, text_fields)
     fields = ", ".join(f"{f} string" for f in ["clave", "lat", "lng", *text_fields])
-    df = spark.read.schema(fields).option("multiLine", multiline).json(path)
+    df = spark.read.schema(fields).json(path)
     la, lo = F.col("lat").try_cast("double"), F.col("lng").try_cast("double")
     return (df.where(la.isNotNull() & lo.isNotNull())
             .select(F.coalesce("clave", F.lit("")).alias("clave"), F.round(la, 6).alias("lat"),
                     F.round(lo, 6).alias("lng"), *[F.coalesce(f, F.lit("")).alias(f) for f in text_fields]))
 
 
+def _variant_text(item: str, field: str) -> Column:
+    """A field as text: '' if it is absent, null, false, zero or empty; true as 'True'."""
+    v = F.try_variant_get(F.col(item), f"$.{field}", "variant")
+    kind, text = F.schema_of_variant(v), F.try_variant_get(F.col(item), f"$.{field}", "string")
+    nothing = v.isNull() | F.is_variant_null(v) | ((kind != "STRING") & (text.isin("false", "[]", "{}") | (text.try_cast("double") == 0)))
+    return F.coalesce(F.when(nothing, "").when(kind == "BOOLEAN", "True").otherwise(text), F.lit(""))
+
+
+def _variant_number(item: str, field: str) -> Column:
+    """A field as a number: numbers, texts that are one, true and false as 1 and 0; else null."""
+    text = F.try_variant_get(F.col(item), f"$.{field}", "string")
+    is_bool = F.schema_of_variant(F.try_variant_get(F.col(item), f"$.{field}", "variant")) == "BOOLEAN"
+    return F.when(is_bool, (text == "true").cast("double")).otherwise(F.trim(text).try_cast("double"))
+
+
+def scan_coordinate_documents(spark: SparkSession, path: str, text_fields: list[str]) -> DataFrame:
+    """Coordinate records of JSON documents. A document counts only as a whole: it has to be a list with
+    at least one item, all items objects, the first of them with the keys lat and lng; else it gives
+    nothing. In a good document, items whose lat or lng is no number are skipped. A path that is not
+    there gives nothing. A document is one row by nature."""
+    columns = ["clave", *text_fields]
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], "clave string, lat double, lng double" + "".join(f", {f} string" for f in text_fields))
+    docs = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("doc"))
+    has = lambda key: F.try_variant_get("doc", f"$[0].{key}", "variant").isNotNull()
+    lists = docs.where(F.schema_of_variant("doc").startswith("ARRAY") & has("lat") & has("lng"))
+    items = lists.select(F.try_variant_get("doc", "$", "array<variant>").alias("items")).where(
+        F.forall("items", lambda x: F.schema_of_variant(x).startswith("OBJECT"))).select(F.explode("items").alias("x"))
+    la, lo = _variant_number("x", "lat"), _variant_number("x", "lng")
+    return items.where(la.isNotNull() & lo.isNotNull()).select(
+        _variant_text("x", columns[0]).alias(columns[0]), F.round(la, 6).alias("lat"), F.round(lo, 6).alias("lng"),
+        *[_variant_text("x", f).alias(f) for f in text_fields])
+
+
 PERIOD_ENTRY = "struct<name:string,id:string,download_url:string,view_url:string,url:string>"
 
 

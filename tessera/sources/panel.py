@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..binding import DEFAULT
 from .tables import bounded_broadcast
 
 
@@ -51,10 +52,12 @@ def sink_panel_partitioned(df: DataFrame, path: str, partition_cols=("period_key
      .partitionBy(*partition_cols).parquet(path))
 
 
-def first_load_materialise(spark: SparkSession, raw: DataFrame, path: str, partition_cols=("period_key",)) -> DataFrame:
+def first_load_materialise(spark: SparkSession, raw: DataFrame, path: str, partition_cols=("period_key",),
+                           spread_key: str | None = DEFAULT.facility) -> DataFrame:
     """Write the table only if it does not exist yet (``ignore`` mode), then read it. Rows are
-    range-partitioned by the partition columns first, so a partition has few files."""
-    keys = [F.col(c) for c in partition_cols]
+    range-partitioned by the partition columns and ``spread_key`` (if the table has it): a partition has
+    few files, and a large one is cut across many tasks."""
+    keys = [F.col(c) for c in (*partition_cols, spread_key) if c in raw.columns]
     (raw.repartitionByRange(writer_tasks(raw), *keys).write.mode("ignore").option("compression", "snappy")
      .partitionBy(*partition_cols).parquet(path))
     return spark.read.parquet(path)

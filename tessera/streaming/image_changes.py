@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .incremental import exists
+from ..sources.prepared import path_exists
 
 BATCH, STEP, SNAPSHOT, STATUS = "batch", "step", "snapshot", "status"
 #: Statuses that hold a file's values or end them; the others take back earlier rows. ``scanned`` marks a merged rescan.
@@ -29,7 +29,7 @@ KEY, NAME, SIZE, MODIFIED = "file_id", "file_name", "size", "modified"
 def _log(spark: SparkSession, table_dir: str, schema: StructType) -> DataFrame:
     """All rows ever appended, with the batch and step that wrote them."""
     full = StructType([*schema.fields]).add(SNAPSHOT, "string").add(STATUS, "string").add(BATCH, "long").add(STEP, "integer")
-    return spark.read.schema(full).parquet(table_dir) if exists(spark, table_dir) else spark.createDataFrame([], full)
+    return spark.read.schema(full).parquet(table_dir) if path_exists(spark, table_dir) else spark.createDataFrame([], full)
 
 
 def _before(log: DataFrame, batch: int, step: int) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..binding import DEFAULT, Binding
+from ..sources.prepared import path_exists
 
 
 def period_summary(df: DataFrame, b: Binding = DEFAULT) -> DataFrame:
@@ -31,16 +32,10 @@ def period_summary(df: DataFrame, b: Binding = DEFAULT) -> DataFrame:
 LOAD, BATCH = "load_version", "load_batch"
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def load_version(spark: SparkSession, panel_path: str, checkpoint: str) -> int:
     """The version of the load that ``checkpoint`` stands for: as noted when it began, else the next."""
     notes = f"{panel_path}_loads"
-    known = {r["checkpoint"]: r["version"] for r in spark.read.parquet(notes).collect()} if exists(spark, notes) else {}  # a row per load
+    known = {r["checkpoint"]: r["version"] for r in spark.read.parquet(notes).collect()} if path_exists(spark, notes) else {}  # a row per load
     if checkpoint not in known:
         known[checkpoint] = max(known.values(), default=0) + 1
         note = spark.range(1).coalesce(1).select(F.lit(checkpoint).alias("checkpoint"), F.lit(known[checkpoint]).alias("version"))
@@ -97,5 +92,5 @@ def incremental_period_load(spark: SparkSession, source_dir: str, schema, panel_
     q = (reader.parquet(source_dir).writeStream.foreachBatch(load)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    if exists(spark, _partials(panel_path)):
+    if path_exists(spark, _partials(panel_path)):
         refresh_summary(spark, panel_path, summary_path, b)

@@ -83,11 +83,11 @@ def test_a_cluster_without_a_shared_folder_is_an_error(spark):
 def test_a_changed_table_gives_another_panel(spark, tmp_path):
     import shutil
     for t in ("orders", "lineitem", "customer", "nation", "region"):
-        shutil.copy(f"/root/testdata/sf0.001/{t}.parquet", tmp_path / f"{t}.parquet")
+        shutil.copyfile(f"/root/testdata/sf0.001/{t}.parquet", tmp_path / f"{t}.parquet")
     first = testbind._fingerprint(spark, str(tmp_path))
     assert first == testbind._fingerprint(spark, str(tmp_path))
     spark.read.parquet("/root/testdata/sf0.001/region.parquet").limit(2).toPandas().to_parquet(tmp_path / "region2.parquet")
-    shutil.copy(tmp_path / "region2.parquet", tmp_path / "region.parquet")
+    shutil.copyfile(tmp_path / "region2.parquet", tmp_path / "region.parquet")
     assert testbind._fingerprint(spark, str(tmp_path)) != first
 
 

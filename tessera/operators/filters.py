@@ -9,13 +9,20 @@ from pyspark.sql import functions as F
 
 from ..binding import DEFAULT, Binding
 from ..functions.text import norm_text, norm_text_lit, or_contains
+from ..sources.tables import partition_values
 
 
 def latest_value(df: DataFrame, b: Binding = DEFAULT, mode: str = "period", as_of: int | None = None) -> Column:
-    """Scalar subquery holding the newest period (mode ``period``: year*100+month) or the
-    highest month number ignoring the year (mode ``month``, the reference's behaviour).
-    ``as_of`` caps the period considered. Evaluated once, then used as a literal filter
-    (partition pruning when the panel is partitioned by period)."""
+    """The newest period (mode ``period``: year*100+month) or the highest month number ignoring the year
+    (mode ``month``, the reference's behaviour). ``as_of`` caps the period considered.
+
+    Of a table partitioned by period, the newest period is a value of its file listing (writers leave no
+    empty partitions); no row is read for it and it prunes partitions as a literal. Of anything else it is
+    a scalar subquery, evaluated once."""
+    if mode == "period":
+        values = partition_values(df, b.period)
+        if values is not None and all(isinstance(v, int) for v in values):
+            return F.lit(max((v for v in values if as_of is None or v <= as_of), default=None)).cast("int")
     src = df
     if as_of is not None:
         src = src.where(F.col(b.period) <= F.lit(as_of))

@@ -819,6 +819,12 @@ def q_column_distinct_ratio(spark, sf):
     return ag.column_distinct_ratio(panel(spark, sf), DR_COLS)
 
 
+@register("column_distinct_sketched", None)
+def q_column_distinct_sketched(spark, sf):
+    """Estimates from sketches a period; tests hold them against the exact counts."""
+    return ag.sketched_distinct_ratio(ag.column_sketches(panel(spark, sf), DR_COLS))
+
+
 @register("measure_profile", oracle(f"""
 SELECT anio, mes, COUNT(*) AS rows, {", ".join(f"CAST(COALESCE(SUM({m}), 0) AS BIGINT) AS sum_{m}" for m in LV + ["inc_total"])}
 FROM panel GROUP BY anio, mes"""))
@@ -1619,7 +1625,7 @@ def q_standardise_types(spark, sf):
 
 #: How each header of the raw file must be recognised, and the panel column that it holds.
 RAW_MATCHES = [("clave", "Clave Plaza", "exact"), ("nombre", "Nombre_PC", "exact"), ("estado", "ENTIDAD federativa", "normalised"),
-               ("estado_id", "Clave_Edo", "exact"), ("zona", "Coord. Zona", "exact"), ("municipio", "MUNICIPIO", "normalised"),
+               ("estado_id", "Clave_Edo", "exact"), ("zona", "Coord. Zona", "exact"), ("municipio", "MUNICIPIO", "exact"),
                ("localidad", "Localidad", "exact"), ("anio", "Año", "exact"), ("mes", "Cve-mes", "exact"),
                ("situacion", "Situación", "exact"), ("conectividad", "Conect_Instalada", "exact"), ("lat", "Latitud", "exact"),
                ("lng", "Longitud", "exact"), ("inc_total", "Inc_Total", "exact"), ("cn_inicial", "CN_Inicial_Acum", "exact"),

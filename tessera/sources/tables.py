@@ -40,6 +40,27 @@ def input_size_bytes(df: DataFrame) -> int | None:
         return None
 
 
+def partition_values(df: DataFrame, column: str) -> list | None:
+    """The values of a partition column of the files that ``df`` reads, from its file listing; no file is
+    read. None if ``df`` is more than columns of one partitioned table, or ``column`` no partition of it."""
+    try:
+        plan = df._jdf.queryExecution().optimizedPlan()
+        while plan.nodeName() == "Project" and all(plan.projectList().apply(i).getClass().getSimpleName() == "AttributeReference"
+                                                   for i in range(plan.projectList().size())):
+            plan = plan.children().apply(0)
+        if not plan.getClass().getSimpleName() == "LogicalRelation":
+            return None
+        spec = plan.relation().location().partitionSpec()
+        names = list(spec.partitionColumns().fieldNames())
+        if column not in names:
+            return None
+        at, kind = names.index(column), spec.partitionColumns().fields()[names.index(column)].dataType()
+        parts = spec.partitions()
+        return [parts.apply(i).values().get(at, kind) for i in range(parts.size())]
+    except Exception:  # noqa: BLE001 - no listing (another source, e.g. Spark Connect): callers aggregate instead
+        return None
+
+
 def bounded_broadcast(df: DataFrame, max_bytes: int = 8 << 20) -> DataFrame:
     """Hint a broadcast of ``df`` only if Catalyst's own size estimate (file sizes of what the plan
     reads) is within ``max_bytes``. No job runs; beyond the bound, or without an estimate, the frame

@@ -118,6 +118,27 @@ def test_every_field_has_its_headers():
     assert ALIASES["aten_sec"][:4] == ("Aten_Sec", "Atenciones Secundaria", "Aten. Sec", "Atenciones Nivel Secundaria")
 
 
+def test_competing_spellings_of_every_field():
+    # of two columns, both spelled as accepted, the one further up goes first, whatever their order in the file
+    from tessera.operators.clean import ALIASES, HEADERS, resolve_aliases
+    assert len(HEADERS) == 49
+    for field, names in HEADERS:
+        only, names = {field: ALIASES[field]}, list(dict.fromkeys(names))
+        for first, second in zip(names[:-1], names[1:]):
+            for columns in ([first, second], [second, first]):
+                assert resolve_aliases(columns, only)[0] == {first: field}, (field, first, second)
+
+
+def test_upper_case_headers_beside_others():
+    from tessera.operators.clean import resolve_aliases
+    for taken, left in (("CLAVE", "CCT"), ("ESTADO", "Entidad"), ("SITUACION", "Status"), ("NUM", "Número"), ("MUNICIPIO", "Delegación"),
+                        ("LATITUD", "Lat"), ("LONGITUD", "Lon"), ("AÑO", "Year"), ("LOCALIDAD", "Ciudad"), ("COLONIA", "Barrio"),
+                        ("CALLE", "Avenida"), ("COORD. ZONA", "Zona"), ("CLAVE_EDO", "Cve_Edo"), ("MES", "Month"), ("Número Exterior", "No Ext"),
+                        ("Examenes aplicados", "Exámenes")):
+        mapping = resolve_aliases([left, taken])[0]
+        assert taken in mapping and left not in mapping, (taken, left)
+
+
 def test_numeric_columns_are_read_as_numbers(spark):
     df = spark.createDataFrame([(12345678.0, 1.5e7, "1,234")], "inc_total double, lat double, inc_prim string")
     r = standardise_types(df).first()
@@ -137,3 +158,16 @@ def test_dictionary_threshold(spark):
     df = spark.range(10).selectExpr("id % 6 as c")
     flag = lambda t: column_distinct_ratio(df, ["c"], t).first()["dictionary_candidate"]
     assert flag(0.75) and not flag(0.5) and not flag(0.25)
+
+
+def test_sketches_merge_over_periods_and_come_near_the_exact_counts(spark):
+    from tessera.operators.aggregates import column_distinct_ratio, column_sketches, sketched_distinct_ratio
+    df = spark.range(60_000).selectExpr("cast(id % 7 as int) as period_key", "cast(id % 20011 as string) as a", "id % 5 as b", "cast(null as string) as c")
+    whole = column_sketches(df, ["a", "b", "c"])
+    assert whole.count() == 21
+    exact = {r.column: (r.rows, r.distinct, r.dictionary_candidate) for r in column_distinct_ratio(df, ["a", "b", "c"]).collect()}
+    for source in (whole, column_sketches(df.where("period_key < 3"), ["a", "b", "c"]).unionByName(column_sketches(df.where("period_key >= 3"), ["a", "b", "c"]))):
+        for r in sketched_distinct_ratio(source).collect():
+            rows, n, flag = exact[r.column]
+            assert r.rows == rows and abs(r.distinct - n) <= 0.03 * n and r.dictionary_candidate == flag
+    assert sketched_distinct_ratio(column_sketches(df.limit(0), ["a"])).count() == 0

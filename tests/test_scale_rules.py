@@ -105,3 +105,24 @@ def test_trees_in_one_document(spark, tmp_path):
     (tmp_path / "t.json").write_text(json.dumps(tree, indent=1))
     rows = flatten_tree_v1(spark, str(tmp_path / "t.json"), whole_document=True).collect()
     assert sorted((r.folder, r.name) for r in rows) == [("k1", "x.jpg"), ("s", "K1")]
+
+
+def test_the_newest_period_is_read_from_the_listing(spark):
+    from tessera.operators.filters import latest_period_filter, latest_value
+    from tessera.sources.tables import partition_values
+    p = testbind.panel(spark, "/root/testdata/sf0.001")
+    periods = sorted(r[0] for r in p.select("period_key").distinct().collect())
+    assert sorted(partition_values(p, "period_key")) == periods and sorted(partition_values(p.select("clave", "period_key"), "period_key")) == periods
+    plan = latest_period_filter(p)._jdf.queryExecution().executedPlan().toString()
+    assert "Subquery" not in plan and "Aggregate" not in plan and f"(period_key#" in plan and f"= {periods[-1]})" in plan
+    for as_of in (None, periods[3], periods[3] + 0, 190001):
+        want = [x for x in periods if as_of is None or x <= as_of]
+        got = {r[0] for r in latest_period_filter(p, as_of=as_of).select("period_key").distinct().collect()}
+        assert got == ({want[-1]} if want else set())
+    # a filtered table, another column or a table without partitions is aggregated, as before
+    part = p.where(f"period_key < {periods[5]}")
+    assert partition_values(part, "period_key") is None and partition_values(p, "mes") is None
+    assert {r[0] for r in latest_period_filter(part).select("period_key").distinct().collect()} == {periods[4]}
+    rows = spark.createDataFrame([(202401,), (202403,)], "period_key int")
+    assert [r[0] for r in latest_period_filter(rows).collect()] == [202403]
+    assert spark.range(1).select(latest_value(rows).alias("v")).first()[0] == 202403

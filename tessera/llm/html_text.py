@@ -9,20 +9,23 @@ headings, lists and tables, list items with markers and indents, table cells ali
 
 Invisible: script, style, template, head, metadata and embedded media; elements with ``hidden``,
 ``display:none``, ``visibility:hidden`` (a descendant may be visible again) or
-``type=hidden``; a ``dialog`` without ``open``; annotations of formulas; titles, descriptions and
+``type=hidden``; a ``dialog`` without ``open``; of ``details`` without ``open``, all but the summary; the
+brackets of ruby (``rp``); annotations of formulas; titles, descriptions and
 definitions of drawings. Scripts do not run, so ``noscript`` shows. Formulas and the text of drawings show.
 
 Defined cases: null or empty html gives the empty text; a tag that never closes, or a quoted value in
 it (quotes open values only after ``=``), ends the page, as in browsers; repeated rows are rendered one by one; an empty table gives an empty result.
 
-Scale: narrow, one page at a time in Arrow batches; both passes use explicit stacks, so nesting depth
-is no limit.
+Scale: narrow, one page at a time in Arrow batches. Both passes use explicit stacks, and the open
+elements of each tag are known by their places, so nesting depth is no limit and a tag costs the same at
+any depth. Indents beyond ``MAX_INDENT`` columns do not grow further, so deep lists stay linear too.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +35,7 @@ from tessera.llm.common import slices
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("script style template head title meta link base iframe object embed audio video canvas datalist noembed noframes map param source track".split())
+HIDDEN = frozenset("script style template head title meta link base iframe object embed audio video canvas datalist noembed noframes map param source track rp".split())
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr menu dir".split())
 BLOCK = PARAGRAPH | frozenset("html body div section article aside nav header footer main address form li dt dd tr thead tbody tfoot caption figcaption details summary legend option optgroup center hgroup search dialog noscript xmp text foreignobject mtr".split())
 #: A start tag (key) ends open elements (first set) up to a boundary (second set).
@@ -47,6 +50,8 @@ for _t in ("thead", "tbody", "tfoot"):
 NO_P = (BLOCK - frozenset("html body li dt dd tr thead tbody tfoot caption option optgroup legend noscript text foreignobject mtr".split()))
 P_EDGE = frozenset("td th caption table button object li dd dt".split())
 END_EDGE = frozenset(["td", "th", "caption"])
+#: End tags that reach beyond a cell.
+ANY_EDGE = frozenset("table tr thead tbody tfoot body html".split())
 
 #: Parts of formulas and drawings that do not show, those in which html goes on, and the tags that end both.
 FOREIGN = frozenset(["svg", "math"])
@@ -62,6 +67,10 @@ _HIDE = re.compile(r"display\s*:\s*none", re.I)
 _VIS = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 
 
+#: Columns of indent that are written at most.
+MAX_INDENT = 60
+
+
 class Node:
     __slots__ = ("tag", "attrs", "kids")
 
@@ -72,37 +81,37 @@ class Node:
 def build(page: str) -> Node:
     """The element tree of a page; text is a str child."""
     root = Node("#root")
-    stack, open_count = [root], {}
+    stack, at = [root], {}  # open elements, and for each tag the places of its own, ascending
     foreign = [False]  # of each open element: whether it is part of a formula or drawing
 
     def push(node):
         stack[-1].kids.append(node)
         stack.append(node)
         foreign.append(node.tag in FOREIGN or foreign[-1] and node.tag not in HTML_INSIDE)
-        open_count[node.tag] = open_count.get(node.tag, 0) + 1
+        at.setdefault(node.tag, []).append(len(stack) - 1)
 
     def pop_to(i):
         for x in stack[i:]:
-            open_count[x.tag] -= 1
+            at[x.tag].pop()
         del stack[i:], foreign[i:]
 
+    def last(tags):
+        """The place of the innermost open element of ``tags``; 0 if there is none."""
+        return max((at[t][-1] for t in tags if at.get(t)), default=0)
+
     def write(text):
-        if open_count.get("head") and stack[-1].tag in ("head", "noscript") and text.strip(" \t\n\r\f"):
+        if at.get("head") and stack[-1].tag in ("head", "noscript") and text.strip(" \t\n\r\f"):
             close(frozenset(["head"]), frozenset())
         stack[-1].kids.append(text)
 
     def close(tags, edge):
         """End the outermost open element of ``tags`` inside the nearest ``edge``."""
-        if not any(open_count.get(t) for t in tags):
+        if not any(at.get(t) for t in tags):
             return
-        found = None
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                found = i
-            elif stack[i].tag in edge:
-                break
-        if found is not None:
-            pop_to(found)
+        inside = last(edge - tags)
+        found = [at[t][k] for t in tags if at.get(t) and (k := bisect_right(at[t], inside)) < len(at[t])]
+        if found:
+            pop_to(min(found))
 
     i, n = 0, len(page)
     while i < n:
@@ -131,13 +140,9 @@ def build(page: str) -> Node:
             break
         i, tag = m.end(), m[2].lower()
         if m[1]:
-            if open_count.get(tag):
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        pop_to(k)
-                        break
-                    if stack[k].tag in END_EDGE and tag not in ("table", "tr", "thead", "tbody", "tfoot", "body", "html"):
-                        break
+            if at.get(tag):
+                if tag in ANY_EDGE or at[tag][-1] > last(END_EDGE - {tag}):
+                    pop_to(at[tag][-1])
             elif tag == "br":
                 stack[-1].kids.append(Node("br"))
             continue
@@ -160,9 +165,9 @@ def build(page: str) -> Node:
             if foreign[-1] and tag not in RAW:
                 push(Node(tag, attrs))
                 continue
-        if tag in ("html", "body") and open_count.get(tag):
+        if tag in ("html", "body") and at.get(tag):
             continue
-        if tag != "head" and open_count.get("head") and tag not in ("meta", "link", "base", "title", "style", "script", "template", "noscript"):
+        if tag != "head" and at.get("head") and tag not in ("meta", "link", "base", "title", "style", "script", "template", "noscript"):
             close(frozenset(["head"]), frozenset())
         if tag in NO_P:
             close(frozenset(["p"]), P_EDGE)
@@ -207,7 +212,7 @@ class _Out:
         if self.blank and self.lines and self.lines[-1]:
             self.lines.append("")
         self.blank = False
-        lead = " " * self.indent
+        lead = " " * min(self.indent, MAX_INDENT)
         if self.marker and line:
             lead = lead[:max(0, len(lead) - len(self.marker))] + self.marker
             self.marker = ""
@@ -357,7 +362,10 @@ def render(page: str | None) -> str:
         elif tag in BLOCK:
             out.newline()
         todo.append((node, shown, True))
-        for kid in reversed(node.kids):
+        kids = node.kids
+        if tag == "details" and "open" not in node.attrs:
+            kids = [x for x in kids if not isinstance(x, str) and x.tag == "summary"][:1]
+        for kid in reversed(kids):
             todo.append((kid, shown, False))
             if tag == "mfrac":
                 todo.append((" ", shown, False))

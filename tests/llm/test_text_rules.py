@@ -1,6 +1,7 @@
 """Quality rules, classifier, placement, page text."""
 
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -244,3 +245,63 @@ def test_extract_awkward(spark):
     out = html_text.extract(df).collect()
     assert sorted((str(r.page_id), r.n_lines) for r in out) == [("1", 1), ("1", 1), ("2", 0), ("3", 1), ("None", 0)]
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("head, part", [("<p><object>", "<div>"), ("<b><table><tr><td>", "<i></b>"), ("<ul>", "<li><ul>x"), ("", "<table><tr><td>"),
+                                        ("<p>", "<span>a</p>"), ("<dl>", "<dt><b>"), ("<p><button>", "<em><p>"), ("<svg>", "<g><text>a"), ("<b>", "</i><u>")])
+def test_deep_pages_take_linear_time(head, part):
+    began = time.time()
+    html_text.render(head + part * (1_000_000 // len(part)))
+    assert time.time() - began < 20
+
+
+def test_closed_details_and_ruby_brackets():
+    assert html_text.render("<details><summary>S</summary>hidden <p>text</p></details>after") == "S\nafter"
+    assert html_text.render("<details open><summary>S</summary>shown</details>") == "S\nshown"
+    assert html_text.render("<details>only</details>x") == "x"
+    assert html_text.render("<ruby>a<rp>(</rp><rt>y</rt><rp>)</rp></ruby>") == "ay"
+
+
+def _plain_build(page):
+    """The open elements' tags after each tag of a page of simple tags, by walking the stack."""
+    stack, out = [], []
+    for m in re.finditer(r"<(/?)([a-z]+)>", page):
+        tag = m[2]
+        if m[1]:
+            if tag in stack:
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k] == tag:
+                        del stack[k:]
+                        break
+                    if stack[k] in html_text.END_EDGE and tag not in html_text.ANY_EDGE:
+                        break
+        else:
+            def close(tags, edge):
+                found = None
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i] in tags:
+                        found = i
+                    elif stack[i] in edge:
+                        break
+                if found is not None:
+                    del stack[found:]
+            if tag in html_text.NO_P:
+                close({"p"}, html_text.P_EDGE)
+            if tag in html_text.ENDS:
+                close(*html_text.ENDS[tag])
+            stack.append(tag)
+        out.append(tuple(stack))
+    return out[-1] if out else ()
+
+
+def test_open_elements_match_a_walk_of_the_stack():
+    import random
+    tags = "p div li ul td tr table th caption dt dd dl b span option select thead tbody object button".split()
+    for seed in range(400):
+        r = random.Random(seed)
+        page = "".join(f"<{'/' if r.random() < 0.3 else ''}{r.choice(tags)}>" for _ in range(r.randrange(1, 40)))
+        node, path = html_text.build(page + "!"), []
+        while node.kids and not isinstance(node.kids[-1], str):
+            node = node.kids[-1]
+            path.append(node.tag)
+        assert tuple(path) == _plain_build(page), page

@@ -15,7 +15,8 @@ benchmark or table gives an empty result (as a filter: all rows). Other columns
 
 Scale: narrow over the documents. The benchmark is the stated query set; it is read in blocks of at
 most BLOCK_TOKENS tokens, which is the bound of what a task holds, and the documents are scanned once
-a block.
+a block. Seeds that many items share are counted in bounded chunks before any pair is tiled, and equal
+tokens in a row cost no more to match than others.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from tessera.llm.common import id_and_text, slices
 MIN_MATCH = 5
 THRESHOLD = 0.5
 BLOCK_TOKENS = 1_000_000
+#: Meetings of document seeds and item places that are held together, beside those of one document.
+PAIRS = 1_000_000
 FIRST_LENGTH = 20
 _PUNCT = bytes(32 if chr(i) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\x1c\x1d\x1e\x1f" else i for i in range(256))
 _PRIME, _BASE = (1 << 61) - 1, 1_000_003
@@ -42,50 +45,81 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "replace").translate(_PUNCT).split()
 
 
-def _scan(doc, item, dfree, ifree, s: int) -> list[tuple[int, int, int]]:
+class _Hashes:
+    """Karp-Rabin hashes of all windows of a token list, from running sums."""
+
+    def __init__(self, seq: list[int]):
+        self.sums = [0]
+        for t in seq:
+            self.sums.append((self.sums[-1] * _BASE + t + 7) % _PRIME)
+
+    def of(self, k: int, n: int, lead: int) -> int:
+        return (self.sums[k + n] - self.sums[k] * lead) % _PRIME
+
+
+def _runs(free: list[bool]) -> list[int]:
+    """How many tokens from each place on are free."""
+    out, n = [0] * len(free), 0
+    for k in range(len(free) - 1, -1, -1):
+        n = n + 1 if free[k] else 0
+        out[k] = n
+    return out
+
+
+def _scan(doc, item, dhash, ihash, dfree, ifree, s: int, power) -> list[tuple[int, int, int]]:
     """Maximal matches (length, doc place, item place) of at least ``s`` unmarked tokens, found by
-    Karp-Rabin: every free doc window of ``s`` tokens is hashed, every free item window looked up."""
-    def windows(seq, free):
-        value, run, lead = 0, 0, pow(_BASE, s, _PRIME)
-        for k, t in enumerate(seq):
-            if not free[k]:
-                value = run = 0
-                continue
-            value, run = (value * _BASE + t + 7) % _PRIME, run + 1
-            if run > s:
-                value = (value - (seq[k - s] + 7) * lead) % _PRIME
-            if run >= s:
-                yield k - s + 1, value
-
-    places: dict[int, list[int]] = {}
-    for k, value in windows(doc, dfree):
-        places.setdefault(value, []).append(k)
+    Karp-Rabin: every free doc window of ``s`` tokens is hashed, every free item window looked up.
+
+    A match starts where the tokens on its left differ, so places are kept by the token on their left and
+    only those with another one are met; its end is found by halving on hashes. Runs of equal tokens so
+    cost no more than others."""
+    druns, iruns, lead = _runs(dfree), _runs(ifree), power(s)
+    left = lambda seq, free, k: seq[k - 1] if k and free[k - 1] else None
+    places: dict[int, dict[int | None, list[int]]] = {}
+    for k in range(len(doc) - s + 1):
+        if druns[k] >= s:
+            places.setdefault(dhash.of(k, s, lead), {}).setdefault(left(doc, dfree, k), []).append(k)
     found = []
-    for j, value in windows(item, ifree):
-        for i in places.get(value, ()):
-            if i and j and dfree[i - 1] and ifree[j - 1] and doc[i - 1] == item[j - 1]:
+    for j in range(len(item) - s + 1):
+        if iruns[j] < s:
+            continue
+        own = left(item, ifree, j)
+        for before, at in places.get(ihash.of(j, s, lead), {}).items():
+            if before is not None and before == own:
                 continue  # part of a match that starts earlier
-            n = 0
-            while i + n < len(doc) and j + n < len(item) and dfree[i + n] and ifree[j + n] and doc[i + n] == item[j + n]:
-                n += 1
-            if n >= s:
-                found.append((n, i, j))
+            for i in at:
+                sure, most = s, min(druns[i], iruns[j])
+                while sure < most:  # the longest prefix with equal hashes
+                    n = (sure + most + 1) // 2
+                    if dhash.of(i, n, power(n)) == ihash.of(j, n, power(n)):
+                        sure = n
+                    else:
+                        most = n - 1
+                found.append((sure, i, j))
     return found
 
 
 def tiles(doc: list[int], item: list[int], min_match: int = MIN_MATCH) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (doc place, item place, length) of the tiles. Negative tokens match nothing."""
     dfree, ifree = [t >= 0 for t in doc], [t >= 0 for t in item]
+    dhash, ihash, leads = _Hashes(doc), _Hashes(item), {}
+
+    def power(n: int) -> int:
+        if n not in leads:
+            leads[n] = pow(_BASE, n, _PRIME)
+        return leads[n]
+
     s, out = max(min_match, FIRST_LENGTH), []
     while True:
-        found = _scan(doc, item, dfree, ifree, s)
+        found = _scan(doc, item, dhash, ihash, dfree, ifree, s, power)
         longest = max((x[0] for x in found), default=0)
         if longest > 2 * s:
             s = longest
             continue
         marked = False
         for n, i, j in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
-            if all(dfree[i:i + n]) and all(ifree[j:j + n]):
+            # equal hashes are confirmed on the tokens before a tile is marked
+            if dfree[i] and ifree[j] and dfree[i + n - 1] and ifree[j + n - 1] and all(dfree[i:i + n]) and all(ifree[j:j + n]) and doc[i:i + n] == item[j:j + n]:
                 dfree[i:i + n] = [False] * n
                 ifree[j:j + n] = [False] * n
                 out.append((i, j, n))
@@ -109,6 +143,11 @@ class Block:
         at, seeds = self.seeds(flat)
         order = np.argsort(seeds, kind="stable")
         self.keys, self.where = seeds[order], place[at[order]]
+        self.lens = np.array([len(x) for x in self.items], dtype=np.int64)
+        # of each item: where in ``where`` the places of each of its seeds begin
+        by = np.argsort(self.where[:, 0], kind="stable")
+        self.of_item = np.searchsorted(self.keys, self.keys[by], "left")
+        self.edges = np.searchsorted(self.where[by, 0], np.arange(len(self.items) + 1))
 
     def seeds(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and hashes of all windows of k known tokens."""
@@ -132,33 +171,52 @@ class Block:
         for d, s in zip(known, starts[:-1]):
             flat[s:s + len(d)] = d
         at, h = self.seeds(flat)
-        lo, n = np.searchsorted(self.keys, h, "left"), None
+        lo = np.searchsorted(self.keys, h, "left")
         n = np.searchsorted(self.keys, h, "right") - lo
         at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
         if not len(at):
             return
         row = np.searchsorted(starts, at, "right") - 1
-        # pairs (row, item) with the item places and doc places that their seeds touch
-        rep = np.repeat(np.arange(len(at)), n)
-        hit = self.where[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))]
-        order = np.lexsort((hit[:, 0], row[rep]))
-        r, it, dp, ip = row[rep][order], hit[order, 0], (at[rep] - starts[row[rep]])[order], hit[order, 1]
-        edges = np.flatnonzero(np.concatenate([[True], (np.diff(r) != 0) | (np.diff(it) != 0), [True]]))
-        for a, b in zip(edges[:-1], edges[1:]):
-            d, item = known[r[a]], self.items[it[a]]
-            span = np.arange(self.k)
-            reach = np.unique(ip[a:b, None] + span)
-            if len(reach) < threshold * len(item):
-                continue  # every tile is made of seeds, so coverage can't reach the threshold
+        for r, item in self._candidates(row, lo, n, threshold):
+            a, b = np.searchsorted(row, [r, r + 1])
+            own = np.isin(lo[a:b], self.of_item[self.edges[item]:self.edges[item + 1]])
+            d = known[r]
             seen = np.full(len(d), -1, dtype=np.int64)
-            touched = np.unique(dp[a:b, None] + span)
+            touched = np.unique((at[a:b][own] - starts[r])[:, None] + np.arange(self.k))
             seen[touched] = np.array(d, dtype=np.int64)[touched]
             # untouched stretches shrink to one gap: they can't hold a tile
             keep = np.flatnonzero((seen >= 0) | np.concatenate([[False], seen[:-1] >= 0]))
-            found = [(int(keep[i]), j, m) for i, j, m in tiles(seen[keep].tolist(), item, self.k)]
-            covered = sum(m for _, _, m in found) / len(item)
+            found = [(int(keep[i]), j, m) for i, j, m in tiles(seen[keep].tolist(), self.items[item], self.k)]
+            covered = sum(m for _, _, m in found) / len(self.items[item])
             if covered >= threshold:
-                yield int(r[a]), self.ids[it[a]], covered, found
+                yield int(r), self.ids[item], covered, found
+
+    def _candidates(self, row: np.ndarray, lo: np.ndarray, n: np.ndarray, threshold: float) -> Iterator[tuple[int, int]]:
+        """(row, item) whose shared seeds reach enough of the item for ``threshold``: every tile is made of
+        seeds. A seed counts once a document, so a document meets each item place once at most, and rows
+        are taken together up to PAIRS meetings: however common a seed is, memory stays bounded."""
+        order = np.lexsort((lo, row))
+        row, lo, n = row[order], lo[order], n[order]
+        new = np.concatenate([[True], (row[1:] != row[:-1]) | (lo[1:] != lo[:-1])])
+        row, lo, n = row[new], lo[new], n[new]
+        edges = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1], [True]]))
+        upto = np.concatenate([[0], np.cumsum(n)])[edges]
+        g = 0
+        while g < len(edges) - 1:
+            stop = max(g + 1, int(np.searchsorted(upto, upto[g] + PAIRS, "right")) - 1)
+            a, b = edges[g], edges[stop]
+            g = stop
+            rep = np.repeat(np.arange(a, b), n[a:b])
+            inner = np.arange(len(rep)) - np.repeat(np.cumsum(n[a:b]) - n[a:b], n[a:b])
+            item, place = self.where[lo[rep] + inner].T
+            r = row[rep]
+            o = np.lexsort((place, item, r))
+            r, item, place = r[o], item[o], place[o]
+            cut = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (item[1:] != item[:-1])]))
+            step = np.minimum(np.concatenate([place[1:] - place[:-1], [self.k]]), self.k)
+            step[np.concatenate([cut[1:] - 1, [len(r) - 1]])] = self.k
+            enough = np.add.reduceat(step, cut) >= threshold * self.lens[item[cut]]
+            yield from zip(r[cut][enough].tolist(), item[cut][enough].tolist())
 
 
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", min_match: int = MIN_MATCH,

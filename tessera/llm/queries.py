@@ -19,7 +19,7 @@ def op3_best_fit_packing(spark, sf_dir):
 
 
 def op4_suffix_array_dedup(spark, sf_dir):
-    return suffix_dedup.digest(suffix_dedup.remove_repeats(documents(spark, sf_dir)))
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(documents(spark, sf_dir), with_bytes=False))
 
 
 def op5_quality_classifier(spark, sf_dir):

@@ -85,18 +85,28 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray,
     """(suffix array sorted by at least ``depth`` bytes, its places whose suffix shares ``h`` bytes with
     the one before, h), for texts under 2^20 bytes. Suffixes equal to that depth stand by place."""
     n = len(text)
-    values, code = np.unique(text, return_inverse=True)
+    values = np.flatnonzero(np.bincount(text, minlength=256))
     bits = max(1, int(len(values)).bit_length())
     h = max(1, min(43 // bits, depth))
     low = np.uint64(20)
     mask = np.uint64((1 << 20) - 1)
-    key = np.zeros(n, np.uint64)
-    code = np.concatenate([code.astype(np.uint64) + np.uint64(1), np.zeros(h, np.uint64)])
-    for k in range(h):
-        key = (key << np.uint64(bits)) | code[k:k + n]
-    key = np.sort((key << low) | np.arange(n, dtype=np.uint64))
+    code = np.zeros(256, np.uint64)
+    code[values] = np.arange(1, len(values) + 1)
+    # h bytes at every place as one number, from 1, 2, 4 .. bytes
+    of, size = {1: np.concatenate([code[text], np.zeros(h, np.uint64)])}, 1
+    while size * 2 <= h:
+        of[size * 2] = (of[size][:-size] << np.uint64(bits * size)) | of[size][size:]
+        size *= 2
+    key, done = of[size][:n], size
+    while done < h:
+        size = 1 << ((h - done).bit_length() - 1)
+        key, done = (key << np.uint64(bits * size)) | of[size][done:done + n], done + size
+    del of
+    key = (key << low) | np.arange(n, dtype=np.uint64)
+    key.sort()
     sa = (key & mask).astype(np.int64)
-    new = np.concatenate([[True], (key[1:] >> low) != (key[:-1] >> low)])
+    key >>= low
+    new = np.concatenate([[True], key[1:] != key[:-1]])
     rank = np.zeros(n + 1, np.int64)
     place = np.flatnonzero(new)
     rank[sa] = np.repeat(place, np.diff(np.append(place, n))) + 1  # 0: past the end
@@ -110,7 +120,8 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray,
         key.sort()
         at = (key & mask).astype(np.int64)
         sa[open_at] = at
-        first = np.concatenate([[True], (key[1:] >> low) != (key[:-1] >> low)])
+        key >>= low
+        first = np.concatenate([[True], key[1:] != key[:-1]])
         starts = np.flatnonzero(first)
         rank[at] = np.repeat(open_at[starts], np.diff(np.append(starts, len(at)))) + 1
         new[open_at] = first
@@ -415,9 +426,9 @@ def _merge(depth: int):
     return work
 
 
-def repeated_spans(docs: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
+def repeated_spans(docs: DataFrame, min_length: int = MIN_LENGTH, packed: DataFrame | None = None) -> DataFrame:
     """doc_id, start, number: runs of starts (byte offsets) whose string of ``min_length`` bytes also
-    starts earlier. ``docs`` has doc_id and text."""
+    starts earlier. ``docs`` has doc_id and text; ``packed`` its ``packed_texts``, if a caller has them."""
     if not GRAM <= min_length <= GRAM + 100:
         raise ValueError(f"min_length must be {GRAM} to {GRAM + 100}")
     named = docs.where(F.col("doc_id").isNotNull())
@@ -428,7 +439,8 @@ def repeated_spans(docs: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
     many = differ.groupBy(F.col("gram").alias("many_gram")).count().where(F.col("count") > MANY).select("many_gram", F.lit(True).alias("many"))
     flagged = differ.join(many, F.col("gram") == F.col("many_gram"), "left").withColumn("many", F.coalesce("many", F.lit(False)))
     asked = flagged.groupBy(F.col("doc_id").alias("asked_id")).agg(F.collect_list(F.struct("gram", "start", "shape", "many")).alias("asked"))
-    one_row = packed_texts(named).join(asked, F.col("doc_id") == F.col("asked_id")).select("doc_id", "packed", "asked")
+    packed = packed_texts(named) if packed is None else packed
+    one_row = packed.join(asked, F.col("doc_id") == F.col("asked_id")).select("doc_id", "packed", "asked")
     contexts = one_row.mapInArrow(_context_bytes(min_length), CONTEXTS)
     merged = contexts.repartition("part").sortWithinPartitions("part", "doc_id", "start").mapInArrow(_merge(min_length), "doc_id long, start long, number long")
     return found.where("shape < 0").select("doc_id", "start", (-F.col("shape")).cast("long").alias("number")).unionByName(merged)
@@ -452,21 +464,29 @@ def cut_text(text: bytes, spans: list[tuple[int, int]], min_length: int) -> tupl
     return b"".join([*kept, text[end:]]), n
 
 
-def remove_repeats(docs: DataFrame, min_length: int = MIN_LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes): one row per row of ``docs``."""
+def remove_repeats(docs: DataFrame, min_length: int = MIN_LENGTH, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, ``with_bytes``, kept: one row per row of ``docs``.
+
+    The compressed texts of the rows with an id go to both joins by document from one shuffle; rows
+    without an id are whole."""
     rows = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    spans = repeated_spans(rows, min_length).groupBy(F.col("doc_id").alias("cut_id")).agg(F.collect_list(F.struct("start", "number")).alias("spans"))
-    joined = packed_texts(rows).join(spans, F.col("doc_id") == F.col("cut_id"), "left").select("doc_id", "packed", "spans")
+    packed = packed_texts(rows.where(F.col("doc_id").isNotNull())).where(F.col("doc_id").isNotNull())
+    spans = repeated_spans(rows, min_length, packed).groupBy(F.col("doc_id").alias("cut_id")).agg(F.collect_list(F.struct("start", "number")).alias("spans"))
+    nothing = F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")
+    joined = packed.join(spans, F.col("doc_id") == F.col("cut_id"), "left").select("doc_id", "packed", "spans").unionByName(
+        packed_texts(rows.where(F.col("doc_id").isNull())).select("doc_id", "packed", nothing))
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_bytes else "")
 
     def cut(batches):
         for b in slices(batches, "packed", SLICE_BYTES // 2):
             out = []
             for doc_id, t, found in zip(b.column("doc_id").to_pylist(), _unpack(b.column("packed")), b.column("spans").to_pylist()):
                 kept, n = cut_text(t, [(x["start"], x["number"]) for x in found or ()], min_length)
-                out.append((doc_id, len(t), len(t) - len(kept), n, hashlib.sha256(kept).hexdigest(), kept))
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))],
-                                  names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+                out.append((doc_id, len(t), len(t) - len(kept), n, hashlib.sha256(kept).hexdigest(), kept if with_bytes else None))
+            cols = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+            yield pa.record_batch(cols if with_bytes else cols[:-1], names=names if with_bytes else names[:-1])
+    return joined.mapInArrow(cut, schema)
 
 
 def digest(result: DataFrame) -> DataFrame:

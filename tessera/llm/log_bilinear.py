@@ -25,6 +25,7 @@ their count in a join by hash, after counting inside each document, and are summ
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -53,12 +54,24 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
 
 
-def word_hash(w: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(w) - (1 << 63)
+def word_hashes(ws: list[bytes]) -> np.ndarray:
+    """64-bit hashes, less 2^63 so that they are signed."""
+    return (np.fromiter(map(xxhash.xxh3_64_intdigest, ws), np.uint64, len(ws)) ^ np.uint64(1 << 63)).view(np.int64)
 
 
-def ending_class(w: bytes) -> int:
-    return 1 + FREQUENT + zlib.crc32(w[-2:]) % ENDINGS
+class _Endings(dict):
+    """Last two bytes -> ending class; each pair is hashed once."""
+
+    def __missing__(self, end: bytes) -> int:
+        self[end] = value = 1 + FREQUENT + zlib.crc32(end) % ENDINGS
+        return value
+
+
+_ENDINGS = _Endings()
+
+
+def ending_classes(ws: list[bytes]) -> np.ndarray:
+    return np.fromiter([_ENDINGS[w[-2:]] for w in ws], np.int32, len(ws))
 
 
 def _indexed(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -72,16 +85,15 @@ def _indexed(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 
 def _count_batches(batches):
     """(word hash, ending class, count), summed inside the task as far as FLUSH distinct words allow."""
-    held: dict[bytes, int] = {}
+    held: Counter[bytes] = Counter()
 
     def rows():
         keys = list(held)
-        return pa.record_batch([pa.array([word_hash(w) for w in keys], pa.int64()), pa.array([ending_class(w) for w in keys], pa.int32()),
-                                pa.array(list(held.values()), pa.int64())], names=["h", "ending", "n"])
+        return pa.record_batch([pa.array(word_hashes(keys)), pa.array(ending_classes(keys)), pa.array(list(held.values()), pa.int64())],
+                               names=["h", "ending", "n"])
     for b in slices(batches):
-        distinct, index, _ = _indexed(b.column("text").to_pylist())
-        for w, n in zip(distinct, np.bincount(index, minlength=len(distinct)).tolist()):
-            held[w] = held.get(w, 0) + n
+        for text in b.column("text").to_pylist():
+            held.update(words(text))
         if len(held) > FLUSH:
             yield rows()
             held.clear()
@@ -110,6 +122,15 @@ def top_words(counts: DataFrame, most: int | None = None) -> tuple[np.ndarray, n
     return h[order], n[order], endings[order]
 
 
+def _sums(classes: np.ndarray, rows: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """The classes that occur, ascending, with the sums of their rows (and of ``more``): classes are small
+    numbers, so their sort is a radix sort, and the sums take as long as the rows are many."""
+    order = np.argsort(classes.astype(np.int16), kind="stable")
+    sorted_ = classes[order]
+    first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    return sorted_[first], np.add.reduceat(rows[order], first, axis=0), None if more is None else np.add.reduceat(more[order], first)
+
+
 class Model:
     """Class vectors, context maps and biases, with the counts that the class shares need."""
 
@@ -152,21 +173,20 @@ class Model:
             m = len(w)
             dctx = up[:, None] * qw + down @ qn
             g = {"c1": dctx.T @ r1 / m, "c2": dctx.T @ r2 / m}
-            sizes = np.concatenate([w, n])
-            rows, back = np.unique(sizes, return_inverse=True)
-            pick = np.zeros((len(rows), m), np.float32)
-            pick[back[:m], np.arange(m)] = up
-            dq = pick @ ctx
-            np.add.at(dq, back[m:], down.T @ ctx)
-            db = pick.sum(1)
-            np.add.at(db, back[m:], down.sum(0))
-            self._move("q", rows, dq / m, state)
-            self._move("b", rows, db / m, state)
-            rows, back = np.unique(np.concatenate([i, j]), return_inverse=True)
-            dr = np.zeros((len(rows), DIM), np.float32)
-            both = np.concatenate([dctx @ p["c1"], dctx @ p["c2"]])
-            order = np.argsort(back, kind="stable")
-            dr[:] = np.add.reduceat(both[order], np.searchsorted(back[order], np.arange(len(rows))), axis=0)
+            # the noise classes are few and any may repeat; a data class gets the sum of its own rows
+            rows, dq, db = _sums(w, up[:, None] * ctx, up)
+            some, back = np.unique(n, return_inverse=True)
+            dn, bn = np.zeros((len(some), DIM), np.float32), np.zeros(len(some), np.float32)
+            np.add.at(dn, back, down.T @ ctx)
+            np.add.at(bn, back, down.sum(0))
+            at = np.minimum(np.searchsorted(rows, some), len(rows) - 1)
+            both = rows[at] == some
+            dq[at[both]] += dn[both]
+            db[at[both]] += bn[both]
+            for r, q, bias in ((rows, dq, db), (some[~both], dn[~both], bn[~both])):
+                self._move("q", r, q / m, state)
+                self._move("b", r, bias / m, state)
+            rows, dr, _ = _sums(np.concatenate([i, j]), np.concatenate([dctx @ p["c1"], dctx @ p["c2"]]))
             self._move("r", rows, dr / m, state)
             for k in ("c1", "c2"):
                 self._move(k, slice(None), g[k], state)
@@ -199,14 +219,14 @@ class Lexicon:
 
     def look_up(self, distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """hash, class, count (-1: not among the top words), and whether the class is the word's own."""
-        h = np.array([word_hash(w) for w in distinct], np.int64)
+        h = word_hashes(distinct)
         if not len(self.h) or not len(h):
             at, known = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
         else:
             at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
             known = self.h[at] == h
         own = np.where(known, self.own[at] if len(self.h) else 0, 0)
-        endings = np.array([ending_class(w) for w in distinct], np.int32)
+        endings = ending_classes(distinct)
         return h, np.where(own > 0, own, endings), np.where(known, self.n[at] if len(self.h) else 0, -1), own > 0
 
 

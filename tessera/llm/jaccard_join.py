@@ -3,7 +3,7 @@
 A document is the set of its 5-word shingles (64-bit hashes; a text of one to four words is one
 shingle). Texts with equal sets form a class; one representative of each goes on. MinHash bands find
 candidates: BANDS bands of ROWS values miss a pair at 0.8 with probability (1 - 0.8^6)^48 = 5e-7.
-Representatives that share a bucket, directly or in a chain, form a cluster. Inside a cluster
+Pairs of representatives that share a bucket are candidates. Their
 MinHash values are compared CHUNK at a time; a pair is dropped once the posterior probability
 (uniform prior, binomial likelihood) that its similarity reaches the threshold falls below TOLERANCE.
 Every pair left is verified on the exact shingle sets in integers.
@@ -19,9 +19,13 @@ repeated rows are copies of each other and each gets its row; an id is taken to
 without an id is not compared and has no links; an empty table gives an empty result; other columns
 are ignored.
 
-Scale: sketches (400 bytes a document) are one narrow pass. A cluster is dealt into blocks of about
-BLOCK documents and BLOCK_SHINGLES shingles; every pair of its blocks is a group of its own, so a
-cluster of any size is spread over many tasks and a task holds two blocks at most. Nothing is capped.
+Scale: sketches (400 bytes a document) are one narrow pass. Each bucket has a leader, its smallest
+representative, and each leader a weight, the rows of the buckets that it leads; a representative goes
+to the heaviest leader among its buckets. A leader's followers are dealt into units of about BLOCK
+documents and BLOCK_SHINGLES shingles. Two units meet only if a bucket holds members of both, so texts
+that merely hang together in a chain never meet, and a task holds two units at most. Members of a bucket
+of m rows follow leaders of weight m or more, of which 48 N / m exist: a bucket has at most sqrt(48 N)
+leaders besides the units that a large following is dealt into. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -44,6 +48,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 48, 6
 CHUNK, TOLERANCE = 32, 1e-9
 BLOCK, BLOCK_SHINGLES = 512, 2_000_000
+PARTNERS = 4_096
 _R = np.random.default_rng(20_011)
 _MULT = _R.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _R.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -92,6 +97,15 @@ def set_key(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def band_values(sig: np.ndarray) -> np.ndarray:
+    """The bucket of each band, for MinHash values in rows of BANDS * ROWS."""
+    x = sig.reshape(-1, BANDS, ROWS)
+    v = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX, (len(x), 1))
+    for k in range(ROWS):
+        v = _mix(v + x[:, :, k])
+    return v
+
+
 def _sketch_batches(batches):
     for b in slices(batches):
         sets = shingle_sets(b.column("text").to_pylist())
@@ -99,11 +113,7 @@ def _sketch_batches(batches):
         for s in sets:
             keys.append(set_key(s) if len(s) else None)
             if len(s):
-                x = minhash(s).reshape(BANDS, ROWS)
-                v = np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX
-                for k in range(ROWS):
-                    v = _mix(v + x[:, k])
-                bands.append(v.view(np.int64))
+                bands.append(band_values(minhash(s))[0].view(np.int64))
             else:
                 bands.append(np.zeros(0, np.int64))
         yield pa.record_batch([b.column("doc_id"), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
@@ -162,17 +172,36 @@ def _common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total[place[a], place[b]].astype(np.int64)
 
 
+def sharing_pairs(bands: np.ndarray, side: np.ndarray, one_block: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (a < b) of one block, or between its sides 0 and 1, that share a bucket; all its pairs
+    where they are fewer than the meetings in buckets."""
+    n, ones = len(bands), int(side.sum())
+    every = n * (n - 1) // 2 if one_block else ones * (n - ones)
+    flat = bands.reshape(-1)
+    order = np.argsort(flat, kind="stable")
+    start = np.flatnonzero(np.concatenate([[True], flat[order[1:]] != flat[order[:-1]], [True]]))
+    size = np.diff(start)
+    later = np.repeat(start[1:], size) - np.arange(len(flat)) - 1
+    if later.sum() >= every:
+        if one_block:
+            return np.triu_indices(n, 1)
+        return tuple(x.reshape(-1) for x in np.meshgrid(np.flatnonzero(side == 0), np.flatnonzero(side == 1), indexing="ij"))
+    left = np.repeat(np.arange(len(flat)), later)
+    right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(later) - later, later)
+    row = order // BANDS
+    a, b = np.minimum(row[left], row[right]), np.maximum(row[left], row[right])
+    pairs = np.unique((a * n + b)[(a < b) if one_block else (side[a] != side[b])])
+    return pairs // n, pairs % n
+
+
 def block_links(rep: np.ndarray, side: np.ndarray, one_block: bool, sig: np.ndarray, sets: list[np.ndarray],
                 least: dict[int, int], threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs (places) of one block, or between its sides 0 and 1."""
     size = np.array([len(s) for s in sets])
-    left, right = (np.arange(len(rep)), np.arange(len(rep))) if one_block else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    left, right = sharing_pairs(band_values(sig), side, one_block)
     found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    rows = max(1, 65_536 // max(1, len(right)))
-    for lo in range(0, len(left), rows):
-        a, b = (x.reshape(-1) for x in np.meshgrid(left[lo:lo + rows], right, indexing="ij"))
-        if one_block:
-            a, b = a[a < b], b[a < b]
+    for lo in range(0, len(left), 65_536):
+        a, b = left[lo:lo + 65_536], right[lo:lo + 65_536]
         keep = _likely(sig, a, b, least)
         found_a.append(a[keep])
         found_b.append(b[keep])
@@ -221,14 +250,32 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.mapInArrow(_sketch_batches, "doc_id long, key binary, n long, bands array<long>")
 
 
-def _clusters(classes: DataFrame) -> DataFrame:
-    """rep, key, copies, cluster, n_blocks of all representatives that share a bucket with another."""
+def _units(classes: DataFrame) -> DataFrame:
+    """rep, key, copies, unit, partners: the units that each representative's unit meets, itself included.
+    Partners come in rows of at most about PARTNERS."""
     flat = classes.select("rep", F.explode("bands").alias("bucket"))
-    shared = flat.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").select("bucket", "leader")
-    roots = components(flat.join(shared, "bucket").select(F.col("rep").alias("a"), F.col("leader").alias("b")))
-    members = classes.select("rep", "key", "n", "copies").join(roots.select(F.col("node").alias("rep"), F.col("root").alias("cluster")), "rep")
-    sizes = members.groupBy("cluster").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("n_blocks"))
-    return members.join(sizes, "cluster")
+    shared = flat.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("rows")).where("leader < last")
+    shared = checkpoint(shared.select("bucket", "leader", "rows"))
+    weights = shared.groupBy("leader").agg(F.sum("rows").alias("weight"))
+    led = checkpoint(flat.join(shared.select("bucket", "leader").join(weights, "leader"), "bucket"))
+    heaviest = F.max(F.struct("weight", (-F.col("leader")).alias("minus"))).alias("top")
+    follows = led.groupBy("rep").agg(heaviest).select("rep", (-F.col("top.minus")).alias("leader"))
+    members = classes.select("rep", "key", "n", "copies").join(follows, "rep")
+    sizes = members.groupBy("leader").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("n_units"))
+    unit = F.xxhash64("leader", F.pmod(F.xxhash64("rep", "key"), F.col("n_units")))
+    members = checkpoint(members.join(sizes, "leader").select("rep", "key", "copies", unit.alias("unit")))
+    inside = led.select("rep", "bucket").join(members.select("rep", "unit"), "rep").groupBy("bucket", "unit").agg(F.count(F.lit(1)).alias("rows"))
+    inside = checkpoint(inside)
+    mixed = inside.groupBy("bucket").agg(F.min("unit").alias("low"), F.max("unit").alias("high")).where("low < high").select("bucket")
+    several = inside.select("bucket", "unit").join(mixed, "bucket")
+    meet = several.withColumnRenamed("unit", "i").join(several.withColumnRenamed("unit", "j"), "bucket").where("i < j").select("i", "j").distinct()
+    meet = checkpoint(meet.unionByName(inside.where("rows > 1").select(F.col("unit").alias("i"), F.col("unit").alias("j")).distinct()))
+    both = meet.select(F.col("i").alias("unit"), F.col("j").alias("partner")).unionByName(
+        meet.where("i < j").select(F.col("j").alias("unit"), F.col("i").alias("partner")))
+    parts = both.groupBy("unit").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("n_parts"))
+    lists = both.join(parts, "unit").withColumn("part", F.pmod(F.xxhash64("partner"), F.col("n_parts"))).groupBy("unit", "part").agg(
+        F.collect_list("partner").alias("partners"))
+    return members.join(lists.select("unit", "partners"), "unit")
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -237,33 +284,32 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     has_key = F.col("key").isNotNull() & F.col("doc_id").isNotNull()
     keyed = sketched.where(has_key)
     classes = checkpoint(keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    members = _clusters(classes)
+    members = _units(classes)
     rows = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    texts = rows.join(members, rows["doc_id"] == members["rep"]).select("rep", "key", "copies", "cluster", "n_blocks", "text")
+    texts = rows.join(members, rows["doc_id"] == members["rep"]).select("rep", "key", "copies", "unit", "partners", "text")
 
     def payload(batches):
         for b in slices(batches):
             sets = shingle_sets(b.column("text").to_pylist())
             keep = [i for i, (s, k) in enumerate(zip(sets, b.column("key").to_pylist())) if len(s) and set_key(s) == k]
             part = b.take(pa.array(keep, pa.int64()))
-            yield pa.record_batch([part.column(c) for c in ("rep", "copies", "cluster", "n_blocks", "key")]
+            yield pa.record_batch([part.column(c) for c in ("rep", "copies", "unit", "partners", "key")]
                                   + [pa.array([minhash(sets[i]).tobytes() for i in keep], pa.binary()), pa.array([sets[i].tobytes() for i in keep], pa.binary())],
-                                  names=["rep", "copies", "cluster", "n_blocks", "key", "sig", "shingles"])
+                                  names=["rep", "copies", "unit", "partners", "key", "sig", "shingles"])
 
-    packed = texts.mapInArrow(payload, "rep long, copies long, cluster long, n_blocks int, key binary, sig binary, shingles binary")
-    block = F.pmod(F.xxhash64("rep", "key"), F.col("n_blocks")).cast("int")
-    dealt = packed.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
-        "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "copies", "key", "sig", "shingles")
+    packed = texts.mapInArrow(payload, "rep long, copies long, unit long, partners array<long>, key binary, sig binary, shingles binary")
+    dealt = packed.withColumn("other", F.explode("partners")).select(
+        F.least("unit", "other").alias("i"), F.greatest("unit", "other").alias("j"), "unit", "rep", "copies", "key", "sig", "shingles")
     least, limit = least_matches(threshold), Fraction(threshold).limit_denominator(1_000_000)
 
     def compare(batches):
-        for t in _grouped(batches, ["cluster", "i", "j"]):
+        for t in _grouped(batches, ["i", "j"]):
             keys = t.column("key").to_pylist()
             first = [k for k, x in enumerate(keys) if x not in keys[:k]] if len(keys) < 3 else sorted({x: k for k, x in reversed(list(enumerate(keys)))}.values())
             if len(first) < 2:
                 continue
             t = t.take(pa.array(first, pa.int64()))
-            rep, copies, side = (t.column(c).to_numpy() for c in ("rep", "copies", "block"))
+            rep, copies, side = (t.column(c).to_numpy() for c in ("rep", "copies", "unit"))
             i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
             sig = np.stack([np.frombuffer(x, np.uint32) for x in t.column("sig").to_pylist()])
             sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
@@ -278,7 +324,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
             yield pa.record_batch([pa.array([t.column("key")[int(k)].as_py() for k in use], pa.binary()), pa.array(rep[use]), pa.array(label[use]), pa.array(texts_linked[use].astype(np.int64)), pa.array(docs_linked[use].astype(np.int64))],
                                   names=["key", "rep", "label", "texts", "docs"])
 
-    found = checkpoint(dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(
+    found = checkpoint(dealt.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(
         compare, "key binary, rep long, label long, texts long, docs long"))
     groups = components(found.select(F.col("rep").alias("a"), F.col("label").alias("b")))
     totals = found.groupBy("key").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest_llm import SMALL, near_group, prose
 from tessera.llm import graph, jaccard_join, log_bilinear, packing, pii_tagger, string_tiling, suffix_dedup
@@ -476,6 +477,39 @@ def test_links_match_brute_force(spark, monkeypatch, block):
     assert got[400].n_links == 2 and got[400].n_text_links == 0 and got[402].n_links == 0 and got[404].n_links == 1
 
 
+def _chain(n, base):
+    """Texts of 100 words, each sharing 72 of its 96 shingles with the next: 0.6, and none with the one after four."""
+    words = prose(24 * n + 100, 77).split()
+    return [(base + i, " ".join(f"{w}{24 * i + k}" for k, w in enumerate(words[24 * i:24 * i + 100]))) for i in range(n)]
+
+
+def test_a_chain_compares_only_pairs_that_share_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    met = {}
+    for n in (150, 600):
+        sketched = jaccard_join.sketches(spark.createDataFrame(_chain(n, 1000), "doc_id long, text string").repartition(4))
+        classes = sketched.select(F.col("doc_id").alias("rep"), "key", "n", F.lit(1).alias("copies"), "bands")
+        met[n] = jaccard_join._units(classes).select(F.sum(F.size("partners"))).first()[0] / n
+    assert met[600] < 8 and met[600] < 1.2 * met[150]  # copies of a text sent to groups: no growth with the chain
+    rows = _chain(150, 1000) + near_group(40, 100)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.links(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == _links_brute(rows)
+
+
+def test_sharing_pairs_match_brute_force():
+    rng = np.random.default_rng(3)
+    for values in (2, 60, 5000):
+        bands = (np.arange(jaccard_join.BANDS) * 10_000 + rng.integers(0, values, (40, jaccard_join.BANDS))).astype(np.uint64)
+        side = rng.integers(0, 2, 40)
+        for one in (True, False):
+            a, b = jaccard_join.sharing_pairs(bands, side, one)
+            got = {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())}
+            allowed = {(x, y) for x in range(40) for y in range(x + 1, 40) if one or side[x] != side[y]}
+            want = {(x, y) for x, y in allowed if (bands[x] == bands[y]).any()}
+            assert len(a) == len(got) and want <= got <= allowed
+            assert got == want or len(allowed) <= sum((bands[x] == bands[y]).sum() for x in range(40) for y in range(x + 1, 40))
+
+
 def test_pruning_bounds_are_the_posterior():
     least = jaccard_join.least_matches(0.8, 1e-9)
     for n, m in least.items():

@@ -13,28 +13,35 @@ tokens can't be told from chance and matches nothing; repeated documents are rep
 repeated items each under its own id; with equal lengths the earlier place is marked first; an empty
 benchmark or table gives an empty result (as a filter: all rows). Other columns are ignored.
 
-Scale: narrow over the documents. The benchmark is the stated query set; it is read in blocks of at
-most BLOCK_TOKENS tokens, which is the bound of what a task holds, and the documents are scanned once
-a block. Seeds that many items share are counted in bounded chunks before any pair is tiled, and equal
-tokens in a row cost no more to match than others.
+Tokens and seeds are compared as 64-bit hashes; different tokens of equal hash are expected once in
+some 10^19 pairs.
+
+Scale: the benchmark stays a table of any size. Tasks know it by two bitmaps of fixed size (FILTER_BITS):
+the seeds of all items, and the selective ones. An item's selective seeds are those left when its seeds
+that most items share go, as long as the ones gone could not reach ``threshold`` together: a
+contaminated document holds a selective seed for certain, and a phrase that opens every item brings no
+pairs. One scan of the documents cuts those with a selective seed down to the stretches that seeds cover;
+these meet the items in hash joins, on seeds and then on the pairs found, and each pair is tiled as one
+row. Equal items and repeated documents are tiled once. False hits of the bitmaps go in the joins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import id_and_text, slices
+from tessera.llm.common import checkpoint, id_and_text, slices
 
 MIN_MATCH = 5
 THRESHOLD = 0.5
-BLOCK_TOKENS = 1_000_000
-#: Meetings of document seeds and item places that are held together, beside those of one document.
-PAIRS = 1_000_000
+#: Bits of each bitmap of seeds: 4 MB, whatever the benchmark.
+FILTER_BITS = 1 << 25
+_BUCKET = 32_768  # bits of one aggregate of Spark's bitmap functions
 FIRST_LENGTH = 20
 _PUNCT = bytes(32 if chr(i) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\x1c\x1d\x1e\x1f" else i for i in range(256))
 _PRIME, _BASE = (1 << 61) - 1, 1_000_003
@@ -131,141 +138,193 @@ def tiles(doc: list[int], item: list[int], min_match: int = MIN_MATCH) -> list[t
         s = max(min_match, s // 2)
 
 
-class Block:
-    """A bounded part of the benchmark with its vocabulary and seeds."""
-
-    def __init__(self, items: list[tuple[int, list[bytes]]], min_match: int):
-        self.k, self.ids = min_match, [i for i, _ in items]
-        self.vocab: dict[bytes, int] = {}
-        self.items = [[self.vocab.setdefault(t, len(self.vocab)) for t in words] for _, words in items]
-        flat = np.array([t for x in self.items for t in [*x, -1]], dtype=np.int64)
-        place = np.array([(n, p) for n, x in enumerate(self.items) for p in range(len(x) + 1)], dtype=np.int64).reshape(-1, 2)
-        at, seeds = self.seeds(flat)
-        order = np.argsort(seeds, kind="stable")
-        self.keys, self.where = seeds[order], place[at[order]]
-        self.lens = np.array([len(x) for x in self.items], dtype=np.int64)
-        # of each item: where in ``where`` the places of each of its seeds begin
-        by = np.argsort(self.where[:, 0], kind="stable")
-        self.of_item = np.searchsorted(self.keys, self.keys[by], "left")
-        self.edges = np.searchsorted(self.where[by, 0], np.arange(len(self.items) + 1))
-
-    def seeds(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and hashes of all windows of k known tokens."""
-        n = len(flat) - self.k + 1
-        if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        bad = np.concatenate([[0], np.cumsum(flat < 0)])
-        at = np.flatnonzero(bad[self.k:] == bad[:-self.k])
-        h = np.zeros(len(at), np.uint64)
-        for k in range(self.k):
-            h = (h ^ flat[at + k].astype(np.uint64)) * _MIX
-            h ^= h >> np.uint64(29)
-        return at, h
-
-    def matches(self, docs: list[list[bytes]], threshold: float) -> Iterator[tuple[int, int, float, list]]:
-        """(row, item, coverage, tiles) of the contaminated documents."""
-        get = self.vocab.get
-        known = [[get(t, -1) for t in d] for d in docs]
-        starts = np.cumsum([0, *(len(d) + 1 for d in known)])
-        flat = np.full(int(starts[-1]), -1, dtype=np.int64)
-        for d, s in zip(known, starts[:-1]):
-            flat[s:s + len(d)] = d
-        at, h = self.seeds(flat)
-        lo = np.searchsorted(self.keys, h, "left")
-        n = np.searchsorted(self.keys, h, "right") - lo
-        at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-        if not len(at):
-            return
-        row = np.searchsorted(starts, at, "right") - 1
-        for r, item in self._candidates(row, lo, n, threshold):
-            a, b = np.searchsorted(row, [r, r + 1])
-            own = np.isin(lo[a:b], self.of_item[self.edges[item]:self.edges[item + 1]])
-            d = known[r]
-            seen = np.full(len(d), -1, dtype=np.int64)
-            touched = np.unique((at[a:b][own] - starts[r])[:, None] + np.arange(self.k))
-            seen[touched] = np.array(d, dtype=np.int64)[touched]
-            # untouched stretches shrink to one gap: they can't hold a tile
-            keep = np.flatnonzero((seen >= 0) | np.concatenate([[False], seen[:-1] >= 0]))
-            found = [(int(keep[i]), j, m) for i, j, m in tiles(seen[keep].tolist(), self.items[item], self.k)]
-            covered = sum(m for _, _, m in found) / len(self.items[item])
-            if covered >= threshold:
-                yield int(r), self.ids[item], covered, found
-
-    def _candidates(self, row: np.ndarray, lo: np.ndarray, n: np.ndarray, threshold: float) -> Iterator[tuple[int, int]]:
-        """(row, item) whose shared seeds reach enough of the item for ``threshold``: every tile is made of
-        seeds. A seed counts once a document, so a document meets each item place once at most, and rows
-        are taken together up to PAIRS meetings: however common a seed is, memory stays bounded."""
-        order = np.lexsort((lo, row))
-        row, lo, n = row[order], lo[order], n[order]
-        new = np.concatenate([[True], (row[1:] != row[:-1]) | (lo[1:] != lo[:-1])])
-        row, lo, n = row[new], lo[new], n[new]
-        edges = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1], [True]]))
-        upto = np.concatenate([[0], np.cumsum(n)])[edges]
-        g = 0
-        while g < len(edges) - 1:
-            stop = max(g + 1, int(np.searchsorted(upto, upto[g] + PAIRS, "right")) - 1)
-            a, b = edges[g], edges[stop]
-            g = stop
-            rep = np.repeat(np.arange(a, b), n[a:b])
-            inner = np.arange(len(rep)) - np.repeat(np.cumsum(n[a:b]) - n[a:b], n[a:b])
-            item, place = self.where[lo[rep] + inner].T
-            r = row[rep]
-            o = np.lexsort((place, item, r))
-            r, item, place = r[o], item[o], place[o]
-            cut = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (item[1:] != item[:-1])]))
-            step = np.minimum(np.concatenate([place[1:] - place[:-1], [self.k]]), self.k)
-            step[np.concatenate([cut[1:] - 1, [len(r) - 1]])] = self.k
-            enough = np.add.reduceat(step, cut) >= threshold * self.lens[item[cut]]
-            yield from zip(r[cut][enough].tolist(), item[cut][enough].tolist())
-
-
-def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", min_match: int = MIN_MATCH,
-           block_tokens: int = BLOCK_TOKENS) -> Iterator[Block]:
-    """The benchmark in blocks; the driver holds one at a time. A single longer item is a block of its own."""
-    items, size = [], 0
-    for row in benchmark.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")).toLocalIterator():
-        words = tokens(row[1])
-        if len(words) < min_match:
-            continue
-        if items and size + len(words) > block_tokens:
-            yield Block(items, min_match)
-            items, size = [], 0
-        items.append((row[0], words))
-        size += len(words)
-    if items:
-        yield Block(items, min_match)
-
-
-SCHEMA = "doc_id long, item_id long, coverage double, n_tiles long, tiles string"
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, min_match: int = MIN_MATCH,
-                 block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def hashed_tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed tokens of all texts in a row, and where each text begins in it (one more at the end)."""
+    lists = [tokens(t) for t in texts]
+    flat = [w for x in lists for w in x]
+    distinct = dict.fromkeys(flat)
+    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in distinct], np.uint64)
+    for n, w in enumerate(distinct):
+        distinct[w] = n
+    words = hashes[np.fromiter(map(distinct.__getitem__, flat), np.int64, len(flat))]
+    return words, np.cumsum([0, *map(len, lists)])
+
+
+def seeds_of(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all windows of k tokens."""
+    n = max(len(words) - k + 1, 0)
+    h = np.zeros(n, np.uint64)
+    for i in range(k if n else 0):
+        h = (h ^ words[i:i + n]) * _MIX
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def spread(at: np.ndarray, k: int, n: int) -> np.ndarray:
+    """Which of n places the windows of k places at ``at`` cover."""
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, at, 1)
+    np.add.at(change, at + k, -1)
+    return np.cumsum(change[:-1]) > 0
+
+
+def selective(seeds: np.ndarray, shared_by: dict[int, int], k: int, threshold: float) -> np.ndarray:
+    """The distinct seeds of an item left when the most shared ones go while they cover less than
+    ``threshold`` of its tokens. ``shared_by``: seed -> items that hold it."""
+    n = len(seeds) + k - 1
+    distinct, first = np.unique(seeds, return_inverse=True)
+    order = np.lexsort((distinct, -np.array([shared_by[int(x)] for x in distinct.view(np.int64)])))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    of_place = rank[first]  # of each window: when its seed goes
+    none, all_gone = 0, len(order)
+    while all_gone - none > 1:  # the most seeds that may go: covering grows with them
+        mid = (none + all_gone) // 2
+        if spread(np.flatnonzero(of_place < mid), k, n).sum() / n < threshold:
+            none = mid
+        else:
+            all_gone = mid
+    return distinct[order[none:]]
+
+
+def tile_pair(places: np.ndarray, words: np.ndarray, item: np.ndarray, k: int, threshold: float) -> tuple[float, list] | None:
+    """Coverage and tiles of an item by the kept stretches of a document (hashed tokens and their places),
+    None below ``threshold``."""
+    own, wanted = seeds_of(words, k), seeds_of(item, k)
+    own_ok = places[k - 1:] - places[:len(own)] == k - 1  # windows inside one stretch
+    shared = own_ok & np.isin(own, wanted)
+    if spread(np.flatnonzero(np.isin(wanted, own[shared])), k, len(item)).sum() / len(item) < threshold:
+        return None  # tiles are made of shared seeds
+    keep = np.flatnonzero(spread(np.flatnonzero(shared), k, len(words)))
+    vocab, numbered = np.unique(item, return_inverse=True)
+    doc, at, before = [], [], None
+    for p, t in zip(places[keep].tolist(), np.searchsorted(vocab, words[keep]).tolist()):
+        if before is not None and p != before + 1:
+            doc.append(-1)  # other tokens in between: no tile crosses them
+            at.append(-1)
+        doc.append(t)
+        at.append(p)
+        before = p
+    found = [(at[i], j, m) for i, j, m in tiles(doc, numbered.tolist(), k)]
+    covered = sum(m for _, _, m in found) / len(item)
+    return (covered, found) if covered >= threshold else None
+
+
+def bitmap(seeds: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits, those at the seeds' hashes set: at most FILTER_BITS / 32768 rows of 4 kB to the driver."""
+    at = F.col("seed").bitwiseAND(F.lit(FILTER_BITS - 1).cast("long"))
+    rows = seeds.select(at.alias("at")).groupBy(F.floor(F.col("at") / _BUCKET).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.col("at") % _BUCKET).alias("bits")).collect()
+    out = bytearray(FILTER_BITS // 8)
+    for r in rows:
+        out[r.bucket * _BUCKET // 8:(r.bucket + 1) * _BUCKET // 8] = r.bits
+    return np.frombuffer(bytes(out), np.uint8)
+
+
+def _holds(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h & np.uint64(FILTER_BITS - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _items(benchmark: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """item_id, content, words: the hashed tokens of items long enough, equal ones with equal ``content``."""
+    def read(batches):
+        for b in slices(batches):
+            words, start = hashed_tokens(b.column("text").to_pylist())
+            long = np.flatnonzero(np.diff(start) >= k)
+            parts = [words[start[i]:start[i + 1]].tobytes() for i in long]
+            yield pa.record_batch([b.column("doc_id").take(pa.array(long)), pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in parts], pa.binary()),
+                                   pa.array(parts, pa.binary())], names=["item_id", "content", "words"])
+    rows = id_and_text(benchmark, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return rows.mapInArrow(read, "item_id long, content binary, words binary")
+
+
+def _selective(contents: DataFrame, k: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(seed, content) of all seeds of the distinct items, and of the selective ones."""
+    def all_seeds(batches):
+        for b in batches:
+            for content, words in zip(b.column("content"), b.column("words").to_pylist()):
+                h = np.unique(seeds_of(np.frombuffer(words, np.uint64), k)).view(np.int64)
+                yield pa.record_batch([pa.array(h), pa.array([content.as_py()] * len(h), pa.binary())], names=["seed", "content"])
+
+    def choose(batches):
+        for b in batches:
+            for content, words, seeds, times in zip(*(b.column(c).to_pylist() for c in ("content", "words", "seeds", "times"))):
+                h = selective(seeds_of(np.frombuffer(words, np.uint64), k), dict(zip(seeds, times)), k, threshold).view(np.int64)
+                yield pa.record_batch([pa.array(h), pa.array([content] * len(h), pa.binary())], names=["seed", "content"])
+
+    every = checkpoint(contents.mapInArrow(all_seeds, "seed long, content binary"))
+    times = every.groupBy("seed").agg(F.count(F.lit(1)).alias("times"))
+    of_item = every.join(times, "seed").groupBy("content").agg(F.collect_list(F.struct("seed", "times")).alias("held"))  # an item's own seeds
+    known = contents.join(of_item, "content").select("content", "words", F.col("held.seed").alias("seeds"), F.col("held.times").alias("times"))
+    return every, checkpoint(known.mapInArrow(choose, "seed long, content binary"))
+
+
+def _row_key() -> Column:
+    """256 bits that name a row's id and text."""
+    return F.unhex(F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))), 256))
+
+
+def _touched(docs: DataFrame, every: np.ndarray, chosen: np.ndarray, k: int) -> DataFrame:
+    """key, doc_id, places, words, seeds of the documents with a selective seed: the tokens that seeds of
+    items cover, and the selective seeds."""
+    def touch(batches):
+        for b in slices(batches):
+            words, start = hashed_tokens(b.column("text").to_pylist())
+            h = seeds_of(words, k)
+            row = np.repeat(np.arange(b.num_rows), np.diff(start))
+            hit = np.flatnonzero(_holds(every, h))
+            hit = hit[row[hit] == row[hit + k - 1]]
+            good = hit[_holds(chosen, h[hit])]
+            use = np.unique(row[good])
+            if not len(use):
+                continue
+            at = np.flatnonzero(spread(hit, k, len(words)))
+            cut = lambda x, r: x[np.searchsorted(row[x], r):np.searchsorted(row[x], r, "right")]
+            own = [cut(at, r) for r in use]
+            yield pa.record_batch([*(b.column(c).take(pa.array(use)) for c in ("key", "doc_id")),
+                                   pa.array([(x - start[r]).tobytes() for x, r in zip(own, use)], pa.binary()),
+                                   pa.array([words[x].tobytes() for x in own], pa.binary()),
+                                   pa.array([np.unique(h[cut(good, r)]).view(np.int64) for r in use], pa.list_(pa.int64()))],
+                                  names=["key", "doc_id", "places", "words", "seeds"])
+    rows = id_and_text(docs).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("key", _row_key())
+    return rows.mapInArrow(touch, "key binary, doc_id long, places binary, words binary, seeds array<long>")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, threshold: float, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The touched documents, the items, and key, content, coverage, n_tiles, tiles of the contaminated pairs."""
+    items = checkpoint(_items(benchmark, "item_id", "text", k))
+    contents = items.groupBy("content").agg(F.first("words").alias("words"))
+    every, chosen = _selective(contents, k, threshold)
+    touched = checkpoint(_touched(docs, bitmap(every), bitmap(chosen), k))
+    single = touched.groupBy("key").agg(F.first("places").alias("places"), F.first("words").alias("doc_words"), F.first("seeds").alias("seeds"))
+    pairs = touched.select("key", F.explode("seeds").alias("seed")).distinct().join(chosen, "seed").select("key", "content").distinct()
+    rows = pairs.join(single.drop("seeds"), "key").join(contents, "content")
+
+    def tile(batches):
+        for b in batches:
+            out = []
+            for key, content, places, words, item in zip(*(b.column(c) for c in ("key", "content", "places", "doc_words", "words"))):
+                hit = tile_pair(np.frombuffer(places.as_py(), np.int64), np.frombuffer(words.as_py(), np.uint64), np.frombuffer(item.as_py(), np.uint64), k, threshold)
+                if hit:
+                    out.append((key.as_py(), content.as_py(), hit[0], len(hit[1]), ",".join(f"{i}:{j}:{n}" for i, j, n in hit[1])))
+            if out:
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), (pa.binary(), pa.binary(), pa.float64(), pa.int64(), pa.string()))],
+                                      names=["key", "content", "coverage", "n_tiles", "tiles"])
+
+    return touched, items, checkpoint(rows.mapInArrow(tile, "key binary, content binary, coverage double, n_tiles long, tiles string"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, min_match: int = MIN_MATCH) -> DataFrame:
     """One row per document and item that contaminates it: coverage of the item and the tiles as
     doc place:item place:tokens, by doc place."""
-    rows = id_and_text(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    found = None
-    for block in blocks(benchmark, min_match=min_match, block_tokens=block_tokens):
-        def match(batches, block=block):
-            for b in slices(batches):
-                hits = list(block.matches([tokens(t) for t in b.column("text").to_pylist()], threshold))
-                if hits:
-                    ids = b.column("doc_id").to_pylist()
-                    yield pa.record_batch([pa.array([ids[h[0]] for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.int64()),
-                                           pa.array([h[2] for h in hits]), pa.array([len(h[3]) for h in hits], pa.int64()),
-                                           pa.array([",".join(f"{i}:{j}:{n}" for i, j, n in h[3]) for h in hits])],
-                                          names=["doc_id", "item_id", "coverage", "n_tiles", "tiles"])
-        part = rows.mapInArrow(match, SCHEMA)
-        found = part if found is None else found.unionByName(part)
-    return found if found is not None else docs.sparkSession.createDataFrame([], SCHEMA)
+    touched, items, found = _found(docs, benchmark, threshold, min_match)
+    return touched.select("key", "doc_id").join(found, "key").join(items.select("item_id", "content"), "content").select(
+        "doc_id", "item_id", "coverage", "n_tiles", "tiles")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, min_match: int = MIN_MATCH) -> DataFrame:
-    """The rows of ``docs`` that no item contaminates; columns as they were."""
-    for block in blocks(benchmark, min_match=min_match):
-        def clean(batches, block=block):
-            for b in slices(batches):
-                bad = {h[0] for h in block.matches([tokens(t) for t in b.column("text").to_pylist()], threshold)}
-                yield b.filter(pa.array([i not in bad for i in range(b.num_rows)]))
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+    """The rows of ``docs`` that no item contaminates; columns as they were. The keys of the others are
+    broadcast only if Spark finds them small enough, else the rows meet them in a shuffle."""
+    bad = _found(docs, benchmark, threshold, min_match)[2].select(F.col("key").alias("bad_key")).distinct()
+    return docs.join(bad, _row_key() == bad["bad_key"], "left_anti")

@@ -2,8 +2,8 @@
 
 import random
 import time
-import tracemalloc
 
+import numpy as np
 import pytest
 
 from tessera.llm import pii_tagger, string_tiling
@@ -49,28 +49,42 @@ def _opening(n):
     return [(k, b"which of the following is the".split() + [b"w%d" % r.randrange(50_000) for _ in range(8)]) for k in range(n)]
 
 
-def test_a_shared_opening_takes_bounded_memory():
+def test_a_shared_opening_brings_no_pairs(spark):
     items = _opening(70_000)
-    block = string_tiling.Block(items, 5)
-    docs = [b" and ".join([b"which of the following is the x%d" % k for k in range(400)]).split() + items[7][1], items[11][1] * 3, [b"other"] * 50]
-    tracemalloc.start()
+    text = lambda words: b" ".join(words).decode()
+    opening = " and ".join(f"which of the following is the x{k}" for k in range(400))
+    docs = [(d * 3 + n, t) for d in range(4) for n, t in enumerate([opening + " " + text(items[7][1]), text(items[11][1] * 3), "other " * 50])]
+    docs += [(100 + d, opening) for d in range(500)]
+    bench = spark.createDataFrame([(k, text(w)) for k, w in items], "item_id long, text string").repartition(8)
     began = time.time()
-    found = {(r, i) for r, i, _, _ in block.matches(docs * 4, 0.5)}
-    peak = tracemalloc.get_traced_memory()[1]
-    tracemalloc.stop()
-    assert {(r % 3, i) for r, i in found} >= {(0, 7), (1, 11)} and not any(r % 3 == 2 for r, _ in found)
-    assert peak < 700e6 and time.time() - began < 60, peak
+    found = {(r.doc_id, r.item_id) for r in string_tiling.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert {(d % 3, i) for d, i in found if d < 100} >= {(0, 7), (1, 11)} and not any(d >= 100 or d % 3 == 2 for d, _ in found)
+    assert time.time() - began < 120
 
 
-def test_chunks_do_not_change_what_matches(monkeypatch):
+def test_selective_seeds_are_those_that_a_contaminated_text_must_hold():
+    for seed in range(200):
+        r = random.Random(seed)
+        words = np.array([r.randrange(1 + seed % 9) for _ in range(r.randrange(3, 40))], np.uint64)
+        seeds = string_tiling.seeds_of(words, 3)
+        shared_by = {int(x): r.randrange(1, 5) for x in seeds.view(np.int64)}
+        chosen = {int(x) for x in string_tiling.selective(seeds, shared_by, 3, 0.5).view(np.int64)}
+        gone = [k for k, x in enumerate(seeds.view(np.int64)) if int(x) not in chosen]
+        covered = {p for k in gone for p in range(k, k + 3)}
+        assert chosen and len(covered) < 0.5 * len(words)
+        least_gone = min((shared_by[int(seeds.view(np.int64)[k])] for k in gone), default=9)
+        assert all(shared_by[x] <= least_gone for x in chosen)
+
+
+def test_few_bits_do_not_change_what_matches(spark, monkeypatch):
     items = _opening(60)
-    block = string_tiling.Block(items, 5)
-    docs = [sum((w for _, w in items[k:k + 3]), [b"x"]) for k in range(40)] + [[], [b"x"]]
-    whole = [(r, i, c, t) for r, i, c, t in block.matches(docs, 0.5)]
-    for pairs in (1, 7, 100):
-        monkeypatch.setattr(string_tiling, "PAIRS", pairs)
-        assert [(r, i, c, t) for r, i, c, t in block.matches(docs, 0.5)] == whole
-    assert {(r, r + d) for r in range(40) for d in range(3)} <= {(r, i) for r, i, _, _ in whole}
+    bench = spark.createDataFrame([(k, b" ".join(w).decode()) for k, w in items], "item_id long, text string")
+    docs = spark.createDataFrame([(k, b" ".join(sum((w for _, w in items[k:k + 3]), [b"x"])).decode()) for k in range(40)] + [(98, ""), (99, "x")], "doc_id long, text string")
+    whole = sorted(map(tuple, string_tiling.contaminated(docs, bench).collect()))
+    monkeypatch.setattr(string_tiling, "FILTER_BITS", 1 << 15)
+    monkeypatch.setattr(string_tiling, "_holds", lambda bits, h: np.ones(len(h), bool))  # as a full bitmap
+    assert sorted(map(tuple, string_tiling.contaminated(docs, bench).collect())) == whole
+    assert {(r, r + d) for r in range(40) for d in range(3) if r + d < 60} <= {x[:2] for x in whole}
 
 
 def test_texts_full_of_addresses_take_linear_time():

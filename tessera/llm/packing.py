@@ -249,7 +249,8 @@ def pack(cut: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     each = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = each.select(F.col("length").alias("l"), F.col("salt").alias("s"), (F.sum("n").over(
         Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
-    order = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece"))
+    rest = [c for c in names if c not in ("doc_id", "piece")]  # rows equal in all columns may change places
+    order = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", *rest))
     ranked = salted.withColumn("r", order).join(before, (F.col("length") == F.col("l")) & (F.col("salt") == F.col("s"))).select(
         *cut.columns, (F.col("before") + F.col("r") - 1).alias("rank"))
 

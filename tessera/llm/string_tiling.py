@@ -43,6 +43,8 @@ THRESHOLD = 0.5
 FILTER_BITS = 1 << 25
 _BUCKET = 32_768  # bits of one aggregate of Spark's bitmap functions
 FIRST_LENGTH = 20
+#: Keys of 32 bytes that a filter may broadcast: 8 MB.
+BROADCAST_KEYS = 1 << 18
 _PUNCT = bytes(32 if chr(i) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\x1c\x1d\x1e\x1f" else i for i in range(256))
 _PRIME, _BASE = (1 << 61) - 1, 1_000_003
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -325,6 +327,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, min_match: int = MIN_MATCH) -> DataFrame:
     """The rows of ``docs`` that no item contaminates; columns as they were. The keys of the others are
-    broadcast only if Spark finds them small enough, else the rows meet them in a shuffle."""
+    broadcast if a count finds at most BROADCAST_KEYS of them, else the rows meet them in a shuffle."""
     bad = _found(docs, benchmark, threshold, min_match)[2].select(F.col("key").alias("bad_key")).distinct()
-    return docs.join(bad, _row_key() == bad["bad_key"], "left_anti")
+    few = bad.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return docs.join(F.broadcast(bad) if few else bad, _row_key() == bad["bad_key"], "left_anti")

@@ -59,7 +59,7 @@ def _bench(spark, rows):
     return spark.createDataFrame(rows, "item_id long, text string, doc_id long")
 
 
-def test_reordered_passages_are_caught_and_clean_ones_kept(spark):
+def test_reordered_passages_are_caught_and_clean_ones_kept(spark, monkeypatch):
     item = prose(60, 77, 3_000).split()
     shuffled = " ".join(item[30:] + ["zz"] + item[:30])
     docs = [(1, prose(200, 5) + " " + " ".join(item), 0), (2, shuffled.upper() + "!", 0), (3, " ".join(item[:20]) + " " + prose(50, 6), 0),
@@ -69,6 +69,8 @@ def test_reordered_passages_are_caught_and_clean_ones_kept(spark):
     out = sorted((r.doc_id, r.item_id, round(r.coverage, 3), r.n_tiles) for r in string_tiling.contaminated(df, bench).collect())
     assert out == [(1, 1, 1.0, 1), (2, 1, 1.0, 2), (2, 1, 1.0, 2)]
     assert sorted(r.doc_id for r in string_tiling.clean_documents(df, bench).collect()) == [3, 4, 5, 6]
+    monkeypatch.setattr(string_tiling, "BROADCAST_KEYS", 0)
+    assert sorted(r.doc_id for r in string_tiling.clean_documents(df, bench).collect()) == [3, 4, 5, 6]
     assert string_tiling.contaminated(df, bench.limit(0)).count() == 0
     assert string_tiling.clean_documents(df, bench.limit(0)).count() == len(docs)
     assert string_tiling.contaminated(df.limit(0), bench).count() == 0

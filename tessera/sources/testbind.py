@@ -179,11 +179,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
             return False
 
 
-def write_panel(df: DataFrame, path: str, tasks: int | None = None) -> None:
+def write_panel(df: DataFrame, path: str, tasks: int | None = None, rows: int | None = None) -> None:
     """Write a panel partitioned by period (the reports prune on it); range-partitioned
-    writers sized from the plan estimate (see ``sources.panel.sink_panel_partitioned``)."""
+    writers sized by their rows (see ``sources.panel.sink_panel_partitioned``)."""
     from .panel import sink_panel_partitioned
-    sink_panel_partitioned(df, path, ("period_key",), "clave", tasks)
+    sink_panel_partitioned(df, path, ("period_key",), "clave", tasks, rows)
 
 
 def panel(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> DataFrame:
@@ -198,7 +198,8 @@ def panel(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> DataFrame:
         import uuid
         path = scratch_path(spark, f"panel-{mark}-{uuid.uuid4().hex[:8]}")
     if rebuild or not _exists(spark, path):
-        write_panel(derive_panel(spark, sf_dir), path)
+        # a panel row stands for at least one order: their number, from the footers, sizes the writers
+        write_panel(derive_panel(spark, sf_dir), path, rows=table(spark, sf_dir, "orders").count())
     df = spark.read.parquet(path)
     _PANELS[key] = df
     return df

@@ -111,3 +111,23 @@ def test_a_first_load_of_one_period_is_spread(spark, tmp_path, monkeypatch):
     df = spark.range(4000).select(F.lit(202401).alias("period_key"), F.col("id").cast("string").alias("clave"))
     out = first_load_materialise(spark, df, str(tmp_path / "t"))
     assert out.count() == 4000 and out.select(F.input_file_name()).distinct().count() == 8
+
+
+def _files(spark, path):
+    return spark.read.parquet(path).select(F.input_file_name()).distinct().count()
+
+
+def test_writers_are_as_many_as_their_rows_need(spark, tmp_path, monkeypatch):
+    from tessera.sources import panel, testbind
+    monkeypatch.setattr(panel, "ROWS_PER_WRITER", 500, raising=False)
+    spark.range(4000).select(F.lit(202401).alias("period_key"), F.col("id").cast("string").alias("clave")).write.parquet(str(tmp_path / "in"))
+    df = spark.read.parquet(str(tmp_path / "in"))  # some kB
+    panel.sink_panel_partitioned(df, str(tmp_path / "a"), ("period_key",), "clave", tasks=3)
+    testbind.write_panel(df, str(tmp_path / "b"))
+    first_load_materialise(spark, df, str(tmp_path / "c"))
+    for name in "abc":
+        got = spark.read.parquet(str(tmp_path / name))
+        assert _files(spark, str(tmp_path / name)) == 8 and got.select("clave").distinct().count() == got.count() == 4000, name
+    testbind.write_panel(df, str(tmp_path / "d"), rows=2000)
+    panel.sink_panel_partitioned(df, str(tmp_path / "e"), ("period_key",), "clave", tasks=12)
+    assert (_files(spark, str(tmp_path / "d")), _files(spark, str(tmp_path / "e"))) == (4, 12)

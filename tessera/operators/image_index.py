@@ -76,8 +76,8 @@ def _all_grams(df: DataFrame, col: str) -> DataFrame:
 
 
 def _gram_freq(grams: DataFrame, owner: str) -> DataFrame:
-    """How many strings contain each gram; at most (alphabet size)^GRAM rows."""
-    return grams.groupBy("g", "gl").agg(F.count_distinct(owner).alias("df"))
+    """How many strings contain each gram, from the distinct grams of each; at most (alphabet size)^GRAM rows."""
+    return grams.groupBy("g", "gl").agg(F.count(owner).alias("df"))
 
 
 def _rarest_probe(df: DataFrame, col: str, freq: DataFrame) -> DataFrame:
@@ -101,14 +101,16 @@ def write_lookup(images: DataFrame, path: str) -> ImageIndex:
     put = lambda df, name: df.write.mode("overwrite").parquet(f"{path}/{name}")
     put(images.select("key").distinct(), "keys")
     put(alias_index(images), "aliases")
-    put(_all_grams(index.keys(), "key").repartitionByRange("g", "key"), "grams")
+    # grams are dealt by value, those of a frequent one cut by measured size: no pass for a sample makes them twice
+    put(_all_grams(index.keys(), "key").hint("rebalance", F.col("g")).sortWithinPartitions("g", "key"), "grams")
     put(_gram_freq(index.grams(), "key"), "frequency")
     return index
 
 
 def write_index(images: DataFrame, path: str) -> ImageIndex:
-    """Write the files by key, then the look-up tables from them."""
-    (images.withColumn("part", _partition_of(F.col("key"))).repartitionByRange("part", "key", "file_id")
+    """Write the files by key, then the look-up tables from them. The files are dealt by part and those of a
+    large part cut by their measured size, without a pass for a sample of them."""
+    (images.withColumn("part", _partition_of(F.col("key"))).hint("rebalance", F.col("part"))
      .sortWithinPartitions("part", "key", "file_id").write.mode("overwrite").partitionBy("part").parquet(f"{path}/files"))
     return write_lookup(ImageIndex(images.sparkSession, path).images(), path)
 

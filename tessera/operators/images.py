@@ -65,17 +65,30 @@ def scan_image_tree(states: DataFrame) -> DataFrame:
                             F.posexplode("children").alias("folder_pos", "f"))
     key = F.coalesce(F.col("f.k"), normalise_facility_key(F.coalesce(F.col("f.name"), F.lit(""))))
     alias = F.coalesce(F.col("f.alias"), F.when(F.col("f.k").isNull(), key_alias(F.col("f.name"), key)))
-    files = (folders.select("state_id", "state", F.struct("state_pos", "folder_pos").alias("folder_order"),
-                            key.alias("key"), alias.alias("alias"), F.explode("f.children").alias("x"))
+    named = folders.select("state_id", "state", F.struct("state_pos", "folder_pos").alias("folder_order"),
+                           key.alias("key"), alias.alias("alias"), "f.children").where(F.col("key") != "")
+    files = (named.select("state_id", "state", "folder_order", "key", "alias", F.explode("children").alias("x"))
              .select("state_id", "state", "folder_order", "key", "alias",
                      F.coalesce("x.i", "x.id").alias("file_id"), F.coalesce("x.n", "x.name").alias("file_name"),
                      F.coalesce("x.s", "x.size").alias("size"), F.col("x.m").alias("modified"),
                      F.coalesce("x.mediumUrl", "x.thumbnailUrl", "x.directUrl").alias("link"))
              .withColumn("url", F.coalesce(F.col("link"), file_url(F.col("file_id"))))
-             .where(F.col("file_id").isNotNull() & F.col("url").isNotNull() & (F.col("key") != ""))
+             .where(F.col("file_id").isNotNull() & F.col("url").isNotNull())
              .drop("link"))
-    last = files.groupBy("key").agg(F.max("folder_order").alias("folder_order"))
-    return files.join(last, ["key", "folder_order"], "left_semi")
+    return files.join(_replaced_folders(named), ["key", "folder_order"], "left_anti")
+
+
+def _replaced_folders(named: DataFrame) -> DataFrame:
+    """key, folder_order of the folders with files whose key a later such folder has too. Found among the
+    folders and written first: their size is then known when the files meet them, and while they are few,
+    as in most trees, the files (the bulk) are not shuffled for it."""
+    spark = named.sparkSession
+    holding = named.where(F.exists("children", lambda x: F.coalesce(x["i"], x["id"]).isNotNull())).select("key", "folder_order")
+    last = holding.groupBy("key").agg(F.max("folder_order").alias("last"), F.min("folder_order").alias("first"))
+    several = last.where(F.col("first") < F.col("last")).select("key", "last")
+    path = scratch_path(spark, f"replaced-{uuid.uuid4().hex}")
+    holding.join(several, "key").where(F.col("folder_order") < F.col("last")).select("key", "folder_order").distinct().write.parquet(path)
+    return spark.read.schema(holding.schema).parquet(path)
 
 
 def alias_index(images: DataFrame) -> DataFrame:

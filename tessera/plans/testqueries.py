@@ -1807,7 +1807,7 @@ def _image_tree(spark, sf) -> str:
 
 def _write_image_tree(spark, sf, path: str) -> None:
     """One folder per facility, one image per period; folder naming varies by group (new ``k`` field,
-    decorated old names), written as JSON lines of state nodes (a state is split into chunks of <= 500
+    decorated old names), written as packed JSON lines of state nodes (a state is split into chunks of <= 500
     folders)."""
     p = panel(spark, sf)
     # only keys of the folder pattern can be recognised in a decorated name
@@ -1822,21 +1822,23 @@ def _write_image_tree(spark, sf, path: str) -> None:
                           F.lit("-01")).alias("m"),
                  F.when(F.col("mes") % 2 == 0, F.concat(F.lit("https://img.example/"), "clave", F.lit("/"),
                                                          F.col("period_key").cast("string"))).alias("mediumUrl"))
-    folders = (p.groupBy("estado_id", "estado", "clave")
+    per_state = p.select("estado_id", "estado", "clave").distinct().groupBy("estado_id").agg(F.count(F.lit(1)).alias("n"))
+    # dealt once, by state and chunk: folders and state nodes are put together where their files then are
+    chunked = (p.join(bounded_broadcast(per_state), "estado_id")  # one row per group, size-checked
+               .withColumn("chunk", F.pmod(F.xxhash64("clave"), F.greatest(F.ceil(F.col("n") / 500), F.lit(1))))
+               .repartition("estado_id", "estado", "chunk"))
+    folders = (chunked.groupBy("estado_id", "estado", "chunk", "clave")
                .agg(F.sort_array(F.collect_list(F.struct("period_key", f.alias("file")))).alias("files"))
-               .select("estado_id", "estado", "clave",
+               .select("estado_id", "estado", "chunk", "clave",
                        F.struct(F.when(v == 0, F.lower("clave")).alias("k"), name.alias("name"),
                                 F.lit("folder").alias("type"),
                                 F.transform("files", lambda x: x["file"]).alias("children")).alias("folder")))
-    per_state = folders.groupBy("estado_id").agg(F.count(F.lit(1)).alias("n"))
-    chunked = (folders.join(bounded_broadcast(per_state), "estado_id")  # one row per group, size-checked
-               .withColumn("chunk", F.pmod(F.xxhash64("clave"), F.greatest(F.ceil(F.col("n") / 500), F.lit(1)))))
-    nodes = (chunked.groupBy("estado_id", "estado", "chunk")
+    nodes = (folders.groupBy("estado_id", "estado", "chunk")
              .agg(F.sort_array(F.collect_list(F.struct("clave", "folder"))).alias("fs"))
              .select((F.col("estado_id").cast("long") * (1 << 40) + F.col("chunk")).alias("pos"),
                      F.col("estado_id").alias("id"), "estado", F.lit("folder").alias("type"),
                      F.transform("fs", lambda x: x["folder"]).alias("children")))
-    nodes.write.mode("overwrite").json(path)
+    nodes.write.mode("overwrite").option("compression", "gzip").json(path)  # every writer's file is one reader's
 
 
 def _index(spark, sf):

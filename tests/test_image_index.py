@@ -65,3 +65,26 @@ def test_one_key_reads_one_partition(spark, tmp_path):
     assert df.select(F.input_file_name()).distinct().count() == 1
     assert images_of_key(index, "OLD i-01-009-01").count() == 3 and images_of_key(index, "x i-01-011-01 y").count() == 3
     assert images_of_key(index, "nothing").count() == 0
+
+
+def test_files_meet_the_replaced_folders_only(spark, tmp_path):
+    from tessera.operators.images import read_state_nodes, scan_image_tree
+    folder = lambda k, *files: {"k": k, "name": k, "type": "folder", "children": [{"i": i, "n": i} for i in files]}
+    nodes = [{"pos": 1, "id": 1, "estado": "E", "type": "folder", "children": [folder("a", "a1", "a2"), folder("b", "b1"), folder("a", "a3", None)]},
+             {"pos": 2, "id": 2, "estado": "F", "type": "folder", "children": [folder("a"), folder("b", None), folder("c", "c1")]},
+             {"pos": 2, "id": 3, "estado": "G", "type": "folder", "children": [folder("", "x"), folder("d", "d1"), folder("c", "c2")]}]
+    (tmp_path / "tree.json").write_text("".join(json.dumps(n) + "\n" for n in nodes))
+    df = scan_image_tree(read_state_nodes(spark, str(tmp_path / "tree.json")))
+    # the last folder with files has the key; folders of equal place both have it
+    assert sorted(r.file_id for r in df.collect()) == ["a3", "b1", "c1", "c2", "d1"]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "LeftAnti" in plan  # files are not reduced again to find the last folders
+
+
+def test_gram_counts_are_summed_before_the_shuffle(spark):
+    from tessera.operators.image_index import _all_grams, _gram_freq
+    grams = _all_grams(spark.createDataFrame([("aab",), ("ab",), ("b",)], "key string"), "key")
+    freq = _gram_freq(grams, "key")
+    assert {r.g: r.df for r in freq.collect()} == {"a": 2, "b": 3, "aa": 1, "ab": 2, "aab": 1}
+    plan = freq._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange") == 1

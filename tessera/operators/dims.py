@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_text, norm_text_lit
-from ..sources.tables import bounded_broadcast
+from ..sources.tables import bounded_broadcast, literal_rows
 
 # Group (state) id -> official name.
 STATES = (
@@ -40,11 +40,11 @@ STATE_ENCODE_EXACT = (
 
 
 def states_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(STATES), "dim_id int, dim_name string")
+    return literal_rows(spark, STATES, "dim_id", "dim_name")
 
 
 def statuses_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(STATUSES), "dim_id int, dim_name string")
+    return literal_rows(spark, STATUSES, "dim_id", "dim_name")
 
 
 def as_dim(df: DataFrame, id_col: str, name_col: str) -> DataFrame:

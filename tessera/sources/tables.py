@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _TABLES[key]
 
 
+def literal_rows(spark: SparkSession, rows, *names: str) -> DataFrame:
+    """A few fixed rows as constants of the plan. Unlike rows of an RDD, they have a size that Catalyst
+    knows, so a join with them is a broadcast and never a shuffle of the other side by a few values."""
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r)]) for r in rows])))
+
+
 def plan_size_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of the optimised plan (file sizes for scans); no job runs."""
     try:

@@ -86,6 +86,19 @@ def test_dim_encode_decode_golden(spark):
     assert got == {14: "Jalisco", 99: "Estado_99", None: ""}
 
 
+def test_fixed_dictionaries_do_not_shuffle_the_rows(spark, tmp_path):
+    from tessera.operators import dims
+    spark.range(100).select((F.col("id") % 3).cast("int").alias("g"), (F.col("id") % 40).cast("int").alias("e")).write.parquet(str(tmp_path / "t"))
+    df = dims.dim_decode(spark.read.parquet(str(tmp_path / "t")), "g", dims.statuses_dim(spark), "status", "S_")
+    df = dims.dim_decode(df, "e", dims.states_dim(spark), "state", "E_")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "hashpartitioning" not in plan
+    assert {r["g"]: r["status"] for r in df.collect()} == dict(dims.STATUSES[:3])
+    names = dict(dims.STATES)
+    assert {r["e"]: r["state"] for r in df.collect()} == {i: names.get(i, f"E_{i}") for i in range(40)}
+    assert dims.states_dim(spark).dtypes == dims.statuses_dim(spark).dtypes == [("dim_id", "int"), ("dim_name", "string")]
+
+
 def test_period_index_forms(spark, tmp_path):
     import json
     from tessera.sources.json_sources import scan_period_index

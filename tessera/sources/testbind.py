@@ -80,14 +80,22 @@ def facility_key(nation: Column, customer: Column) -> Column:
                     F.lpad((customer % 100).cast("string"), 2, "0"))
 
 
+#: Rows that one task of a shuffle below takes in, whatever the session's number of shuffle partitions.
+ROWS_PER_TASK = 200_000
+
+
 def derive_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel as a DataFrame plan.
 
-    Lineitem is pre-aggregated per order (partial + final hash aggregate) before it meets
-    orders, so the big join moves one row per order instead of one per line.
+    Lineitem is aggregated per order before it meets orders, in the same tasks. It is dealt by order first:
+    the lines of an order are spread over all files, so that an aggregate of each file would save next to
+    nothing and hold all orders of its file. All shuffles are sized by the rows in the footers of the tables,
+    so the memory of a task stays the same as they grow.
     """
+    tasks = lambda t: max(-(-table(spark, sf_dir, t).count() // ROWS_PER_TASK), 1)
+    n_lines, n_orders = tasks("lineitem"), tasks("orders")
     li = (table(spark, sf_dir, "lineitem")
-          .select("l_orderkey", "l_quantity", "l_returnflag")
+          .select("l_orderkey", "l_quantity", "l_returnflag").repartition(n_lines, "l_orderkey")
           .groupBy("l_orderkey")
           .agg(F.sum(_qty()).alias("q"), F.count(F.lit(1)).alias("n"),
                F.sum(F.when(F.col("l_returnflag") == "N", _qty()).otherwise(0)).alias("qn"),
@@ -98,9 +106,11 @@ def derive_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.month("o_orderdate").cast("int").alias("mes"),
                  F.col("o_custkey").alias("custkey"), "o_orderkey",
                  F.when(F.col("o_orderstatus") == "O", 1)
-                  .when(F.col("o_orderstatus") == "F", 0).otherwise(2).alias("st")))
+                  .when(F.col("o_orderstatus") == "F", 0).otherwise(2).alias("st"))
+         .repartition(n_lines, "o_orderkey"))
+    # by period too: a customer with very many orders is cut by month
     f = (o.join(li, o.o_orderkey == li.l_orderkey)
-         .groupBy("anio", "mes", "custkey")
+         .repartition(n_orders, "anio", "mes", "custkey").groupBy("anio", "mes", "custkey")
          .agg(F.sum("q").cast("bigint").alias("inc_total"),
               F.sum("n").cast("bigint").alias("aten_total"),
               F.sum("qn").cast("bigint").alias("cn_inicial"),
@@ -111,7 +121,7 @@ def derive_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     # nation and region are small dimensions: broadcast after the size check
     n = bounded_broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
     r = bounded_broadcast(table(spark, sf_dir, "region").select("r_regionkey", "r_name"))
-    j = (f.join(c, f.custkey == c.c_custkey)
+    j = (f.repartition(n_orders, "custkey").join(c.repartition(n_orders, "c_custkey"), f.custkey == c.c_custkey)
          .join(n, c.c_nationkey == n.n_nationkey)
          .join(r, n.n_regionkey == r.r_regionkey))
     ck = F.col("c_custkey")

@@ -131,3 +131,34 @@ def test_writers_are_as_many_as_their_rows_need(spark, tmp_path, monkeypatch):
     testbind.write_panel(df, str(tmp_path / "d"), rows=2000)
     panel.sink_panel_partitioned(df, str(tmp_path / "e"), ("period_key",), "clave", tasks=12)
     assert (_files(spark, str(tmp_path / "d")), _files(spark, str(tmp_path / "e"))) == (4, 12)
+
+
+def test_panel_shuffles_are_sized_by_rows(spark, tmp_path, monkeypatch):
+    import datetime as dt
+    import re
+    from tessera.sources import testbind
+    d, day = str(tmp_path / "t"), lambda i: dt.datetime(2024, 1 + i % 3, 1)
+    rows = {
+        "orders": ([(i if i != 7 else None, i % 4 if i != 5 else None, "OFP"[i % 3], day(i)) for i in range(40)],
+                   "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp"),
+        "lineitem": ([(i % 50 if i % 9 else None, float(i), "NAR"[i % 3] if i % 11 else None) for i in range(300)], "l_orderkey long, l_quantity double, l_returnflag string"),
+        "customer": ([(i, f"c{i}", i % 2, "BUILDING") for i in (0, 1, 2, 3, 3)], "c_custkey long, c_name string, c_nationkey int, c_mktsegment string"),
+        "nation": ([(0, "A", 0), (1, "B", 0)], "n_nationkey int, n_name string, n_regionkey int"),
+        "region": ([(0, "R")], "r_regionkey int, r_name string")}
+    for name, (values, schema) in rows.items():
+        spark.createDataFrame(values, schema).write.parquet(f"{d}/{name}.parquet")
+    whole = sorted(testbind.derive_panel(spark, d).collect(), key=str)
+    monkeypatch.setattr(testbind, "ROWS_PER_TASK", 2, raising=False)
+    df = testbind.derive_panel(spark, d)
+    dealt = re.findall(r"hashpartitioning\(([a-z_]+)[^)]*, (\d+)\)", df._jdf.queryExecution().executedPlan().toString())
+    assert sorted(set(dealt)) == [("anio", "20"), ("c_custkey", "20"), ("custkey", "20"), ("l_orderkey", "150"), ("o_orderkey", "150")]
+    assert sorted(df.collect(), key=str) == whole
+    lines = {}
+    for k, q, _ in rows["lineitem"][0]:
+        lines.setdefault(k, []).append(q)
+    want = {}
+    for k, c, _, when in rows["orders"][0]:
+        if k is not None and c is not None and k in lines:
+            want.setdefault((f"c{c}", when.month), []).extend(lines[k])
+    assert sorted((r.nombre, r.mes, r.inc_total, r.aten_total) for r in whole) == sorted(
+        (c, m, sum(map(int, q)), len(q)) for (c, m), q in want.items() for _ in range(2 if c == "c3" else 1))

@@ -90,7 +90,8 @@ def derive_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     Lineitem is aggregated per order before it meets orders, in the same tasks. It is dealt by order first:
     the lines of an order are spread over all files, so that an aggregate of each file would save next to
     nothing and hold all orders of its file. All shuffles are sized by the rows in the footers of the tables,
-    so the memory of a task stays the same as they grow.
+    so what a task takes in from them stays the same as they grow; a task that deals out a split of a file
+    may buffer its rows, and so grows with the splits.
     """
     tasks = lambda t: max(-(-table(spark, sf_dir, t).count() // ROWS_PER_TASK), 1)
     n_lines, n_orders = tasks("lineitem"), tasks("orders")

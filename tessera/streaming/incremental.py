@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..binding import DEFAULT, Binding
+from ..sources.panel import sink_panel_partitioned
 from ..sources.prepared import path_exists
 
 
@@ -81,8 +82,8 @@ def incremental_period_load(spark: SparkSession, source_dir: str, schema, panel_
 
     def load(batch: DataFrame, epoch_id: int) -> None:
         own = f"{LOAD}={version}/{BATCH}={epoch_id}"
-        # ranges of (period, facility): a period is contiguous, and a large one is cut across many tasks
-        batch.repartitionByRange(b.period, b.facility).write.mode("overwrite").partitionBy(b.period).parquet(f"{panel_path}/{own}")
+        # ranges of (period, facility): a period is contiguous, and a large one is cut across many tasks, by its rows
+        sink_panel_partitioned(batch, f"{panel_path}/{own}", (b.period,), b.facility, tasks=spark.sparkContext.defaultParallelism)
         # last: a period of a batch counts as loaded once its partials are there
         period_summary(batch, b).write.mode("overwrite").parquet(f"{_partials(panel_path)}/{own}")
 

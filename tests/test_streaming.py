@@ -55,6 +55,23 @@ def test_one_period_is_written_by_many_tasks(spark):
     assert got.count() == p.count() and got.select(F.input_file_name()).distinct().count() > 1
 
 
+def test_a_large_batch_is_cut_by_its_rows(spark, monkeypatch):
+    """As many writers as the rows need, whatever the session's shuffle partitions and however small the rows pack."""
+    from tessera.sources import panel
+    monkeypatch.setattr(panel, "ROWS_PER_WRITER", 100)
+    base = scratch_path(spark, f"test-cut-{uuid.uuid4().hex[:8]}")
+    rows = spark.range(3000).select(F.lit(202401).alias("period_key"), F.format_string("I-%05d", "id").alias("clave"),
+                                    F.lit(1).alias("estado_id"), F.lit(1).alias("situacion"),
+                                    *[F.lit(1).cast("long").alias(c) for c in (*B.levels, "cn_total")])
+    rows.coalesce(1).write.parquet(f"{base}/landing")
+    _run(spark, base, spark.read.parquet(f"{base}/landing").schema, "ck", 1)
+    got = spark.read.parquet(f"{base}/panel")
+    sizes = [r["count"] for r in got.groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 3000 and len(sizes) > 20 and max(sizes) <= 200
+    assert _rows(got.select(rows.columns)) == _rows(rows)
+    assert spark.read.parquet(f"{base}/summary").first()["rows"] == 3000
+
+
 def test_image_snapshots_of_many_parts(spark):
     base = scratch_path(spark, f"test-snap-{uuid.uuid4().hex[:8]}")
     rows = spark.range(1000).select(F.col("id").cast("string").alias("file_id"), F.lit("a").alias("file_name"),

@@ -1809,6 +1809,7 @@ def _write_image_tree(spark, sf, path: str) -> None:
     """One folder per facility, one image per period; folder naming varies by group (new ``k`` field,
     decorated old names), written as packed JSON lines of state nodes (a state is split into chunks of <= 500
     folders)."""
+    from ..sources.panel import writer_tasks
     p = panel(spark, sf)
     # only keys of the folder pattern can be recognised in a decorated name
     v = F.when(F.length("clave") > 11, F.lit(0)).otherwise(F.col("estado_id") % 4)
@@ -1823,10 +1824,12 @@ def _write_image_tree(spark, sf, path: str) -> None:
                  F.when(F.col("mes") % 2 == 0, F.concat(F.lit("https://img.example/"), "clave", F.lit("/"),
                                                          F.col("period_key").cast("string"))).alias("mediumUrl"))
     per_state = p.select("estado_id", "estado", "clave").distinct().groupBy("estado_id").agg(F.count(F.lit(1)).alias("n"))
-    # dealt once, by state and chunk: folders and state nodes are put together where their files then are
+    # dealt once, by state and chunk: folders and state nodes are put together where their files then are, in tasks
+    # sized by the rows, whatever the session's number of shuffle partitions
+    tasks = max(writer_tasks(p), spark.sparkContext.defaultParallelism)
     chunked = (p.join(bounded_broadcast(per_state), "estado_id")  # one row per group, size-checked
                .withColumn("chunk", F.pmod(F.xxhash64("clave"), F.greatest(F.ceil(F.col("n") / 500), F.lit(1))))
-               .repartition("estado_id", "estado", "chunk"))
+               .repartition(tasks, "estado_id", "estado", "chunk"))
     folders = (chunked.groupBy("estado_id", "estado", "chunk", "clave")
                .agg(F.sort_array(F.collect_list(F.struct("period_key", f.alias("file")))).alias("files"))
                .select("estado_id", "estado", "chunk", "clave",

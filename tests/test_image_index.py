@@ -88,3 +88,22 @@ def test_gram_counts_are_summed_before_the_shuffle(spark):
     assert {r.g: r.df for r in freq.collect()} == {"a": 2, "b": 3, "aa": 1, "ab": 2, "aab": 1}
     plan = freq._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("Exchange") == 1
+
+
+def test_image_tree_is_dealt_by_its_rows(spark, tmp_path, monkeypatch):
+    """More tasks than the session's shuffle partitions where the rows need them; every image is in the tree."""
+    from tessera.operators.images import read_state_nodes, scan_image_tree
+    from tessera.plans import testqueries as tq
+    from tessera.sources import panel
+    rows = (spark.range(40 * 20 * 3)  # 40 states of 20 facilities, three periods each
+            .select((F.col("id") % 40).cast("int").alias("estado_id"), (F.floor(F.col("id") / 40) % 20).alias("k"),
+                    F.lit(2024).alias("anio"), (F.floor(F.col("id") / 800) + 1).cast("int").alias("mes"))
+            .select("estado_id", F.format_string("NATION_%d", "estado_id").alias("estado"), "anio", "mes",
+                    F.format_string("I-%02d-%03d-00", "estado_id", "k").alias("clave"),
+                    (F.col("anio") * 100 + F.col("mes")).alias("period_key"), F.lit(1).cast("long").alias("cn_total")))
+    monkeypatch.setattr(tq, "panel", lambda *a: rows)
+    monkeypatch.setattr(panel, "ROWS_PER_WRITER", 50)
+    tq._write_image_tree(spark, "", str(tmp_path / "tree"))
+    assert len(list((tmp_path / "tree").glob("part-*"))) > 16
+    got = scan_image_tree(read_state_nodes(spark, str(tmp_path / "tree")))
+    assert (got.count(), got.select("key").distinct().count(), got.select("file_id").distinct().count()) == (2400, 800, 2400)
